@@ -6,10 +6,15 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import table
+from .common import fold_of, table
+from .decontaminate import find_benchmark
+from .html_text import extract_text
+from .quality_model import score_quality
 from .quality_rules import quality_counts
 from .shard_ring import shard_rows
+from .token_binary import read_tokens, write_tokens
 from .token_count import count_tokens
 
 
@@ -17,17 +22,36 @@ def op1_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op2_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return read_tokens(write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_counts(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract_text(table(spark, sf_dir, "pages"))
+
+
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fold = fold_of("doc_id", 5)
+    scored = score_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), fold != 0)
+    return scored.select("doc_id", (fold == 0).alias("held_out"), "score", "predicted")
+
+
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_benchmark(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items_sha256", "contaminated")
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op4_quality_rules, op10_sharding)}
+    return {f.__name__: f for f in (op1_token_counts, op2_token_binary, op4_quality_rules, op5_html_extraction, op6_quality_classifier, op7_decontamination, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
