@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from .common import fold_of, table
 from .decontaminate import find_benchmark
 from .html_text import extract_text
+from .near_dup import near_duplicates
 from .quality_model import score_quality
 from .quality_rules import quality_counts
 from .shard_ring import shard_rows
@@ -46,12 +47,16 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), "items_sha256", "contaminated")
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_token_binary, op4_quality_rules, op5_html_extraction, op6_quality_classifier, op7_decontamination, op10_sharding)}
+    return {f.__name__: f for f in (op1_token_counts, op2_token_binary, op4_quality_rules, op5_html_extraction, op6_quality_classifier, op7_decontamination, op8_near_duplicates, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
