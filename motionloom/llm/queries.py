@@ -12,6 +12,7 @@ from .common import fold_of, table
 from .decontaminate import find_benchmark
 from .html_text import extract_text
 from .near_dup import near_duplicates
+from .ngram_lm import score_texts, training_fold
 from .quality_model import score_quality
 from .quality_rules import quality_counts
 from .shard_ring import shard_rows
@@ -51,12 +52,17 @@ def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_texts(table(spark, sf_dir, "documents"), training_fold())
+    return scored.select("doc_id", (~training_fold()).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_rows(table(spark, sf_dir, "documents"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_token_binary, op4_quality_rules, op5_html_extraction, op6_quality_classifier, op7_decontamination, op8_near_duplicates, op10_sharding)}
+    return {f.__name__: f for f in (op1_token_counts, op2_token_binary, op4_quality_rules, op5_html_extraction, op6_quality_classifier, op7_decontamination, op8_near_duplicates, op9_lm_scoring, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
