@@ -13,6 +13,7 @@ from .decontaminate import find_benchmark
 from .html_text import extract_text
 from .near_dup import near_duplicates
 from .ngram_lm import score_texts, training_fold
+from .piece_codec import encode_pieces
 from .quality_model import score_quality
 from .quality_rules import quality_counts
 from .shard_ring import shard_rows
@@ -28,6 +29,10 @@ def op2_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_tokens(write_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json")))
 
 
+def op3_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = quality_counts(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
@@ -62,7 +67,7 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_token_binary, op4_quality_rules, op5_html_extraction, op6_quality_classifier, op7_decontamination, op8_near_duplicates, op9_lm_scoring, op10_sharding)}
+    return {f.__name__: f for f in (op1_token_counts, op2_token_binary, op3_sentencepiece, op4_quality_rules, op5_html_extraction, op6_quality_classifier, op7_decontamination, op8_near_duplicates, op9_lm_scoring, op10_sharding)}
 
 
 def oracle_sql() -> dict[str, str]:
