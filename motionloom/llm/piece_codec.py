@@ -63,7 +63,7 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
 class PieceMachine:
     """The compiled transducer of one model file."""
 
-    def __init__(self, path: str, cache_size: int = 500_000, pair_size: int = 500_000):
+    def __init__(self, path: str, cache_size: int = 300_000, pair_size: int = 200_000):
         self.pieces: list[str] = []
         self.scores: list[float] = []
         kinds: list[int] = []
