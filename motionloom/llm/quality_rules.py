@@ -101,4 +101,8 @@ def keep_good(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns as they were, whose text passes every rule."""
     rows = _count_columns(docs, text_col)
     base = f"NOT ({TMP}n_words < 50 OR 100 * {TMP}n_repeat_words > 50 * {TMP}n_words)"
-    return rows.where(" AND ".join([base, *compile_rules().values()])).select(*[F.col(f"`{c}`") for c in docs.columns])
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    # A filter may not be pushed below a column that is not deterministic: otherwise the optimizer
+    # puts every count's expression into the predicate, again and again, at each level of arrays.
+    marked = rows.select(*own, F.expr(" AND ".join([base, *compile_rules().values()])).alias(f"{TMP}kept"), F.monotonically_increasing_id().alias(f"{TMP}row"))
+    return marked.where(f"{TMP}kept AND {TMP}row >= 0").select(*own)
