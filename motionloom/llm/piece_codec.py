@@ -264,21 +264,26 @@ class PieceMachine:
         return out
 
 
-_machines: dict[str, PieceMachine] = {}
+_machines: dict[tuple[str, int, int], PieceMachine] = {}
 
 
-def machine(path: str) -> PieceMachine:
-    """One machine for each Python worker and model."""
-    if path not in _machines:
-        _machines[path] = PieceMachine(path)
-    return _machines[path]
+def machine(path: str, cache_size: int, pair_size: int) -> PieceMachine:
+    """One machine for each Python worker, model and size of dictionaries."""
+    key = path, cache_size, pair_size
+    if key not in _machines:
+        _machines[key] = PieceMachine(*key)
+    return _machines[key]
 
 
-def encode_pieces(docs: DataFrame, model_path: str) -> DataFrame:
-    """doc_id, n_pieces, pieces (ids), decoded (text of the pieces) of every row; no shuffle."""
+def encode_pieces(docs: DataFrame, model_path: str, cache_size: int = 300_000, pair_size: int = 200_000) -> DataFrame:
+    """doc_id, n_pieces, pieces (ids), decoded (text of the pieces) of every row; no shuffle.
+
+    ``cache_size`` words and ``pair_size`` pairs of pieces are remembered by each Python worker: about
+    300 bytes each, for speed only.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = machine(model_path)
+        own = machine(model_path, cache_size, pair_size)
         for batch in sliced(batches, chars=1_000_000):
             ids, counts = own.encode(batch.column(1).to_pylist())
             ends = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
