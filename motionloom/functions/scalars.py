@@ -156,7 +156,7 @@ def closed_array(v: Column, path: str, words: list[str]) -> Column:
 
 def objects_top(v: Column, path: str, n: int = 5) -> Column:
     items = F.coalesce(F.try_variant_get(v, path, "array<string>"), F.array().cast("array<string>"))
-    return F.slice(F.filter(F.transform(items, F.trim), lambda x: x != ""), 1, n)
+    return F.slice(F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x != ""), 1, n)
 
 
 def key_present(v: Column, path: str) -> Column:
