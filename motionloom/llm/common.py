@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -85,7 +86,13 @@ def sliced(batches: Iterator[pa.RecordBatch], text: str = "text", chars: int = 4
             yield batch.slice(at, step)
 
 
-def narrow_batches(spark: SparkSession) -> None:
+def narrow_batches(spark: SparkSession, rows: int = 256) -> None:
     """Bound the rows of an Arrow batch so that long texts cannot fill a Python worker."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > 2000:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "2000")
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def give_back() -> None:
+    """Return a Python worker's free memory to the system before the worker waits for its next task."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()

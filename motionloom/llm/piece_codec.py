@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import id_text, narrow_batches, sliced
+from .common import give_back, id_text, narrow_batches, sliced
 from .token_binary import ragged
 
 SPACE = "▁"
@@ -107,8 +107,12 @@ class PieceMachine:
             for c in p:
                 node = node.setdefault(c, {})
             node[""] = i
-        self.pair_size, self.stable = pair_size, {}
-        self.cache_size = cache_size
+        self.pair_size, self.cache_size = pair_size, cache_size
+        self.forget()
+
+    def forget(self) -> None:
+        """Empty the dictionaries of words and pairs."""
+        self.stable: dict[int, bool] = {}
         self.words: dict[str, int] = {}
         self.starts, self.lens, self.uses = (np.zeros(0, np.int64) for _ in range(3))
         self.flat = np.zeros(0, np.int32)
@@ -275,11 +279,11 @@ def machine(path: str, cache_size: int, pair_size: int) -> PieceMachine:
     return _machines[key]
 
 
-def encode_pieces(docs: DataFrame, model_path: str, cache_size: int = 300_000, pair_size: int = 200_000) -> DataFrame:
+def encode_pieces(docs: DataFrame, model_path: str, cache_size: int = 300_000, pair_size: int = 200_000, keep: bool = True) -> DataFrame:
     """doc_id, n_pieces, pieces (ids), decoded (text of the pieces) of every row; no shuffle.
 
     ``cache_size`` words and ``pair_size`` pairs of pieces are remembered by each Python worker: about
-    300 bytes each, for speed only.
+    300 bytes each, for speed only.  With ``keep`` they are remembered from task to task.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -288,6 +292,9 @@ def encode_pieces(docs: DataFrame, model_path: str, cache_size: int = 300_000, p
             ids, counts = own.encode(batch.column(1).to_pylist())
             ends = np.concatenate(([0], np.cumsum(counts))).astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts), pa.ListArray.from_arrays(pa.array(ends), pa.array(ids)), pa.array(own.decode(ids, counts), pa.string())], ["doc_id", "n_pieces", "pieces", "decoded"])
+        if not keep:
+            own.forget()
+            give_back()
 
     narrow_batches(docs.sparkSession)
     return id_text(docs).mapInArrow(run, "doc_id long, n_pieces long, pieces array<int>, decoded string")
