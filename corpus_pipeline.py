@@ -39,8 +39,8 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_pieces, pieces and decoded text of every document that is left."""
-    # Small dictionaries: the workers also hold what earlier stages have left in them.
-    return encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"), cache_size=80_000, pair_size=80_000)
+    # The workers serve other stages too, so nothing is remembered beyond a task.
+    return encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"), cache_size=150_000, pair_size=100_000, keep=False)
 
 
 STAGES = [
