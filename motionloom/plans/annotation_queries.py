@@ -130,6 +130,7 @@ def _failure(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", Z.failure_class(F.expr(_SAME), F.expr("event_id % 5 = 3"), F.expr("event_id % 2 = 0"), 100).alias("c"))
 
 
+@query("text_strip_lower", "SELECT doc_id, left(trim(text), 90) AS t, lower(left(trim(text), 5)) AS l FROM documents")
 @query("text_truncate", "SELECT doc_id, left(trim(text), 90) AS t, lower(left(trim(text), 5)) AS l FROM documents")
 def _truncate(spark: SparkSession, d: str) -> DataFrame:
     t = F.trim("text")
@@ -142,6 +143,7 @@ def _hash(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("split_name", "SELECT page_id, 'split_' || lpad(page_id::VARCHAR, 3, '0') AS s, printf('split_%02d_chunk_%02d', page_id % 90, page_id % 7) AS c, page_id * 100 + page_id % 7 AS k FROM pages")
+@query("segment_key", "SELECT page_id, 'split_' || lpad(page_id::VARCHAR, 3, '0') AS s, printf('split_%02d_chunk_%02d', page_id % 90, page_id % 7) AS c, page_id * 100 + page_id % 7 AS k FROM pages")
 @query("chunk_name", "SELECT page_id, 'split_' || lpad(page_id::VARCHAR, 3, '0') AS s, printf('split_%02d_chunk_%02d', page_id % 90, page_id % 7) AS c, page_id * 100 + page_id % 7 AS k FROM pages")
 def _splits(spark: SparkSession, d: str) -> DataFrame:
     p = F.col("page_id")

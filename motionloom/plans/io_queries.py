@@ -57,6 +57,19 @@ def _pose_wrapped(spark: SparkSession, d: str) -> DataFrame:
     return _scan(spark, d, True)
 
 
+@query("scan_pose_segments", f"WITH {X.CTE_FRAMES}, n AS (SELECT video, count(*) AS n FROM frames GROUP BY 1) SELECT video, n AS n_rows, n AS n_ids, n - 1 AS last FROM n")
+def _pose_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Every recording as two files whose ids both start at 0."""
+    path = place(spark, "segments")
+    f = X.frames(spark, d)
+    half = f.groupBy("video").agg(F.floor(F.count("*") / 2).alias("half"))
+    cut = f.join(half, "video").selectExpr("video", "if(frame < half, 0, 1) AS seg", "if(frame < half, frame, frame - half) AS id")
+    js = cut.groupBy("video", "seg").agg(F.array_join(F.transform(F.sort_array(F.collect_list("id")), lambda i: F.concat(F.lit('{"frame_id":'), i.cast("string"), F.lit(',"instances":[]}'))), ",").alias("js"))
+    js.select(F.col("video").cast("string").alias("v"), F.concat(F.lit("results_seg_"), "seg").alias("s"), F.concat(F.lit("["), "js", F.lit("]")).alias("value")).write.partitionBy("v", "s").text(path)
+    rows = S.scan_pose_segments(spark, path, video=r"/v=(\d+)/[^/]+/[^/]+$", glob="*.txt")
+    return rows.groupBy(F.col("video").cast("int").alias("video")).agg(F.count("*").alias("n_rows"), F.countDistinct("frame_id").alias("n_ids"), F.max("frame_id").cast("long").alias("last"))
+
+
 @query("scan_jsonl_tolerant", "SELECT event_id, user_id FROM events WHERE event_id % 7 > 0")
 def _jsonl(spark: SparkSession, d: str) -> DataFrame:
     path = place(spark, "jsonl")

@@ -38,9 +38,9 @@ def scan_pose_json(spark: SparkSession, path: str, video: str = r"/([^/]+)/pred/
     return rows.select("video", "file", F.when(F.col("single"), place).otherwise(F.col("f.frame_id")).alias("frame_id"), "f.instances")
 
 
-def scan_pose_segments(spark: SparkSession, path: str) -> DataFrame:
+def scan_pose_segments(spark: SparkSession, path: str, **where: str) -> DataFrame:
     """Segment files of each recording one after the other; ids that restart continue from the last."""
-    rows = scan_pose_json(spark, path)
+    rows = scan_pose_json(spark, path, **where)
     files = rows.groupBy("video", "file").agg(F.min("frame_id").alias("lo"), F.max("frame_id").alias("hi"))
     folded = files.groupBy("video").agg(F.sort_array(F.collect_list(F.struct("file", "lo", "hi"))).alias("s"))  # some hundred files
     state = "named_struct('top', cast(-1 AS long), 'out', cast(array() AS array<struct<file:string,shift:bigint>>))"
