@@ -15,7 +15,7 @@ from .near_dup import near_duplicates
 from .ngram_lm import score_texts, training_fold
 from .piece_codec import encode_pieces
 from .quality_model import score_quality
-from .quality_rules import quality_counts
+from .quality_rules import STOP_WORDS, quality_counts
 from .shard_ring import shard_rows
 from .token_binary import read_tokens, write_tokens
 from .token_count import count_tokens
@@ -70,5 +70,29 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {f.__name__: f for f in (op1_token_counts, op2_token_binary, op3_sentencepiece, op4_quality_rules, op5_html_extraction, op6_quality_classifier, op7_decontamination, op8_near_duplicates, op9_lm_scoring, op10_sharding)}
 
 
+_SPACE = r"[^\x20\x09-\x0D]"
+_STOPS = ", ".join("'" + w + "'" for w in sorted({w for ws in STOP_WORDS.values() for w in ws}))
+_BASE = "(n_words < 50 OR 100 * n_repeat_words > 50 * n_words)"
+_OP4 = rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT r, doc_id, t, regexp_extract_all(t, '{_SPACE}+') AS ws, list_filter(string_split(t, chr(10)), lambda l: regexp_matches(l, '{_SPACE}')) AS ls FROM d),
+tri AS (SELECT r, i, ws[i] || chr(1) || ws[i + 1] || chr(1) || ws[i + 2] AS k FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
+rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM tri QUALIFY count(*) OVER (PARTITION BY r, k) > 1) GROUP BY r),
+c AS (SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+  (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words, len(list_filter(ws, lambda x: x IN ({_STOPS}))) AS n_stop, len(ls) AS n_lines, len(list_filter(ls, lambda l: l LIKE '%...' OR l LIKE '%…')) AS n_ell FROM w LEFT JOIN rep USING (r))
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {_BASE} AS base_failed,
+  NOT {_BASE} AND word_chars / n_words BETWEEN 2 AND 12 AND n_symbols / n_words <= 0.25 AND n_stop / n_words >= 0.06 AND n_dup_lines / n_lines <= 0.5 AND n_ell / n_lines <= 0.5 AS kept FROM c"""
+_LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+_OP7 = rf"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all({_LOW}, '{_WORD}') AS ws FROM documents),
+b AS (SELECT item_id, regexp_extract_all({_LOW}, '{_WORD}') AS ws FROM benchmark),
+bw AS (SELECT item_id, least(10, len(ws)) AS n, array_to_string(ws[i:i + 9], chr(1)) AS k FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS i FROM b WHERE len(ws) > 0)),
+dw AS (SELECT r, i, n, array_to_string(ws[i:i + n - 1], chr(1)) AS k FROM (SELECT r, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM d, (SELECT DISTINCT n FROM bw))),
+m AS (SELECT r, i, n, item_id FROM dw JOIN bw USING (n, k)),
+h AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM m) GROUP BY r),
+it AS (SELECT r, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS s FROM (SELECT DISTINCT r, item_id::VARCHAR AS s FROM m) GROUP BY r)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(s, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN h USING (r) LEFT JOIN it USING (r)"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """Only what SQL can express; tests hold the other queries against brute force or round trips."""
+    return {"op4_quality_rules": _OP4, "op7_decontamination": _OP7}
