@@ -13,8 +13,8 @@ from .registry import query, table
 
 FEATURES = ["medianx_LAnkle", "medianx_RAnkle", "IQRx_LWrist", "IQRx_RWrist", "mean_angle_RKnee", "lrCorr_x_Wrist"]
 WIDE = """wide AS (SELECT c_custkey AS subject, 'sub_' || c_custkey || '-x' AS name, c_nationkey % 4 AS risk, c_acctbal / 500 AS age, CASE WHEN c_acctbal / 500 > 10 THEN 1 ELSE 0 END AS age_bracket, c_mktsegment AS seg,
-  avg(o_totalprice) / 1e5::DOUBLE AS medianx_LAnkle, max(o_totalprice) / 1e5::DOUBLE AS medianx_RAnkle, min(o_totalprice) / 1e5::DOUBLE AS IQRx_LWrist, CASE WHEN c_custkey % 5 > 0 THEN sum(o_totalprice) / 1e6::DOUBLE END AS IQRx_RWrist,
-  count(*)::DOUBLE AS mean_angle_RKnee, stddev_pop(o_totalprice) / 1e5::DOUBLE AS lrCorr_x_Wrist FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_custkey, c_nationkey, c_acctbal, c_mktsegment)"""
+  avg(o_totalprice) / 7e4::DOUBLE AS medianx_LAnkle, max(o_totalprice) / 7e4::DOUBLE AS medianx_RAnkle, min(o_totalprice) / 7e4::DOUBLE AS IQRx_LWrist, CASE WHEN c_custkey % 5 > 0 THEN sum(o_totalprice) / 7e5::DOUBLE END AS IQRx_RWrist,
+  count(*)::DOUBLE AS mean_angle_RKnee, stddev_pop(o_totalprice) / 7e4::DOUBLE AS lrCorr_x_Wrist FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY c_custkey, c_nationkey, c_acctbal, c_mktsegment)"""
 LONG = (
     WIDE
     + """, long0 AS (UNPIVOT wide ON medianx_LAnkle, medianx_RAnkle, IQRx_LWrist, IQRx_RWrist, mean_angle_RKnee, lrCorr_x_Wrist INTO NAME feature VALUE value),
@@ -41,7 +41,7 @@ P_SQL = f"({_T} * exp(-z * z / 2 + {_POLY}))"
 def wide(spark: SparkSession, d: str) -> DataFrame:
     j = table(spark, d, "orders").join(table(spark, d, "customer"), F.expr("o_custkey = c_custkey"))
     p = F.col("o_totalprice")
-    out = j.groupBy("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment").agg((F.avg(p) / 1e5).alias("medianx_LAnkle"), (F.max(p) / 1e5).alias("medianx_RAnkle"), (F.min(p) / 1e5).alias("IQRx_LWrist"), (F.sum(p) / 1e6).alias("IQRx_RWrist"), F.count("*").cast("double").alias("mean_angle_RKnee"), (F.stddev_pop(p) / 1e5).alias("lrCorr_x_Wrist"))
+    out = j.groupBy("c_custkey", "c_nationkey", "c_acctbal", "c_mktsegment").agg((F.avg(p) / 7e4).alias("medianx_LAnkle"), (F.max(p) / 7e4).alias("medianx_RAnkle"), (F.min(p) / 7e4).alias("IQRx_LWrist"), (F.sum(p) / 7e5).alias("IQRx_RWrist"), F.count("*").cast("double").alias("mean_angle_RKnee"), (F.stddev_pop(p) / 7e4).alias("lrCorr_x_Wrist"))
     return out.selectExpr("c_custkey AS subject", "concat('sub_', c_custkey, '-x') AS name", "c_nationkey % 4 AS risk", "c_acctbal / 500 AS age", "int(c_acctbal / 500 > 10) AS age_bracket", "c_mktsegment AS seg", "medianx_LAnkle", "medianx_RAnkle", "IQRx_LWrist", "if(c_custkey % 5 > 0, IQRx_RWrist, null) AS IQRx_RWrist", "mean_angle_RKnee", "lrCorr_x_Wrist")
 
 
@@ -81,9 +81,9 @@ def _subject(spark: SparkSession, d: str) -> DataFrame:
 
 
 
-@query("agg_collapse_windows", "SELECT 'v' || o_custkey || '_a' AS name, round(avg(o_totalprice), 3) AS v FROM orders GROUP BY 1")
+@query("agg_collapse_windows", "SELECT 'v' || o_custkey || '_a' AS name, round(avg(o_totalprice / 7), 3) AS v FROM orders GROUP BY 1")
 def _collapse(spark: SparkSession, d: str) -> DataFrame:
-    o = table(spark, d, "orders").selectExpr("concat('v', o_custkey, '_a_', o_orderkey % 50, '-', o_orderkey % 50 + 9, 's') AS name", "o_totalprice AS v")
+    o = table(spark, d, "orders").selectExpr("concat('v', o_custkey, '_a_', o_orderkey % 50, '-', o_orderkey % 50 + 9, 's') AS name", "o_totalprice / 7 AS v")
     return _r(H.collapse_windows(o, "name", ["v"]), "v", places=3)
 
 
