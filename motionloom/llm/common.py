@@ -67,11 +67,12 @@ def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
     """Write ``df`` as a Parquet table in the shared folder and read it back: lineage ends there.
 
     The table survives the loss of any executor.  It is deleted when the driver process ends.
+    Row groups are small, as rows may be large.
     """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/motionloom/{name}-{uuid.uuid4().hex}"
     _made.append((spark, path))
-    df.write.options(**options).parquet(path)
+    df.write.options(**{"parquet.block.size": str(16 << 20)} | options).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -86,10 +87,11 @@ def sliced(batches: Iterator[pa.RecordBatch], text: str = "text", chars: int = 4
             yield batch.slice(at, step)
 
 
-def narrow_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Bound the rows of an Arrow batch so that long texts cannot fill a Python worker."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+def narrow_batches(spark: SparkSession, most: int = 8 << 20) -> None:
+    """Bound the bytes of an Arrow batch, so that rows of any size cannot fill a Python worker."""
+    held = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)
+    if held is None or not held.isdigit() or int(held) > most:
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
 
 
 def give_back() -> None:
