@@ -290,11 +290,10 @@ def _strided(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", F.expr("int(pmod(event_id, 8))").alias("worker"))
 
 
-@query("natural_sort", "SELECT page_id, row_number() OVER (ORDER BY page_id) AS place FROM pages")
+@query("natural_sort", "SELECT 'frame2_' || page_id || '.json' AS name, page_id AS number FROM pages ORDER BY 2")
 def _natural(spark: SparkSession, d: str) -> DataFrame:
-    p = table(spark, d, "pages").withColumn("name", F.concat(F.lit("frame2_"), F.col("page_id"), F.lit(".json")))
-    digits = F.regexp_extract("name", r"(\d+)\D*$", 1).cast("long")
-    return p.select("page_id", F.row_number().over(Window.orderBy(digits)).alias("place"))
+    p = table(spark, d, "pages").select(F.concat(F.lit("frame2_"), F.col("page_id"), F.lit(".json")).alias("name"))
+    return p.withColumn("number", F.regexp_extract("name", r"(\d+)\D*$", 1).cast("long")).orderBy("number")
 
 
 @query("round_half_even", "SELECT DISTINCT l_quantity, round_even(l_quantity / 2, 0) AS r0, round_even(l_quantity / 4, 0) AS r1 FROM lineitem")

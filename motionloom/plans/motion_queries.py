@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..operators import motion as M
 from ..operators import tracking as K
@@ -232,10 +231,10 @@ def _select(spark: SparkSession, d: str) -> DataFrame:
     return _r(_r(_choice(spark, d), "cost", places=3), "margin", places=2)
 
 
-@query("sort_review_queue", f"{_CHOICE} SELECT video, row_number() OVER (ORDER BY CASE WHEN cost > 1 THEN 0 ELSE 1 END, coalesce(margin, -cost), video) AS place FROM ch")
+@query("sort_review_queue", f"{_CHOICE} SELECT video, CASE WHEN cost > 1 THEN 0 ELSE 1 END AS first, round(coalesce(margin, -cost), 3) + 0.0 AS by_ FROM ch ORDER BY 2, 3, 1")
 def _review(spark: SparkSession, d: str) -> DataFrame:
-    order = Window.orderBy(F.when(F.col("decision") == "dropped", 0).otherwise(1), F.coalesce("margin", -F.col("cost")), "video")
-    return _choice(spark, d).select("video", F.row_number().over(order).alias("place"))
+    c = _choice(spark, d).select("video", F.when(F.col("decision") == "dropped", 0).otherwise(1).alias("first"), F.coalesce("margin", -F.col("cost")).alias("by_"))
+    return _r(c.orderBy("first", "by_", "video"), "by_", places=3)
 
 
 @query("greedy_iou_track")
@@ -249,10 +248,10 @@ def _concurrent(spark: SparkSession, d: str) -> DataFrame:
     return _r(K.count_concurrent(m, X.frames(spark, d).groupBy("video").agg(F.count("*").alias("n_frames"))), "frac_multi", places=5)
 
 
-@query("sort_count_verdict", f"WITH {X.CTE_FRAMES} SELECT video, row_number() OVER (ORDER BY CASE WHEN count(*) > 50 THEN 0 ELSE 1 END, video) AS place FROM frames GROUP BY video")
+@query("sort_count_verdict", f"WITH {X.CTE_FRAMES} SELECT video, CASE WHEN count(*) > 50 THEN 'single' ELSE 'several' END AS verdict FROM frames GROUP BY video ORDER BY 2 DESC, 1")
 def _verdict(spark: SparkSession, d: str) -> DataFrame:
     c = X.frames(spark, d).groupBy("video").agg(F.when(F.count("*") > 50, "single").otherwise("several").alias("verdict"))
-    return c.select("video", F.row_number().over(Window.orderBy(F.col("verdict") != "single", "video")).alias("place"))
+    return c.orderBy(F.col("verdict") != "single", "video")
 
 
 @query("join_tracks_frames", f"WITH {X.CTE_PERSONS}, b AS (SELECT video, frame, person FROM (SELECT video, frame, person, count_if(score >= 0.5) AS n_conf, avg(score) AS ms FROM persons GROUP BY 1, 2, 3) WHERE n_conf > 9 QUALIFY row_number() OVER (PARTITION BY video, frame ORDER BY n_conf DESC, ms DESC, person DESC) = 1) SELECT f.video, f.frame, b.person FROM frames f LEFT JOIN b USING (video, frame)")
