@@ -46,6 +46,7 @@ _ASIDE = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus login menu modal nav navbar navigation newsletter notice notices notification pagination pager popup promo related respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
 _CONTENT = frozenset("article content main post story entry body text".split())
+_WEAK = frozenset("alert banner modal notice notices notification popup promo toolbar widget".split())
 MAX_DEPTH = 200
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
@@ -72,7 +73,9 @@ def _aside(tag: str, attributes: str, inside: bool) -> bool:
     for m in _NAMES.finditer(attributes):
         names.update(_WORD.findall((m[1] or m[2] or m[3] or "").lower()))
     bad = names & _ASIDE
-    return bool(bad) and not (names & _CONTENT and not bad & {"comment", "comments", "ad", "ads", "advert", "advertisement", "sidebar", "cookie", "related", "share"})
+    if names & {"has", "with", "no", "without"}:  # such as content with-sidebar
+        bad -= {"sidebar"}
+    return bool(bad - _WEAK) or bool(bad) and not names & _CONTENT
 
 
 def parse(page: str) -> _Node:

@@ -134,6 +134,8 @@ def test_html():
     assert html_text.main_text(page) == "Head & line First boldtext, two lines. Next Short."
     body = "<div id=main>" + "".join(f"<p>{PROSE}</p>" for _ in range(4)) + "</div>"
     assert html_text.main_text(f"<body><ul><li><a href=a>One</a><li><a href=b>Two</a></ul>{body}</body>") == " ".join([PROSE.strip()] * 4)
+    wrapped = f'<body><div class="main-menu"><a href=a>One</a> <a href=b>Two</a></div><div class="content has-sidebar">{body}</div><div id="sidebar"><p>{PROSE}</p></div></body>'
+    assert html_text.main_text(wrapped) == " ".join([PROSE.strip()] * 4)
     for odd in ("", "plain", "<", "<p", "<!-- open", "<script>only", "<div>" * 3000 + "deep", "</p></div>x"):
         html_text.main_text(odd)
     assert html_text.main_text("<div>" * 3000 + "deep") == "deep"
