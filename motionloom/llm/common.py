@@ -87,11 +87,10 @@ def sliced(batches: Iterator[pa.RecordBatch], text: str = "text", chars: int = 4
             yield batch.slice(at, step)
 
 
-def narrow_batches(spark: SparkSession, most: int = 8 << 20) -> None:
-    """Bound the bytes of an Arrow batch, so that rows of any size cannot fill a Python worker."""
-    held = spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch", None)
-    if held is None or not held.isdigit() or int(held) > most:
-        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
+def narrow_batches(spark: SparkSession, rows: int = 256) -> None:
+    """Bound the rows of an Arrow batch, so that long texts cannot fill a Python worker."""
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
 def give_back() -> None:

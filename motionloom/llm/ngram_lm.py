@@ -309,7 +309,7 @@ def _scores(met: DataFrame, weights: np.ndarray, n: int, v: int) -> DataFrame:
     return met.mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
 
-def score_texts(docs: DataFrame, training: Column | None = None, block_bytes: int = 8_000_000, bucket_bytes: int = 6_000_000) -> DataFrame:
+def score_texts(docs: DataFrame, training: Column | None = None, block_bytes: int = 4_000_000, bucket_bytes: int = 6_000_000) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row.
 
     ``training`` marks the rows to learn from (default: all).  ``bucket_bytes`` is how much of the
