@@ -9,33 +9,77 @@ from pyspark.sql.window import Window
 from ..functions import scalars as Z
 
 #: Closed vocabularies of annotation fields.
-POSTURES = ["supine", "prone", "sitting", "crawling", "standing", "walking", "held", "other"]
-ACTIONS = ["walks", "stands", "crawls", "sits", "reaches", "kicks", "rolls", "plays"]
+VISIBILITY = ["full_body", "partial_body", "not_visible"]
+PARTS = ["head", "face", "torso", "arms", "hands", "legs", "feet"]
+ACTIONS = ["touches_object", "holds_object", "touches_face", "hand_or_object_to_mouth", "claps_hands", "crawls", "walks", "points", "pulls_to_stand", "sits_down_from_standing", "pushes_up_from_belly", "rolls_over"]
+CHILD_ACTIONS = ["walks", "stands"]
+POSTURES = ["sitting", "standing", "prone", "supine", "all_fours", "other", "not_visible"]
+SCENE = {
+    "location": ["indoor", "outdoor", "vehicle"],
+    "surface": ["floor", "rug_or_mat", "bed", "sofa", "crib", "highchair", "held_by_person", "grass", "other", "not_visible"],
+    "camera_distance": ["close_up", "medium", "wide"],
+    "lighting": ["bright", "normal", "dim"],
+    "infant_clothing": ["fully_clothed", "partially_clothed", "diaper_only", "unclothed", "not_visible"],
+    "background_complexity": ["minimal", "moderate", "cluttered"],
+    "camera_motion": ["static", "shaky", "panning", "moving"],
+    "image_quality": ["good", "fair", "poor"],
+}
+AUDIO_EVENTS = ["infant_vocalisation", "infant_crying", "infant_laughing", "adult_speech", "child_speech", "singing", "music", "tv_or_device", "household_noise", "outdoor_noise", "silence"]
+AUDIO_SOURCES = ["live", "overlay", "mixed", "none"]
+INFANT_SOUNDS = ["infant_vocalisation", "infant_crying", "infant_laughing"]
+SPEECH_SOUNDS = ["adult_speech", "child_speech"]
+
+
+def parse_annotation(df: DataFrame, raw: str, audio: bool = False) -> DataFrame:
+    """parse_ok and the typed fields of a raw answer; a failed parse keeps the raw text only.
+
+    The fields about sound exist only with ``audio``.
+    """
+    df = df.withColumn("__loom_v", Z.extract_json_object(F.col(raw))).withColumn("parse_ok", F.col("__loom_v").isNotNull())
+    v = F.col("__loom_v")
+    fields = {c: Z.coerce_bool(v, f"$.{c}") for c in ("has_infant", "has_adult")}
+    fields |= {c: Z.coerce_int(v, f"$.{c}") for c in ("num_infants", "num_children", "num_adults", "num_humans_total")}
+    fields |= {c: Z.closed_scalar(v, f"$.{c}", words) for c, words in ({"infant_visibility": VISIBILITY, "infant_posture": POSTURES} | SCENE).items()}
+    fields |= {c: Z.closed_array(v, f"$.{c}", words) for c, words in {"visible_infant_parts": PARTS, "infant_actions": ACTIONS, "child_actions": CHILD_ACTIONS}.items()}
+    fields |= {"objects": Z.objects_top(v, "$.objects"), "description": F.trim(F.coalesce(F.try_variant_get(v, "$.description", "string"), F.lit("")))}
+    flags = {"inconsistent": flag_inconsistent()}
+    if audio:
+        fields |= {"audio_events": Z.closed_array(v, "$.audio_events", AUDIO_EVENTS), "audio_source": Z.closed_scalar(v, "$.audio_source", AUDIO_SOURCES)}
+        fields |= {c: Z.coerce_bool(v, f"$.{c}") for c in ("infant_vocalising", "speech_present")}
+        fields |= {"audio_description": F.trim(F.coalesce(F.try_variant_get(v, "$.audio_description", "string"), F.lit("")))}
+        flags |= {"audio_inconsistent": flag_audio_inconsistent()}
+    ok = lambda c: F.when(F.col("parse_ok"), c)
+    df = df.withColumns({k: ok(c) for k, c in fields.items()})
+    return df.withColumns({k: ok(c) for k, c in flags.items()}).drop("__loom_v")
 
 
-def parse_annotation(df: DataFrame, raw: str) -> DataFrame:
-    """parse_ok and the typed fields of a raw answer; a failed parse keeps the raw text only."""
-    df = df.withColumn("v", Z.extract_json_object(F.col(raw))).withColumn("parse_ok", F.col("v").isNotNull())
-    v = F.col("v")
-    ok = lambda c: F.when(F.col("parse_ok"), c)
-    df = df.withColumns(
-        {
-            "has_infant": ok(Z.coerce_bool(v, "$.has_infant")),
-            "has_adult": ok(Z.coerce_bool(v, "$.has_adult")),
-            "num_infants": ok(Z.coerce_int(v, "$.num_infants")),
-            "num_adults": ok(Z.coerce_int(v, "$.num_adults")),
-            "infant_posture": ok(Z.closed_scalar(v, "$.posture", POSTURES)),
-            "infant_actions": ok(Z.closed_array(v, "$.actions", ACTIONS)),
-            "objects": ok(Z.objects_top(v, "$.objects")),
-        }
+def flag_inconsistent() -> Column:
+    """Whether counts, flags and lists contradict each other; flags, never repairs."""
+    has = F.col("has_infant")
+    some = lambda c: F.size(c) > 0
+    return (
+        (has != (F.col("num_infants") > 0))
+        | (F.col("has_adult") != (F.col("num_adults") > 0))
+        | (~has & some("visible_infant_parts"))
+        | (~has & some("infant_actions"))
+        | ((F.col("num_children") == 0) & some("child_actions"))
+        | (~has & ~F.col("infant_posture").eqNullSafe("not_visible"))
+        | (F.col("num_humans_total") != F.col("num_infants") + F.col("num_children") + F.col("num_adults"))
     )
-    return df.withColumn("inconsistent", ok(flag_inconsistent())).drop("v")
 
 
-def flag_inconsistent() -> Column:
-    """Whether the parsed fields contradict each other; flags, never repairs."""
-    has, n = F.col("has_infant"), F.col("num_infants")
-    return (has & (n == 0)) | (~has & (n > 0)) | (~has & (F.size("infant_actions") > 0)) | (~has & F.col("infant_posture").isNotNull()) | (F.col("has_adult") & (F.col("num_adults") == 0)) | (~F.col("has_adult") & (F.col("num_adults") > 0))
+def flag_audio_inconsistent() -> Column:
+    """Whether the fields about sound contradict each other."""
+    events, source = F.col("audio_events"), F.coalesce(F.col("audio_source"), F.lit(""))
+    among = lambda words: F.arrays_overlap(events, F.array(*map(F.lit, words)))
+    only_silence = events == F.array(F.lit("silence"))
+    return (
+        (F.array_contains(events, "silence") & (F.size(events) > 1))
+        | (F.col("infant_vocalising") & ~among(INFANT_SOUNDS))
+        | (F.col("speech_present") & ~among(SPEECH_SOUNDS))
+        | ((source == "none") & (F.size(events) > 0) & ~only_silence)
+        | (source.isin("live", "overlay", "mixed") & only_silence)
+    )
 
 
 def pairwise_agreement(df: DataFrame, models: str, segment: str, field: str) -> DataFrame:

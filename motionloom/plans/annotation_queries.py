@@ -15,10 +15,11 @@ from .registry import query, table
 RAW = """concat(CASE event_id % 3 WHEN 0 THEN '```json\n' WHEN 1 THEN 'Answer: ' ELSE '' END, '{"has_infant": ',
   CASE event_id % 5 WHEN 0 THEN 'true' WHEN 1 THEN '"yes"' WHEN 2 THEN '0' WHEN 3 THEN '"false"' ELSE 'null' END, ', "num_infants": ',
   CASE event_id % 6 WHEN 0 THEN '1' WHEN 1 THEN '"2"' WHEN 2 THEN '-3' WHEN 3 THEN '2.7' WHEN 4 THEN '"2.7"' ELSE 'true' END,
-  ', "has_adult": ', CASE event_id % 2 WHEN 0 THEN 'false' ELSE '1' END, ', "num_adults": ', cast(event_id % 3 AS {text}),
-  ', "posture": "', CASE event_id % 4 WHEN 0 THEN ' Sitting ' WHEN 1 THEN 'flying' ELSE 'prone' END, '", "actions": ', CASE event_id % 7 WHEN 0 THEN '"walks"' WHEN 1 THEN '["Walks","walks","sings"]' ELSE '["sits"]' END,
+  ', "has_adult": ', CASE event_id % 2 WHEN 0 THEN 'false' ELSE '1' END, ', "num_adults": ', cast(event_id % 3 AS {text}), ', "num_children": ', cast(event_id % 2 AS {text}), ', "num_humans_total": ', cast(event_id % 4 AS {text}),
+  ', "infant_posture": "', CASE event_id % 4 WHEN 0 THEN ' Sitting ' WHEN 1 THEN 'flying' WHEN 2 THEN 'Not_Visible' ELSE 'prone' END, '", "infant_actions": ', CASE event_id % 7 WHEN 0 THEN '"walks"' WHEN 1 THEN '["Walks","walks","sings"]' WHEN 2 THEN '["crawls"]' ELSE '[]' END,
+  ', "visible_infant_parts": ', CASE event_id % 5 WHEN 0 THEN '["Head","wing"]' ELSE '[]' END, ', "child_actions": ', CASE event_id % 9 WHEN 0 THEN '["stands"]' ELSE '[]' END,
+  ', "audio_events": ', CASE event_id % 6 WHEN 0 THEN '["silence"]' WHEN 1 THEN '["Music","silence"]' WHEN 2 THEN '["infant_crying"]' WHEN 3 THEN '["adult_speech"]' ELSE '[]' END, ', "audio_source": "', CASE event_id % 5 WHEN 0 THEN 'live' WHEN 1 THEN 'None' WHEN 2 THEN 'mixed' ELSE 'radio' END, '", "infant_vocalising": ', CASE event_id % 4 WHEN 0 THEN 'true' ELSE 'false' END, ', "speech_present": ', CASE event_id % 8 WHEN 3 THEN '1' ELSE 'null' END,
   CASE event_id % 4 WHEN 0 THEN ', "objects": ["a"," ","b","c","d","e","f"]' WHEN 1 THEN ', "objects": null' ELSE '' END, CASE WHEN event_id % 11 = 0 THEN '' ELSE '}' END, CASE event_id % 3 WHEN 0 THEN '\n```' ELSE '' END)"""
-_J = "json_extract(j, '$.{k}')"
 _S = "json_extract_string(j, '$.{k}')"
 
 
@@ -32,18 +33,29 @@ def _int(k: str) -> str:
     return f"greatest(0, coalesce(CASE WHEN {t} = 'VARCHAR' THEN CASE WHEN regexp_full_match(trim({s}), '[+-]?[0-9]+') THEN trim({s})::INT END WHEN {t} = 'BOOLEAN' THEN ({s} = 'true')::INT ELSE trunc(TRY_CAST({s} AS DOUBLE))::INT END, 0))"
 
 
+def _words(k: str, words: list[str]) -> str:
+    listed = ", ".join(repr(w) for w in words)
+    return f"CASE WHEN j IS NOT NULL THEN CASE WHEN json_type(j, '$.{k}') = 'ARRAY' THEN list_filter(list_transform(json_extract_string(j, '$.{k}[*]'), lambda x: lower(trim(x))), lambda x: x IN ({listed})) ELSE [] END END"
+
+
+def _word(k: str, words: list[str]) -> str:
+    s = f"lower(trim({_S.format(k=k)}))"
+    return f"CASE WHEN {s} IN ({', '.join(repr(w) for w in words)}) THEN {s} END"
+
+
+_TYPED = [(c, _bool(c)) for c in ("has_infant", "has_adult", "infant_vocalising", "speech_present")] + [(c, _int(c)) for c in ("num_infants", "num_children", "num_adults", "num_humans_total")]
 PARSED = f"""raws AS (SELECT event_id, {RAW.replace("{text}", "VARCHAR")} AS raw FROM events),
 tried AS (SELECT event_id, raw, TRY_CAST(nullif(regexp_extract(raw, '(?s)\\{{.*\\}}'), '') AS JSON) AS j FROM raws),
-parsed AS (SELECT event_id, raw, j IS NOT NULL AS parse_ok, CASE WHEN j IS NOT NULL THEN {_bool("has_infant")} END AS has_infant, CASE WHEN j IS NOT NULL THEN {_bool("has_adult")} END AS has_adult,
-  CASE WHEN j IS NOT NULL THEN {_int("num_infants")} END AS num_infants, CASE WHEN j IS NOT NULL THEN {_int("num_adults")} END AS num_adults,
-  CASE WHEN lower(trim({_S.format(k="posture")})) IN ({", ".join(repr(p) for p in A.POSTURES)}) THEN lower(trim({_S.format(k="posture")})) END AS infant_posture,
-  CASE WHEN j IS NOT NULL THEN CASE WHEN json_type(j, '$.actions') = 'ARRAY' THEN list_filter(list_transform(json_extract_string(j, '$.actions[*]'), lambda x: lower(trim(x))), lambda x: x IN ({", ".join(repr(p) for p in A.ACTIONS)})) ELSE [] END END AS infant_actions,
+parsed AS (SELECT event_id, raw, j IS NOT NULL AS parse_ok, {", ".join(f"CASE WHEN j IS NOT NULL THEN {e} END AS {c}" for c, e in _TYPED)},
+  {_word("infant_posture", A.POSTURES)} AS infant_posture, {_word("audio_source", A.AUDIO_SOURCES)} AS audio_source, {_words("infant_actions", A.ACTIONS)} AS infant_actions, {_words("visible_infant_parts", A.PARTS)} AS parts, {_words("child_actions", A.CHILD_ACTIONS)} AS child_actions, {_words("audio_events", A.AUDIO_EVENTS)} AS ev,
   CASE WHEN j IS NOT NULL THEN CASE WHEN json_type(j, '$.objects') = 'ARRAY' THEN list_filter(list_transform(json_extract_string(j, '$.objects[*]'), lambda x: trim(x)), lambda x: x <> '')[1:5] ELSE [] END END AS objects FROM tried),
-flagged AS (SELECT *, (has_infant AND num_infants = 0) OR (NOT has_infant AND num_infants > 0) OR (NOT has_infant AND len(infant_actions) > 0) OR (NOT has_infant AND infant_posture IS NOT NULL) OR (has_adult AND num_adults = 0) OR (NOT has_adult AND num_adults > 0) AS inconsistent FROM parsed)"""
+flagged AS (SELECT *, CASE WHEN parse_ok THEN has_infant <> (num_infants > 0) OR has_adult <> (num_adults > 0) OR (NOT has_infant AND (len(parts) > 0 OR len(infant_actions) > 0 OR infant_posture IS DISTINCT FROM 'not_visible')) OR (num_children = 0 AND len(child_actions) > 0) OR num_humans_total <> num_infants + num_children + num_adults END AS inconsistent,
+  CASE WHEN parse_ok THEN (list_contains(ev, 'silence') AND len(ev) > 1) OR (infant_vocalising AND NOT list_has_any(ev, ['infant_vocalisation', 'infant_crying', 'infant_laughing'])) OR (speech_present AND NOT list_has_any(ev, ['adult_speech', 'child_speech']))
+    OR (coalesce(audio_source, '') = 'none' AND len(ev) > 0 AND ev <> ['silence']) OR (coalesce(audio_source, '') IN ('live', 'overlay', 'mixed') AND ev = ['silence']) END AS audio_inconsistent FROM parsed)"""
 
 
 def parsed(spark: SparkSession, d: str) -> DataFrame:
-    return A.parse_annotation(table(spark, d, "events").selectExpr("event_id", RAW.replace("{text}", "string") + " AS raw"), "raw")
+    return A.parse_annotation(table(spark, d, "events").selectExpr("event_id", RAW.replace("{text}", "string") + " AS raw"), "raw", audio=True)
 
 
 @query("extract_json_object", f"WITH {PARSED} SELECT event_id, parse_ok FROM parsed")
@@ -82,9 +94,9 @@ def _flag(spark: SparkSession, d: str) -> DataFrame:
     return parsed(spark, d).select("event_id", "inconsistent")
 
 
-@query("flag_audio_inconsistent", f"WITH {PARSED} SELECT event_id, coalesce((len(objects) > 0 AND NOT has_adult) OR (NOT has_infant AND num_adults > 1), false) AS audio_inconsistent FROM flagged")
+@query("flag_audio_inconsistent", f"WITH {PARSED} SELECT event_id, audio_inconsistent FROM flagged")
 def _audio(spark: SparkSession, d: str) -> DataFrame:
-    return parsed(spark, d).select("event_id", F.expr("coalesce((size(objects) > 0 AND NOT has_adult) OR (NOT has_infant AND num_adults > 1), false)").alias("audio_inconsistent"))
+    return parsed(spark, d).select("event_id", "audio_inconsistent")
 
 
 @query("parse_annotation", f"WITH {PARSED} SELECT event_id, parse_ok, has_infant, num_infants, infant_posture, array_to_string(infant_actions, ',') AS actions, inconsistent FROM flagged")
@@ -107,9 +119,9 @@ def _agg_present(spark: SparkSession, d: str) -> DataFrame:
     return e.agg(F.count_if(Z.key_present(F.col("v"), "$.objects")).alias("n_present"), F.count_if(F.size(Z.objects_top(F.col("v"), "$.objects")) > 0).alias("n_truthy"))
 
 
-@query("set_intersect_flags", f"WITH {PARSED} SELECT event_id, coalesce(list_has_any(infant_actions, ['walks', 'stands']), false) AS moves FROM parsed")
+@query("set_intersect_flags", f"WITH {PARSED} SELECT event_id, coalesce(list_has_any(infant_actions, ['walks', 'crawls']), false) AS moves FROM parsed")
 def _flags(spark: SparkSession, d: str) -> DataFrame:
-    return parsed(spark, d).select("event_id", F.coalesce(F.arrays_overlap("infant_actions", F.array(F.lit("walks"), F.lit("stands"))), F.lit(False)).alias("moves"))
+    return parsed(spark, d).select("event_id", F.coalesce(F.arrays_overlap("infant_actions", F.array(F.lit("walks"), F.lit("crawls"))), F.lit(False)).alias("moves"))
 
 
 @query("agg_model_health", f"WITH {PARSED} SELECT event_id % 4 AS model, count(*) AS n, count_if(NOT parse_ok)::BIGINT AS failures, count_if(inconsistent)::BIGINT AS inconsistent FROM flagged GROUP BY 1")
