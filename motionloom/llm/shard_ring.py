@@ -36,9 +36,9 @@ def ring_positions(spark: SparkSession, shards: int, virtual_nodes: int) -> Data
         GROUP BY pos""")
     arcs = nodes.select("pos", "shard", (F.row_number().over(Window.orderBy("pos")) - 1).alias("arc"))
     every = spark.range(1 << RING_BITS).select(F.col("id").cast("int").alias("pos")).join(arcs, "pos", "left")
-    onward = Window.orderBy("pos").rowsBetween(Window.currentRow, Window.unboundedFollowing)
+    onward = Window.orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # one pass, unlike a frame to the end
     whole = Window.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    at = lambda c: F.coalesce(F.first(c, True).over(onward), F.first(c, True).over(whole))
+    at = lambda c: F.coalesce(F.last(c, True).over(onward), F.first(c, True).over(whole))
     return every.select("pos", at("arc").alias("arc"), at("shard").alias("owner"))
 
 
