@@ -13,11 +13,16 @@ more, and a class is a connected component of links.
    two orders.  A bucket is not expanded into pairs: its most popular member (the one whose band
    keys are shared by most texts, as those of a copied original are) leads it and all members are
    compared to the leader; those that are not close to it are compared to a second leader, the
-   most popular of them.  So a bucket costs in proportion to its size.  Texts that share what
-   their leader lacks also share buckets that it is not in: a pair at 0.8 shares 13 of its 40
-   buckets on average, and its smaller ones hold little else.
+   most popular of them.  So a bucket costs in proportion to its size.
 4. Every pair whose signatures agree well enough is verified on the whole texts.
 5. Components by alternating large and small stars; each round is written to the shared folder.
+6. The rest: a bucket is settled when verified links make it one class.  All pairs of different
+   classes among the members of the other buckets are found without loss by their rarest shingles.
+   If a and b are the shares of two texts' weight outside their common shingles, similarity is at
+   most 1 / (1/(1-a) + 1/(1-b) - 1).  So, in one order of all shingles from rare to frequent, the
+   first common shingle of a pair at 0.8 has at most 1/5 of either text's weight before it, and at
+   most 1/9 of one's; texts of one template that are less alike than 0.8 do not meet at all.
+   These pairs go through step 4, and their links join classes in step 5.
 
 No step gathers a bucket or a class in one task, and nothing but row counts reaches the driver.
 
@@ -35,6 +40,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .common import TMP, id_text, materialise, narrow_batches, sliced
 
@@ -178,11 +184,15 @@ def _compare(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     return both.mapInArrow(run, "id long, leader long, agree double")
 
 
-def _candidates(sigs: DataFrame, least: float) -> DataFrame:
-    """All compared (id, leader, agree): members of every bucket with its first and second leader."""
+def _buckets(sigs: DataFrame) -> DataFrame:
+    """(id, key, n): the buckets of at least two members."""
     banded = sigs.select(F.col("doc_id").alias("id"), F.explode("keys").alias("key"))
     sizes = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = materialise(banded.join(sizes, "key"), "shared")
+    return materialise(banded.join(sizes, "key"), "shared")
+
+
+def _candidates(shared: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
+    """All compared (id, leader, agree): members of every bucket with its first and second leader."""
     popular = shared.groupBy("id").agg(F.sum("n").alias("popular"))
     members = materialise(shared.select("id", "key").join(popular, "id"), "buckets")
 
@@ -198,6 +208,58 @@ def _candidates(sigs: DataFrame, least: float) -> DataFrame:
     return compared.unionByName(materialise(_compare(fresh, sigs), "compared"))
 
 
+def _unsettled(shared: DataFrame, classes: DataFrame) -> DataFrame:
+    """(id, class) of the members of all buckets that hold more than one class."""
+    own = shared.select("id", "key").join(classes.withColumnRenamed("node", "id"), "id", "left").select("id", "key", F.coalesce("class", "id").alias("class"))
+    own = materialise(own, "labelled")
+    several = own.groupBy("key").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("key")
+    return materialise(own.join(several, "key").select("id", "class").distinct(), "unsettled")
+
+
+def _rarest(rest: DataFrame, docs: DataFrame, size: int, least: float) -> DataFrame:
+    """(id, class, shingle, before): each text's rarest shared shingles, and the share of its weight before them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(size)
+        for batch in sliced(batches, chars=250_000):
+            with np.errstate(over="ignore"):
+                own = shingler(batch.column(2).to_pylist())
+            lens = [len(e) for e, _ in own]
+            ids, classes = (np.repeat(batch.column(k).to_numpy(zero_copy_only=False), lens) for k in (0, 1))
+            totals = np.repeat([int(w.sum()) for _, w in own], lens)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(ids), pa.array(classes), pa.array(np.concatenate([e for e, _ in own]).view(np.int64)), pa.array(np.concatenate([w for _, w in own]).astype(np.int64)), pa.array(totals.astype(np.int64))],
+                ["id", "class", "shingle", "weight", "total"],
+            )
+
+    texts = rest.join(docs.withColumnRenamed("doc_id", "id").dropDuplicates(["id"]), "id").select("id", "class", "text")
+    every = materialise(texts.mapInArrow(run, "id long, class long, shingle long, weight long, total long"), "shingles")
+    often = every.groupBy("shingle").agg(F.count("*").alias("often")).where("often > 1")
+    shared = every.join(often, "shingle")
+    # What no other text holds comes first in the order and counts as weight only.
+    whole = Window.partitionBy("id")
+    before = F.col("total") - F.sum("weight").over(whole) + F.sum("weight").over(whole.orderBy("often", "shingle").rowsBetween(Window.unboundedPreceding, 0)) - F.col("weight")
+    return shared.select("id", "class", "shingle", (before / F.col("total")).alias("before")).where(F.col("before") <= 1 - least + 1e-9)
+
+
+def _rest(rest: DataFrame, docs: DataFrame, size: int, least: float) -> DataFrame:
+    """(id, leader): all pairs of different classes that can be similar enough."""
+    rarest = materialise(_rarest(rest, docs, size, least), "rarest")
+    low = F.col("before") <= 1 - 2 / (1 + 1 / least) + 1e-9  # holds for one text of a pair at least
+    sizes = rarest.groupBy("shingle", "class").agg(F.count("*").alias("n"), F.max(low).alias("low"))
+    tops = sizes.groupBy("shingle").agg(F.count("*").alias("classes"), F.max(F.struct("n", "class")).alias("top"), F.max("low").alias("low"))
+    # The largest class of a shingle meets the others, never itself.
+    met = materialise(rarest.join(tops.where("classes > 1 AND low").select("shingle", F.col("top.class").alias("top")), "shingle").withColumn("minor", F.col("class") != F.col("top")), "met")
+    a, b = met.where(low).alias("a"), met.alias("b")
+    near = (F.col("a.class") != F.col("b.class")) & (1 / (1 - F.col("a.before")) + 1 / (1 - F.col("b.before")) <= 1 + 1 / least + 1e-9)
+
+    def pairs(one: DataFrame, other: DataFrame) -> DataFrame:
+        both = one.join(other, (F.col("a.shingle") == F.col("b.shingle")) & near)
+        return both.select(F.greatest("a.id", "b.id").alias("id"), F.least("a.id", "b.id").alias("leader"))
+
+    return materialise(pairs(a.where("minor"), b).unionByName(pairs(a.where("NOT minor"), b.where("minor"))).distinct(), "rest")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, size: int, least: float) -> DataFrame:
     """The (id, leader) whose whole texts are similar enough."""
     own = pairs.join(docs.select(F.col("doc_id").alias("id"), F.col("text").alias("a")), "id")
@@ -256,11 +318,17 @@ def near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8, bands: i
     member = materialise(signed.select("doc_id", "digest").join(firsts, "digest").select("doc_id", "first"), "members")
     standing = signed.where("sig IS NOT NULL").join(member.where("doc_id = first").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "digest"])
     standing = materialise(standing.groupBy("doc_id").agg(F.min(F.struct("digest", "sig", "keys")).alias("s")).select("doc_id", "s.sig", "s.keys"), "standing")
-    close_pairs = _candidates(standing, least).where(F.col("agree") >= least - slack).select("id", "leader")
-    links = _verified(close_pairs, texts, size, least)
-    classes = components(links.select(F.col("id").alias("u"), F.col("leader").alias("v")))
-    joined = member.join(classes, F.col("first") == F.col("node"), "left")
-    return joined.select("doc_id", F.coalesce("class", "first").alias("class_id"))
+    shared = _buckets(standing)
+    close = F.col("agree") >= least - slack
+    links = _verified(_candidates(shared, standing, least).where(close).select("id", "leader"), texts, size, least)
+    classes = materialise(components(links.select(F.col("id").alias("u"), F.col("leader").alias("v"))), "classes")
+    rest = _unsettled(shared, classes)
+    late = materialise(_compare(_rest(rest, texts, size, least), standing), "compared").where(close).select("id", "leader")
+    late = _verified(late, texts, size, least)
+    late = late.join(rest.select("id", F.col("class").alias("u")), "id").join(rest.select(F.col("id").alias("leader"), F.col("class").alias("v")), "leader")
+    joins = components(late.select("u", "v")).select(F.col("node").alias("class_id"), F.col("class").alias("least_id"))
+    found = member.join(classes, F.col("first") == F.col("node"), "left").select("doc_id", F.coalesce("class", "first").alias("class_id"))
+    return found.join(joins, "class_id", "left").select("doc_id", F.coalesce("least_id", "class_id").alias("class_id"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -256,6 +256,41 @@ def test_near_duplicates(spark, docs, empty):
     assert near_dup.near_duplicates(empty).count() == 0
 
 
+def template_family(rng, n, own, linked):
+    """Texts of one template, 196 shingles each, with own words in one run; in linked pairs the second has two thirds of the first's."""
+    vocabulary = np.array([f"w{k}" for k in range(50_000)])
+    template = list(rng.choice(vocabulary, 200 - own))
+    texts = [template + list(rng.choice(vocabulary, own)) for _ in range(n)]
+    for k in range(0, 2 * linked, 2):
+        texts[k + 1] = texts[k][: 200 - own // 3] + texts[k + 1][200 - own // 3 :]
+    order = rng.permutation(n)
+    return [" ".join(texts[k]) for k in order], [tuple(sorted((int(np.flatnonzero(order == k)[0]), int(np.flatnonzero(order == k + 1)[0])))) for k in range(0, 2 * linked, 2)]
+
+
+@pytest.mark.parametrize("own", [22, 26])
+def test_near_duplicates_inside_a_template_family(spark, own):
+    texts, linked = template_family(np.random.default_rng(own), 2400, own, 400)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    weights = near_dup.Shingler()(texts)
+    # All texts have the same number of shingles, so links are counts of common ones.
+    assert {len(e) for e, _ in weights} == {196} and {int(w.max()) for _, w in weights} == {1}
+    _, flat = np.unique(np.concatenate([e for e, _ in weights]), return_inverse=True)
+    holders = collections.defaultdict(list)
+    for at, k in enumerate(flat.tolist()):
+        holders[k].append(at // 196)
+    always = sum(len(h) == len(texts) for h in holders.values())
+    common = collections.Counter((i, j) for h in holders.values() if len(h) < 50 for x, i in enumerate(h) for j in h[x + 1 :])
+    assert always / (392 - always) < 0.8 and all(len(h) < 50 or len(h) == len(texts) for h in holders.values())
+    close = {p for p, n in common.items() if (n + always) / (392 - n - always) >= 0.8}
+    assert set(linked) <= close
+    want = list(range(len(texts)))
+    for _ in range(10):
+        for i, j in close:
+            want[i] = want[j] = min(want[i], want[j])
+    got = {r.doc_id: r.class_id for r in near_dup.near_duplicates(df).collect()}
+    assert got == dict(enumerate(want))
+
+
 def test_components(spark):
     chain = [(i + 1, i) for i in range(0, 12)] + [(30, 20), (40, 20), (40, 35), (50, 50)]
     got = {r.node: r["class"] for r in near_dup.components(spark.createDataFrame(chain, "u long, v long")).collect()}
