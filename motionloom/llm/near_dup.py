@@ -12,11 +12,10 @@ more, and a class is a connected component of links.
 3. Banding: texts that agree in all slots of a band share a bucket; the slots are banded twice, in
    two orders.  A bucket is not expanded into pairs: its most popular member (the one whose band
    keys are shared by most texts, as those of a copied original are) leads it and all members are
-   compared to the leader; those that are not close to it are compared to a second leader, the
-   most popular of them.  So a bucket costs in proportion to its size.
+   compared to the leader.  So a bucket costs in proportion to its size.
 4. Every pair whose signatures agree well enough is verified on the whole texts.
 5. Components by alternating large and small stars; each round is written to the shared folder.
-6. The rest: a bucket is settled when verified links make it one class.  All pairs of different
+6. The rest: a bucket is settled when verified links, never estimates, make it one class.  All pairs of different
    classes among the members of the other buckets are found without loss by their rarest shingles.
    If a and b are the shares of two texts' weight outside their common shingles, similarity is at
    most 1 / (1/(1-a) + 1/(1-b) - 1).  So, in one order of all shingles from rare to frequent, the
@@ -191,21 +190,13 @@ def _buckets(sigs: DataFrame) -> DataFrame:
     return materialise(banded.join(sizes, "key"), "shared")
 
 
-def _candidates(shared: DataFrame, sigs: DataFrame, least: float) -> DataFrame:
-    """All compared (id, leader, agree): members of every bucket with its first and second leader."""
+def _candidates(shared: DataFrame, sigs: DataFrame) -> DataFrame:
+    """All compared (id, leader, agree): members of every bucket with its leader."""
     popular = shared.groupBy("id").agg(F.sum("n").alias("popular"))
     members = materialise(shared.select("id", "key").join(popular, "id"), "buckets")
-
-    def led(level: DataFrame) -> DataFrame:
-        heads = level.groupBy("key").agg(F.max(F.struct("popular", (-F.col("id")).alias("low"))).alias("lead")).select("key", (-F.col("lead.low")).alias("leader"))
-        return materialise(level.join(heads, "key").where("id <> leader"), "led")
-
-    first = led(members)
-    compared = materialise(_compare(first.select("id", "leader").distinct(), sigs), "compared")
-    far = compared.where(F.col("agree") < least).select("id", "leader")
-    second = led(first.join(far, ["id", "leader"]).select("id", "key", "popular"))
-    fresh = second.select("id", "leader").distinct().join(compared, ["id", "leader"], "left_anti")
-    return compared.unionByName(materialise(_compare(fresh, sigs), "compared"))
+    heads = members.groupBy("key").agg(F.max(F.struct("popular", (-F.col("id")).alias("low"))).alias("lead")).select("key", (-F.col("lead.low")).alias("leader"))
+    led = members.join(heads, "key").where("id <> leader").select("id", "leader").distinct()
+    return materialise(_compare(led, sigs), "compared")
 
 
 def _unsettled(shared: DataFrame, classes: DataFrame) -> DataFrame:
@@ -320,7 +311,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8, bands: i
     standing = materialise(standing.groupBy("doc_id").agg(F.min(F.struct("digest", "sig", "keys")).alias("s")).select("doc_id", "s.sig", "s.keys"), "standing")
     shared = _buckets(standing)
     close = F.col("agree") >= least - slack
-    links = _verified(_candidates(shared, standing, least).where(close).select("id", "leader"), texts, size, least)
+    links = _verified(_candidates(shared, standing).where(close).select("id", "leader"), texts, size, least)
     classes = materialise(components(links.select(F.col("id").alias("u"), F.col("leader").alias("v"))), "classes")
     rest = _unsettled(shared, classes)
     late = materialise(_compare(_rest(rest, texts, size, least), standing), "compared").where(close).select("id", "leader")

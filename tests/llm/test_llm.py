@@ -291,6 +291,18 @@ def test_near_duplicates_inside_a_template_family(spark, own):
     assert got == dict(enumerate(want))
 
 
+def test_near_duplicates_settle_by_verified_links_only(spark, monkeypatch):
+    rng = np.random.default_rng(31)
+    texts, linked = template_family(rng, 300, 24, 100)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    plain = {r.doc_id: r.class_id for r in near_dup.near_duplicates(df).collect()}
+    assert all(plain[i] == plain[j] for i, j in linked)
+    # Estimates that are all too high settle nobody.
+    compare = near_dup._compare
+    monkeypatch.setattr(near_dup, "_compare", lambda pairs, sigs: compare(pairs, sigs).withColumn("agree", F.lit(0.85)))
+    assert {r.doc_id: r.class_id for r in near_dup.near_duplicates(df).collect()} == plain
+
+
 def test_components(spark):
     chain = [(i + 1, i) for i in range(0, 12)] + [(30, 20), (40, 20), (40, 35), (50, 50)]
     got = {r.node: r["class"] for r in near_dup.components(spark.createDataFrame(chain, "u long, v long")).collect()}
