@@ -5,9 +5,10 @@ handled; markup that is not closed is text).  Elements that cannot hold an artic
 page headers and footers, sidebars, forms, scripts, styles, adverts, notices, reader comments)
 are left out first.  Every remaining node gets the composite density of its characters per tag,
 adjusted by its share of link text and of link tags against the body's; the densities of a
-node's children are summed, and the node with the largest sum is the article.  If it lies in, or
-directly holds, an article or main element, that element is taken.  Inside it, blocks that are
-mostly links and thinner than the least density on the path from the body are dropped.
+node's children are summed, and the node with the largest sum is the heart of the article.  If it
+lies in, or directly holds, an article or main element, that element is taken.  Otherwise the article
+is the lowest element around it that holds every subtree as dense as the thinnest node on the path
+from the body.  Blocks inside it that are mostly links and thinner than that are dropped.
 
 Text is taken in page order: white space inside a block becomes one space, blocks are joined by
 one space, character references are decoded.  Null and empty pages, and pages without text, give
@@ -174,6 +175,11 @@ def _find(node: _Node, tags: tuple[str, ...]) -> list[_Node]:
     return found
 
 
+def _reaches(node: _Node, least: float) -> bool:
+    """Whether a subtree has a node of words at least as dense as ``least``."""
+    return not node.gone and node.chars > 0 and (node.density >= least or any(_reaches(k, least) for k in node.kids if not isinstance(k, str)))
+
+
 def _gather(node: _Node, least: float, in_header: bool, out: list[str]) -> None:
     for kid in node.kids:
         if isinstance(kid, str):
@@ -212,10 +218,16 @@ def main_text(page: str) -> str:
         within = _find(best, ("article",)) or _find(best, ("main",))
         around = within[0] if len(within) == 1 and 2 * within[0].chars > best.chars else None
     best = around or best
-    least, at = best.density, best
-    while at is not body and at.parent is not None:
-        at = at.parent
-        least = min(least, at.density)
+    path = [best]
+    while path[-1] is not body and path[-1].parent is not None:
+        path.append(path[-1].parent)
+    least = min(x.density for x in path)
+    if around is None:
+        for below, at in zip(path[:-1], path[1:], strict=True):
+            own = _Node("", at, False)  # the text directly in it
+            own.chars = sum(len("".join(k.split())) for k in at.kids if isinstance(k, str))
+            if own.chars and composite_density(own, body) >= least or any(not isinstance(k, str) and k is not below and _reaches(k, least) for k in at.kids):
+                best = at
     pieces: list[str] = []
     _gather(best, least, False, pieces)
     return " ".join(unescape("".join(pieces)).split())

@@ -141,6 +141,19 @@ def test_html():
     assert html_text.main_text("<div>" * 3000 + "deep") == "deep"
 
 
+def test_html_takes_all_parts_of_the_text():
+    p = [f"Paragraph {k}. {PROSE}" for k in range(30)]
+    want = " ".join(" ".join(p).split())
+    wrap = lambda tag, xs: f"<{tag}>" + "".join(f"<p>{x}</p>" for x in xs) + f"</{tag}>"
+    menu = "<ul>" + "".join(f"<li><a href=a{k}>Page {k}</a></li>" for k in range(10)) + "</ul>"
+    page = lambda inner: html_text.main_text(f"<html><body>{menu}<div id=content>{inner}</div></body></html>")
+    assert page("".join(wrap("div", p[k : k + 10]) for k in (0, 10, 20))) == want
+    assert page("".join(f"<p>{x}</p>" for x in p[:5]) + wrap("blockquote", p[5:25]) + "".join(f"<p>{x}</p>" for x in p[25:])) == want
+    assert page(p[0] + wrap("blockquote", p[1:29]) + p[29]) == want
+    assert page(f"<p>{p[0]}</p><ul>" + "".join(f"<li>{x}</li>" for x in p[1:29]) + f"</ul><p>{p[29]}</p>") == want
+    assert html_text.main_text(f"<html><body>{menu}<div>{wrap('div', p[:10])}<div>{wrap('section', p[10:20])}</div></div>{wrap('div', p[20:])}</body></html>") == want
+
+
 def test_html_query(spark):
     df = spark.createDataFrame([(1, "u", None, 5), (1, "u", "<p>x y</p>", 5), (2, None, "", 5)], "page_id long, url string, html string, text int")
     got = sorted((r.page_id, r.text, r.n_chars) for r in html_text.extract_text(df).collect())
