@@ -8,7 +8,8 @@ adjusted by its share of link text and of link tags against the body's; the dens
 node's children are summed, and the node with the largest sum is the heart of the article.  If it
 lies in, or directly holds, an article or main element, that element is taken.  Otherwise the article
 is the lowest element around it that holds every subtree as dense as the thinnest node on the path
-from the body.  Blocks inside it that are mostly links and thinner than that are dropped.
+from the body.  There, but never in an article or main element, blocks that are mostly links and
+thinner than that are dropped.
 
 Text is taken in page order: white space inside a block becomes one space, blocks are joined by
 one space, character references are decoded.  Null and empty pages, and pages without text, give
@@ -229,7 +230,7 @@ def main_text(page: str) -> str:
             if own.chars and composite_density(own, body) >= least or any(not isinstance(k, str) and k is not below and _reaches(k, least) for k in at.kids):
                 best = at
     pieces: list[str] = []
-    _gather(best, least, False, pieces)
+    _gather(best, least if around is None else 0.0, False, pieces)
     return " ".join(unescape("".join(pieces)).split())
 
 

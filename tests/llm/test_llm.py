@@ -154,6 +154,14 @@ def test_html_takes_all_parts_of_the_text():
     assert html_text.main_text(f"<html><body>{menu}<div>{wrap('div', p[:10])}<div>{wrap('section', p[10:20])}</div></div>{wrap('div', p[20:])}</body></html>") == want
 
 
+def test_html_keeps_link_lists_of_an_article():
+    links = "".join(f"<li><a href=r{k}>Reference {k}</a></li>" for k in range(6))
+    want = " ".join([*[PROSE.strip()] * 4, *(f"Reference {k}" for k in range(6))])
+    for tag in ("article", "main"):
+        page = f"<body><nav>{links}</nav><{tag}>" + f"<p>{PROSE}</p>" * 4 + f"<ol>{links}</ol><ul class=menu>{links}</ul></{tag}></body>"
+        assert html_text.main_text(page) == want
+
+
 def test_html_query(spark):
     df = spark.createDataFrame([(1, "u", None, 5), (1, "u", "<p>x y</p>", 5), (2, None, "", 5)], "page_id long, url string, html string, text int")
     got = sorted((r.page_id, r.text, r.n_chars) for r in html_text.extract_text(df).collect())
