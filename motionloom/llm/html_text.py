@@ -49,18 +49,17 @@ _ASIDE = frozenset(
 )
 _CONTENT = frozenset("article content main post story entry body text".split())
 _WEAK = frozenset("alert banner modal notice notices notification popup promo toolbar widget".split())
-MAX_DEPTH = 200
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "kids", "chars", "tags", "link_chars", "link_tags", "density", "gone")
+    __slots__ = ("tag", "parent", "kids", "chars", "tags", "link_chars", "link_tags", "density", "peak", "gone")
 
     def __init__(self, tag: str, parent: _Node | None, gone: bool):
         self.tag, self.parent, self.gone = tag, parent, gone
         self.kids: list[_Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
-        self.density = 0.0
+        self.density, self.peak = 0.0, -1.0  # its own, and the largest of its subtree
 
 
 def _aside(tag: str, attributes: str, inside: bool) -> bool:
@@ -84,7 +83,14 @@ def parse(page: str) -> _Node:
     """The DOM of a page, under a root node; left-out elements are marked."""
     root = _Node("", None, False)
     at, open_, low, n = root, [root], page.lower(), len(page)
-    place = skipped = 0
+    place = 0
+    count: dict[str, int] = {}  # open elements by tag
+
+    def close() -> _Node:
+        last = open_.pop()
+        count[last.tag] -= 1
+        return last
+
     while place < n:
         m = _TOKEN.match(page, place)
         place = m.end()
@@ -95,67 +101,69 @@ def parse(page: str) -> _Node:
             continue
         tag = tag.lower()
         if m[1] or m[4]:
-            if skipped:
-                skipped -= 1
-                continue
-            for k in range(len(open_) - 1, 0, -1):
-                if open_[k].tag == tag:
-                    del open_[k:]
-                    break
-            else:
-                if tag == "br":
-                    at.kids.append(_Node("br", at, False))
+            if count.get(tag):
+                while close().tag != tag:
+                    pass
+            elif tag == "br":
+                at.kids.append(_Node("br", at, False))
             at = open_[-1]
             continue
         attributes = m[3] or m[6] or ""
-        if tag in _CLOSES_P:
+        if tag in _CLOSES_P and count.get("p"):
             for k in range(len(open_) - 1, 0, -1):
                 if open_[k].tag == "p":
-                    del open_[k:]
+                    while len(open_) > k:
+                        close()
                     break
                 if open_[k].tag in _BLOCKS:
                     break
         if tag in _SAME:
             same, stop = _SAME[tag]
-            for k in range(len(open_) - 1, 0, -1):
+            for k in range(len(open_) - 1, 0, -1) if any(map(count.get, same.split())) else ():
                 if open_[k].tag in same.split():
-                    del open_[k:]
+                    while len(open_) > k:
+                        close()
                     break
                 if open_[k].tag in stop:
                     break
         at = open_[-1]
-        inside = any(x.tag in ("article", "main") for x in open_)
+        inside = bool(count.get("article") or count.get("main"))
         node = _Node(tag, at, at.gone or _aside(tag, attributes, inside))
         at.kids.append(node)
         if tag in _VOID or attributes.endswith("/") and tag not in _BLOCKS and tag not in _RAW:
             continue
         if tag in _RAW:
             end = low.find(f"</{tag}", place)
-            close = page.find(">", end) if end >= 0 else -1
-            place = close + 1 if close >= 0 else n
-            continue
-        if len(open_) > MAX_DEPTH:  # deeper elements count as part of their parent
-            skipped += 1
+            after = page.find(">", end) if end >= 0 else -1
+            place = after + 1 if after >= 0 else n
             continue
         open_.append(node)
+        count[tag] = count.get(tag, 0) + 1
         at = node
     return root
 
 
-def _measure(node: _Node, in_link: bool, order: list[_Node]) -> None:
-    for kid in node.kids:
-        if isinstance(kid, str):
-            size = len("".join(kid.split()))
-            node.chars += size
-            node.link_chars += size * in_link
-        elif not kid.gone:
-            link = in_link or kid.tag == "a"
-            _measure(kid, link, order)
-            node.chars += kid.chars
-            node.link_chars += kid.link_chars
-            node.tags += kid.tags + 1
-            node.link_tags += kid.link_tags + (kid.tag == "a")
-    order.append(node)
+def _measure(body: _Node) -> list[_Node]:
+    """Counts the characters, tags and links of every node; the nodes, children first."""
+    order, stack = [], [(body, False, False)]
+    while stack:
+        node, in_link, counted = stack.pop()
+        if not counted:
+            stack.append((node, in_link, True))
+            stack += [(k, in_link or k.tag == "a", False) for k in reversed(node.kids) if not isinstance(k, str) and not k.gone]
+            continue
+        for kid in node.kids:
+            if isinstance(kid, str):
+                size = len("".join(kid.split()))
+                node.chars += size
+                node.link_chars += size * in_link
+            elif not kid.gone:
+                node.chars += kid.chars
+                node.link_chars += kid.link_chars
+                node.tags += kid.tags + 1
+                node.link_tags += kid.link_tags + (kid.tag == "a")
+        order.append(node)
+    return order
 
 
 def composite_density(node: _Node, body: _Node) -> float:
@@ -169,20 +177,20 @@ def composite_density(node: _Node, body: _Node) -> float:
 
 
 def _find(node: _Node, tags: tuple[str, ...]) -> list[_Node]:
-    found = []
-    for kid in node.kids:
-        if not isinstance(kid, str) and not kid.gone:
-            found += [kid] if kid.tag in tags else _find(kid, tags)
+    found, stack = [], [node]
+    while stack:
+        at = stack.pop()
+        if at is not node and at.tag in tags:
+            found.append(at)
+        else:
+            stack += [k for k in reversed(at.kids) if not isinstance(k, str) and not k.gone]
     return found
 
 
-def _reaches(node: _Node, least: float) -> bool:
-    """Whether a subtree has a node of words at least as dense as ``least``."""
-    return not node.gone and node.chars > 0 and (node.density >= least or any(_reaches(k, least) for k in node.kids if not isinstance(k, str)))
-
-
-def _gather(node: _Node, least: float, in_header: bool, out: list[str]) -> None:
-    for kid in node.kids:
+def _gather(node: _Node, least: float, out: list[str]) -> None:
+    stack: list[tuple[_Node | str, bool]] = [(k, False) for k in reversed(node.kids)]
+    while stack:
+        kid, in_header = stack.pop()
         if isinstance(kid, str):
             if not in_header:
                 out.append(kid)
@@ -191,24 +199,23 @@ def _gather(node: _Node, least: float, in_header: bool, out: list[str]) -> None:
             out.append(" ")
         if kid.gone or kid.tag in _BLOCKS and kid.link_chars > 0.6 * kid.chars and kid.link_tags > 1 and kid.density < least:
             continue
-        block = kid.tag in _BLOCKS
-        if block:
-            out.append(" ")
-        _gather(kid, least, (in_header or kid.tag == "header") and kid.tag not in _HEADINGS, out)
-        if block:
+        if kid.tag in _BLOCKS:
             out.append(" ")
+            stack.append((" ", False))
+        in_header = (in_header or kid.tag == "header") and kid.tag not in _HEADINGS
+        stack += [(k, in_header) for k in reversed(kid.kids)]
 
 
 def main_text(page: str) -> str:
     """The article text of one page."""
     root = parse(page)
     body = next(iter(_find(root, ("body",))), root)
-    order: list[_Node] = []
-    _measure(body, False, order)
+    order = _measure(body)
     if not body.chars:
         return ""
     for node in order:
         node.density = composite_density(node, body)
+        node.peak = max([node.density, *(k.peak for k in node.kids if not isinstance(k, str) and not k.gone)]) if node.chars else -1.0
     best = max(order, key=lambda x: (sum(k.density for k in x.kids if not isinstance(k, str) and not k.gone), x.chars))
     if not any(not isinstance(k, str) and not k.gone and k.chars for k in best.kids):
         best = body
@@ -227,10 +234,10 @@ def main_text(page: str) -> str:
         for below, at in zip(path[:-1], path[1:], strict=True):
             own = _Node("", at, False)  # the text directly in it
             own.chars = sum(len("".join(k.split())) for k in at.kids if isinstance(k, str))
-            if own.chars and composite_density(own, body) >= least or any(not isinstance(k, str) and k is not below and _reaches(k, least) for k in at.kids):
+            if own.chars and composite_density(own, body) >= least or any(not isinstance(k, str) and k is not below and not k.gone and k.peak >= least for k in at.kids):
                 best = at
     pieces: list[str] = []
-    _gather(best, least if around is None else 0.0, False, pieces)
+    _gather(best, least if around is None else 0.0, pieces)
     return " ".join(unescape("".join(pieces)).split())
 
 

@@ -162,6 +162,14 @@ def test_html_keeps_link_lists_of_an_article():
         assert html_text.main_text(page) == want
 
 
+def test_html_of_any_depth():
+    soup = "".join(f"<p>{PROSE}<font>" for _ in range(5)) + "<font>" * 400
+    page = f"<body><article>{soup}<p>{PROSE}</p><div class=comments>I like it</div><form>Mail</form></article><footer>Me</footer></body>"
+    assert html_text.main_text(page) == " ".join([PROSE.strip()] * 6)
+    deep = "<div><b>" * 20_000
+    assert html_text.main_text(f"<body>{deep}<p>{PROSE}</p><nav>Home</nav><p>{PROSE}</p></body>") == " ".join([PROSE.strip()] * 2)
+
+
 def test_html_query(spark):
     df = spark.createDataFrame([(1, "u", None, 5), (1, "u", "<p>x y</p>", 5), (2, None, "", 5)], "page_id long, url string, html string, text int")
     got = sorted((r.page_id, r.text, r.n_chars) for r in html_text.extract_text(df).collect())
