@@ -76,17 +76,21 @@ def rank_avg(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def _exact_p(u: float, n1: int, n2: int) -> float:
-    """Exact two-sided p of a rank sum without ties, by counting arrangements."""
-    ways = np.zeros((n1 + 1, n1 * n2 + 1))
-    ways[0, 0] = 1
-    for k in range(1, n1 + n2 + 1):
-        for i in range(min(k, n1), 0, -1):
-            shift = k - i
-            if shift <= n1 * n2:
-                ways[i, shift:] += ways[i - 1, : n1 * n2 + 1 - shift]
-    counts = ways[n1]
-    u = max(u, n1 * n2 - u)
-    return float(min(1.0, 2 * counts[int(math.ceil(u)) :].sum() / counts.sum()))
+    """Exact two-sided p of a rank sum without ties, by counting arrangements in whole numbers.
+
+    The arrangements of each u are the coefficients of the Gaussian binomial, built up over the
+    smaller group; only those of the lower tail are needed.
+    """
+    m, n = sorted((n1, n2))
+    every = math.comb(n + m, m)
+    ways = np.zeros(int(min(u, n1 * n2 - u)) + 1, np.int64 if every < 1 << 62 else object)
+    ways[0] = 1
+    for i in range(1, m + 1):  # times 1 - q^(n+i), divided by 1 - q^i
+        if len(ways) > n + i:
+            ways[n + i :] = ways[n + i :] - ways[: -n - i]
+        for r in range(min(i, len(ways))):
+            ways[r::i] = np.cumsum(ways[r::i])
+    return min(1.0, 2 * int(ways.sum()) / every)
 
 
 def mann_whitney(df: DataFrame, keys: list[str], value: str, in_ref: str, small: int = 8) -> DataFrame:
@@ -105,7 +109,7 @@ def mann_whitney(df: DataFrame, keys: list[str], value: str, in_ref: str, small:
     def exact(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for i, row in pdf.iterrows():
-                if row.t3 == 0 and 0 < row.n1 and 0 < row.n2 and min(row.n1, row.n2) <= small and row.n1 * row.n2 <= 10_000:
+                if row.t3 == 0 and 0 < row.n1 and 0 < row.n2 and min(row.n1, row.n2) <= small:
                     pdf.loc[i, "p"] = _exact_p(row.u1, int(row.n1), int(row.n2))
             yield pdf
 

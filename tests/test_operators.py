@@ -2,6 +2,7 @@
 
 import datetime
 import itertools
+import math
 import time
 
 import numpy as np
@@ -125,6 +126,13 @@ def test_rank_test_exact_tail(spark):
     assert got.p == pytest.approx(min(1, 2 * sum(x >= m for x in every) / len(every)))
 
 
+def test_rank_test_is_exact_for_skewed_groups(spark):
+    rows = [(1, float(v), v == 10_001) for v in range(10_002)] + [(2, float(v), v >= 8) for v in range(1308)]
+    got = {r.k: r.p for r in H.mann_whitney(spark.createDataFrame(rows, "k int, v double, ref boolean"), ["k"], "v", "ref").collect()}
+    assert got[1] == pytest.approx(2 / 10_002, rel=1e-9)
+    assert got[2] == pytest.approx(2 / math.comb(1308, 8), rel=1e-9)
+
+
 def test_erfc_and_correlation(spark):
     import math
 
