@@ -108,17 +108,22 @@ def vmpar(a: Column, w: Column | None = None) -> Column:
     return F.struct(mean(a, w).alias("mean"), kappa(a, w).alias("kappa"))
 
 
-def bessel_i0(x: Column, terms: int = 40) -> Column:
-    """I0 by its power series (enough terms for x up to about 30)."""
-    half = F.pow(x / 2, 2)
-    step = lambda s, k: F.struct((s["t"] * half / (k * k)).alias("t"), (s["sum"] + s["t"] * half / (k * k)).alias("sum"))
-    return F.aggregate(F.sequence(F.lit(1), F.lit(terms)), F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("sum")), step, lambda s: s["sum"])
+def log_bessel_i0(x: Column) -> Column:
+    """ln I0 at any x >= 0: by its power series up to 30, beyond by its asymptotic series.
+
+    The logarithm stays finite where I0 itself leaves the range of doubles.
+    """
+    step = lambda s, t: F.struct(t.alias("t"), (s["sum"] + t).alias("sum"))
+    total = lambda n, ratio: F.aggregate(F.sequence(F.lit(1), F.lit(n)), F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("sum")), lambda s, k: step(s, s["t"] * ratio(k)), lambda s: s["sum"])
+    low = F.ln(total(100, lambda k: F.pow(x / 2, 2) / (k * k)))
+    high = x - 0.5 * F.ln(2 * F.pi() * x) + F.ln(total(20, lambda k: F.pow(2 * k - 1, F.lit(2)) / (8 * x * k)))
+    return F.when(x <= 30, low).otherwise(high)
 
 
 def vmlogpdf(a: Column, mu: Column | float = 0.0, k: Column | float = 1.0) -> Column:
     k = F.lit(k) if isinstance(k, float) else k
     mu = F.lit(mu) if isinstance(mu, float) else mu
-    return -F.ln(2 * F.pi() * bessel_i0(k)) + k * F.cos(a - mu)
+    return -(F.ln(2 * F.pi()) + log_bessel_i0(k)) + k * F.cos(a - mu)
 
 
 def vmpdf(a: Column, mu: Column | float = 0.0, k: Column | float = 1.0) -> Column:

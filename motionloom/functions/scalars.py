@@ -8,6 +8,15 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
+#: All characters that count as white space around a text.
+WHITE = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
+def strip(c: Column) -> Column:
+    """The text without white space of any kind at both ends."""
+    return F.trim(c, F.lit(WHITE))
+
+
 def nan_to_null(c: Column) -> Column:
     return F.when(~F.isnan(c), c)
 
@@ -17,13 +26,17 @@ def round_half_even(c: Column, places: int = 0) -> Column:
 
 
 def erfc(x: Column) -> Column:
-    """Complementary error function of x >= 0 by a rational approximation (error below 1.2e-7)."""
-    t = 1 / (1 + 0.5 * x)
-    #: Chebyshev coefficients of the approximation, highest power first.
-    poly = F.lit(0.17087277)
-    for k in (-0.82215223, 1.48851587, -1.13520398, 0.27886807, -0.18628806, 0.09678418, 0.37409196, 1.00002368, -1.26551223):
-        poly = poly * t + k
-    return t * F.exp(-x * x + poly)
+    """Complementary error function of x >= 0, to about 13 digits at any size.
+
+    Below 2 by the series of exp(x^2) erf(x), whose terms are all positive; from 2 on by its
+    continued fraction, so that the tail keeps its digits.
+    """
+    term = lambda s, n: s["t"] * 2 * x * x / (2 * n + 1)
+    step = lambda s, n: F.struct(term(s, n).alias("t"), (s["sum"] + term(s, n)).alias("sum"))
+    series = F.aggregate(F.sequence(F.lit(1), F.lit(60)), F.struct(x.cast("double").alias("t"), x.cast("double").alias("sum")), step, lambda s: s["sum"])
+    scale = F.exp(-x * x) / F.sqrt(F.pi())
+    fraction = F.aggregate(F.sequence(F.lit(120), F.lit(1), F.lit(-1)), F.lit(0.0), lambda t, k: k / 2 / (x + t))
+    return F.when(x < 2, 1 - 2 * scale * series).otherwise(scale / (x + fraction))
 
 
 def p_two_sided(z: Column) -> Column:
@@ -36,6 +49,12 @@ def gauss_loglik(x: Column, mu: Column, var: Column) -> Column:
     return -(0.5 * F.ln(2 * F.pi() * var) + F.pow(x - mu, 2) / (2 * var))
 
 
+def risk_name(raw: Column) -> Column:
+    """0, 1, 2 as low, moderate, high; any other text stripped and lower-cased."""
+    clean = F.lower(strip(raw))
+    return F.when(clean == "0", "low").when(clean == "1", "moderate").when(clean == "2", "high").otherwise(clean)
+
+
 def age_weeks(months: Column, days: Column, per_month: float = 4.345) -> Column:
     return months * per_month + days / 7
 
@@ -94,7 +113,7 @@ def prompt_hash8_of(text: str) -> str:
 
 def is_degenerate(c: Column, least: int = 40) -> Column:
     """At least ``least`` characters after trimming, all the same."""
-    t = F.trim(c)
+    t = strip(c)
     return F.coalesce((F.length(t) >= least) & (F.length(F.replace(t, F.substring(t, 1, 1), F.lit(""))) == 0), F.lit(False))
 
 
@@ -127,36 +146,54 @@ def _kind(v: Column, path: str) -> tuple[Column, Column]:
     return F.schema_of_variant(F.try_variant_get(v, path, "variant")), F.try_variant_get(v, path, "string")
 
 
+def loose_text(v: Column, path: str) -> Column:
+    """Any value as stripped text: null is None, booleans True and False; a missing key is null.
+
+    Lists and objects are their JSON text.
+    """
+    kind, text = _kind(v, path)
+    return strip(F.when(kind == "VOID", "None").when(kind == "BOOLEAN", F.initcap(text)).otherwise(text))
+
+
 def coerce_bool(v: Column, path: str) -> Column:
     """Booleans as they are; strings true/yes/1; otherwise whether the value counts as something."""
     kind, text = _kind(v, path)
-    some = F.when(kind.isNull() | (kind == "VOID"), False).when(kind == "BOOLEAN", text == "true").when(kind == "STRING", F.lower(F.trim(text)).isin("true", "yes", "1"))
+    some = F.when(kind.isNull() | (kind == "VOID"), False).when(kind == "BOOLEAN", text == "true").when(kind == "STRING", F.lower(strip(text)).isin("true", "yes", "1"))
     return some.when(kind.startswith("ARRAY") | kind.startswith("OBJECT"), ~text.isin("[]", "{}")).otherwise(F.coalesce(text.try_cast("double") != 0, F.lit(False)))
 
 
 def coerce_int(v: Column, path: str) -> Column:
-    """max(0, whole part); strings only if they are whole numbers; anything else 0."""
+    """max(0, whole part) as a long; strings only if they are whole numbers; anything else 0.
+
+    Numbers beyond a long are the largest long.
+    """
     kind, text = _kind(v, path)
-    number = F.when(kind == "STRING", F.trim(text).try_cast("int")).when(kind == "BOOLEAN", (text == "true").cast("int")).otherwise(F.try_variant_get(v, path, "double").cast("int"))
-    return F.greatest(F.lit(0), F.coalesce(number, F.lit(0)))
+    whole = F.when(strip(text).rlike("^[+-]?[0-9]+(_[0-9]+)*$"), F.replace(strip(text), F.lit("_"), F.lit("")))
+    number = F.try_variant_get(v, path, "double")
+    long = lambda exact, near: F.when(near >= 2.0**63, F.lit((1 << 63) - 1)).otherwise(F.coalesce(exact, near.try_cast("long")))
+    value = F.when(kind == "STRING", long(whole.try_cast("long"), whole.try_cast("double"))).when(kind == "BOOLEAN", (text == "true").cast("long")).otherwise(long(F.when(text.rlike("^-?[0-9]+$"), text.try_cast("long")), number))
+    return F.greatest(F.lit(0).cast("long"), F.coalesce(value, F.lit(0).cast("long")))
 
 
 def closed_scalar(v: Column, path: str, words: list[str]) -> Column:
-    kind, text = _kind(v, path)
-    low = F.lower(F.trim(text))
-    return F.when((kind == "STRING") & low.isin(words), low)
+    """The lower-cased text if it is one of the vocabulary (a null reads as none), else null."""
+    low = F.lower(loose_text(v, path))
+    return F.when(low.isin(words), low)
+
+
+def _items(v: Column, path: str) -> Column:
+    items = F.coalesce(F.try_variant_get(v, path, "array<variant>"), F.array().cast("array<variant>"))
+    return F.transform(items, lambda x: F.coalesce(loose_text(x, "$"), F.lit("None")))  # a null inside a list is no variant
 
 
 def closed_array(v: Column, path: str, words: list[str]) -> Column:
     """Lower-cased members of the vocabulary, order and repeats kept; [] for anything but a list."""
-    items = F.try_variant_get(v, path, "array<variant>")
-    low = F.transform(F.coalesce(items, F.array().cast("array<variant>")), lambda x: F.lower(F.trim(F.try_variant_get(x, "$", "string"))))
-    return F.filter(low, lambda x: x.isin(words))
+    return F.filter(F.transform(_items(v, path), F.lower), lambda x: x.isin(words))
 
 
 def objects_top(v: Column, path: str, n: int = 5) -> Column:
-    items = F.coalesce(F.try_variant_get(v, path, "array<string>"), F.array().cast("array<string>"))
-    return F.slice(F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: x != ""), 1, n)
+    """The first ``n`` items of a list as stripped texts, empty ones left out."""
+    return F.slice(F.filter(_items(v, path), lambda x: x != ""), 1, n)
 
 
 def key_present(v: Column, path: str) -> Column:

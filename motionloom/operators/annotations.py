@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalars as Z
+from .sequences import islands
 
 #: Closed vocabularies of annotation fields.
 VISIBILITY = ["full_body", "partial_body", "not_visible"]
@@ -41,12 +42,12 @@ def parse_annotation(df: DataFrame, raw: str, audio: bool = False) -> DataFrame:
     fields |= {c: Z.coerce_int(v, f"$.{c}") for c in ("num_infants", "num_children", "num_adults", "num_humans_total")}
     fields |= {c: Z.closed_scalar(v, f"$.{c}", words) for c, words in ({"infant_visibility": VISIBILITY, "infant_posture": POSTURES} | SCENE).items()}
     fields |= {c: Z.closed_array(v, f"$.{c}", words) for c, words in {"visible_infant_parts": PARTS, "infant_actions": ACTIONS, "child_actions": CHILD_ACTIONS}.items()}
-    fields |= {"objects": Z.objects_top(v, "$.objects"), "description": F.trim(F.coalesce(F.try_variant_get(v, "$.description", "string"), F.lit("")))}
+    fields |= {"objects": Z.objects_top(v, "$.objects"), "description": F.coalesce(Z.loose_text(v, "$.description"), F.lit(""))}
     flags = {"inconsistent": flag_inconsistent()}
     if audio:
         fields |= {"audio_events": Z.closed_array(v, "$.audio_events", AUDIO_EVENTS), "audio_source": Z.closed_scalar(v, "$.audio_source", AUDIO_SOURCES)}
         fields |= {c: Z.coerce_bool(v, f"$.{c}") for c in ("infant_vocalising", "speech_present")}
-        fields |= {"audio_description": F.trim(F.coalesce(F.try_variant_get(v, "$.audio_description", "string"), F.lit("")))}
+        fields |= {"audio_description": F.coalesce(Z.loose_text(v, "$.audio_description"), F.lit(""))}
         flags |= {"audio_inconsistent": flag_audio_inconsistent()}
     ok = lambda c: F.when(F.col("parse_ok"), c)
     df = df.withColumns({k: ok(c) for k, c in fields.items()})
@@ -103,6 +104,75 @@ def mode_vote(df: DataFrame, keys: list[str], value: str, order: str) -> DataFra
     return counts.withColumn("rn", F.row_number().over(w)).where("rn = 1").drop("rn", "seen")
 
 
+def filter_only(df: DataFrame, column: str, values: list) -> DataFrame:
+    """Rows whose column is one of the named values; all rows if none are named."""
+    return df.where(F.col(column).isin(values)) if values else df
+
+
 def resume(work: DataFrame, done: DataFrame, keys: list[str]) -> DataFrame:
     """Work whose key has not been done yet."""
     return work.join(done.select(*keys).distinct(), keys, "left_anti")
+
+
+RECORD_KEYS = ["model", "segmentation", "video_id", "segment_index"]
+
+
+def parsed_records(records: DataFrame, order: list[str]) -> DataFrame:
+    """The latest parsed record of each model and segment, and ``seen``: where its key first stood.
+
+    Records without a model are of model ?, those without a segmentation are fixed.  ``order`` are the
+    columns that say where a record stands in its files.
+    """
+    named = records.where("parse_ok").withColumns({"model": F.coalesce(F.nullif(F.col("model"), F.lit("")), F.lit("?")), "segmentation": F.coalesce(F.nullif(F.col("segmentation"), F.lit("")), F.lit("fixed"))})
+    place, rest = F.struct(*order), [c for c in named.columns if c not in RECORD_KEYS]
+    best = named.groupBy(*RECORD_KEYS).agg(F.max_by(F.struct(*rest), place).alias("r"), F.min(place).alias("seen"))
+    return best.select(*RECORD_KEYS, "r.*", "seen")
+
+
+def cohort_manifest(records: DataFrame, order: list[str], predicate: Column, min_models: int = 1) -> DataFrame:
+    """One row for each segment that enough models' records match, with who saw and who matched it.
+
+    The fields are those of the matching model whose key was seen first, as its latest record has them.
+    """
+    best = parsed_records(records, order).withColumn("hit", F.coalesce(predicate, F.lit(False)))
+    rest = [c for c in best.columns if c not in (*RECORD_KEYS, *order, "parse_ok", "seen", "hit")]
+    names = lambda c: F.array_join(F.array_sort(F.collect_list(c)), ";")  # noqa: E731 - one name a model
+    matched = F.when(F.col("hit"), F.col("model"))
+    per = best.groupBy("segmentation", "video_id", "segment_index").agg(
+        F.count(matched).alias("n_models_match"),
+        F.count("*").alias("n_models_seen"),
+        names(matched).alias("models_match"),
+        names(F.col("model")).alias("models_seen"),
+        F.min_by(F.struct(*rest), F.when(F.col("hit"), F.col("seen"))).alias("r"),
+    )
+    return per.where(F.col("n_models_match") >= F.greatest(F.lit(1), F.lit(min_models))).select("segmentation", "video_id", "segment_index", "n_models_match", "n_models_seen", "models_match", "models_seen", "r.*")
+
+
+def timeline(chunks: DataFrame, keys: list[str], text: str, out: str) -> DataFrame:
+    """[start-end] text, a line for each run of equal texts of a recording, in time order.
+
+    Empty texts are left out before runs are made; a line ends where its run's last chunk ends.
+    """
+    w = Window.partitionBy(*keys).orderBy("start_sec", "segment_index")
+    said = chunks.withColumn("__loom_t", Z.strip(F.col(text))).where("__loom_t <> ''").withColumn("__loom_old", F.lag("__loom_t").over(w))
+    runs = islands(said, keys, ["start_sec", "segment_index"], ~F.col("__loom_t").eqNullSafe(F.col("__loom_old")), "__loom_run")
+    at = F.struct("start_sec", "segment_index")
+    lines = runs.groupBy(*keys, "__loom_run", "__loom_t").agg(F.min("start_sec").alias("a"), F.max_by("end_sec", at).alias("b"))
+    line = F.concat(F.lit("["), Z.hhmmss(F.col("a")), F.lit("-"), Z.hhmmss(F.col("b")), F.lit("] "), F.col("__loom_t"))
+    listed = lines.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("__loom_run", line.alias("line")))).alias("lines"))
+    return listed.select(*keys, F.array_join("lines.line", "\n").alias(out))
+
+
+def video_summary(records: DataFrame, order: list[str]) -> DataFrame:
+    """One row for each model, segmentation and recording: chunks, span, covered time and both timelines.
+
+    Works on the latest parsed records; a recording without any text is left out, and one without
+    sound texts has a null for their timeline.  A timeline is as long as one recording's notes.
+    """
+    keys = ["model", "segmentation", "video_id"]
+    zero = lambda c: F.coalesce(F.col(c).cast("double"), F.lit(0.0))
+    chunks = parsed_records(records, order).withColumns({"start_sec": zero("start_sec"), "end_sec": zero("end_sec")})
+    totals = chunks.groupBy(*keys).agg(F.count("*").alias("n_chunks"), F.round(F.max("end_sec") - F.min("start_sec"), 2).alias("span_sec"), F.round(F.sum(F.col("end_sec") - F.col("start_sec")), 2).alias("covered_sec"))
+    seen, heard = timeline(chunks, keys, "description", "timeline"), timeline(chunks, keys, "audio_description", "audio_timeline")
+    both = totals.join(seen, keys, "left").join(heard, keys, "left").where("timeline IS NOT NULL OR audio_timeline IS NOT NULL")
+    return both.withColumn("timeline", F.coalesce("timeline", F.lit("")))

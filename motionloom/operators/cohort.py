@@ -14,6 +14,22 @@ from pyspark.sql.window import Window
 from ..functions import scalars as Z
 
 
+#: The scored features, part first: those of points, then those of joints.
+SCORED_FEATURES = [f"{part}_{stat}" for stat in "medianx mediany IQRx IQRy medianvelx medianvely IQRvelx IQRvely IQRaccx IQRaccy meanent lrCorr_x".split() for part in ("Ankle", "Wrist")] + [
+    f"{part}_{stat}" for stat in "mean_angle stdev_angle median_vel_angle IQR_vel_angle IQR_acc_angle entropy_angle lrCorr_angle".split() for part in ("Knee", "Elbow")
+]
+
+
+def whitelist(df: DataFrame, ids: list[str], features: list[str] = SCORED_FEATURES, expected: int = 38) -> DataFrame:
+    """Only the scored features beside the ids; an error if the list or the table is not complete."""
+    if len(set(features)) != expected:
+        raise ValueError(f"{len(set(features))} features are listed, {expected} are scored")
+    missing = [f for f in features if f not in df.columns]
+    if missing:
+        raise ValueError(f"{len(missing)} of {expected} scored features are missing, such as {', '.join(missing[:5])}")
+    return df.select(*ids, *features)
+
+
 def melt(df: DataFrame, ids: list[str], features: list[str]) -> DataFrame:
     """Wide features to rows (ids, stat, side, part, value)."""
     long = df.unpivot(ids, features, "feature", "value")
@@ -25,6 +41,14 @@ def lr_mean(long: DataFrame, ids: list[str]) -> DataFrame:
     return long.groupBy(*ids, "part", "stat").agg(F.avg("value").alias("value"), F.count("value").alias("n_sides"))
 
 
+def joint_table(df: DataFrame, ids: list[str], features: list[str]) -> DataFrame:
+    """Wide sided features to wide <part>_<stat>, the mean of the sides there are."""
+    name = lambda f: f.rpartition("_")
+    names = list(dict.fromkeys(f"{last if stat.startswith('lrCorr') else last[1:]}_{stat}" for stat, _, last in map(name, features)))
+    means = lr_mean(melt(df, ids, features), ids).withColumn("feature", F.concat("part", F.lit("_"), "stat"))
+    return means.groupBy(*ids).pivot("feature", names).agg(F.first("value"))
+
+
 def collapse_windows(df: DataFrame, name: str, values: list[str]) -> DataFrame:
     """Rows named id_start-ends to the unweighted mean of each id; all names must parse, or none."""
     df = df.withColumn("w", Z.window_name(F.col(name)))
@@ -116,6 +140,24 @@ def mann_whitney(df: DataFrame, keys: list[str], value: str, in_ref: str, small:
     return per.mapInPandas(exact, per.schema)
 
 
+def group_tests(scored: DataFrame, group: str, scores: dict[str, str], reference: int = 0) -> DataFrame:
+    """Each group, and all others together (null), against the reference: n, mean z and rank-test p.
+
+    ``scores`` maps each score to its z column; every score gives a row of its own.  The reference is
+    repeated once for each group it is held against, so rows grow with the number of groups only.
+    """
+    others = scored.where(F.col(group) != reference).select(group).distinct().agg(F.collect_set(group).alias("__loom_g"))  # a few groups
+    own = scored.where(F.col(group).isNotNull())
+    in_ref = F.col(group) == reference
+    dealt = own.join(F.broadcast(others), F.lit(True))
+    dealt = dealt.withColumn("against", F.explode(F.when(in_ref, F.concat("__loom_g", F.array(F.lit(None).cast(dict(own.dtypes)[group])))).otherwise(F.array(F.col(group), F.lit(None)))))
+    long = dealt.select("against", in_ref.alias("in_ref"), F.explode(F.array(*[F.struct(F.lit(s).alias("score"), F.col(s).cast("double").alias("value"), F.col(z).cast("double").alias("z")) for s, z in scores.items()])).alias("s")).select("against", "in_ref", "s.*")
+    means = long.where("NOT in_ref").groupBy("against", "score").agg(F.count("*").alias("n"), F.avg("z").alias("mean_z"))
+    tests = mann_whitney(long.withColumn("against", F.coalesce(F.col("against").cast("string"), F.lit(""))), ["against", "score"], "value", "in_ref").select("against", "score", "p")
+    keyed = means.withColumn("k", F.coalesce(F.col("against").cast("string"), F.lit(""))).drop("against")
+    return keyed.join(tests.withColumnRenamed("against", "k"), ["k", "score"]).select(F.nullif("k", F.lit("")).alias("against"), "score", "n", "mean_z", "p")
+
+
 def svd_variance(df: DataFrame, columns: list[str]) -> DataFrame:
     """Share of variance of each singular value of the z-scored columns.
 

@@ -58,9 +58,12 @@ def group_speed(df: DataFrame, groups: dict[str, list[int]]) -> DataFrame:
 
 
 def tracked_quality(df: DataFrame, tracked: Column) -> DataFrame:
-    """Frames, tracked frames and share, mean positive score, longest gap (counted from both ends)."""
+    """Frames, tracked frames and share, mean positive score, longest gap (counted from both ends).
+
+    ``tracked`` is an aggregate over a frame's points.
+    """
     w = Window.partitionBy("video").orderBy("frame")
-    own = df.groupBy("video", "frame").agg(F.bool_or(tracked).alias("ok"), F.avg(F.when(F.col("score") > 0, F.col("score"))).alias("score"))
+    own = df.groupBy("video", "frame").agg(tracked.alias("ok"), F.avg(F.when(F.col("score") > 0, F.col("score"))).alias("score"))
     totals = own.groupBy("video").agg(F.count("*").alias("n_frames"), F.count_if("ok").alias("n_tracked"), F.avg("score").alias("mean_score"), F.max("frame").alias("last"))
     gaps = own.where("ok").withColumn("gap", F.col("frame") - F.coalesce(F.lag("frame").over(w), F.lit(-1)) - 1).groupBy("video").agg(F.max("gap").alias("gap"), F.max("frame").alias("end"))
     j = totals.join(gaps, "video", "left")
@@ -137,6 +140,13 @@ def dominant_frequency(df: DataFrame, keys: list[str], order: str, column: str,
     return df.select(*keys, order, column, fps).groupBy(*keys).applyInPandas(one, ", ".join(f"{k} {kinds[k]}" for k in keys) + ", freq double, share double")
 
 
+def track_candidates(points: DataFrame, threshold: float = 0.3) -> DataFrame:
+    """What the centroid tracker needs of each person: centre of the good points, extent of all, scores."""
+    good = F.col("score") >= threshold
+    extent = F.hypot(F.max("x") - F.min("x"), F.max("y") - F.min("y"))
+    return points.groupBy("video", "frame", "person").agg(F.avg(F.when(good, F.col("x"))).alias("cx"), F.avg(F.when(good, F.col("y"))).alias("cy"), extent.alias("span"), F.avg("score").alias("mean_score"), F.count_if(good).alias("n_good"))
+
+
 def greedy_centroid_track(df: DataFrame, threshold: float = 0.3, max_jump: float = 0.5) -> DataFrame:
     """Follow one person: best mean score first, then the nearest centre that is not too far.
 
@@ -152,9 +162,9 @@ def greedy_centroid_track(df: DataFrame, threshold: float = 0.3, max_jump: float
             else:
                 far = np.hypot(group.cx - last[0], group.cy - last[1])
                 pick = group.loc[far.idxmin()]
-                if far.min() > max_jump * last[2]:
+                if last[2] and far.min() > max_jump * last[2]:
                     continue
-            last = pick.cx, pick.cy, pick.span
+            last = pick.cx, pick.cy, pick.span or (last[2] if last else None)
             out.append((pick.video, frame, pick.person))
         return pd.DataFrame(out, columns=["video", "frame", "person"])
 

@@ -47,12 +47,13 @@ def cut_confidence(scenes: DataFrame, scores: DataFrame, keys: list[str], order:
 
 
 def merge_runts(df: DataFrame, keys: list[str], min_len: float) -> DataFrame:
-    """Scenes shorter than ``min_len`` join the one before; a short first one joins the one after."""
-    w = Window.partitionBy(*keys).orderBy("start_sec")
+    """Scenes shorter than ``min_len`` join the one before; a first one that is still short then joins the next."""
     short = F.col("end_sec") - F.col("start_sec") < min_len
     groups = islands(df, keys, ["start_sec"], ~short, "grp")
-    first = F.first(short).over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    groups = groups.withColumn("grp", F.when(first & (F.col("grp") == 2), 1).otherwise(F.col("grp")))
+    # The second group begins with a long scene, so the first one is folded forwards once at most.
+    every = Window.partitionBy(*keys)
+    first = F.max(F.when(F.col("grp") == 1, F.col("end_sec"))).over(every) - F.min("start_sec").over(every)
+    groups = groups.withColumn("grp", F.when((first < min_len) & (F.col("grp") == 2), 1).otherwise(F.col("grp")))
     return groups.groupBy(*keys, "grp").agg(F.min("start_sec").alias("start_sec"), F.max("end_sec").alias("end_sec"), F.max_by("cut_confidence", "start_sec").alias("cut_confidence"), (F.count("*") - 1).alias("merged_runts"))
 
 
@@ -66,15 +67,23 @@ def merge_weak_cuts(df: DataFrame, keys: list[str], least: float) -> DataFrame:
 
 
 def subdivide_equal(df: DataFrame, max_len: float) -> DataFrame:
-    """Scenes longer than ``max_len`` in equal parts; only the last keeps the cut's confidence."""
+    """Scenes longer than ``max_len`` (by more than 1e-6) in equal parts; only the last keeps the cut's confidence."""
     dur = F.col("end_sec") - F.col("start_sec")
-    df = df.withColumn("parts", F.greatest(F.ceil(dur / max_len), F.lit(1)).cast("int")).withColumn("step", dur / F.col("parts"))
+    df = df.withColumn("parts", F.when(dur <= max_len + 1e-6, 1).otherwise(F.ceil(dur / max_len)).cast("int")).withColumn("step", dur / F.col("parts"))
     df = df.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
     last = F.col("part") == F.col("parts") - 1
     start = F.col("start_sec")
     return df.withColumns({"end_sec": F.when(last, F.col("end_sec")).otherwise(start + (F.col("part") + 1) * F.col("step")), "start_sec": start + F.col("part") * F.col("step"), "cut_confidence": F.when(last, F.col("cut_confidence")), "subdivided": F.col("parts") > 1}).drop("step")
 
 
+def scene_chunks(df: DataFrame, length: float, whole: float) -> DataFrame:
+    """Scenes longer than ``whole`` in parts of ``length``, the last one shorter; only it keeps the cut's confidence."""
+    dur = F.col("end_sec") - F.col("start_sec")
+    df = df.withColumn("parts", F.when(dur <= whole, 1).otherwise(F.ceil(dur / length)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    last, start = F.col("part") == F.col("parts") - 1, F.col("start_sec")
+    return df.withColumns({"end_sec": F.when(last, F.col("end_sec")).otherwise(start + (F.col("part") + 1) * length), "start_sec": start + F.col("part") * length, "cut_confidence": F.when(last, F.col("cut_confidence"))})
+
+
 def frames_to_seconds(a: Column, b: Column, num: Column, den: Column, duration: Column) -> tuple[Column, Column]:
     """Seconds of frames a..b at num/den frames a second, not past the duration."""
     return F.least(a * den / num, duration), F.least((b + 1) * den / num, duration)

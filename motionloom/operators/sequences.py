@@ -25,38 +25,43 @@ def interpolate(df: DataFrame, columns: list[str], keys: list[str], order: str,
     Without ``max_gap``: leading gaps stay, trailing gaps hold the last value.  With it: only inner
     gaps of at most that many rows are filled, and nothing is extrapolated.
     """
-    ahead, behind = _over(keys, order), _over(keys, order, True)
-    for c in columns:
-        at = F.when(F.col(c).isNotNull(), F.col(order))
-        df = df.withColumns({f"{T}a": F.last(c, True).over(ahead), f"{T}i": F.last(at, True).over(ahead), f"{T}b": F.last(c, True).over(behind), f"{T}j": F.last(at, True).over(behind)})
-        a, i, b, j = (F.col(f"{T}{x}") for x in "aibj")
+    ahead, behind, at = _over(keys, order), _over(keys, order, True), {}
+    # All columns' neighbours together, so that Spark evaluates each direction in one window.
+    for k, c in enumerate(columns):
+        place = F.when(F.col(c).isNotNull(), F.col(order))
+        at |= {f"{T}a{k}": F.last(c, True).over(ahead), f"{T}i{k}": F.last(place, True).over(ahead), f"{T}b{k}": F.last(c, True).over(behind), f"{T}j{k}": F.last(place, True).over(behind)}
+    df, filled = df.withColumns(at), {}
+    for k, c in enumerate(columns):
+        a, i, b, j = (F.col(f"{T}{x}{k}") for x in "aibj")
         line = a + (b - a) * (F.col(order) - i) / F.nullif(j - i, F.lit(0))
         if max_gap is None:
-            value = F.when(F.col(c).isNotNull(), F.col(c)).when(b.isNull(), a).otherwise(line)
+            filled[c] = F.when(F.col(c).isNotNull(), F.col(c)).when(b.isNull(), a).otherwise(line)
         else:
-            value = F.when(F.col(c).isNotNull(), F.col(c)).when(j - i - 1 <= max_gap, line)
-        df = df.withColumn(c, value).drop(*(f"{T}{x}" for x in "aibj"))
-    return df
+            filled[c] = F.when(F.col(c).isNotNull(), F.col(c)).when(j - i - 1 <= max_gap, line)
+    return df.withColumns(filled).drop(*at)
 
 
 def _range(keys: list[str], order: str, width: str, before: str, after: str) -> str:
     return f"OVER (PARTITION BY {', '.join(keys)} ORDER BY {order} / CAST({width} AS double) RANGE BETWEEN {before} AND {after})"
 
 
-def rolling_centered(df: DataFrame, column: str, out: str, keys: list[str], order: str, width: str, how: str) -> DataFrame:
+def _rolled(df: DataFrame, columns: dict[str, str], over: str, width: str, how: str) -> DataFrame:
+    value = "percentile({c}, 0.5)" if how == "median" else "avg({c})"
+    return df.withColumns({out: F.expr(f"CASE WHEN count({c}) {over} = {width} THEN {value.format(c=c)} {over} END") for out, c in columns.items()})
+
+
+def rolling_centered(df: DataFrame, columns: dict[str, str], keys: list[str], order: str, width: str, how: str) -> DataFrame:
     """Median or mean of the ``width`` rows around each row; null unless all of them have a value.
 
-    The width is a column.  An even width leans to earlier rows.
+    ``columns`` maps each result to its column; a result may replace its column.  The width is a
+    column.  An even width leans to earlier rows.
     """
-    over = _range(keys, order, width, "0.500000001D PRECEDING", "0.499999999D FOLLOWING")
-    value = f"percentile({column}, 0.5)" if how == "median" else f"avg({column})"
-    return df.withColumn(out, F.expr(f"CASE WHEN count({column}) {over} = {width} THEN {value} {over} END"))
+    return _rolled(df, columns, _range(keys, order, width, "0.500000001D PRECEDING", "0.499999999D FOLLOWING"), width, how)
 
 
-def rolling_trailing(df: DataFrame, column: str, out: str, keys: list[str], order: str, width: str) -> DataFrame:
+def rolling_trailing(df: DataFrame, columns: dict[str, str], keys: list[str], order: str, width: str) -> DataFrame:
     """Mean of each row and the ``width`` - 1 rows before it; null unless all have a value."""
-    over = _range(keys, order, width, "0.999999999D PRECEDING", "CURRENT ROW")
-    return df.withColumn(out, F.expr(f"CASE WHEN count({column}) {over} = {width} THEN avg({column}) {over} END"))
+    return _rolled(df, columns, _range(keys, order, width, "0.999999999D PRECEDING", "CURRENT ROW"), width, "mean")
 
 
 def delta(column: str, keys: list[str], order: str) -> Column:

@@ -21,12 +21,11 @@ def iou(a: list[Column], b: list[Column]) -> Column:
 
 
 def weak_match(a: list[Column], b: list[Column]) -> Column:
-    """0.15 for boxes of like size with near centres, else 0."""
-    area = lambda x: (x[2] - x[0]) * (x[3] - x[1])
-    diagonal = lambda x: F.hypot(x[2] - x[0], x[3] - x[1])
+    """0.15 for boxes of like size whose centres lie within half the mean box's diagonal, else 0."""
+    wa, ha, wb, hb = a[2] - a[0], a[3] - a[1], b[2] - b[0], b[3] - b[1]
     apart = F.hypot((a[0] + a[2]) / 2 - (b[0] + b[2]) / 2, (a[1] + a[3]) / 2 - (b[1] + b[3]) / 2)
-    like = F.greatest(area(a), area(b)) <= 4 * F.least(area(a), area(b))
-    return F.when(like & (apart < 0.25 * (diagonal(a) + diagonal(b))), 0.15).otherwise(0.0)
+    like = F.greatest(wa * ha, wb * hb) <= 4 * F.greatest(F.least(wa * ha, wb * hb), F.lit(1e-6))
+    return F.when((F.least(wa, ha, wb, hb) > 0) & like & (apart < 0.5 * F.hypot((wa + wb) / 2, (ha + hb) / 2)), 0.15).otherwise(0.0)
 
 
 def bbox_unwrap(box: Column) -> Column:
@@ -63,16 +62,16 @@ def link_tracks(df: DataFrame, threshold: float = 0.3, max_gap: int = 15) -> Dat
     """
 
     def score(a: np.ndarray, b: np.ndarray) -> float:
-        w = max(0.0, min(a[2], b[2]) - max(a[0], b[0]))
-        h = max(0.0, min(a[3], b[3]) - max(a[1], b[1]))
-        aa, ab = (a[2] - a[0]) * (a[3] - a[1]), (b[2] - b[0]) * (b[3] - b[1])
-        both = aa + ab - w * h
-        own = w * h / both if both > 0 else 0.0
+        wa, ha, wb, hb = a[2] - a[0], a[3] - a[1], b[2] - b[0], b[3] - b[1]
+        common = max(0.0, min(a[2], b[2]) - max(a[0], b[0])) * max(0.0, min(a[3], b[3]) - max(a[1], b[1]))
+        either = wa * ha + wb * hb - common
+        own = common / either if common > 0 and either > 0 else 0.0
         if own >= threshold:
             return own
+        if min(wa, ha, wb, hb) <= 0 or max(wa * ha, wb * hb) > 4 * max(min(wa * ha, wb * hb), 1e-6):
+            return 0.0
         apart = np.hypot((a[0] + a[2] - b[0] - b[2]) / 2, (a[1] + a[3] - b[1] - b[3]) / 2)
-        size = (np.hypot(a[2] - a[0], a[3] - a[1]) + np.hypot(b[2] - b[0], b[3] - b[1])) / 2
-        return 0.15 if max(aa, ab) <= 4 * min(aa, ab) and apart < size / 2 else 0.0
+        return 0.15 if apart < 0.5 * np.hypot((wa + wb) / 2, (ha + hb) / 2) else 0.0
 
     def link(pdf: pd.DataFrame) -> pd.DataFrame:
         rows, active, made = [], [], 0

@@ -11,51 +11,77 @@ from ..operators import annotations as A
 from ..operators import sequences as S
 from .registry import query, table
 
-# The same answers in both engines: fenced, truncated, odd types, vocabulary words and strangers.
-RAW = """concat(CASE event_id % 3 WHEN 0 THEN '```json\n' WHEN 1 THEN 'Answer: ' ELSE '' END, '{"has_infant": ',
-  CASE event_id % 5 WHEN 0 THEN 'true' WHEN 1 THEN '"yes"' WHEN 2 THEN '0' WHEN 3 THEN '"false"' ELSE 'null' END, ', "num_infants": ',
-  CASE event_id % 6 WHEN 0 THEN '1' WHEN 1 THEN '"2"' WHEN 2 THEN '-3' WHEN 3 THEN '2.7' WHEN 4 THEN '"2.7"' ELSE 'true' END,
-  ', "has_adult": ', CASE event_id % 2 WHEN 0 THEN 'false' ELSE '1' END, ', "num_adults": ', cast(event_id % 3 AS {text}), ', "num_children": ', cast(event_id % 2 AS {text}), ', "num_humans_total": ', cast(event_id % 4 AS {text}),
-  ', "infant_posture": "', CASE event_id % 4 WHEN 0 THEN ' Sitting ' WHEN 1 THEN 'flying' WHEN 2 THEN 'Not_Visible' ELSE 'prone' END, '", "infant_actions": ', CASE event_id % 7 WHEN 0 THEN '"walks"' WHEN 1 THEN '["Walks","walks","sings"]' WHEN 2 THEN '["crawls"]' ELSE '[]' END,
+# The same answers in both engines: fenced, truncated, odd types, white space, vocabulary words and strangers.
+def _chosen(key: str, words: list[str], step: int) -> str:
+    """A vocabulary word, odd case and white space in turn, a stranger, or a null."""
+    cases = " ".join(f"WHEN {i} THEN '\"{w.upper() if i % 3 == 0 else w}' || CASE WHEN event_id % 2 = 0 THEN chr(92) || 'n\"' ELSE ' \"' END" for i, w in enumerate(words))
+    return f"""', "{key}": ', CASE (event_id div {step}) % {len(words) + 2} {cases} WHEN {len(words)} THEN 'null' ELSE '"stranger"' END"""
+
+
+SCALARS = {"infant_visibility": A.VISIBILITY, "infant_posture": A.POSTURES} | A.SCENE | {"audio_source": A.AUDIO_SOURCES}
+LISTS = {"infant_actions": A.ACTIONS, "visible_infant_parts": A.PARTS, "child_actions": A.CHILD_ACTIONS, "audio_events": A.AUDIO_EVENTS}
+RAW = f"""concat(CASE event_id % 3 WHEN 0 THEN '```json\n' WHEN 1 THEN 'Answer: ' ELSE '' END, '{{{{"has_infant": ',
+  CASE event_id % 5 WHEN 0 THEN 'true' WHEN 1 THEN '"yes' || chr(92) || 't"' WHEN 2 THEN '0' WHEN 3 THEN '"false"' ELSE 'null' END, ', "num_infants": ',
+  CASE event_id % 10 WHEN 0 THEN '1' WHEN 1 THEN '"2"' WHEN 2 THEN '-3' WHEN 3 THEN '2.7' WHEN 4 THEN '"2.7"' WHEN 5 THEN '1e12' WHEN 6 THEN '"+1_000' || chr(92) || 'n"' WHEN 7 THEN '"x"' WHEN 8 THEN '[1]' ELSE 'true' END,
+  ', "has_adult": ', CASE event_id % 2 WHEN 0 THEN 'false' ELSE '1' END, ', "num_adults": ', cast(event_id % 3 AS {{text}}), ', "num_children": ', cast(event_id % 2 AS {{text}}), ', "num_humans_total": ', cast(event_id % 4 AS {{text}}),
+  {", ".join(_chosen(k, words, n + 1) for n, (k, words) in enumerate(SCALARS.items()))}, ', "infant_actions": ', CASE event_id % 7 WHEN 0 THEN '"walks"' WHEN 1 THEN '["Walks","walks","sings",null]' WHEN 2 THEN '["crawls' || chr(92) || 'n"]' ELSE '[]' END,
   ', "visible_infant_parts": ', CASE event_id % 5 WHEN 0 THEN '["Head","wing"]' ELSE '[]' END, ', "child_actions": ', CASE event_id % 9 WHEN 0 THEN '["stands"]' ELSE '[]' END,
-  ', "audio_events": ', CASE event_id % 6 WHEN 0 THEN '["silence"]' WHEN 1 THEN '["Music","silence"]' WHEN 2 THEN '["infant_crying"]' WHEN 3 THEN '["adult_speech"]' ELSE '[]' END, ', "audio_source": "', CASE event_id % 5 WHEN 0 THEN 'live' WHEN 1 THEN 'None' WHEN 2 THEN 'mixed' ELSE 'radio' END, '", "infant_vocalising": ', CASE event_id % 4 WHEN 0 THEN 'true' ELSE 'false' END, ', "speech_present": ', CASE event_id % 8 WHEN 3 THEN '1' ELSE 'null' END,
-  CASE event_id % 4 WHEN 0 THEN ', "objects": ["a"," ","b","c","d","e","f"]' WHEN 1 THEN ', "objects": null' ELSE '' END, CASE WHEN event_id % 11 = 0 THEN '' ELSE '}' END, CASE event_id % 3 WHEN 0 THEN '\n```' ELSE '' END)"""
+  ', "audio_events": ', CASE event_id % 6 WHEN 0 THEN '["silence"]' WHEN 1 THEN '["Music","silence"]' WHEN 2 THEN '["infant_crying"]' WHEN 3 THEN '["adult_speech"]' ELSE '[]' END, ', "infant_vocalising": ', CASE event_id % 4 WHEN 0 THEN 'true' ELSE 'false' END, ', "speech_present": ', CASE event_id % 8 WHEN 3 THEN '1' ELSE 'null' END,
+  CASE event_id % 4 WHEN 0 THEN ', "description": "  a  child' || chr(92) || 'n"' WHEN 1 THEN ', "description": null' WHEN 2 THEN ', "audio_description": " hum "' ELSE ', "audio_description": true' END,
+  CASE event_id % 4 WHEN 0 THEN ', "objects": ["a"," ","b",null,"d","e","f"]' WHEN 1 THEN ', "objects": null' ELSE '' END, CASE WHEN event_id % 11 = 0 THEN '' ELSE '}}}}' END, CASE event_id % 3 WHEN 0 THEN '\n```' ELSE '' END)"""
+RAW_SPARK = RAW.replace("{{", "{").replace("}}", "}").replace("{text}", "string")
+RAW_DUCK = RAW.replace("{{", "{").replace("}}", "}").replace("{text}", "VARCHAR").replace(" div ", " // ")
+_WHITE = "chr(" + ") || chr(".join(str(ord(c)) for c in Z.WHITE) + ")"
 _S = "json_extract_string(j, '$.{k}')"
 
 
+def _strip(x: str) -> str:
+    return f"trim({x}, {_WHITE})"
+
+
 def _bool(k: str) -> str:
     t, s = f"json_type(j, '$.{k}')", _S.format(k=k)
-    return f"CASE WHEN {t} IS NULL OR {t} = 'NULL' THEN false WHEN {t} = 'BOOLEAN' THEN {s} = 'true' WHEN {t} = 'VARCHAR' THEN lower(trim({s})) IN ('true', 'yes', '1') ELSE TRY_CAST({s} AS DOUBLE) <> 0 END"
+    return f"CASE WHEN {t} IS NULL OR {t} = 'NULL' THEN false WHEN {t} = 'BOOLEAN' THEN {s} = 'true' WHEN {t} = 'VARCHAR' THEN lower({_strip(s)}) IN ('true', 'yes', '1') ELSE TRY_CAST({s} AS DOUBLE) <> 0 END"
 
 
 def _int(k: str) -> str:
     t, s = f"json_type(j, '$.{k}')", _S.format(k=k)
-    return f"greatest(0, coalesce(CASE WHEN {t} = 'VARCHAR' THEN CASE WHEN regexp_full_match(trim({s}), '[+-]?[0-9]+') THEN trim({s})::INT END WHEN {t} = 'BOOLEAN' THEN ({s} = 'true')::INT ELSE trunc(TRY_CAST({s} AS DOUBLE))::INT END, 0))"
+    return f"greatest(0, coalesce(CASE WHEN {t} = 'VARCHAR' THEN CASE WHEN regexp_full_match({_strip(s)}, '[+-]?[0-9]+(_[0-9]+)*') THEN replace({_strip(s)}, '_', '')::BIGINT END WHEN {t} = 'BOOLEAN' THEN ({s} = 'true')::BIGINT ELSE trunc(TRY_CAST({s} AS DOUBLE))::BIGINT END, 0))"
+
+
+def _text(x: str, kind: str) -> str:
+    """A value as stripped text; a null is None."""
+    return f"CASE {kind} WHEN 'NULL' THEN 'None' WHEN 'BOOLEAN' THEN CASE {x} WHEN 'true' THEN 'True' ELSE 'False' END ELSE {_strip(x)} END"
+
+
+def _items(k: str) -> str:
+    return f"CASE WHEN json_type(j, '$.{k}') = 'ARRAY' THEN list_transform(json_extract_string(j, '$.{k}[*]'), lambda x: coalesce({_strip('x')}, 'None')) ELSE [] END"
 
 
 def _words(k: str, words: list[str]) -> str:
-    listed = ", ".join(repr(w) for w in words)
-    return f"CASE WHEN j IS NOT NULL THEN CASE WHEN json_type(j, '$.{k}') = 'ARRAY' THEN list_filter(list_transform(json_extract_string(j, '$.{k}[*]'), lambda x: lower(trim(x))), lambda x: x IN ({listed})) ELSE [] END END"
+    return f"CASE WHEN j IS NOT NULL THEN list_filter(list_transform({_items(k)}, lambda x: lower(x)), lambda x: x IN ({', '.join(repr(w) for w in words)})) END"
 
 
 def _word(k: str, words: list[str]) -> str:
-    s = f"lower(trim({_S.format(k=k)}))"
+    s = f"lower({_text(_S.format(k=k), f'''json_type(j, '$.{k}')''')})"
     return f"CASE WHEN {s} IN ({', '.join(repr(w) for w in words)}) THEN {s} END"
 
 
 _TYPED = [(c, _bool(c)) for c in ("has_infant", "has_adult", "infant_vocalising", "speech_present")] + [(c, _int(c)) for c in ("num_infants", "num_children", "num_adults", "num_humans_total")]
-PARSED = f"""raws AS (SELECT event_id, {RAW.replace("{text}", "VARCHAR")} AS raw FROM events),
+_TYPED += [(c, f"coalesce({_text(_S.format(k=c), f'''json_type(j, '$.{c}')''')}, '')") for c in ("description", "audio_description")]
+_ALIAS = {"visible_infant_parts": "parts", "audio_events": "ev"}
+PARSED = f"""raws AS (SELECT event_id, {RAW_DUCK} AS raw FROM events),
 tried AS (SELECT event_id, raw, TRY_CAST(nullif(regexp_extract(raw, '(?s)\\{{.*\\}}'), '') AS JSON) AS j FROM raws),
 parsed AS (SELECT event_id, raw, j IS NOT NULL AS parse_ok, {", ".join(f"CASE WHEN j IS NOT NULL THEN {e} END AS {c}" for c, e in _TYPED)},
-  {_word("infant_posture", A.POSTURES)} AS infant_posture, {_word("audio_source", A.AUDIO_SOURCES)} AS audio_source, {_words("infant_actions", A.ACTIONS)} AS infant_actions, {_words("visible_infant_parts", A.PARTS)} AS parts, {_words("child_actions", A.CHILD_ACTIONS)} AS child_actions, {_words("audio_events", A.AUDIO_EVENTS)} AS ev,
-  CASE WHEN j IS NOT NULL THEN CASE WHEN json_type(j, '$.objects') = 'ARRAY' THEN list_filter(list_transform(json_extract_string(j, '$.objects[*]'), lambda x: trim(x)), lambda x: x <> '')[1:5] ELSE [] END END AS objects FROM tried),
+  {", ".join(f"{_word(k, words)} AS {k}" for k, words in SCALARS.items())}, {", ".join(f"{_words(k, words)} AS {_ALIAS.get(k, k)}" for k, words in LISTS.items())},
+  CASE WHEN j IS NOT NULL THEN list_filter({_items("objects")}, lambda x: x <> '')[1:5] END AS objects FROM tried),
 flagged AS (SELECT *, CASE WHEN parse_ok THEN has_infant <> (num_infants > 0) OR has_adult <> (num_adults > 0) OR (NOT has_infant AND (len(parts) > 0 OR len(infant_actions) > 0 OR infant_posture IS DISTINCT FROM 'not_visible')) OR (num_children = 0 AND len(child_actions) > 0) OR num_humans_total <> num_infants + num_children + num_adults END AS inconsistent,
   CASE WHEN parse_ok THEN (list_contains(ev, 'silence') AND len(ev) > 1) OR (infant_vocalising AND NOT list_has_any(ev, ['infant_vocalisation', 'infant_crying', 'infant_laughing'])) OR (speech_present AND NOT list_has_any(ev, ['adult_speech', 'child_speech']))
     OR (coalesce(audio_source, '') = 'none' AND len(ev) > 0 AND ev <> ['silence']) OR (coalesce(audio_source, '') IN ('live', 'overlay', 'mixed') AND ev = ['silence']) END AS audio_inconsistent FROM parsed)"""
 
 
 def parsed(spark: SparkSession, d: str) -> DataFrame:
-    return A.parse_annotation(table(spark, d, "events").selectExpr("event_id", RAW.replace("{text}", "string") + " AS raw"), "raw", audio=True)
+    return A.parse_annotation(table(spark, d, "events").selectExpr("event_id", RAW_SPARK + " AS raw"), "raw", audio=True)
 
 
 @query("extract_json_object", f"WITH {PARSED} SELECT event_id, parse_ok FROM parsed")
@@ -83,7 +109,11 @@ def _array(spark: SparkSession, d: str) -> DataFrame:
     return parsed(spark, d).select("event_id", F.array_join("infant_actions", ",").alias("actions"))
 
 
-@query("objects_top5", f"WITH {PARSED} SELECT event_id, array_to_string(objects, ',') AS objects FROM parsed")
+@query("objects_top5", f"WITH {PARSED} SELECT event_id, len(objects)::INT AS n, objects[1] AS first, objects[-1] AS last FROM parsed")
+def _top5(spark: SparkSession, d: str) -> DataFrame:
+    return parsed(spark, d).select("event_id", F.expr("if(objects IS NULL, NULL, size(objects))").alias("n"), F.get("objects", F.lit(0)).alias("first"), F.try_element_at("objects", F.lit(-1)).alias("last"))
+
+
 @query("join_list_cell", f"WITH {PARSED} SELECT event_id, array_to_string(objects, ',') AS objects FROM parsed")
 def _objects(spark: SparkSession, d: str) -> DataFrame:
     return parsed(spark, d).select("event_id", F.array_join("objects", ",").alias("objects"))
@@ -99,9 +129,13 @@ def _audio(spark: SparkSession, d: str) -> DataFrame:
     return parsed(spark, d).select("event_id", "audio_inconsistent")
 
 
-@query("parse_annotation", f"WITH {PARSED} SELECT event_id, parse_ok, has_infant, num_infants, infant_posture, array_to_string(infant_actions, ',') AS actions, inconsistent FROM flagged")
+_LISTED = [*LISTS, "objects"]
+_PLAIN = ["parse_ok", *(c for c, _ in _TYPED), *SCALARS, "inconsistent", "audio_inconsistent"]
+
+
+@query("parse_annotation", f"WITH {PARSED} SELECT event_id, {', '.join(_PLAIN)}, {', '.join(f'''array_to_string({_ALIAS.get(k, k)}, ',') AS {k}''' for k in _LISTED)} FROM flagged")
 def _parse(spark: SparkSession, d: str) -> DataFrame:
-    return parsed(spark, d).select("event_id", "parse_ok", "has_infant", "num_infants", "infant_posture", F.array_join("infant_actions", ",").alias("actions"), "inconsistent")
+    return parsed(spark, d).select("event_id", *_PLAIN, *[F.array_join(k, ",").alias(k) for k in _LISTED])
 
 
 _HAS = "(json_exists(j, '$.objects'))"
@@ -109,13 +143,13 @@ _HAS = "(json_exists(j, '$.objects'))"
 
 @query("key_presence", f"WITH {PARSED} SELECT event_id, CASE WHEN j IS NULL THEN false ELSE {_HAS} END AS present FROM tried")
 def _present(spark: SparkSession, d: str) -> DataFrame:
-    v = Z.extract_json_object(F.expr(RAW.replace("{text}", "string")))
+    v = Z.extract_json_object(F.expr(RAW_SPARK))
     return table(spark, d, "events").select("event_id", Z.key_present(v, "$.objects").alias("present"))
 
 
 @query("agg_key_presence", f"WITH {PARSED} SELECT count_if(j IS NOT NULL AND {_HAS})::BIGINT AS n_present, count_if(json_type(j, '$.objects') = 'ARRAY')::BIGINT AS n_truthy FROM tried")
 def _agg_present(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").select(Z.extract_json_object(F.expr(RAW.replace("{text}", "string"))).alias("v"))
+    e = table(spark, d, "events").select(Z.extract_json_object(F.expr(RAW_SPARK)).alias("v"))
     return e.agg(F.count_if(Z.key_present(F.col("v"), "$.objects")).alias("n_present"), F.count_if(F.size(Z.objects_top(F.col("v"), "$.objects")) > 0).alias("n_truthy"))
 
 
@@ -129,24 +163,27 @@ def _health(spark: SparkSession, d: str) -> DataFrame:
     return parsed(spark, d).groupBy((F.col("event_id") % 4).alias("model")).agg(F.count("*").alias("n"), F.count_if(~F.col("parse_ok")).alias("failures"), F.count_if("inconsistent").alias("inconsistent"))
 
 
-_SAME = "CASE event_id % 5 WHEN 0 THEN repeat('a', 50) WHEN 1 THEN repeat('b', 30) WHEN 2 THEN repeat('xy', 60) WHEN 3 THEN props ELSE '   ' END"
+_SAME = "CASE event_id % 5 WHEN 0 THEN repeat('a', 50) WHEN 1 THEN concat(chr(10), repeat('b', 30 + event_id % 20), chr(9)) WHEN 2 THEN repeat('xy', 60) WHEN 3 THEN props ELSE '   ' END"
 
 
-@query("is_degenerate", f"SELECT event_id, length(trim(t)) >= 40 AND length(replace(trim(t), left(trim(t), 1), '')) = 0 AS degenerate FROM (SELECT event_id, {_SAME} AS t FROM events)")
+@query("is_degenerate", f"SELECT event_id, len(list_distinct(string_split({_strip('t')}, ''))) = 1 AND length({_strip('t')}) >= 40 AS degenerate FROM (SELECT event_id, {_SAME} AS t FROM events)")
 def _degenerate(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", Z.is_degenerate(F.expr(_SAME)).alias("degenerate"))
 
 
-@query("failure_class", f"SELECT event_id, CASE WHEN event_id % 5 = 3 THEN CASE WHEN event_id % 2 = 0 THEN 'INCONSISTENT' ELSE 'ok' END WHEN event_id % 5 = 0 THEN 'DEGENERATE' WHEN length(t) >= 100 THEN 'TRUNCATED' ELSE 'PARSE FAILED' END AS c FROM (SELECT event_id, {_SAME} AS t FROM events)")
+@query("failure_class", f"SELECT event_id, CASE WHEN event_id % 5 = 3 THEN CASE WHEN event_id % 2 = 0 THEN 'INCONSISTENT' ELSE 'ok' END WHEN event_id % 5 = 0 OR event_id % 5 = 1 AND event_id % 20 >= 10 THEN 'DEGENERATE' WHEN length(t) >= 100 THEN 'TRUNCATED' ELSE 'PARSE FAILED' END AS c FROM (SELECT event_id, {_SAME} AS t FROM events)")
 def _failure(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", Z.failure_class(F.expr(_SAME), F.expr("event_id % 5 = 3"), F.expr("event_id % 2 = 0"), 100).alias("c"))
 
 
-@query("text_strip_lower", "SELECT doc_id, left(trim(text), 90) AS t, lower(left(trim(text), 5)) AS l FROM documents")
-@query("text_truncate", "SELECT doc_id, left(trim(text), 90) AS t, lower(left(trim(text), 5)) AS l FROM documents")
+@query("text_strip_lower", f"SELECT doc_id, lower(left({_strip('text')}, 5)) AS l FROM documents")
+def _lower(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id", F.lower(F.substring(Z.strip(F.col("text")), 1, 5)).alias("l"))
+
+
+@query("text_truncate", f"SELECT doc_id, left({_strip('text')}, 90) AS t FROM documents")
 def _truncate(spark: SparkSession, d: str) -> DataFrame:
-    t = F.trim("text")
-    return table(spark, d, "documents").select("doc_id", F.substring(t, 1, 90).alias("t"), F.lower(F.substring(t, 1, 5)).alias("l"))
+    return table(spark, d, "documents").select("doc_id", F.substring(Z.strip(F.col("text")), 1, 90).alias("t"))
 
 
 @query("prompt_hash8", "SELECT doc_id, left(sha256(text), 8) AS h FROM documents")
@@ -154,12 +191,19 @@ def _hash(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", Z.prompt_hash8(F.col("text")).alias("h"))
 
 
-@query("split_name", "SELECT page_id, 'split_' || lpad(page_id::VARCHAR, 3, '0') AS s, printf('split_%02d_chunk_%02d', page_id % 90, page_id % 7) AS c, page_id * 100 + page_id % 7 AS k FROM pages")
-@query("segment_key", "SELECT page_id, 'split_' || lpad(page_id::VARCHAR, 3, '0') AS s, printf('split_%02d_chunk_%02d', page_id % 90, page_id % 7) AS c, page_id * 100 + page_id % 7 AS k FROM pages")
-@query("chunk_name", "SELECT page_id, 'split_' || lpad(page_id::VARCHAR, 3, '0') AS s, printf('split_%02d_chunk_%02d', page_id % 90, page_id % 7) AS c, page_id * 100 + page_id % 7 AS k FROM pages")
-def _splits(spark: SparkSession, d: str) -> DataFrame:
-    p = F.col("page_id")
-    return table(spark, d, "pages").select("page_id", Z.split_name(p, F.lit(250)).alias("s"), Z.chunk_name(p % 90, p % 7).alias("c"), Z.segment_key(p, p % 7).alias("k"))
+@query("split_name", "SELECT page_id, 'split_' || lpad(page_id::VARCHAR, 3, '0') AS s FROM pages")
+def _split_name(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", Z.split_name(F.col("page_id"), F.lit(250)).alias("s"))
+
+
+@query("chunk_name", "SELECT page_id, printf('split_%02d_chunk_%02d', page_id % 90, page_id % 7) AS c FROM pages")
+def _chunk_name(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", Z.chunk_name(F.col("page_id") % 90, F.col("page_id") % 7).alias("c"))
+
+
+@query("segment_key", "SELECT page_id, page_id * 100 + page_id % 7 AS k FROM pages")
+def _segment_key(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "pages").select("page_id", Z.segment_key(F.col("page_id"), F.col("page_id") % 7).alias("k"))
 
 
 @query("fmt_cell", "SELECT doc_id, CASE WHEN q IS NULL THEN '-' WHEN q = 0 THEN 'PARSE_FAIL' ELSE lower((doc_id % 2 = 0)::VARCHAR) END AS cell FROM (SELECT d.doc_id, l.quality AS q FROM documents d LEFT JOIN labels l USING (doc_id))")
@@ -201,7 +245,16 @@ def _summary(spark: SparkSession, d: str) -> DataFrame:
 _CELLS = "max(CASE WHEN model = {m} THEN CASE WHEN parse_ok THEN coalesce(field, '-') ELSE 'PARSE_FAIL' END END)"
 
 
-@query("join_models_union_segments", f"WITH {_REC} SELECT seg, " + ", ".join(f"coalesce({_CELLS.format(m=m)}, '-') AS m{m}" for m in range(3)) + ", count(DISTINCT CASE WHEN parse_ok THEN coalesce(field, '?') END) <= 1 AS agree FROM lat GROUP BY seg")
+@query("join_models_union_segments", f"WITH {_REC}, every AS (SELECT DISTINCT seg FROM lat), ms AS (SELECT DISTINCT model FROM lat) SELECT e.seg, m.model, l.model IS NOT NULL AS seen, coalesce(l.parse_ok, false) AS ok FROM every e CROSS JOIN ms m LEFT JOIN lat l ON l.seg = e.seg AND l.model = m.model")
+def _union_segments(spark: SparkSession, d: str) -> DataFrame:
+    """Every segment that any model has, with each model's record where there is one."""
+    lat = _latest(spark, d).select("seg", "model", "parse_ok")
+    held = lat.groupBy("seg").agg(F.map_from_entries(F.collect_list(F.struct("model", "parse_ok"))).alias("ok"))  # a few models
+    models = lat.select("model").distinct().agg(F.collect_set("model").alias("models"))
+    every = held.join(F.broadcast(models), F.lit(True)).select("seg", "ok", F.explode("models").alias("model"))
+    return every.select("seg", "model", F.map_contains_key("ok", F.col("model")).alias("seen"), F.coalesce(F.try_element_at("ok", F.col("model")), F.lit(False)).alias("ok"))
+
+
 @query("table_wide_models", f"WITH {_REC} SELECT seg, " + ", ".join(f"coalesce({_CELLS.format(m=m)}, '-') AS m{m}" for m in range(3)) + ", count(DISTINCT CASE WHEN parse_ok THEN coalesce(field, '?') END) <= 1 AS agree FROM lat GROUP BY seg")
 def _wide(spark: SparkSession, d: str) -> DataFrame:
     lat = _latest(spark, d).withColumn("cell", Z.fmt_cell(F.col("field"), F.col("parse_ok")))
@@ -238,12 +291,22 @@ def _best(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("join_resume_anti", "SELECT doc_id FROM documents ANTI JOIN (SELECT doc_id FROM labels WHERE quality = 1) USING (doc_id)")
-@query("set_except_missing", "SELECT doc_id FROM documents ANTI JOIN (SELECT doc_id FROM labels WHERE quality = 1) USING (doc_id)")
-@query("join_missing_report", "SELECT doc_id FROM documents ANTI JOIN (SELECT doc_id FROM labels WHERE quality = 1) USING (doc_id)")
 def _resume(spark: SparkSession, d: str) -> DataFrame:
     return A.resume(table(spark, d, "documents").select("doc_id"), table(spark, d, "labels").where("quality = 1"), ["doc_id"])
 
 
+@query("set_except_missing", "SELECT doc_id FROM documents EXCEPT SELECT doc_id FROM labels WHERE toxic = 1")
+def _except(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "documents").select("doc_id").subtract(table(spark, d, "labels").where("toxic = 1").select("doc_id"))
+
+
+@query("join_missing_report", "SELECT d.lang, count(*) AS n, count_if(l.doc_id IS NULL)::BIGINT AS n_missing, min(CASE WHEN l.doc_id IS NULL THEN d.doc_id END) AS first_missing FROM documents d LEFT JOIN (SELECT DISTINCT doc_id FROM labels) l USING (doc_id) GROUP BY 1")
+def _missing(spark: SparkSession, d: str) -> DataFrame:
+    there = table(spark, d, "labels").select("doc_id", F.lit(True).alias("there")).distinct()
+    gone = F.col("there").isNull()
+    return table(spark, d, "documents").select("doc_id", "lang").join(there, "doc_id", "left").groupBy("lang").agg(F.count("*").alias("n"), F.count_if(gone).alias("n_missing"), F.min(F.when(gone, F.col("doc_id"))).alias("first_missing"))
+
+
 @query("set_union_ids", "SELECT doc_id AS id FROM documents UNION SELECT page_id FROM pages UNION SELECT doc_id FROM labels")
 def _union(spark: SparkSession, d: str) -> DataFrame:
     ids = [table(spark, d, t).select(F.col(c).alias("id")) for t, c in (("documents", "doc_id"), ("pages", "page_id"), ("labels", "doc_id"))]
@@ -268,9 +331,13 @@ def _limit_videos(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("filter_only", "SELECT event_id FROM events WHERE event_type IN ('click', 'view')")
-@query("filter_models", "SELECT event_id FROM events WHERE event_type IN ('click', 'view')")
 def _only(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "events").where(F.col("event_type").isin("click", "view")).select("event_id")
+    return A.filter_only(table(spark, d, "events"), "event_type", ["click", "view"]).select("event_id")
+
+
+@query("filter_models", f"WITH {_REC} SELECT model, seg FROM lat WHERE model IN (0, 2)")
+def _models(spark: SparkSession, d: str) -> DataFrame:
+    return A.filter_only(_latest(spark, d), "model", [0, 2]).select("model", "seg")
 
 
 @query("filter_segmentation", "SELECT doc_id FROM (SELECT d.doc_id, coalesce(CASE l.quality WHEN 0 THEN 'scenes' WHEN 1 THEN 'fixed' END, 'fixed') AS s FROM documents d LEFT JOIN labels l USING (doc_id)) WHERE s = 'fixed'")
@@ -323,3 +390,31 @@ def _json(spark: SparkSession, d: str) -> DataFrame:
 @query("generic_rollup", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
 def _rollup(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "lineitem").rollup("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))
+
+
+_LINES = "rec AS (SELECT *, row_number() OVER (PARTITION BY l_suppkey % 3, l_orderkey ORDER BY l_linenumber, l_partkey, l_extendedprice, l_quantity) AS rn, count(*) OVER (PARTITION BY l_suppkey % 3, l_orderkey) AS n, l_suppkey % 3 AS m FROM lineitem WHERE l_linenumber % 5 > 0), best AS (SELECT a.m, a.l_orderkey AS seg, a.l_returnflag AS field, round(a.l_extendedprice, 2) AS price, f.l_linenumber AS s1, f.l_partkey AS s2, f.l_extendedprice AS s3, f.l_quantity AS s4 FROM rec a JOIN rec f ON a.m = f.m AND a.l_orderkey = f.l_orderkey AND f.rn = 1 WHERE a.rn = a.n)"
+
+
+@query(
+    "cohort_manifest",
+    f"WITH {_LINES}, hits AS (SELECT * FROM best WHERE field = 'R') SELECT 'fixed' AS segmentation, seg AS segment_index, (SELECT count(*) FROM hits h WHERE h.seg = b.seg) AS n_models_match, count(*) AS n_models_seen, (SELECT string_agg('m' || m, ';' ORDER BY 'm' || m) FROM hits h WHERE h.seg = b.seg) AS models_match, string_agg('m' || m, ';' ORDER BY 'm' || m) AS models_seen, (SELECT price FROM hits h WHERE h.seg = b.seg ORDER BY s1, s2, s3, s4 LIMIT 1) AS price FROM best b GROUP BY seg HAVING n_models_match >= 2",
+)
+def _manifest(spark: SparkSession, d: str) -> DataFrame:
+    r = table(spark, d, "lineitem").selectExpr("concat('m', l_suppkey % 3) AS model", "'' AS segmentation", "'v' AS video_id", "l_orderkey AS segment_index", "l_linenumber % 5 > 0 AS parse_ok", "l_returnflag AS field", "round(l_extendedprice, 2) AS price", "l_linenumber", "l_partkey", "l_extendedprice", "l_quantity")
+    return A.cohort_manifest(r, ["l_linenumber", "l_partkey", "l_extendedprice", "l_quantity"], F.col("field") == "R", 2).drop("video_id", "field")
+
+
+_TURNS = "chunks AS (SELECT conv_id, turn, turn * 7.5::DOUBLE AS a, turn * 7.5::DOUBLE + 7 AS b, CASE WHEN turn % 4 >= 2 THEN 'same' WHEN turn = 1 THEN '' ELSE role END AS said, CASE WHEN conv_id % 3 = 0 AND turn % 3 > 0 THEN 'hum' ELSE '' END AS heard FROM (SELECT conv_id, turn, max(role) AS role FROM conversations GROUP BY 1, 2))"
+
+
+def _turn_lines(c: str, out: str) -> str:
+    hms = lambda x: f"printf('%02d:%02d:%02d', floor({x})::BIGINT // 3600, floor({x})::BIGINT % 3600 // 60, floor({x})::BIGINT % 60)"
+    return f"""{out}0 AS (SELECT *, CASE WHEN {c} IS DISTINCT FROM lag({c}) OVER (PARTITION BY conv_id ORDER BY turn) THEN 1 ELSE 0 END AS st FROM chunks WHERE {c} <> ''),
+{out}1 AS (SELECT *, sum(st) OVER (PARTITION BY conv_id ORDER BY turn) AS run FROM {out}0), {out}2 AS (SELECT conv_id, run, '[' || {hms("min(a)")} || '-' || {hms("max(b)")} || '] ' || any_value({c}) AS line FROM {out}1 GROUP BY 1, 2),
+{out} AS (SELECT conv_id, string_agg(line, chr(10) ORDER BY run) AS {out} FROM {out}2 GROUP BY 1)"""
+
+
+@query("video_summary", f"WITH {_TURNS}, {_turn_lines('said', 'timeline')}, {_turn_lines('heard', 'audio_timeline')}, t AS (SELECT conv_id, count(*) AS n_chunks, round(max(b) - min(a), 2) AS span_sec, round(sum(b - a), 2) AS covered_sec FROM chunks GROUP BY 1) SELECT conv_id, n_chunks, span_sec, covered_sec, coalesce(timeline, '') AS timeline, audio_timeline FROM t LEFT JOIN timeline USING (conv_id) LEFT JOIN audio_timeline USING (conv_id) WHERE timeline IS NOT NULL OR audio_timeline IS NOT NULL")
+def _video_summary(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "conversations").selectExpr("'m' AS model", "'scenes' AS segmentation", "conv_id AS video_id", "turn AS segment_index", "true AS parse_ok", "turn * 7.5D AS start_sec", "turn * 7.5D + 7 AS end_sec", "CASE WHEN turn % 4 >= 2 THEN concat(' same', chr(10)) WHEN turn = 1 THEN '  ' ELSE role END AS description", "if(conv_id % 3 = 0 AND turn % 3 > 0, 'hum', '') AS audio_description", "role")
+    return A.video_summary(c, ["role"]).select(F.col("video_id").alias("conv_id"), "n_chunks", "span_sec", "covered_sec", "timeline", "audio_timeline")

@@ -70,18 +70,18 @@ def _vmpar(spark: SparkSession, d: str) -> DataFrame:
     return got.select("g", F.round("z.mean", 5).alias("mean"), F.round("z.kappa", 5).alias("kappa"))
 
 
-# I0(1) and I0(2.5) by their series.
-_I0 = "list_sum(list_transform(range(0, 40), lambda k: ({k}::DOUBLE/2)**(2*k) / (gamma(k+1)**2)))"
+# ln I0 by its series in logarithms, which holds at any concentration.
+_LN_I0 = "(SELECT max(t) + ln(sum(exp(t - m))) FROM (SELECT t, max(t) OVER () AS m FROM (SELECT 2 * i * ln({k} / 2) - 2 * lgamma(i + 1) AS t FROM range(0, 900) r(i))))"
 
 
-@query("circ_vmlogpdf", f"WITH {_A} SELECT g, round(avg(-ln(2*pi()*{_I0.format(k='1')}) + cos(x)), 6) AS v FROM a GROUP BY g")
+@query("circ_vmlogpdf", f"WITH {_A}, i0 AS (SELECT w, {_LN_I0.format(k='(w * 8::DOUBLE)')} AS ln_i0 FROM (SELECT DISTINCT w FROM a)) SELECT g, round(avg(-ln(2*pi()) - ln_i0 + w * 8 * cos(x)), 4) AS v FROM a JOIN i0 USING (w) GROUP BY g")
 def _vmlog(spark: SparkSession, d: str) -> DataFrame:
-    return _a(spark, d).groupBy("g").agg(F.round(F.avg(C.vmlogpdf(F.col("x"))), 6).alias("v"))
+    return _a(spark, d).groupBy("g").agg(F.round(F.avg(C.vmlogpdf(F.col("x"), 0.0, F.col("w") * 8)), 4).alias("v"))
 
 
-@query("circ_vmpdf", f"WITH {_A} SELECT g, round(avg(exp(-ln(2*pi()*{_I0.format(k='2.5')}) + 2.5*cos(x - 0.5))), 6) AS v FROM a GROUP BY g")
+@query("circ_vmpdf", f"WITH {_A} SELECT g, round(avg(exp(-ln(2*pi()) - {_LN_I0.format(k='2.5::DOUBLE')} + 2.5*cos(x - 0.5))), 6) AS v, round(avg(exp(-ln(2*pi()) - {_LN_I0.format(k='120::DOUBLE')} + 120*cos(x - 0.5))), 6) AS sharp FROM a GROUP BY g")
 def _vmpdf(spark: SparkSession, d: str) -> DataFrame:
-    return _a(spark, d).groupBy("g").agg(F.round(F.avg(C.vmpdf(F.col("x"), 0.5, 2.5)), 6).alias("v"))
+    return _a(spark, d).groupBy("g").agg(F.round(F.avg(C.vmpdf(F.col("x"), 0.5, 2.5)), 6).alias("v"), F.round(F.avg(C.vmpdf(F.col("x"), 0.5, 120.0)), 6).alias("sharp"))
 
 
 _ROW = f"WITH {_A}, s AS (SELECT DISTINCT x, y FROM a WHERE x IS NOT NULL)"

@@ -32,10 +32,13 @@ def scored(fit: str, keys: str) -> str:
     return f"{fit}, ll AS (SELECT subject, risk, {_LL.format(m='mu', v='(sigma ** 2)')} AS loglik, {_LOO} AS loglik_loo FROM lr JOIN fit USING ({keys})), per AS (SELECT subject, risk, sum(loglik) AS loglik, sum(loglik_loo) AS loglik_loo, count(loglik) AS n_features FROM ll GROUP BY 1, 2), ref AS (SELECT avg(loglik) AS m, stddev_samp(loglik) AS s, avg(loglik_loo) AS ml, stddev_samp(loglik_loo) AS sl FROM per WHERE risk = 0), z AS (SELECT per.*, (loglik - m) / s AS z, (loglik_loo - ml) / sl AS z_loo FROM per, ref)"
 
 
-_T = "(1 / (1 + 0.5 * abs(z) / sqrt(2.0::DOUBLE)))"
-_COEF = [0.17087277, -0.82215223, 1.48851587, -1.13520398, 0.27886807, -0.18628806, 0.09678418, 0.37409196, 1.00002368, -1.26551223]
-_POLY = " + ".join(f"{c}::DOUBLE * {_T} ** {9 - i}" for i, c in enumerate(_COEF)).replace("+ -", "- ")
-P_SQL = f"({_T} * exp(-z * z / 2 + {_POLY}))"
+def p_sql(z: str) -> str:
+    """Two-sided p by the series of the error function, its terms by logarithms."""
+    x = f"greatest(abs({z}) / sqrt(2.0::DOUBLE), 1e-300)"
+    return f"CASE WHEN abs({z}) > 8 THEN 0 ELSE greatest(0, 1 - 2 / sqrt(pi()) * exp(-({z}) * ({z}) / 2) * list_sum(list_transform(range(0, 200), lambda n: exp(2 * n * ln(2) + (2 * n + 1) * ln({x}) - lgamma(2 * n + 2) + lgamma(n + 1))))) END"
+
+
+P_SQL = p_sql("z")
 
 
 def wide(spark: SparkSession, d: str) -> DataFrame:
@@ -145,10 +148,27 @@ def _legacy(spark: SparkSession, d: str) -> DataFrame:
     return _r(_surprise(spark, d, ["part", "stat"]).groupBy("risk").agg(F.avg("loglik").alias("mean_loglik"), F.count("*").alias("n")), "mean_loglik")
 
 
-@query("agg_zscore_vs_ref", f"WITH {scored(FIT, 'part, stat')} SELECT subject, round(z, 4) + 0.0 AS z FROM z")
-@query("sort_most_atypical", f"WITH {scored(FIT, 'part, stat')} SELECT subject, round(z, 4) + 0.0 AS z FROM z ORDER BY z")
+@query("agg_zscore_vs_ref", f"WITH {scored(FIT, 'part, stat')} SELECT subject, round(z, 4) + 0.0 AS z, round(z_loo, 4) + 0.0 AS z_loo FROM z")
 def _z(spark: SparkSession, d: str) -> DataFrame:
-    return _r(_surprise(spark, d, ["part", "stat"]).orderBy("z").select("subject", "z"), "z")
+    return _r(_surprise(spark, d, ["part", "stat"]).select("subject", "z", "z_loo"), "z", "z_loo")
+
+
+@query("sort_most_atypical", f"WITH {scored(FIT, 'part, stat')} SELECT subject, risk, round(z, 4) + 0.0 AS z FROM z ORDER BY z.z, subject")
+def _atypical(spark: SparkSession, d: str) -> DataFrame:
+    return _r(_surprise(spark, d, ["part", "stat"]).orderBy("z", "subject").select("subject", "risk", "z"), "z")
+
+
+_TESTS = """z2 AS (SELECT risk, 'loglik' AS score, loglik AS value, z AS zz FROM z UNION ALL SELECT risk, 'loglik_loo', loglik_loo, z_loo FROM z),
+gr AS (SELECT DISTINCT risk AS against FROM z WHERE risk <> 0 UNION ALL SELECT NULL), t AS (SELECT against::VARCHAR AS against, score, risk = 0 AS in_ref, value, zz FROM z2, gr WHERE risk = 0 OR against IS NULL OR risk = against),
+rk AS (SELECT *, rank() OVER (PARTITION BY against, score ORDER BY value) + (count(*) OVER (PARTITION BY against, score, value) - 1) / 2.0::DOUBLE AS rank_avg FROM t),
+u AS (SELECT against, score, count_if(in_ref)::DOUBLE AS n1, count_if(NOT in_ref)::DOUBLE AS n2, sum(CASE WHEN in_ref THEN rank_avg END) AS r1, avg(CASE WHEN NOT in_ref THEN zz END) AS mean_z FROM rk GROUP BY 1, 2),
+v AS (SELECT *, (greatest(r1 - n1 * (n1 + 1) / 2, n1 * n2 - r1 + n1 * (n1 + 1) / 2) - n1 * n2 / 2 - 0.5) / sqrt(n1 * n2 / 12 * (n1 + n2 + 1)) AS s FROM u)"""
+
+
+@query("group_rank_tests", f"WITH {scored(FIT, 'part, stat')}, {_TESTS} SELECT against, score, n2::BIGINT AS n, round(mean_z, 4) + 0.0 AS mean_z, round(least(1, {p_sql('greatest(s, 0)')}), 5) AS p FROM v")
+def _group_tests(spark: SparkSession, d: str) -> DataFrame:
+    tests = H.group_tests(_surprise(spark, d, ["part", "stat"]), "risk", {"loglik": "z", "loglik_loo": "z_loo"})
+    return _r(_r(tests, "mean_z"), "p", places=5).select("against", "score", "n", "mean_z", "p")
 
 
 @query("p_two_sided", f"WITH {scored(FIT, 'part, stat')} SELECT subject, round({P_SQL}, 4) AS p FROM z")
@@ -198,7 +218,7 @@ def _u(spark: SparkSession, d: str) -> DataFrame:
     return m.select("c_nationkey", F.col("n1").cast("double").alias("n1"), F.col("n2").cast("double").alias("n2"), F.round("u1", 3).alias("u1"), F.col("t3").cast("double").alias("t3"))
 
 
-@query("mann_whitney")
+@query("mann_whitney", f"WITH {_RANK}, u AS (SELECT c_nationkey, count_if(in_ref)::DOUBLE AS n1, count_if(NOT in_ref)::DOUBLE AS n2, sum(CASE WHEN in_ref THEN rank_avg END) AS r1, sum(t * t - 1)::DOUBLE AS t3 FROM k GROUP BY 1), s AS (SELECT *, (greatest(r1 - n1 * (n1 + 1) / 2, n1 * n2 - r1 + n1 * (n1 + 1) / 2) - n1 * n2 / 2 - 0.5) / sqrt(n1 * n2 / 12 * (n1 + n2 + 1 - t3 / ((n1 + n2) * (n1 + n2 - 1)))) AS s FROM u) SELECT c_nationkey, n1::BIGINT AS n1, n2::BIGINT AS n2, round(least(1, {p_sql('greatest(s, 0)')}), 5) AS p FROM s")
 def _mw(spark: SparkSession, d: str) -> DataFrame:
     return H.mann_whitney(_ranks(spark, d), ["c_nationkey"], "v", "in_ref").select("c_nationkey", "n1", "n2", F.round("p", 5).alias("p"))
 
@@ -209,9 +229,14 @@ def _poly(spark: SparkSession, d: str) -> DataFrame:
     return _r(_r(g, "slope", places=6), "intercept", places=5)
 
 
-@query("poly_regression_2")
+# The square's part that is not linear in age gives the last coefficient; the others follow from what it leaves.
+_POLY2 = f"{WIDE}, l AS (SELECT risk, regr_slope(age * age, age) AS b, regr_intercept(age * age, age) AS a FROM wide GROUP BY 1), q AS (SELECT risk, age, medianx_LAnkle AS y, age * age - a - b * age AS q FROM wide JOIN l USING (risk)), c2 AS (SELECT risk, regr_slope(y, q) AS c2 FROM q GROUP BY 1)"
+
+
+@query("poly_regression_2", f"WITH {_POLY2} SELECT risk, round(regr_intercept(y - c2 * age * age, age), 5) + 0.0 AS c0, round(regr_slope(y - c2 * age * age, age), 6) + 0.0 AS c1, round(any_value(c2), 7) + 0.0 AS c2 FROM q JOIN c2 USING (risk) GROUP BY risk")
 def _poly2(spark: SparkSession, d: str) -> DataFrame:
-    return H.poly2(wide(spark, d), ["risk"], "age", "medianx_LAnkle")
+    p = H.poly2(wide(spark, d), ["risk"], "age", "medianx_LAnkle")
+    return _r(_r(_r(p, "c0", places=5), "c1", places=6), "c2", places=7)
 
 
 @query("svd_cohort")
@@ -256,20 +281,16 @@ def _shift(spark: SparkSession, d: str) -> DataFrame:
     return c.select("c_custkey", F.coalesce(F.col("corrected").try_cast("double") + 1, (F.col("chron") + 1).cast("double")).alias("risk"))
 
 
-@query("risk_name_normalise", "SELECT doc_id, CASE WHEN q IS NULL THEN 'unlabelled' WHEN q = 0 THEN 'low' ELSE 'moderate' END AS risk FROM (SELECT d.doc_id, l.quality AS q FROM documents d LEFT JOIN labels l USING (doc_id))")
-@query("join_labels_dedup", "SELECT doc_id, CASE WHEN q IS NULL THEN 'unlabelled' WHEN q = 0 THEN 'low' ELSE 'moderate' END AS risk FROM (SELECT d.doc_id, l.quality AS q FROM documents d LEFT JOIN (SELECT * FROM labels QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY quality, toxic) = 1) l USING (doc_id))")
+@query("risk_name_normalise", "SELECT c_custkey, CASE c_nationkey % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'moderate' WHEN 2 THEN 'high' ELSE 'odd one' END AS risk FROM customer")
 def _risk_names(spark: SparkSession, d: str) -> DataFrame:
-    w = Window.partitionBy("doc_id").orderBy("quality", "toxic")
-    own = table(spark, d, "labels").withColumn("rn", F.row_number().over(w)).where("rn = 1").select("doc_id", F.concat(F.lit(" "), F.col("quality").cast("string")).alias("raw"))
-    names = F.create_map(*map(F.lit, ("0", "low", "1", "moderate", "2", "high")))
-    clean = F.lower(F.trim("raw"))
-    return table(spark, d, "documents").select("doc_id").join(own, "doc_id", "left").select("doc_id", F.coalesce(names[clean], clean, F.lit("unlabelled")).alias("risk"))
+    raw = table(spark, d, "customer").selectExpr("c_custkey", "CASE c_nationkey % 4 WHEN 0 THEN ' 0 ' WHEN 1 THEN 'Moderate' WHEN 2 THEN '2' ELSE concat('Odd One', chr(10)) END AS raw")
+    return raw.select("c_custkey", Z.risk_name(F.col("raw")).alias("risk"))
 
 
-@query("feature_whitelist", f"WITH {LONG} SELECT feature, count(*) AS n FROM named WHERE feature IN ('medianx_LAnkle', 'IQRx_LWrist') GROUP BY 1")
-def _white(spark: SparkSession, d: str) -> DataFrame:
-    allowed = spark.createDataFrame([("medianx_LAnkle",), ("IQRx_LWrist",)], "feature string")  # a fixed list
-    return H.melt(wide(spark, d), ["subject"], FEATURES).join(F.broadcast(allowed), "feature", "left_semi").groupBy("feature").agg(F.count("*").alias("n"))
+@query("join_labels_dedup", "SELECT doc_id, q AS quality, t AS toxic FROM documents d LEFT JOIN (SELECT doc_id, quality AS q, toxic AS t FROM labels QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY quality, toxic) = 1) l USING (doc_id)")
+def _labels_dedup(spark: SparkSession, d: str) -> DataFrame:
+    own = table(spark, d, "labels").groupBy("doc_id").agg(F.min(F.struct("quality", "toxic")).alias("l"))
+    return table(spark, d, "documents").select("doc_id").join(own, "doc_id", "left").select("doc_id", "l.quality", "l.toxic")
 
 
 @query("join_age_bridge", "SELECT o_orderkey, n_name, round(c_acctbal / 500, 4) AS age FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey")

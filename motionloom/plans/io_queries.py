@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,12 +13,7 @@ from ..sources import sinks as K
 from ..streaming import streams as W
 from . import fixtures as X
 from .registry import query, table
-
-
-def place(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir, or (tests only) a local one."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "file://" + tempfile.mkdtemp(prefix="motionloom-")
-    return f"{base}/motionloom-io/{name}-{uuid.uuid4().hex}"
+from .shared import place
 
 
 _PTS = "array_join(transform(sequence(0, 16), k -> concat('[', e[2 * k], ',', e[2 * k + 1], ']')), ',')"

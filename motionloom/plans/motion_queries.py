@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import motion as M
+from ..operators import pose as P
 from ..operators import tracking as K
 from ..operators.pose import mask_low_score, pick_instance
 from ..operators.sequences import gradient
@@ -90,35 +91,55 @@ def _groups(spark: SparkSession, d: str) -> DataFrame:
     return _r(M.group_speed(_speed(spark, d), GROUPS), "speed", places=2)
 
 
-_TRACKED = f"{_MASKED}, f AS (SELECT video, frame, bool_or(kp = 9 AND score >= 0.5) AS ok, avg(CASE WHEN score > 0 THEN score END) AS score FROM m GROUP BY 1, 2), t AS (SELECT video, count(*) AS n_frames, count_if(ok)::BIGINT AS n_tracked, avg(score) AS mean_score, max(frame) AS last FROM f GROUP BY 1), g AS (SELECT video, max(gap) AS gap, max(frame) AS fin FROM (SELECT video, frame, frame - coalesce(lag(frame) OVER (PARTITION BY video ORDER BY frame), -1) - 1 AS gap FROM f WHERE ok) GROUP BY 1)"
+# A frame is tracked if at least nine of its points are good.
+_TRACKED = f"{_MASKED}, f AS (SELECT video, frame, count_if(score >= 0.5) >= 9 AS ok, avg(CASE WHEN score > 0 THEN score END) AS score FROM m GROUP BY 1, 2), t AS (SELECT video, count(*) AS n_frames, count_if(ok)::BIGINT AS n_tracked, avg(score) AS mean_score, max(frame) AS last FROM f GROUP BY 1), g AS (SELECT video, max(gap) AS gap, max(frame) AS fin FROM (SELECT video, frame, frame - coalesce(lag(frame) OVER (PARTITION BY video ORDER BY frame), -1) - 1 AS gap FROM f WHERE ok) GROUP BY 1)"
 
 
-@query("agg_tracked_quality", f"WITH {_TRACKED} SELECT video, n_frames, n_tracked, round(n_tracked / n_frames::DOUBLE, 5) AS frac_tracked, round(mean_score, 5) AS mean_score, greatest(coalesce(gap, 0), last - coalesce(fin, -1))::BIGINT AS longest_gap FROM t LEFT JOIN g USING (video)")
-@query("longest_gap", f"WITH {_TRACKED} SELECT video, n_frames, n_tracked, round(n_tracked / n_frames::DOUBLE, 5) AS frac_tracked, round(mean_score, 5) AS mean_score, greatest(coalesce(gap, 0), last - coalesce(fin, -1))::BIGINT AS longest_gap FROM t LEFT JOIN g USING (video)")
+def _tracked(spark: SparkSession, d: str) -> DataFrame:
+    return M.tracked_quality(X.pose(spark, d), F.count_if(F.col("score") >= 0.5) >= 9)
+
+
+@query("agg_tracked_quality", f"WITH {_TRACKED} SELECT video, n_frames, n_tracked, round(n_tracked / n_frames::DOUBLE, 5) AS frac_tracked, round(mean_score, 5) AS mean_score FROM t")
 def _quality(spark: SparkSession, d: str) -> DataFrame:
-    q = M.tracked_quality(X.pose(spark, d), (F.col("kp") == 9) & (F.col("score") >= 0.5))
-    return _r(q, "frac_tracked", "mean_score", places=5).withColumn("longest_gap", F.col("longest_gap").cast("long"))
+    return _r(_tracked(spark, d), "frac_tracked", "mean_score", places=5).drop("longest_gap")
+
+
+@query("longest_gap", f"WITH {_TRACKED} SELECT video, greatest(coalesce(gap, 0), last - coalesce(fin, -1))::BIGINT AS longest_gap FROM t LEFT JOIN g USING (video)")
+def _longest_gap(spark: SparkSession, d: str) -> DataFrame:
+    return _tracked(spark, d).select("video", F.col("longest_gap").cast("long").alias("longest_gap"))
+
+
+# Savitzky-Golay of degree 2 over 7 values in closed form: the values' weights in the polynomial at place v of
+# the window are 1/7 + uv/28 + (u^2-4)(v^2-4)/84, u and v counted from its middle.
+_SAVGOL = f"""{_MASKED}, r0 AS (SELECT video, kp, frame, x, sum(CASE WHEN x IS NULL OR px IS NULL THEN 1 ELSE 0 END) OVER (PARTITION BY video, kp ORDER BY frame) AS run FROM (SELECT *, lag(x) OVER (PARTITION BY video, kp ORDER BY frame) AS px FROM m)),
+r1 AS (SELECT *, row_number() OVER (PARTITION BY video, kp, run ORDER BY frame) - 1 AS p, count(x) OVER (PARTITION BY video, kp, run) AS n FROM r0),
+r2 AS (SELECT *, CASE WHEN p < 3 THEN p WHEN p >= n - 3 THEN p - (n - 7) ELSE 3 END AS at FROM r1 WHERE x IS NOT NULL AND n >= 7),
+sv AS (SELECT a.video, a.kp, a.frame, sum(b.x * (1/7.0::DOUBLE + (b.p - a.p + a.at - 3) * (a.at - 3) / 28.0::DOUBLE + ((b.p - a.p + a.at - 3)**2 - 4) * ((a.at - 3)**2 - 4) / 84.0::DOUBLE)) AS s FROM r2 a JOIN r1 b ON a.video = b.video AND a.kp = b.kp AND a.run = b.run AND b.p BETWEEN a.p - a.at AND a.p - a.at + 6 GROUP BY 1, 2, 3)"""
 
 
-@query("savgol_smooth")
+@query("savgol_smooth", f"WITH {_SAVGOL} SELECT m.video, m.kp, m.frame, round(coalesce(s, x), 4) + 0.0 AS smooth FROM m LEFT JOIN sv USING (video, kp, frame)")
 def _savgol(spark: SparkSession, d: str) -> DataFrame:
-    return _r(M.savgol_smooth(_masked(spark, d).where("kp = 5").select("video", "frame", "x"), "x", "smooth", ["video"], "frame"), "smooth")
+    return _r(M.savgol_smooth(_masked(spark, d).select("video", "kp", "frame", "x"), "x", "smooth", ["video", "kp"], "frame"), "smooth").drop("x")
 
 
-@query("box_smooth", f"WITH {_MASKED}, b AS (SELECT video, frame, coalesce(x, median(x) OVER (PARTITION BY video)) AS v, row_number() OVER (PARTITION BY video ORDER BY frame) AS p, count(*) OVER (PARTITION BY video) AS n FROM m WHERE kp = 5) SELECT a.video, a.frame, round(avg(b.v), 4) AS smooth FROM b a CROSS JOIN (SELECT unnest([-2, -1, 0, 1, 2]) AS k) JOIN b ON b.video = a.video AND b.p = greatest(1, least(a.n, a.p + k)) GROUP BY 1, 2")
+@query("box_smooth", f"WITH {_MASKED}, b AS (SELECT video, kp, frame, coalesce(x, median(x) OVER (PARTITION BY video, kp)) AS v, row_number() OVER (PARTITION BY video, kp ORDER BY frame) AS p, count(*) OVER (PARTITION BY video, kp) AS n FROM m) SELECT a.video, a.kp, a.frame, round(avg(b.v), 4) + 0.0 AS smooth FROM b a CROSS JOIN (SELECT unnest([-2, -1, 0, 1, 2]) AS k) JOIN b ON b.video = a.video AND b.kp = a.kp AND b.p = greatest(1, least(a.n, a.p + k)) GROUP BY 1, 2, 3")
 def _box(spark: SparkSession, d: str) -> DataFrame:
-    return _r(M.box_smooth(_masked(spark, d).where("kp = 5").select("video", "frame", "x"), "x", "smooth", ["video"], "frame"), "smooth").select("video", "frame", "smooth")
+    return _r(M.box_smooth(_masked(spark, d).select("video", "kp", "frame", "x"), "x", "smooth", ["video", "kp"], "frame"), "smooth").select("video", "kp", "frame", "smooth")
 
 
-@query("dominant_freq")
+_SPECTRUM = f"""{X.CTE_POSE}, s AS (SELECT video, kp, row_number() OVER (PARTITION BY video, kp ORDER BY frame) - 1 AS t, x - avg(x) OVER (PARTITION BY video, kp) AS v, fps / 5.0::DOUBLE AS rate, count(*) OVER (PARTITION BY video, kp) AS n FROM pose),
+kk AS (SELECT DISTINCT n, unnest(range(0, n // 2 + 1)) AS k FROM s), pw AS (SELECT video, kp, k, any_value(rate) AS rate, any_value(s.n) AS n, sum(v * cos(2 * pi() * k * t / s.n))**2 + sum(v * sin(2 * pi() * k * t / s.n))**2 AS p FROM s JOIN kk ON s.n = kk.n GROUP BY 1, 2, 3),
+tot AS (SELECT video, kp, sum(p) AS total, any_value(rate) AS rate, any_value(n) AS n FROM pw GROUP BY 1, 2), own AS (SELECT video, kp, arg_max(k, p) AS k, max(p) AS p FROM pw WHERE k * rate / n BETWEEN 0.1 AND 5 GROUP BY 1, 2)"""
+
+
+@query("dominant_freq", f"WITH {_SPECTRUM} SELECT video, kp, round(CASE WHEN n >= 2 * rate THEN k * rate / n END, 6) AS freq, round(CASE WHEN n >= 2 * rate THEN p / total END, 6) AS share FROM tot LEFT JOIN own USING (video, kp)")
 def _freq(spark: SparkSession, d: str) -> DataFrame:
-    s = X.pose(spark, d).where("kp = 9").select("video", "frame", "x", (F.col("fps") / 5).alias("rate"))
-    return _r(M.dominant_frequency(s, ["video"], "frame", "x", "rate", low=0.1), "freq", "share", places=6)
+    s = X.pose(spark, d).select("video", "kp", "frame", "x", (F.col("fps") / 5).alias("rate"))
+    return _r(M.dominant_frequency(s, ["video", "kp"], "frame", "x", "rate", low=0.1), "freq", "share", places=6)
 
 
 def _people(spark: SparkSession, d: str) -> DataFrame:
-    good = F.col("score") >= 0.3
-    return X.persons(spark, d).groupBy("video", "frame", "person").agg(F.avg("x").alias("cx"), F.avg("y").alias("cy"), (F.max("x") - F.min("x")).alias("span"), F.avg("score").alias("mean_score"), F.count_if(good).alias("n_good"))
+    return M.track_candidates(X.persons(spark, d))
 
 
 @query("greedy_centroid_track")
@@ -147,10 +168,20 @@ def _iou(spark: SparkSession, d: str) -> DataFrame:
     return _box_pairs(spark, d).select("video", "frame", F.round(K.iou(side("a"), side("b")), 5).alias("iou"))
 
 
-@query("weak_match", f"WITH {_BOXES} SELECT a.video, a.frame, CASE WHEN greatest({_AREA('a')}, {_AREA('b')}) <= 4 * least({_AREA('a')}, {_AREA('b')}) AND sqrt(((a.x1+a.x2-b.x1-b.x2)/2)**2 + ((a.y1+a.y2-b.y1-b.y2)/2)**2) < (sqrt((a.x2-a.x1)**2+(a.y2-a.y1)**2) + sqrt((b.x2-b.x1)**2+(b.y2-b.y1)**2)) / 4 THEN 0.15::DOUBLE ELSE 0 END AS weak FROM boxes a JOIN boxes b ON a.video = b.video AND a.frame = b.frame AND a.person = 0 AND b.person = 1")
+# Boxes of every shape from an embedding's first floats: tall, wide, tiny, every tenth without width.
+_SHAPES = "SELECT vec_id, list_transform(embedding, lambda v: v::DOUBLE) AS e, vec_id % 10 = 0 AS flat FROM embeddings"
+_SHAPE = ", ".join(f"e[{i + 1}] * 20 AS {n}x1, e[{i + 2}] * 20 AS {n}y1, e[{i + 1}] * 20 + CASE WHEN flat THEN 0 ELSE abs(e[{i + 3}]) * 100 END AS {n}x2, e[{i + 2}] * 20 + abs(e[{i + 4}]) * 100 AS {n}y2" for i, n in ((0, "a"), (4, "b")))
+
+
+@query("weak_match", f"WITH s AS (SELECT vec_id, {_SHAPE} FROM ({_SHAPES})), w AS (SELECT *, ax2-ax1 AS wa, ay2-ay1 AS ha, bx2-bx1 AS wb, by2-by1 AS hb FROM s) SELECT vec_id, CASE WHEN least(wa, ha, wb, hb) <= 0 THEN 0 WHEN greatest(wa*ha, wb*hb) / greatest(1e-6, least(wa*ha, wb*hb)) > 4 THEN 0 WHEN sqrt(((ax1+ax2-bx1-bx2)/2)**2 + ((ay1+ay2-by1-by2)/2)**2) < 0.5 * sqrt(((wa+wb)/2)**2 + ((ha+hb)/2)**2) THEN 0.15::DOUBLE ELSE 0 END AS weak FROM w")
 def _weak(spark: SparkSession, d: str) -> DataFrame:
-    side = lambda n: [F.col(f"{n}_{c}") for c in ("x1", "y1", "x2", "y2")]
-    return _box_pairs(spark, d).select("video", "frame", K.weak_match(side("a"), side("b")).alias("weak"))
+    e = table(spark, d, "embeddings").selectExpr("vec_id", "transform(embedding, v -> cast(v AS double)) AS e", "vec_id % 10 = 0 AS flat")
+
+    def side(i: int) -> list:
+        at = lambda k: F.col("e")[i + k]
+        return [at(0) * 20, at(1) * 20, at(0) * 20 + F.when(F.col("flat"), 0).otherwise(F.abs(at(2)) * 100), at(1) * 20 + F.abs(at(3)) * 100]
+
+    return e.select("vec_id", K.weak_match(side(0), side(4)).alias("weak"))
 
 
 @query("bbox_unwrap", "SELECT event_id, event_id::DOUBLE AS x1, event_id + 2.5::DOUBLE AS y2 FROM events")
@@ -160,11 +191,16 @@ def _unwrap(spark: SparkSession, d: str) -> DataFrame:
     return b.select("event_id", F.col("b")[0].alias("x1"), F.col("b")[3].alias("y2"))
 
 
-@query("hypot_dist", f"WITH {_MASKED} SELECT video, frame, round(sqrt(({_AT(5, 'x')} - {_AT(11, 'x')})**2 + ({_AT(5, 'y')} - {_AT(11, 'y')})**2), 4) AS dist, round(({_AT(5, 'x')} + {_AT(6, 'x')}) / 2, 4) AS mid_x FROM m GROUP BY 1, 2")
-@query("mid_nullsafe", f"WITH {_MASKED} SELECT video, frame, round(sqrt(({_AT(5, 'x')} - {_AT(11, 'x')})**2 + ({_AT(5, 'y')} - {_AT(11, 'y')})**2), 4) AS dist, round(({_AT(5, 'x')} + {_AT(6, 'x')}) / 2, 4) AS mid_x FROM m GROUP BY 1, 2")
+@query("hypot_dist", f"WITH {_MASKED} SELECT video, frame, round(sqrt(({_AT(5, 'x')} - {_AT(11, 'x')})**2 + ({_AT(5, 'y')} - {_AT(11, 'y')})**2), 4) AS dist FROM m GROUP BY 1, 2")
 def _hypot(spark: SparkSession, d: str) -> DataFrame:
     at = lambda k, c: F.max(F.when(F.col("kp") == k, F.col(c)))
-    return _masked(spark, d).groupBy("video", "frame").agg(F.round(F.hypot(at(5, "x") - at(11, "x"), at(5, "y") - at(11, "y")), 4).alias("dist"), F.round((at(5, "x") + at(6, "x")) / 2, 4).alias("mid_x"))
+    return _masked(spark, d).groupBy("video", "frame").agg(F.round(F.hypot(at(5, "x") - at(11, "x"), at(5, "y") - at(11, "y")), 4).alias("dist"))
+
+
+@query("mid_nullsafe", f"WITH {_MASKED} SELECT video, frame, round(({_AT(5, 'x')} + {_AT(6, 'x')}) / 2, 4) AS mid_x, round(({_AT(5, 'y')} + {_AT(6, 'y')}) / 2, 4) AS mid_y FROM m GROUP BY 1, 2")
+def _middle(spark: SparkSession, d: str) -> DataFrame:
+    at = lambda k, c: F.max(F.when(F.col("kp") == k, F.col(c)))
+    return _masked(spark, d).groupBy("video", "frame").agg(*[F.round((at(5, c) + at(6, c)) / 2, 4).alias(f"mid_{c}") for c in "xy"])
 
 
 _D = lambda i, j: f"sqrt((x{i} - x{j})**2 + (y{i} - y{j})**2)"
@@ -291,15 +327,25 @@ def _diag(spark: SparkSession, d: str) -> DataFrame:
     return _r(own.select("video", "frame", "kp", dist.alias("dist")), "dist")
 
 
-@query("join_peaks_to_persons", f"WITH {X.CTE_PERSONS}, pk AS (SELECT video, frame, person * 17 + kp AS id, score FROM persons WHERE score >= 0.5) SELECT p.video, p.frame, p.person, count(*) AS n FROM persons p JOIN pk ON pk.video = p.video AND pk.frame = p.frame AND pk.id = p.person * 17 + p.kp GROUP BY 1, 2, 3")
-@query("legacy_skeleton_decode", f"WITH {X.CTE_PERSONS}, pk AS (SELECT video, frame, person * 17 + kp AS id, score FROM persons WHERE score >= 0.5) SELECT p.video, p.frame, p.person, count(*) AS n FROM persons p JOIN pk ON pk.video = p.video AND pk.frame = p.frame AND pk.id = p.person * 17 + p.kp GROUP BY 1, 2, 3")
-def _decode(spark: SparkSession, d: str) -> DataFrame:
-    """Nested peaks and persons of each frame, as the old files hold them, decoded to rows."""
+_PEAKS = f"WITH {X.CTE_PERSONS}, pk AS (SELECT video, frame, person * 17 + kp AS id, x, score FROM persons WHERE score >= 0.5)"
+
+
+def _peaks(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """Nested peaks and persons of each frame, as the old files hold them."""
     p = X.persons(spark, d)
     peaks = p.where("score >= 0.5").groupBy("video", "frame").agg(F.collect_list(F.expr("struct(x, y, score AS c, person * 17 + kp AS id)")).alias("peaks"))
-    limbs = p.groupBy("video", "frame", "person").agg(F.sort_array(F.collect_list(F.struct("kp", F.expr("person * 17 + kp").alias("id")))).alias("subset"))
-    own = limbs.select("video", "frame", "person", F.posexplode("subset.id").alias("part", "id"))
-    spots = peaks.select("video", "frame", F.explode("peaks").alias("p")).select("video", "frame", "p.id", "p.x", "p.c")
-    return own.join(spots, ["video", "frame", "id"], "left").where("c IS NOT NULL").groupBy("video", "frame", "person").agg(F.count("*").alias("n"))
+    limbs = p.groupBy("video", "frame", "person").agg(F.sort_array(F.collect_list(F.struct("kp", F.expr("if(score >= 0.4, person * 17 + kp, -1)").alias("id")))).alias("subset"))
+    return peaks, limbs
+
 
+@query("join_peaks_to_persons", f"{_PEAKS} SELECT p.video, p.frame, p.person, p.kp::INT AS part, round(pk.x, 4) AS x FROM persons p LEFT JOIN pk ON pk.video = p.video AND pk.frame = p.frame AND pk.id = p.person * 17 + p.kp WHERE p.score >= 0.4")
+def _peak_join(spark: SparkSession, d: str) -> DataFrame:
+    """Every part that a person has, and its peak if there is one."""
+    rows = P.decode_skeletons(*_peaks(spark, d))
+    return rows.where("id >= 0").select("video", "frame", "person", "part", F.round("x", 4).alias("x"))
 
+
+@query("legacy_skeleton_decode", f"{_PEAKS} SELECT p.video, p.frame, p.person, count(*) AS n_parts, count(pk.id) AS n_found, round(max(pk.score), 5) AS best FROM persons p LEFT JOIN pk ON pk.video = p.video AND pk.frame = p.frame AND pk.id = p.person * 17 + p.kp AND p.score >= 0.4 GROUP BY 1, 2, 3")
+def _decode(spark: SparkSession, d: str) -> DataFrame:
+    rows = P.decode_skeletons(*_peaks(spark, d))
+    return rows.groupBy("video", "frame", "person").agg(F.count("*").alias("n_parts"), F.count("c").alias("n_found"), F.round(F.max("c"), 5).alias("best"))

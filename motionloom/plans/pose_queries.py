@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators import cohort as H
 from ..operators import pose as P
 from ..operators import sequences as S
 from . import fixtures as X
 from .registry import query
+from .shared import materialise
 
 
 def sql_interpolate(src: str, dst: str, cols: list[str], keys: str, order: str) -> str:
@@ -105,29 +107,33 @@ def rs(*cols: str, places: int = 5) -> str:
     return ", ".join(f"round({c}, {places}) + 0.0 AS {c}" for c in cols)
 
 
+_INFO = ("fps", "pixel_x", "pixel_y")
+
+
 def long_pose(spark: SparkSession, d: str) -> DataFrame:
     """Masked, named parts with the neck, and the recording's settings."""
-    raw = X.pose(spark, d)
-    named = P.with_neck(P.name_parts(P.mask_low_score(raw), X.COCO, X.part_of))
-    return named.join(X.frames(spark, d).select("video", "frame", "fps", "pixel_x", "pixel_y"), ["video", "frame"])
+    return P.with_neck(P.name_parts(P.mask_low_score(X.pose(spark, d)), X.COCO, X.part_of), _INFO)
 
 
 def grid(spark: SparkSession, d: str) -> DataFrame:
-    parts = long_pose(spark, d).select("video", "frame", "bp", "x", "y")
-    info = X.frames(spark, d).select("video", "frame", "fps", "pixel_x", "pixel_y")
-    return P.dense_grid(parts, spark, X.PARTS).join(info, ["video", "frame"])
+    return P.dense_grid(long_pose(spark, d), X.PARTS, _INFO)
 
 
 def smooth(spark: SparkSession, d: str) -> DataFrame:
     return P.smooth_pose(P.normalise_frame(grid(spark, d)))
 
 
+def stored_rows(spark: SparkSession, d: str) -> DataFrame:
+    """Frame rows of the smoothed pose, written once for all that is derived from them."""
+    return materialise(P.frame_rows(smooth(spark, d).select("video", "frame", "bp", "x", "y", "fps")), "frame-rows")
+
+
 def dynamics(spark: SparkSession, d: str) -> DataFrame:
-    return P.dynamics_xy(P.rotate_scale_skeleton(smooth(spark, d)))
+    return P.dynamics_xy(P.rotate_scale_skeleton(smooth(spark, d).drop("w", "part_idx", "pixel_x", "pixel_y")))
 
 
 def angle_dynamics(spark: SparkSession, d: str) -> DataFrame:
-    return P.dynamics_angle(P.joint_angles(smooth(spark, d)))
+    return P.dynamics_angle(P.joint_angles(smooth(spark, d).select("video", "frame", "bp", "x", "y", "fps")))
 
 
 @query("mask_low_score", f"WITH {X.CTE_POSE} SELECT video, frame, kp, round(CASE WHEN score >= 0.3 THEN x END, 5) AS x, round(CASE WHEN score >= 0.3 THEN y END, 5) AS y FROM pose")
@@ -186,11 +192,15 @@ _COUNTS = "SELECT video, bp, part_idx, count(*) AS n_rows, count(x) AS n_x FROM
 
 
 @query("dense_grid", f"WITH {X.CTE_LONG}, {GRID} {_COUNTS}")
-@query("join_dense_grid", f"WITH {X.CTE_LONG}, {GRID} {_COUNTS}")
 def _grid(spark: SparkSession, d: str) -> DataFrame:
     return grid(spark, d).groupBy("video", "bp", "part_idx").agg(F.count("*").alias("n_rows"), F.count("x").alias("n_x"))
 
 
+@query("join_dense_grid", f"WITH {X.CTE_LONG}, {GRID} SELECT video, frame, bp, round(x, 4) AS x, round(y, 4) AS y FROM grid")
+def _grid_data(spark: SparkSession, d: str) -> DataFrame:
+    return grid(spark, d).select("video", "frame", "bp", F.round("x", 4).alias("x"), F.round("y", 4).alias("y"))
+
+
 @query("join_video_info", f"WITH {X.CTE_FRAMES}, info AS (SELECT DISTINCT video, fps, pixel_x, pixel_y FROM frames WHERE video % 4 <> 3) SELECT f.video, count(*) AS n, max(info.fps) AS fps FROM frames f LEFT JOIN info USING (video) GROUP BY 1")
 def _info(spark: SparkSession, d: str) -> DataFrame:
     f = X.frames(spark, d)
@@ -225,7 +235,7 @@ def _gap(spark: SparkSession, d: str) -> DataFrame:
 @query("roll_med_centered", f"WITH {X.CTE_LONG}, {GRID}, {NORMAL}, {sql_interpolate('normal', 'filled', ['x', 'y'], 'video, bp', 'frame')}, {sql_rolling('filled', 'meds', ['x', 'y'], 'video, bp', 'frame', 'w', 'median')} SELECT video, frame, bp, {rs('x')} FROM meds")
 def _med(spark: SparkSession, d: str) -> DataFrame:
     df = S.interpolate(P.normalise_frame(grid(spark, d)), ["x"], ["video", "bp"], "frame").withColumn("w", F.floor(F.col("fps") * 0.5).cast("int"))
-    return S.rolling_centered(df, "x", "m", ["video", "bp"], "frame", "w", "median").select("video", "frame", "bp", F.col("m").alias("x")).select("video", "frame", "bp", *r("x"))
+    return S.rolling_centered(df, {"x": "x"}, ["video", "bp"], "frame", "w", "median").select("video", "frame", "bp", *r("x"))
 
 
 @query("roll_mean_centered", f"WITH {SMOOTH} SELECT video, frame, bp, {rs('x', 'y')} FROM smooth")
@@ -236,7 +246,7 @@ def _smooth(spark: SparkSession, d: str) -> DataFrame:
 @query("roll_mean_trailing", f"WITH {X.CTE_LONG}, {GRID}, {NORMAL}, {sql_interpolate('normal', 'filled', ['x', 'y'], 'video, bp', 'frame')}, {sql_rolling('filled', 'tr', ['x', 'y'], 'video, bp', 'frame', 'wd', 'avg', False)} SELECT video, frame, bp, {rs('x')} FROM tr")
 def _trailing(spark: SparkSession, d: str) -> DataFrame:
     df = S.interpolate(P.normalise_frame(grid(spark, d)), ["x"], ["video", "bp"], "frame").withColumn("wd", F.floor(F.col("fps") * 0.25).cast("int"))
-    return S.rolling_trailing(df, "x", "m", ["video", "bp"], "frame", "wd").select("video", "frame", "bp", F.col("m").alias("x")).select("video", "frame", "bp", *r("x"))
+    return S.rolling_trailing(df, {"x": "x"}, ["video", "bp"], "frame", "wd").select("video", "frame", "bp", *r("x"))
 
 
 @query("delta_first_zero", f"WITH {SMOOTH} SELECT video, frame, bp, {rs('d_x')} FROM (SELECT *, {sql_delta('x')} AS d_x FROM smooth {ORDER})")
@@ -291,11 +301,16 @@ def _dt(spark: SparkSession, d: str) -> DataFrame:
 
 
 @query("joint_angle_signed", f"WITH {SMOOTH}, {ANGLES} SELECT video, frame, bp, {rs('angle', places=4)} FROM angles")
-@query("join_angle_triplets", f"WITH {SMOOTH}, {ANGLES} SELECT video, frame, bp, {rs('angle', places=4)} FROM angles")
 def _angles(spark: SparkSession, d: str) -> DataFrame:
     return P.joint_angles(smooth(spark, d)).select("video", "frame", "bp", *r("angle", places=4))
 
 
+@query("join_angle_triplets", f"WITH {SMOOTH}, {ANGLES} SELECT bp, count(*) AS n, count(DISTINCT video) AS n_videos, min(frame)::INT AS first_frame FROM raw_angles GROUP BY 1")
+def _triplets(spark: SparkSession, d: str) -> DataFrame:
+    j = P.joint_angles(smooth(spark, d))
+    return j.groupBy("bp").agg(F.count("*").alias("n"), F.countDistinct("video").alias("n_videos"), F.min("frame").cast("int").alias("first_frame"))
+
+
 @query("angle_delta_shortest", f"WITH {SMOOTH}, {ANGLE_DYNAMICS} SELECT video, bp, frame::INT AS frame, round(velocity / fps, 4) + 0.0 AS displacement FROM e1")
 def _turn(spark: SparkSession, d: str) -> DataFrame:
     return angle_dynamics(spark, d).select("video", "bp", F.col("frame").cast("int").alias("frame"), *r("displacement", places=4))
@@ -317,11 +332,10 @@ FEATURES_XY = f"""own AS (SELECT * FROM dyn WHERE substr(bp, 2) IN ('Ankle', 'Wr
 fxy AS (SELECT video, bp, median(x) AS medianx, median(y) AS mediany, {_IQR("x")} AS IQRx, {_IQR("y")} AS IQRy, median(abs(velocity_x)) AS medianvelx, median(abs(velocity_y)) AS medianvely,
   {_IQR("velocity_x")} AS IQRvelx, {_IQR("velocity_y")} AS IQRvely, {_IQR("acceleration_x")} AS IQRaccx, {_IQR("acceleration_y")} AS IQRaccy, (any_value(ex.e) + any_value(ey.e)) / 2 AS meanent
   FROM own LEFT JOIN ex USING (video, bp) LEFT JOIN ey USING (video, bp) GROUP BY 1, 2)"""
-XY = ["medianx", "mediany", "IQRx", "IQRy", "medianvelx", "medianvely", "IQRvelx", "IQRvely", "IQRaccx", "IQRaccy", "meanent"]
 FEATURES_ANGLE = f"""{sql_entropy("adyn", "angle", 0, "ea")}, fangle AS (SELECT video, bp, degrees(atan2(avg(sin(radians(angle))), avg(cos(radians(angle))))) AS mean_angle,
   sqrt(degrees(1 - sqrt(avg(sin(radians(angle))) ** 2 + avg(cos(radians(angle))) ** 2))) AS stdev_angle, any_value(ea.e) AS entropy_angle, median(abs(velocity)) AS median_vel_angle, {_IQR("velocity")} AS IQR_vel_angle, {_IQR("acceleration")} AS IQR_acc_angle
   FROM adyn LEFT JOIN ea USING (video, bp) GROUP BY 1, 2)"""
-ANGLE = ["mean_angle", "stdev_angle", "entropy_angle", "median_vel_angle", "IQR_vel_angle", "IQR_acc_angle"]
+XY, ANGLE = P.XY, P.ANGLE
 
 
 def sql_corr(src: str, c: str, dst: str) -> str:
@@ -368,17 +382,7 @@ def _pivot_corr(spark: SparkSession, d: str) -> DataFrame:
 
 def feature_table(spark: SparkSession, d: str) -> DataFrame:
     """One row a recording: 44 positional, 48 angular and 12 symmetry features."""
-    own, turns = dynamics(spark, d), angle_dynamics(spark, d)
-    xy = P.wide(P.features_xy(own), "video", "bp", XY, ["LAnkle", "RAnkle", "LWrist", "RWrist"])
-    angle = P.wide(P.features_angle(turns), "video", "bp", ANGLE, [j for j, *_ in P.JOINTS])
-    radial = P.lr_correlation(own.withColumn("radius", F.hypot("x", "y")), "radius", "lrCorr_x")
-    side = P.lr_correlation(P.joint_angles(smooth(spark, d)), "angle", "lrCorr_angle")
-    cx = P.wide(radial, "video", "part", ["lrCorr_x"], ["Ankle", "Ear", "Elbow", "Eye", "Hip", "Knee", "Shoulder", "Wrist"])
-    ca = P.wide(side, "video", "part", ["lrCorr_angle"], ["Elbow", "Knee", "Hip", "Shoulder"])
-    joined = xy
-    for other in (angle, cx, ca):
-        joined = joined.join(other, "video", "full_outer")
-    return joined
+    return P.feature_table(stored_rows(spark, d))
 
 
 def _sql_wide(src: str, key: str, values: list[str], among: list[str], dst: str) -> str:
@@ -394,15 +398,39 @@ _WIDE = ", ".join(
         _sql_wide("crn", "part", ["lrCorr_x"], ["Ankle", "Ear", "Elbow", "Eye", "Hip", "Knee", "Shoulder", "Wrist"], "wcx"), _sql_wide("can", "part", ["lrCorr_angle"], ["Elbow", "Knee", "Hip", "Shoulder"], "wca"),
     ]
 )
-_COLUMNS = [f"{v}_{n}" for v in XY for n in ("LAnkle", "RAnkle", "LWrist", "RWrist")] + [f"{v}_{j}" for v in ANGLE for j, *_ in P.JOINTS] + [f"lrCorr_x_{p}" for p in ("Ankle", "Ear", "Elbow", "Eye", "Hip", "Knee", "Shoulder", "Wrist")] + [f"lrCorr_angle_{p}" for p in ("Elbow", "Knee", "Hip", "Shoulder")]
+_COLUMNS = P.FEATURES
+_JOINED = "FROM wxy FULL JOIN wangle USING (video) FULL JOIN wcx USING (video) FULL JOIN wca USING (video)"
 
 
-@query("feature_table", f"WITH {_WIDE} SELECT video, {rs(*_COLUMNS, places=3)} FROM wxy FULL JOIN wangle USING (video) FULL JOIN wcx USING (video) FULL JOIN wca USING (video)")
-@query("join_features_outer", f"WITH {_WIDE} SELECT video, {rs(*_COLUMNS, places=3)} FROM wxy FULL JOIN wangle USING (video) FULL JOIN wcx USING (video) FULL JOIN wca USING (video)")
+@query("feature_table", f"WITH {_WIDE} SELECT video, {rs(*_COLUMNS, places=3)} {_JOINED}")
 def _features(spark: SparkSession, d: str) -> DataFrame:
     return feature_table(spark, d).select("video", *r(*_COLUMNS, places=3))
 
 
+@query("join_features_outer", f"WITH {_WIDE} SELECT video, round(IQRx_LWrist, 3) + 0.0 AS IQRx_LWrist, round(mean_angle_LKnee, 3) + 0.0 AS mean_angle_LKnee, round(lrCorr_x_Ear, 3) + 0.0 AS lrCorr_x_Ear, round(lrCorr_angle_Hip, 3) + 0.0 AS lrCorr_angle_Hip FROM (SELECT video, IQRx_LWrist FROM wxy WHERE video % 4 > 0) FULL JOIN (SELECT video, mean_angle_LKnee FROM wangle WHERE video % 3 > 0) USING (video) FULL JOIN wcx USING (video) FULL JOIN wca USING (video)")
+def _features_outer(spark: SparkSession, d: str) -> DataFrame:
+    """Feature tables of unequal recordings side by side; what a table lacks is null."""
+    t = feature_table(spark, d)
+    tables = [t.where("video % 4 > 0").select("video", "IQRx_LWrist"), t.where("video % 3 > 0").select("video", "mean_angle_LKnee"), t.select("video", "lrCorr_x_Ear"), t.select("video", "lrCorr_angle_Hip")]
+    return P.join_features(tables, "video").select("video", *r("IQRx_LWrist", "mean_angle_LKnee", "lrCorr_x_Ear", "lrCorr_angle_Hip", places=3))
+
+
+def _sided_mean(feature: str) -> str:
+    """Mean of both sides of a scored feature, of those there are."""
+    part, _, stat = feature.partition("_")
+    if stat.startswith("lrCorr"):
+        return f"{stat}_{part}"
+    left, right = f"{stat}_L{part}", f"{stat}_R{part}"
+    return f"coalesce(({left} + {right}) / 2, {left}, {right})"
+
+
+@query("feature_whitelist", f"WITH {_WIDE}, every AS (SELECT * {_JOINED}), kept AS (SELECT video, {', '.join(f'round({_sided_mean(f)}, 3) + 0.0 AS {f}' for f in H.SCORED_FEATURES)} FROM every) SELECT * FROM kept")
+def _whitelist(spark: SparkSession, d: str) -> DataFrame:
+    """The 38 scored features of each recording: means of both sides, all others dropped."""
+    t = H.whitelist(H.joint_table(feature_table(spark, d), ["video"], P.FEATURES), ["video"])
+    return t.select("video", *r(*H.SCORED_FEATURES, places=3))
+
+
 @query("pivot_features", f"WITH {_WIDE} SELECT video, {rs(*_COLUMNS[:44], places=3)} FROM wxy")
 def _pivot_features(spark: SparkSession, d: str) -> DataFrame:
     w = P.wide(P.features_xy(dynamics(spark, d)), "video", "bp", XY, ["LAnkle", "RAnkle", "LWrist", "RWrist"])

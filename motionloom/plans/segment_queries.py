@@ -82,13 +82,15 @@ def _seconds(spark: SparkSession, d: str) -> DataFrame:
     return _runs(spark, d).select("user_id", "run", F.round(s, 6).alias("start_sec"), F.round(e, 6).alias("end_sec"))
 
 
+# Least length 1.1 s: many first scenes are short alone and long enough with what joins them.
 @query(
     "merge_runts",
-    f"""{_SECONDS}, g AS (SELECT *, end_sec - start_sec < 0.6 AS short, row_number() OVER (PARTITION BY user_id ORDER BY start_sec) AS rn FROM scenes), h AS (SELECT *, sum(CASE WHEN rn = 1 OR NOT short THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY start_sec) AS grp, first_value(short) OVER (PARTITION BY user_id ORDER BY start_sec) AS fs FROM g)
-    SELECT user_id, round(min(start_sec), 4) AS start_sec, round(max(end_sec), 4) AS end_sec, round(arg_max_null(cut_confidence, start_sec), 6) AS cut_confidence, count(*) - 1 AS merged_runts FROM (SELECT * REPLACE (CASE WHEN fs AND grp = 2 THEN 1 ELSE grp END AS grp) FROM h) GROUP BY user_id, grp""",
+    f"""{_SECONDS}, g AS (SELECT *, end_sec - start_sec < 1.1 AS short, row_number() OVER (PARTITION BY user_id ORDER BY start_sec) AS rn FROM scenes), h AS (SELECT *, sum(CASE WHEN rn = 1 OR NOT short THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY start_sec) AS grp FROM g),
+    m AS (SELECT user_id, grp, min(start_sec) AS s, max(end_sec) AS e FROM h GROUP BY 1, 2), f AS (SELECT user_id, e - s < 1.1 AS fold FROM m WHERE grp = 1)
+    SELECT user_id, round(min(start_sec), 4) AS start_sec, round(max(end_sec), 4) AS end_sec, round(arg_max_null(cut_confidence, start_sec), 6) AS cut_confidence, count(*) - 1 AS merged_runts FROM (SELECT h.* REPLACE (CASE WHEN fold AND grp = 2 THEN 1 ELSE grp END AS grp) FROM h JOIN f USING (user_id)) GROUP BY user_id, grp""",
 )
 def _runts(spark: SparkSession, d: str) -> DataFrame:
-    m = G.merge_runts(_scenes(spark, d), ["user_id"], 0.6)
+    m = G.merge_runts(_scenes(spark, d), ["user_id"], 1.1)
     return m.select("user_id", F.round("start_sec", 4).alias("start_sec"), F.round("end_sec", 4).alias("end_sec"), F.round("cut_confidence", 6).alias("cut_confidence"), "merged_runts")
 
 
@@ -101,12 +103,13 @@ def _weak(spark: SparkSession, d: str) -> DataFrame:
     return G.merge_weak_cuts(_scenes(spark, d), ["user_id"], 0.85).select("user_id", F.round("start_sec", 4).alias("start_sec"), F.round("end_sec", 4).alias("end_sec"), "low_conf_merges")
 
 
+# Scenes of exactly 1.25 s, and some longer by less than the tolerance.
 @query(
     "subdivide_equal",
-    f"{_SECONDS}, n AS (SELECT *, greatest(ceil((end_sec - start_sec) / 1.2), 1)::INT AS parts FROM scenes), p AS (SELECT *, unnest(range(0, parts))::INT AS part FROM n) SELECT user_id, run, part, parts, round(start_sec + part * ((end_sec - start_sec) / parts), 5) AS start_sec, round(CASE WHEN part = parts - 1 THEN end_sec ELSE start_sec + (part + 1) * ((end_sec - start_sec) / parts) END, 5) AS end_sec, round(CASE WHEN part = parts - 1 THEN cut_confidence END, 6) AS cut_confidence, parts > 1 AS subdivided FROM p",
+    f"{_SECONDS}, o AS (SELECT * REPLACE (end_sec + CASE WHEN user_id % 2 = 0 THEN 4e-7::DOUBLE ELSE 0 END AS end_sec) FROM scenes), n AS (SELECT *, CASE WHEN end_sec - start_sec <= 1.25 + 1e-6 THEN 1 ELSE ceil((end_sec - start_sec) / 1.25) END::INT AS parts FROM o), p AS (SELECT *, unnest(range(0, parts))::INT AS part FROM n) SELECT user_id, run, part, parts, round(start_sec + part * ((end_sec - start_sec) / parts), 5) AS start_sec, round(CASE WHEN part = parts - 1 THEN end_sec ELSE start_sec + (part + 1) * ((end_sec - start_sec) / parts) END, 5) AS end_sec, round(CASE WHEN part = parts - 1 THEN cut_confidence END, 6) AS cut_confidence, parts > 1 AS subdivided FROM p",
 )
 def _sub(spark: SparkSession, d: str) -> DataFrame:
-    s = G.subdivide_equal(_scenes(spark, d), 1.2)
+    s = G.subdivide_equal(_scenes(spark, d).withColumn("end_sec", F.expr("end_sec + if(user_id % 2 = 0, 4e-7D, 0D)")), 1.25)
     return s.select("user_id", "run", "part", "parts", F.round("start_sec", 5).alias("start_sec"), F.round("end_sec", 5).alias("end_sec"), F.round("cut_confidence", 6).alias("cut_confidence"), "subdivided")
 
 
@@ -115,10 +118,8 @@ def _sub(spark: SparkSession, d: str) -> DataFrame:
     f"{_SECONDS}, n AS (SELECT *, CASE WHEN end_sec - start_sec <= 1.5 THEN 1 ELSE ceil((end_sec - start_sec) / 1.0)::INT END AS parts FROM scenes), p AS (SELECT *, unnest(range(0, parts))::INT AS part FROM n) SELECT user_id, run * 100 + part AS segment_key, round(start_sec + part, 4) AS start_sec, round(CASE WHEN part = parts - 1 THEN end_sec ELSE start_sec + part + 1 END, 4) AS end_sec, round(CASE WHEN part = parts - 1 THEN cut_confidence END, 6) AS cut_confidence FROM p",
 )
 def _chunks(spark: SparkSession, d: str) -> DataFrame:
-    dur = F.col("end_sec") - F.col("start_sec")
-    s = _scenes(spark, d).withColumn("parts", F.when(dur <= 1.5, 1).otherwise(F.ceil(dur)).cast("int")).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
-    last = F.col("part") == F.col("parts") - 1
-    return s.select("user_id", Z.segment_key(F.col("run"), F.col("part")).alias("segment_key"), F.round(F.col("start_sec") + F.col("part"), 4).alias("start_sec"), F.round(F.when(last, F.col("end_sec")).otherwise(F.col("start_sec") + F.col("part") + 1), 4).alias("end_sec"), F.round(F.when(last, F.col("cut_confidence")), 6).alias("cut_confidence"))
+    s = G.scene_chunks(_scenes(spark, d), 1.0, 1.5)
+    return s.select("user_id", Z.segment_key(F.col("run"), F.col("part")).alias("segment_key"), F.round("start_sec", 4).alias("start_sec"), F.round("end_sec", 4).alias("end_sec"), F.round("cut_confidence", 6).alias("cut_confidence"))
 
 
 @query("scene_start_cap", f"{_SECONDS} SELECT user_id, run FROM scenes WHERE start_sec < 5")
@@ -179,12 +180,19 @@ _BIN = "WITH b AS (SELECT vec_id, s, unnest(range(0, 5))::INT AS i FROM (" + _EM
 
 
 @query("audio_bins", f"{_BIN} SELECT vec_id, i, 11 AS width, round(list_sum(own), 5) AS total FROM c")
-@query("join_frames_bins", f"{_BIN} SELECT vec_id, i, 11 AS width, round(list_sum(own), 5) AS total FROM c")
 def _bins(spark: SparkSession, d: str) -> DataFrame:
     b = _emb(spark, d).withColumn("b", G.sample_bins(F.col("s"), F.lit(0.5), F.lit(5), F.lit(1.1), 10)).select("vec_id", F.posexplode("b").alias("i", "own"))
     return b.select("vec_id", "i", F.size("own").alias("width"), F.round(F.aggregate("own", F.lit(0.0), lambda a, x: a + x), 5).alias("total"))
 
 
+@query("join_frames_bins", f"{_BIN} SELECT vec_id, i, round(0.5 + (i + 0.5) * 1.1, 4) AS stamp, round(own[1], 5) AS first, len(own)::INT AS n FROM c")
+def _frames_bins(spark: SparkSession, d: str) -> DataFrame:
+    """Each frame stamp beside the samples of its own bin, zipped by place."""
+    stamps, bins = G.frame_stamps(F.lit(0.5), F.lit(5), F.lit(1.1)), G.sample_bins(F.col("s"), F.lit(0.5), F.lit(5), F.lit(1.1), 10)
+    b = _emb(spark, d).select("vec_id", F.posexplode(F.arrays_zip(stamps.alias("stamp"), bins.alias("own"))).alias("i", "z"))
+    return b.select("vec_id", "i", F.round("z.stamp", 4).alias("stamp"), F.round(F.get("z.own", 0), 5).alias("first"), F.size("z.own").alias("n"))
+
+
 @query("agg_rms", f"{_BIN}, r AS (SELECT vec_id, i, sqrt(list_sum(list_transform(own, lambda v: v * v)) / 11) AS rms FROM c) SELECT vec_id, round(avg(rms), 6) AS rms_mean, round(stddev_pop(rms), 6) AS rms_std FROM r GROUP BY 1")
 def _rms(spark: SparkSession, d: str) -> DataFrame:
     b = _emb(spark, d).withColumn("b", G.sample_bins(F.col("s"), F.lit(0.5), F.lit(5), F.lit(1.1), 10)).select("vec_id", F.explode("b").alias("own"))
