@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import gc
-import tempfile
 import uuid
 from collections.abc import Iterator
 
@@ -16,6 +15,7 @@ from pyspark.sql import functions as F
 TMP = "__loom_"
 
 _made: list[tuple[object, str]] = []
+_tables: list[tuple[DataFrame, SparkSession, str]] = []
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,25 +39,27 @@ def fold_of(column: str, modulus: int) -> Column:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, else (tests only) a new local one."""
-    sc = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    """The folder that all executors share: spark.checkpoint.dir; an error where none is set."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not base:
-        held = sc._jsc.sc().getCheckpointDir()
-        if held.isDefined():
-            return held.get()
-        base = "file://" + tempfile.mkdtemp(prefix="motionloom-")
-        sc.setCheckpointDir(base)
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        if not held.isDefined():
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = held.get()
     return base
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def _forget() -> None:
     for spark, path in _made:
         try:
-            hpath = spark._jvm.org.apache.hadoop.fs.Path(path)
-            hpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hpath, True)
-        except Exception:  # noqa: BLE001 - the session may be gone at exit; nothing is left to do
-            return
+            _delete(spark, path)
+        except Exception:  # noqa: BLE001 - the session may be gone at exit; each folder is tried
+            continue
 
 
 atexit.register(_forget)
@@ -73,7 +75,19 @@ def materialise(df: DataFrame, name: str, **options: str) -> DataFrame:
     path = f"{shared_dir(spark)}/motionloom/{name}-{uuid.uuid4().hex}"
     _made.append((spark, path))
     df.write.options(**{"parquet.block.size": str(16 << 20)} | options).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    made = spark.read.schema(df.schema).parquet(path)
+    _tables.append((made, spark, path))
+    return made
+
+
+def drop(df: DataFrame) -> None:
+    """Delete the table that ``materialise`` has written for ``df``, which nothing may read any more."""
+    for k, (held, spark, path) in enumerate(_tables):
+        if held is df:
+            _delete(spark, path)
+            _made.remove((spark, path))
+            del _tables[k]
+            return
 
 
 def sliced(batches: Iterator[pa.RecordBatch], text: str = "text", chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
@@ -87,12 +101,6 @@ def sliced(batches: Iterator[pa.RecordBatch], text: str = "text", chars: int = 4
             yield batch.slice(at, step)
 
 
-def narrow_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Bound the rows of an Arrow batch, so that long texts cannot fill a Python worker."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > rows:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
 def give_back() -> None:
     """Return a Python worker's free memory to the system before the worker waits for its next task."""
     gc.collect()

@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import TMP, id_text, materialise, narrow_batches, sliced
+from .common import TMP, id_text, materialise, sliced
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -301,7 +301,6 @@ def near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8, bands: i
     probability 0.9996.  A pair is verified if its signatures agree in at least ``least - slack``
     of the slots (three and a half standard errors below the threshold).
     """
-    narrow_batches(docs.sparkSession)
     texts = id_text(docs)
     marked = texts.withColumn("digest", F.md5(F.encode("text", "UTF-8")))
     signed = materialise(_signatures(marked.select("doc_id", "text", "digest"), size, bands, rows), "signatures")

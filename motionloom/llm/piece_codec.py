@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import give_back, id_text, narrow_batches, sliced
+from .common import give_back, id_text, sliced
 from .token_binary import ragged
 
 SPACE = "▁"
@@ -296,5 +296,4 @@ def encode_pieces(docs: DataFrame, model_path: str, cache_size: int = 300_000, p
             own.forget()
             give_back()
 
-    narrow_batches(docs.sparkSession)
     return id_text(docs).mapInArrow(run, "doc_id long, n_pieces long, pieces array<int>, decoded string")

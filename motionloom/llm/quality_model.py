@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import TMP, id_text, materialise, narrow_batches, sliced
+from .common import TMP, id_text, materialise, sliced
 
 #: Byte classes whose shares are features.
 _CLASSES: dict[str, bytes] = {
@@ -147,7 +147,6 @@ def document_statistics(docs: DataFrame) -> DataFrame:
             values = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
             yield pa.RecordBatch.from_arrays([batch.column(0), values], ["doc_id", "x"])
 
-    narrow_batches(docs.sparkSession)
     return id_text(docs).mapInArrow(run, "doc_id long, x array<float>")
 
 

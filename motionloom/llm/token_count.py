@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, narrow_batches, sliced
+from .common import id_text, sliced
 
 #: The byte-level pre-token pattern of the vocabulary file.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -164,7 +164,6 @@ def count_tokens(docs: DataFrame, tokenizer_path: str, limit: int = 1024) -> Dat
                 ["doc_id", "n_bytes", "n_tokens"],
             )
 
-    narrow_batches(docs.sparkSession)
     rows = id_text(docs).withColumn("n_bytes", F.octet_length("text").cast("long"))
     out = rows.mapInArrow(run, "doc_id long, n_bytes long, n_tokens long")
     return out.withColumn("over_limit", F.col("n_tokens") > limit)
