@@ -2,16 +2,19 @@
 
 Whole texts are encoded with the tokenizers library, an end id is appended to each, and the
 documents are laid out in ascending id order.  The layout is cut into segments of about
-``segment_tokens`` ids; each segment is one file record with its own grammar.  In each round the
-frequent adjacent pairs of the segment are replaced by new nonterminals (left to right where
-occurrences overlap, never across a document's end); the record keeps the two sides and the
-expansion length of each rule, so any document is decoded from its own symbols alone.
+``segment_tokens`` ids; each segment is one file record with its own grammar.  In each round every
+adjacent pair of the segment that occurs often enough to pay for its rule, and more often than the
+pairs it overlaps with, is replaced by a new nonterminal (never across a document's end).  Rounds go
+on until no pair pays any more.  Symbols take two bytes: when the 65,536 symbols are used up, another
+rule would double the record, so none pays.  The record keeps the two sides and the expansion length
+of each rule, so any document is decoded from its own symbols alone.
 
 Records are kept in Parquet tables, so any Hadoop file system holds them.  Memory is bounded by
 a segment (or one document, if that is longer) and by the chunk dictionary.
 
-Null and empty texts hold the end id only.  Equal ids keep an order by their text.  Only the id
-and the text are read, so further columns cannot clash.  An empty table gives no records.
+Null and empty texts hold the end id only.  Null ids come first and are read back as null.  Equal
+ids keep an order by their text.  Only the id and the text are read, so further columns cannot
+clash.  An empty table gives no records.
 """
 
 from __future__ import annotations
@@ -28,11 +31,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import id_text, materialise, narrow_batches, sliced
+from .common import id_text, materialise, sliced
 
-MAGIC = b"RPG1"
+MAGIC = b"RPG2"
 _HEAD = struct.Struct("<4sIIIII")  # magic, documents, rules, symbols, base, bytes of a symbol
-RECORD = "shard int, part int, n_docs int, n_tokens long, payload binary"
+#: ``first`` is the number of ids before the record in its shard.
+RECORD = "shard int, part int, first long, n_docs int, n_tokens long, payload binary"
 
 
 def ragged(starts: np.ndarray, lens: np.ndarray) -> np.ndarray:
@@ -59,9 +63,10 @@ class AtomEncoder:
 
     A batch of texts is cut at once, by byte classes, where the pre-tokenizer always cuts: before
     a single space, and between letters, digits, other marks and a single line end.  Each piece is
-    looked up by a 64-bit hash in one array; new pieces go to the library, many at once.  A chunk
-    between spaces that holds anything less simple is one piece, and a text with other white space
-    or special strings is handed to the library whole.
+    looked up by a 64-bit hash in one array and its bytes are compared with those the entry was made
+    of; new pieces go to the library, many at once.  A chunk between spaces that holds anything less
+    simple is one piece, and a text with other white space, special strings or a piece whose hash
+    belongs to other bytes is handed to the library whole.
     """
 
     def __init__(self, path: str, table_bits: int = 23):
@@ -86,6 +91,8 @@ class AtomEncoder:
         self.values = np.zeros(1 << self.bits, np.int32)
         self.starts, self.lens, self.held = np.zeros(1024, np.int64), np.zeros(1024, np.int32), 0
         self.flat, self.used = np.zeros(1 << 16, np.int32), 0
+        self.raw, self.raw_used = np.zeros(1 << 16, np.uint8), 0  # the pieces' own bytes, and where they lie
+        self.raw_starts, self.raw_lens = np.zeros(1024, np.int64), np.zeros(1024, np.int64)
 
     def _library(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, np.int32) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
@@ -127,6 +134,29 @@ class AtomEncoder:
         self.held += len(lens)
         return np.arange(self.held - len(lens), self.held)
 
+    def _note(self, numbers: np.ndarray, pieces: list[bytes]) -> None:
+        """Keep the bytes of the pieces that have these numbers in the store."""
+        lens = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        while self.raw_used + int(lens.sum()) > len(self.raw):
+            self.raw = np.concatenate((self.raw, np.zeros_like(self.raw)))
+        if len(self.raw_starts) < len(self.starts):
+            grown = np.zeros(len(self.starts), np.int64)
+            self.raw_starts, self.raw_lens = (np.concatenate((x, grown[len(x) :])) for x in (self.raw_starts, self.raw_lens))
+        self.raw[self.raw_used : self.raw_used + int(lens.sum())] = np.frombuffer(b"".join(pieces), np.uint8)
+        self.raw_starts[numbers], self.raw_lens[numbers] = self.raw_used + np.cumsum(lens) - lens, lens
+        self.raw_used += int(lens.sum())
+
+    def _others(self, buffer: np.ndarray, found: np.ndarray, at: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Whether each piece found has other bytes than its entry; pieces lie one after the other."""
+        size = ends - at
+        other = (found >= 0) & (self.raw_lens[np.maximum(found, 0)] != size)
+        held = (found >= 0) & ~other
+        own = buffer if held.all() else buffer[np.repeat(held, size)]  # pieces tile the buffer
+        wrong = self.raw[ragged(self.raw_starts[found[held]], size[held])] != own
+        if wrong.any():
+            other[np.flatnonzero(held)[np.searchsorted(np.cumsum(size[held]), np.flatnonzero(wrong), side="right")]] = True
+        return other
+
     def _learn(self, raw: bytes, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray, whole_chunks: bool) -> None:
         """New pieces: ids from the library; -1 (take the chunk) or -2 (take the text) where a piece is not simple."""
         pieces = [raw[s:e].decode("utf-8", "surrogatepass") for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
@@ -145,6 +175,7 @@ class AtomEncoder:
         if single:
             ids = self._library([pieces[k] for k in single])
             values[single] = self._add(np.concatenate(ids), np.array(list(map(len, ids)), np.int64))
+            self._note(values[single], [raw[starts[k] : ends[k]] for k in single])
         groups = [lines[at : at + 100] for at in range(0, len(lines), 100)]
         texts = ["\n".join([pieces[k] for k in own]) for own in groups]
         for own, coded in zip(groups, self.liner.encode_batch_fast(texts, add_special_tokens=False) if texts else [], strict=True):
@@ -153,6 +184,7 @@ class AtomEncoder:
             if len(self.line) != 1 or len(marks) != len(own):
                 raise ValueError("the vocabulary has no line end of its own")
             values[own] = self._add(ids[ids != self.line[0]], np.diff(marks, prepend=-1) - 1)
+            self._note(values[own], [raw[starts[k] : ends[k]] for k in own])
         self._insert(keys, values)
 
     def _values(self, raw: bytes, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray, whole_chunks: bool) -> np.ndarray:
@@ -235,6 +267,7 @@ class AtomEncoder:
                     if len(own):
                         found[own] = self._values(raw, keys[own], at[own], ends[own], flag)
             bad[doc_of(at[found == -2])] = True
+            bad[doc_of(at[self._others(buffer, found, at, ends)])] = True
         bad = bad[:-1]
         first = np.searchsorted(at, offsets)  # pieces of each text
         held, used = self.held, self.used
@@ -263,55 +296,121 @@ def texts_of(column: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8, int(offsets[-1] - offsets[0]), int(offsets[0])), offsets - offsets[0]
 
 
-def pair_rules(symbols: np.ndarray, last: np.ndarray, base: int, rounds: int = 3, per_round: int = 1024, least: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Re-Pair: symbols and document ends -> fewer symbols, their document ends, rule sides."""
+def pair_rules(symbols: np.ndarray, last: np.ndarray, base: int, least: int = 5, most: int = 1 << 16) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Re-Pair: symbols and document ends -> fewer symbols, their document ends, rule sides.
+
+    A rule takes as many bytes as four symbols (two sides and a length), so a pair pays from
+    ``least`` = 5 occurrences on.  ``most`` is the number of symbols that two bytes can name.
+    """
     sides: list[np.ndarray] = []
     made = 0
-    for _ in range(rounds):
-        if len(symbols) < 2:
+    live = np.flatnonzero(~last[:-1])  # places whose pair may pay; a rare pair only does so with a new symbol in it
+    while len(live) and base + made < most:
+        key = (symbols[live].astype(np.uint32) << np.uint32(16)) | symbols[live + 1].astype(np.uint32)
+        seen, counts = _counted(key)
+        seen, counts = seen[counts >= least], counts[counts >= least]
+        if not len(seen):
             break
-        key = (symbols[:-1].astype(np.uint64) << np.uint64(32)) | symbols[1:].astype(np.uint64) if base + made + per_round > 1 << 16 else (symbols[:-1].astype(np.uint32) << np.uint32(16)) | symbols[1:].astype(np.uint32)
-        free = ~last[:-1]
-        seen, counts = np.unique(key[free], return_counts=True)
-        often = np.flatnonzero(counts >= least)
-        if not len(often):
-            break
-        if len(often) > per_round:
-            often = often[np.argsort(-counts[often], kind="stable")[:per_round]]
-        chosen = seen[often]
-        # A hash table finds a pair's rule; pairs whose place is taken wait for another round.
-        spread, bits = chosen.dtype.type(0x9E3779B1), chosen.dtype.type(chosen.dtype.itemsize * 8 - 16)
-        slot = np.full(1 << 16, -1, np.int16)
-        own = (chosen * spread) >> bits
-        slot[own[::-1]] = np.arange(len(chosen) - 1, -1, -1)
-        chosen = chosen[slot[own] == np.arange(len(chosen))]
-        own = (chosen * spread) >> bits
-        slot[:] = -1
-        slot[own] = np.arange(len(chosen))
-        at = slot[(key * spread) >> bits]
-        places = np.flatnonzero(at >= 0)
-        places = places[free[places] & (chosen[at[places]] == key[places])]
-        turn = np.arange(len(places))
-        run = np.concatenate(([True], places[1:] != places[:-1] + 1)) if len(places) else np.zeros(0, bool)
-        places = places[(turn - np.maximum.accumulate(np.where(run, turn, 0))) % 2 == 0]
-        bits = np.uint64(32) if key.dtype == np.uint64 else np.uint32(16)
-        sides.append(np.stack([chosen >> bits, chosen & key.dtype.type((1 << int(bits)) - 1)], 1).astype(np.int64))
-        symbols[places] = at[places].astype(np.int32) + (base + made)
+        at = _placed(seen, key)
+        known = at >= 0
+        live, at = live[known], at[known]
+        # A place is taken if its pair is more frequent than those it overlaps with; on a tie the first is.
+        weight = counts[at]
+        beside = live[1:] == live[:-1] + 1
+        before, after = np.zeros(len(live), np.int64), np.zeros(len(live), np.int64)
+        before[1:][beside], after[:-1][beside] = weight[:-1][beside], weight[1:][beside]
+        taken = (weight > before) & (weight >= after)
+        taken |= _every_second((weight == before) & (weight >= after), taken)
+        uses = np.bincount(at[taken], minlength=len(seen))
+        chosen = np.flatnonzero(uses >= least)
+        if not len(chosen):  # overlaps leave no pair enough places: pair by pair, the most frequent first
+            taken, uses = _one_by_one(live, at, counts, least)
+            chosen = np.flatnonzero(uses)
+            if not len(chosen):
+                break
+        chosen = chosen[np.argsort(-uses[chosen], kind="stable")[: most - base - made]]
+        number = np.full(len(seen), -1, np.int64)
+        number[chosen] = np.arange(len(chosen))
+        taken &= number[at] >= 0
+        places = live[taken]
+        sides.append(np.stack([seen[chosen] >> np.uint32(16), seen[chosen] & np.uint32(0xFFFF)], 1).astype(np.int64))
+        symbols[places] = number[at[taken]] + (base + made)
         last[places] = last[places + 1]
         keep = np.ones(len(symbols), bool)
         keep[places + 1] = False
-        symbols, last = symbols[keep], last[keep]
+        again = np.zeros(len(symbols), bool)
+        again[live] = again[places] = True
+        again[np.maximum(places - 1, 0)] = True
+        left = places - 1 - (~keep[np.maximum(places - 1, 0)])  # the symbol before, past one that has just gone
+        again[np.maximum(left, 0)] = True
+        symbols, last, again = symbols[keep], last[keep], again[keep]
+        live = np.flatnonzero(again[:-1] & ~last[:-1])
         made += len(chosen)
     rules = np.concatenate(sides) if sides else np.zeros((0, 2), np.int64)
     return symbols, last, rules[:, 0], rules[:, 1]
 
 
-def pack(doc_ids: np.ndarray, ids: np.ndarray, counts: np.ndarray, base: int) -> bytes:
-    """One file record of whole documents (each with its end id)."""
+def _placed(seen: np.ndarray, key: np.ndarray) -> np.ndarray:
+    """The place of each key in ``seen``; -1 if it isn't there.  A table by hash, and a search for those that share a slot."""
+    slot = np.full(1 << 18, -1, np.int32)
+    spread = lambda k: (k * np.uint32(0x9E3779B1)) >> np.uint32(14)
+    slot[spread(seen)] = np.arange(len(seen), dtype=np.int32)
+    at = slot[spread(key)]
+    at[seen[at] != key] = -1
+    second = np.flatnonzero(slot[spread(seen)] != np.arange(len(seen)))
+    if len(second):
+        rest = np.flatnonzero(at < 0)
+        near = second[np.minimum(np.searchsorted(seen[second], key[rest]), len(second) - 1)]
+        same = seen[near] == key[rest]
+        at[rest[same]] = near[same]
+    return at
+
+
+def _one_by_one(live: np.ndarray, at: np.ndarray, counts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places taken pair by pair, by falling counts, where no pair before has taken a symbol; uses of each pair."""
+    order = np.argsort(at, kind="stable")
+    bounds = np.searchsorted(at[order], np.arange(len(counts) + 1))
+    taken, uses, gone = np.zeros(len(live), bool), np.zeros(len(counts), np.int64), np.zeros(int(live[-1]) + 2 if len(live) else 0, bool)
+    for k in np.argsort(-counts, kind="stable").tolist():
+        own = order[bounds[k] : bounds[k + 1]]
+        own = own[~gone[live[own]] & ~gone[live[own] + 1]]
+        own = own[_alternate(live[own])]
+        if len(own) >= least:
+            taken[own], uses[k] = True, len(own)
+            gone[live[own]] = gone[live[own] + 1] = True
+    return taken, uses
+
+
+def _counted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The distinct keys, sorted, and their counts."""
+    key = np.sort(key)
+    first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1])))
+    return key[first], np.diff(first, append=len(key))
+
+
+def _alternate(places: np.ndarray) -> np.ndarray:
+    """Every second one of places that follow each other without a gap."""
+    turn = np.arange(len(places))
+    fresh = np.concatenate(([True], places[1:] != places[:-1] + 1)) if len(places) else np.zeros(0, bool)
+    return (turn - np.maximum.accumulate(np.where(fresh, turn, 0))) % 2 == 0 if len(places) else fresh
+
+
+def _every_second(level: np.ndarray, taken: np.ndarray) -> np.ndarray:
+    """Of runs of equally frequent overlapping pairs, whose first is ``taken``, every second further place."""
+    run = level & ~taken
+    if not run.any():
+        return run
+    place = np.arange(len(run))
+    head = np.maximum.accumulate(np.where(run, -1, place))  # the last place before the run
+    return run & taken[np.maximum(head, 0)] & ((place - head) % 2 == 0)
+
+
+def pack(doc_ids: np.ndarray, named: np.ndarray, ids: np.ndarray, counts: np.ndarray, base: int) -> bytes:
+    """One file record of whole documents (each with its end id); ``named`` is false for null ids."""
     last = np.zeros(len(ids), bool)
     last[np.cumsum(counts) - 1] = True
     symbols, last, left, right = pair_rules(ids.copy(), last, base)
-    width = 2 if base + len(left) <= 1 << 16 else 4
+    width = 2 if base <= 1 << 16 else 4
     lens = [1] * base
     for x, y in zip(left.tolist(), right.tolist(), strict=True):  # sides are always older than the rule
         lens.append(lens[x] + lens[y])
@@ -320,6 +419,7 @@ def pack(doc_ids: np.ndarray, ids: np.ndarray, counts: np.ndarray, base: int) ->
         [
             _HEAD.pack(MAGIC, len(doc_ids), len(left), len(symbols), base, width),
             doc_ids.astype("<i8").tobytes(),
+            named.astype(np.uint8).tobytes(),
             np.concatenate(([0], np.flatnonzero(last) + 1)).astype("<u4").tobytes(),
             left.astype(kind).tobytes(),
             right.astype(kind).tobytes(),
@@ -344,7 +444,7 @@ class Record:
             at += got.nbytes
             return got
 
-        self.doc_ids, self.bounds = take("<i8", docs), take("<u4", docs + 1).astype(np.int64)
+        self.doc_ids, self.named, self.bounds = take("<i8", docs), take("u1", docs) > 0, take("<u4", docs + 1).astype(np.int64)
         left, right, lens = take(f"<u{width}", rules), take(f"<u{width}", rules), take("<u4", rules).astype(np.int64)
         self.symbols = take(f"<u{width}", n).astype(np.int64)
         self.lens = np.concatenate((np.ones(self.base, np.int64), lens))
@@ -388,14 +488,14 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 2, segment_
             _encoders[tokenizer_path] = AtomEncoder(tokenizer_path)
         own, shard, part = _encoders[tokenizer_path], TaskContext.get().partitionId(), 0
         base = own.library.get_vocab_size(with_added_tokens=True)
-        held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        size = 0
+        held: list[tuple[np.ndarray, ...]] = []
+        size = before = 0
 
         def flush() -> pa.RecordBatch:
-            nonlocal held, size, part
-            doc_ids, ids, counts = (np.concatenate(x) for x in zip(*held, strict=True))
-            row = pa.RecordBatch.from_pylist([{"shard": shard, "part": part, "n_docs": len(doc_ids), "n_tokens": len(ids), "payload": pack(doc_ids, ids, counts, base)}], schema)
-            held, size, part = [], 0, part + 1
+            nonlocal held, size, part, before
+            doc_ids, named, ids, counts = (np.concatenate(x) for x in zip(*held, strict=True))
+            row = pa.RecordBatch.from_pylist([{"shard": shard, "part": part, "first": before, "n_docs": len(doc_ids), "n_tokens": len(ids), "payload": pack(doc_ids, named, ids, counts, base)}], schema)
+            held, size, part, before = [], 0, part + 1, before + len(ids)
             return row
 
         for batch in sliced(batches, chars=500_000):
@@ -404,15 +504,15 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 2, segment_
             keep = np.ones(len(ended), bool)
             keep[np.cumsum(counts + 1) - 1] = False
             ended[keep] = ids
-            held.append((batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64), ended, counts + 1))
+            own_ids = batch.column(0)
+            held.append((own_ids.fill_null(0).to_numpy(), own_ids.is_valid().to_numpy(zero_copy_only=False), ended, counts + 1))
             size += len(ended)
             if size >= segment_tokens:
                 yield flush()
         if held:
             yield flush()
 
-    schema = pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("n_docs", pa.int32()), ("n_tokens", pa.int64()), ("payload", pa.binary())])
-    narrow_batches(docs.sparkSession)
+    schema = pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("first", pa.int64()), ("n_docs", pa.int32()), ("n_tokens", pa.int64()), ("payload", pa.binary())])
     laid = id_text(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
     return materialise(laid.mapInArrow(run, RECORD), "token-records", compression="zstd")
 
@@ -428,16 +528,11 @@ def read_tokens(records: DataFrame) -> DataFrame:
                 ends = np.cumsum(counts)
                 crc = [zlib.crc32(ids[e - n : e].data) for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
                 first = batch.column(0)[i].as_py()
-                yield pa.RecordBatch.from_arrays([pa.array(record.doc_ids), pa.array(first + ends - counts), pa.array(counts), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                doc_ids = pa.array(record.doc_ids, mask=~record.named)
+                yield pa.RecordBatch.from_arrays([doc_ids, pa.array(first + ends - counts), pa.array(counts), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
-    sizes = records.select("shard", "part", "n_tokens")
-    # One row for each shard and segment: starts of segments in their shard, then of the shards.
-    inside = Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    segments = sizes.select("shard", "part", F.coalesce(F.sum("n_tokens").over(inside), F.lit(0)).alias("inside"))
+    # One row for each shard, of which there are as many as partitions wrote: broadcast, so payloads stay where they are.
     before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
-    shards = sizes.groupBy("shard").agg(F.sum("n_tokens").alias("n")).select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    starts = segments.join(shards, "shard").select("shard", "part", (F.col("inside") + F.col("before")).alias("first"))
-    # Written first, so that its size is known: small enough to broadcast, or else joined by a shuffle.
-    starts = materialise(starts, "token-starts")
-    placed = records.join(starts, ["shard", "part"]).select("first", "payload")
+    shards = records.groupBy("shard").agg(F.sum("n_tokens").alias("n")).select("shard", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
+    placed = records.join(F.broadcast(shards), "shard").select((F.col("first") + F.col("before")).alias("first"), "payload")
     return placed.mapInArrow(run, "doc_id long, start long, n_tokens long, ids_crc32 long")
