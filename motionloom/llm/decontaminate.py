@@ -1,18 +1,21 @@
 """Benchmark decontamination: one Aho-Corasick automaton over the normalised benchmark texts.
 
 Texts and benchmark items are normalised alike: A-Z to lower case, every run of ASCII characters
-other than letters and digits to one space.  The automaton holds every window of ``width``
-consecutive item words (an item of fewer words is one window); a text is scanned once, and each
-match is mapped to word places and from there to offsets in the original text.
-
-The automaton is built from at most ``block_bytes`` of benchmark text.  A larger benchmark is
-cut into blocks, and the documents, with the hits so far, pass through one block after the
-other, so neither the driver nor a worker ever holds more than a block.
-
-Null, empty and wordless texts have no words and no hits; null items have no windows.  Repeated
-documents are scanned alike; repeated items are reported once each by id.  Overlapping and
-repeated occurrences count each word once.  Further columns cannot clash: only ids and texts
-are read.
+other than letters and digits to one space.  The automaton reads words, as numbers of the
+benchmark's vocabulary, and holds every window of ``width`` consecutive item words (an item of fewer
+words is one window); a text is scanned once, and each match is a run of word places, which is
+mapped to offsets in the original text.
+
+The automaton is built from at most ``block_bytes`` of benchmark text, so neither the driver nor a
+worker ever holds more.  A larger benchmark is cut into blocks: the documents are numbered and written
+once, every block has an automaton and a narrow scan of its own, which returns only the rows that it
+hits, and these are joined to the documents at the end.
+
+Null, empty and wordless texts have no words and no hits; null items have no windows.  The windows
+of an item without an id are hits like any other, but such an item is not listed.  Repeated
+documents, and documents without an id, are scanned alike, row by row; repeated items are reported
+once each by id.  Overlapping and repeated occurrences count each word once.  Further columns
+cannot clash: only ids and texts are read.  An empty benchmark hits nothing.
 """
 
 from __future__ import annotations
@@ -27,46 +30,43 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TMP, id_text, materialise, narrow_batches, sliced, text_of
+from .common import TMP, id_text, materialise, sliced, text_of
 
 _FOLD = bytes((c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32) for c in range(256))
 
 
-def _squeeze(folded: bytes) -> list[bytes]:
-    return [w for w in folded.split(b" ") if w]
+def _folded(text: str) -> bytes:
+    return text.encode("utf-8", "surrogatepass").translate(_FOLD)
+
+
+def _words(text: str) -> list[bytes]:
+    return [w for w in _folded(text).split(b" ") if w]
 
 
 class Matcher:
     """The automaton over all windows of some benchmark items."""
 
-    def __init__(self, items: list[tuple[int, str]], width: int):
-        self.windows: dict[str, tuple[int, int, list[int]]] = {}
+    def __init__(self, items: list[tuple[int | None, str]], width: int):
+        self.vocabulary: dict[bytes, int] = {}
+        windows: dict[tuple[int, ...], list[int | None]] = {}
         for item, text in items:
-            words = _squeeze((text or "").encode("utf-8", "surrogatepass").translate(_FOLD))
+            words = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in _words(text or "")]
             for at in range(max(1, len(words) - width + 1) if words else 0):
-                window = words[at : at + width]
-                # One character stands for one byte, and spaces on both sides keep words whole.
-                key = " " + b" ".join(window).decode("latin-1") + " "
-                self.windows.setdefault(key, (len(window), len(key), []))[2].append(item)
-        self.automaton = ahocorasick.Automaton()
-        for key, value in self.windows.items():
-            self.automaton.add_word(key, value)
-        if self.windows:
+                windows.setdefault(tuple(words[at : at + width]), []).append(item)
+        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE) if windows else None
+        for window, owners in windows.items():
+            self.automaton.add_word(window, (len(window), owners))
+        if windows:
             self.automaton.make_automaton()
 
     def scan(self, text: str) -> tuple[int, list[tuple[int, int]], set[int]]:
-        """Words of the text, hit places [first, end) in words, items with an occurring window."""
-        folded = text.encode("utf-8", "surrogatepass").translate(_FOLD)
-        words = _squeeze(folded)
-        if not words or not self.windows:
-            return len(words), [], set()
-        line = " " + b" ".join(words).decode("latin-1") + " "
-        found = list(self.automaton.iter(line))
-        if not found:
+        """Words of the text, hit places [first, end) in words, ids of items with an occurring window."""
+        words = _words(text)
+        if self.automaton is None or not words:
             return len(words), [], set()
-        spaces = np.flatnonzero(np.frombuffer(line.encode("latin-1"), np.uint8) == 32)
-        first = np.searchsorted(spaces, [end - size + 1 for end, (_, size, _) in found])
-        return len(words), [(a, a + n) for a, (_, (n, _, _)) in zip(first.tolist(), found, strict=True)], {i for _, (_, _, items) in found for i in items}
+        get = self.vocabulary.get
+        found = list(self.automaton.iter(tuple([get(w, 0) for w in words])))
+        return len(words), [(end + 1 - n, end + 1) for end, (n, _) in found], {i for _, (_, owners) in found for i in owners if i is not None}
 
 
 def merged(places: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -93,60 +93,112 @@ def spans(text: str, places: list[tuple[int, int]]) -> list[tuple[int, int]]:
 
 
 _matchers: dict[str, Matcher] = {}
-_STATE = "doc_id long, text string, places array<struct<a:long,b:long>>, items array<long>"
 _FOUND = "doc_id long, n_words long, n_hit long, spans array<struct<start:long,end:long>>, items array<long>, items_sha256 string"
 
 
+def _matcher(key: str, items: list[tuple[int | None, str]], width: int) -> Matcher:
+    """The automaton of one block; a Python worker keeps the last one it has built."""
+    if key not in _matchers:
+        _matchers.clear()
+        _matchers[key] = Matcher(items, width)
+    return _matchers[key]
+
+
+def _digest(items: list[int]) -> str:
+    return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
+
+
+def _blocks(benchmark: DataFrame, block_bytes: int) -> list[DataFrame]:
+    """The items in blocks of at most about ``block_bytes``."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_of("text").alias("text"))
+    total = items.agg(F.coalesce(F.sum(F.octet_length("text") + 8), F.lit(0))).first()[0]
+    n = 1 if total <= block_bytes else -(-2 * total // block_bytes)
+    return [items.where(F.expr(f"pmod(xxhash64(item_id, text), {n})") == k) if n > 1 else items for k in range(n)]
+
+
+def _held(block: DataFrame) -> list[tuple[int | None, str]]:
+    return [(r.item_id, r.text) for r in block.collect()]
+
+
 def _pair_list(first: str, second: str) -> pa.DataType:
     return pa.list_(pa.struct([(first, pa.int64()), (second, pa.int64())]))
 
 
-def _pass(docs: DataFrame, items: list[tuple[int, str]], width: int, last: bool) -> DataFrame:
-    """Documents with the hits so far -> with those of this block; after the last one, the result."""
+def _scan_once(docs: DataFrame, items: list[tuple[int | None, str]], width: int) -> DataFrame:
+    """The whole result by one automaton: a narrow map."""
     key = uuid.uuid4().hex
 
-    def rows(batch: pa.RecordBatch, own: Matcher) -> Iterator[tuple[str, int, list[tuple[int, int]], list[int]]]:
-        had = batch.column(2).to_pylist() if batch.num_columns > 2 else [[]] * batch.num_rows
-        known = batch.column(3).to_pylist() if batch.num_columns > 2 else [[]] * batch.num_rows
-        for text, before, ids in zip(batch.column(1).to_pylist(), had, known, strict=True):
-            n, new, more = own.scan(text)
-            yield text, n, merged([(p["a"], p["b"]) for p in before] + new) if before or new else [], sorted(more.union(ids))
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if key not in _matchers:
-            _matchers.clear()
-            _matchers[key] = Matcher(items, width)
+        own = _matcher(key, items, width)
+        for batch in sliced(batches):
+            texts = batch.column(1).to_pylist()
+            got = [(n, merged(places), sorted(ids)) for n, places, ids in map(own.scan, texts)]
+            where = pa.array([[{"start": s, "end": e} for s, e in spans(t, p)] for t, (_, p, _) in zip(texts, got, strict=True)], _pair_list("start", "end"))
+            hits = pa.array([sum(b - a for a, b in p) for _, p, _ in got], pa.int64())
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([n for n, _, _ in got], pa.int64()), hits, where, pa.array([i for _, _, i in got], pa.list_(pa.int64())), pa.array([_digest(i) for _, _, i in got], pa.string())],
+                ["doc_id", "n_words", "n_hit", "spans", "items", "items_sha256"],
+            )
+
+    return docs.mapInArrow(run, _FOUND)
+
+
+def _scan_blocks(docs: DataFrame, blocks: list[DataFrame], width: int) -> DataFrame:
+    """The result by several automata: hits of each block, joined by row."""
+    numbered = materialise(docs.withColumn("row", F.monotonically_increasing_id()), "decontaminate-rows")  # equal rows are told apart
+    places = "row long, places array<struct<a:long,b:long>>, items array<long>"
+
+    def hits(block: DataFrame) -> DataFrame:
+        items, key = _held(block), uuid.uuid4().hex
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            own = _matcher(key, items, width)
+            for batch in sliced(batches):
+                got = [(r, merged(p), sorted(i)) for r, (_, p, i) in zip(batch.column(2).to_pylist(), map(own.scan, batch.column(1).to_pylist()), strict=True) if p]
+                spots = pa.array([[{"a": a, "b": b} for a, b in p] for _, p, _ in got], _pair_list("a", "b"))
+                yield pa.RecordBatch.from_arrays([pa.array([r for r, _, _ in got], pa.int64()), spots, pa.array([i for _, _, i in got], pa.list_(pa.int64()))], ["row", "places", "items"])
+
+        return materialise(numbered.mapInArrow(run, places), "decontaminate-hits")
+
+    found = hits(blocks[0])
+    for block in blocks[1:]:
+        found = found.unionByName(hits(block))
+    # Places and items of one document: never more than its words and the benchmark's items.
+    per = found.groupBy("row").agg(F.flatten(F.collect_list("places")).alias("places"), F.array_distinct(F.flatten(F.collect_list("items"))).alias("items"))
+
+    def finish(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
-            got = list(rows(batch, _matchers[key]))
-            ids = pa.array([x[3] for x in got], pa.list_(pa.int64()))
-            if not last:
-                places = pa.array([[{"a": a, "b": b} for a, b in x[2]] for x in got], _pair_list("a", "b"))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), places, ids], ["doc_id", "text", "places", "items"])
-                continue
-            where = pa.array([[{"start": s, "end": e} for s, e in spans(x[0], x[2])] for x in got], _pair_list("start", "end"))
-            hits = pa.array([sum(b - a for a, b in x[2]) for x in got], pa.int64())
-            digests = pa.array([hashlib.sha256(",".join(sorted(map(str, x[3]))).encode()).hexdigest() for x in got], pa.string())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x[1] for x in got], pa.int64()), hits, where, ids, digests], ["doc_id", "n_words", "n_hit", "spans", "items", "items_sha256"])
+            texts = batch.column(1).to_pylist()
+            spots = [merged([(p["a"], p["b"]) for p in own or []]) for own in batch.column(2).to_pylist()]
+            items = [sorted(i or []) for i in batch.column(3).to_pylist()]
+            where = pa.array([[{"start": s, "end": e} for s, e in spans(t, p)] for t, p in zip(texts, spots, strict=True)], _pair_list("start", "end"))
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([len(_words(t)) for t in texts], pa.int64()), pa.array([sum(b - a for a, b in p) for p in spots], pa.int64()), where, pa.array(items, pa.list_(pa.int64())), pa.array(list(map(_digest, items)), pa.string())],
+                ["doc_id", "n_words", "n_hit", "spans", "items", "items_sha256"],
+            )
 
-    return docs.mapInArrow(run, _FOUND if last else _STATE)
+    return numbered.join(per, "row", "left").select("doc_id", "text", "places", "items").mapInArrow(finish, _FOUND)
 
 
-def find_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = 2_000_000) -> DataFrame:
+def find_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = 4_000_000) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, spans (offsets in the text), items, items_sha256, contaminated."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_of("text").alias("text"))
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text") + 8), F.lit(0))).first()[0]
-    blocks = max(1, -(-2 * total // block_bytes)) if total > block_bytes else 1
-    narrow_batches(docs.sparkSession)
-    state = id_text(docs)
-    for block in range(blocks):
-        held = items.where(F.expr(f"pmod(xxhash64(item_id, text), {blocks})") == block) if blocks > 1 else items
-        state = _pass(state, [(r.item_id, r.text) for r in held.collect()], width, block + 1 == blocks)
-        if block + 1 < blocks:
-            state = materialise(state, "decontaminate")
-    return state.withColumn("contaminated", F.col("n_hit") > 0)
-
-
-def clean_of(docs: DataFrame, benchmark: DataFrame, width: int = 10, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs``, all columns, in which no benchmark window occurs."""
-    hit = find_benchmark(docs, benchmark, width).where("contaminated").select(F.col("doc_id").alias(f"{TMP}hit"))
-    return docs.join(hit, F.col(f"`{id_col}`").eqNullSafe(F.col(f"{TMP}hit")), "left_anti")
+    blocks = _blocks(benchmark, block_bytes)
+    rows = id_text(docs)
+    found = _scan_once(rows, _held(blocks[0]), width) if len(blocks) == 1 else _scan_blocks(rows, blocks, width)
+    return found.withColumn("contaminated", F.col("n_hit") > 0)
+
+
+def clean_of(docs: DataFrame, benchmark: DataFrame, width: int = 10, text_col: str = "text", block_bytes: int = 4_000_000) -> DataFrame:
+    """The rows of ``docs``, all columns, in which no benchmark window occurs: one narrow pass for each block."""
+    marked = docs.withColumn(f"{TMP}text", text_of(text_col))
+    for block in _blocks(benchmark, block_bytes):
+        items, key = _held(block), uuid.uuid4().hex
+
+        def run(batches: Iterator[pa.RecordBatch], items: list = items, key: str = key) -> Iterator[pa.RecordBatch]:
+            own = _matcher(key, items, width)
+            for batch in sliced(batches, text=f"{TMP}text"):
+                texts = batch.column(batch.schema.get_field_index(f"{TMP}text")).to_pylist()
+                yield batch.filter(pa.array([not own.scan(t)[1] for t in texts], pa.bool_()))
+
+        marked = marked.mapInArrow(run, marked.schema)
+    return marked.drop(f"{TMP}text")
