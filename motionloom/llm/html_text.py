@@ -1,20 +1,24 @@
 """Main text of HTML pages by composite text density.
 
 A page is read into a DOM (implied end tags, raw text elements and unclosed inline elements are
-handled; markup that is not closed is text).  Elements that cannot hold an article (menus,
-page headers and footers, sidebars, forms, scripts, styles, adverts, notices, reader comments)
-are left out first.  Every remaining node gets the composite density of its characters per tag,
-adjusted by its share of link text and of link tags against the body's; the densities of a
-node's children are summed, and the node with the largest sum is the heart of the article.  If it
-lies in, or directly holds, an article or main element, that element is taken.  Otherwise the article
-is the lowest element around it that holds every subtree as dense as the thinnest node on the path
-from the body.  There, but never in an article or main element, blocks that are mostly links and
-thinner than that are dropped.
+handled; markup that is not closed is text).  Elements that by their tag or by their whole class, id
+or role name are no part of an article (menus, page headers and footers, sidebars, forms, scripts,
+styles, adverts, notices, reader comments) take no part.  Every other node gets the composite density
+of its characters per tag, adjusted by its share of link text and of link tags against the body's;
+the densities of a node's children are summed, and the node with the largest sum is the heart of the
+article.  A name that holds such a word beside others, as related-work does, is only a doubt: its
+sums count half, and it goes if it is mostly links or less than half as dense as the thinnest node on
+the path from the body to the heart.
+
+If the heart lies in, or directly holds, an article or main element, that element is taken.  Otherwise the
+article is the lowest element around it that holds every subtree as dense as the thinnest node on
+the path.  There, but never in an article or main element, blocks that are mostly links and thinner
+than that are dropped.
 
 Text is taken in page order: white space inside a block becomes one space, blocks are joined by
 one space, character references are decoded.  Null and empty pages, and pages without text, give
-the empty string.  Repeated pages give repeated rows.  Only id, url and html are read, so further
-columns cannot clash.  Nothing is shuffled.
+the empty string.  Pages without an id keep a null id.  Repeated pages give repeated rows.  Only id,
+url and html are read, so further columns cannot clash.  Nothing is shuffled.
 """
 
 from __future__ import annotations
@@ -28,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import narrow_batches, sliced, text_of
+from .common import sliced, text_of
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[^<]+|<""", re.S)
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
@@ -47,36 +51,41 @@ _SAME = {"li": ("li", frozenset(("ul", "ol", "menu"))), "dt": ("dt dd", frozense
 _ASIDE = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus login menu modal nav navbar navigation newsletter notice notices notification pagination pager popup promo related respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
+#: Words that say nothing about what an element holds, beside a word of the list above.
+_GENERIC = frozenset(
+    "area areas articles author bar block body bottom box button buttons center col collapse column component container content count desktop div drop dropdown fixed form global group head header footer holder icon icons image img inner item items label left lines link links list lists main meta mobile module more new news number open outer page pane panel post posts primary reader readers replies reply right row secondary section site slot small stories sticky story tab tabs text thread title toggle top topics unit user users view wide wrap wrapper zone".split()
+)
 _CONTENT = frozenset("article content main post story entry body text".split())
 _WEAK = frozenset("alert banner modal notice notices notification popup promo toolbar widget".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 
 
 class _Node:
-    __slots__ = ("tag", "parent", "kids", "chars", "tags", "link_chars", "link_tags", "density", "peak", "gone")
+    __slots__ = ("tag", "parent", "kids", "chars", "tags", "link_chars", "link_tags", "density", "peak", "gone", "doubt")
 
-    def __init__(self, tag: str, parent: _Node | None, gone: bool):
-        self.tag, self.parent, self.gone = tag, parent, gone
+    def __init__(self, tag: str, parent: _Node | None, gone: bool, doubt: bool = False):
+        self.tag, self.parent, self.gone, self.doubt = tag, parent, gone, doubt
         self.kids: list[_Node | str] = []
         self.chars = self.tags = self.link_chars = self.link_tags = 0
         self.density, self.peak = 0.0, -1.0  # its own, and the largest of its subtree
 
 
-def _aside(tag: str, attributes: str, inside: bool) -> bool:
-    """Whether an element is left out by its tag or by the words of its class, id or role."""
+def _aside(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
+    """Whether an element is left out by its tag or name, and whether its name leaves a doubt."""
     if tag in _NEVER:
-        return True
+        return True, False
     if tag == "header":
-        return not inside
+        return not inside, False
     if not attributes or tag in ("html", "body", "article", "main"):
-        return False
-    names = set()
-    for m in _NAMES.finditer(attributes):
-        names.update(_WORD.findall((m[1] or m[2] or m[3] or "").lower()))
-    bad = names & _ASIDE
-    if names & {"has", "with", "no", "without"}:  # such as content with-sidebar
-        bad -= {"sidebar"}
-    return bool(bad - _WEAK) or bool(bad) and not names & _CONTENT
+        return False, False
+    names = [_WORD.findall(x.lower()) for m in _NAMES.finditer(attributes) for x in (m[1] or m[2] or m[3] or "").split()]
+    every = {w for own in names for w in own}
+    spared = {"sidebar"} if every & {"has", "with", "no", "without"} else set()  # such as content with-sidebar
+    if every & _CONTENT:
+        spared |= _WEAK
+    bad = [own for own in names if _ASIDE.intersection(own) - spared]
+    certain = any(not set(own) - _ASIDE - _GENERIC for own in bad)
+    return certain, bool(bad) and not certain
 
 
 def parse(page: str) -> _Node:
@@ -128,7 +137,8 @@ def parse(page: str) -> _Node:
                     break
         at = open_[-1]
         inside = bool(count.get("article") or count.get("main"))
-        node = _Node(tag, at, at.gone or _aside(tag, attributes, inside))
+        gone, doubt = _aside(tag, attributes, inside)
+        node = _Node(tag, at, at.gone or gone, doubt)
         at.kids.append(node)
         if tag in _VOID or attributes.endswith("/") and tag not in _BLOCKS and tag not in _RAW:
             continue
@@ -187,7 +197,8 @@ def _find(node: _Node, tags: tuple[str, ...]) -> list[_Node]:
     return found
 
 
-def _gather(node: _Node, least: float, out: list[str]) -> None:
+def _gather(node: _Node, least: float, doubted: float, out: list[str]) -> None:
+    """Text of a node; blocks of links thinner than ``least`` and doubtful elements thinner than ``doubted`` stay out."""
     stack: list[tuple[_Node | str, bool]] = [(k, False) for k in reversed(node.kids)]
     while stack:
         kid, in_header = stack.pop()
@@ -197,6 +208,8 @@ def _gather(node: _Node, least: float, out: list[str]) -> None:
             continue
         if kid.tag == "br":
             out.append(" ")
+        if kid.doubt and (kid.density < doubted or 2 * kid.link_chars > kid.chars):
+            continue
         if kid.gone or kid.tag in _BLOCKS and kid.link_chars > 0.6 * kid.chars and kid.link_tags > 1 and kid.density < least:
             continue
         if kid.tag in _BLOCKS:
@@ -216,7 +229,11 @@ def main_text(page: str) -> str:
     for node in order:
         node.density = composite_density(node, body)
         node.peak = max([node.density, *(k.peak for k in node.kids if not isinstance(k, str) and not k.gone)]) if node.chars else -1.0
-    best = max(order, key=lambda x: (sum(k.density for k in x.kids if not isinstance(k, str) and not k.gone), x.chars))
+    doubtful: set[int] = set()
+    for node in reversed(order):  # parents first
+        if node.doubt or node.parent is not None and id(node.parent) in doubtful:
+            doubtful.add(id(node))
+    best = max(order, key=lambda x: (sum(k.density * (0.5 if k.doubt else 1) for k in x.kids if not isinstance(k, str) and not k.gone) * (0.5 if id(x) in doubtful else 1), x.chars))
     if not any(not isinstance(k, str) and not k.gone and k.chars for k in best.kids):
         best = body
     around: _Node | None = best
@@ -237,7 +254,7 @@ def main_text(page: str) -> str:
             if own.chars and composite_density(own, body) >= least or any(not isinstance(k, str) and k is not below and not k.gone and k.peak >= least for k in at.kids):
                 best = at
     pieces: list[str] = []
-    _gather(best, least if around is None else 0.0, pieces)
+    _gather(best, least if around is None else 0.0, least / 2, pieces)
     return " ".join(unescape("".join(pieces)).split())
 
 
@@ -249,6 +266,5 @@ def extract_text(pages: DataFrame) -> DataFrame:
             texts = [main_text(h) for h in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    narrow_batches(pages.sparkSession)
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), text_of("html").alias("html"))
     return rows.mapInArrow(run, "page_id long, url string, text string, n_chars long")
