@@ -11,15 +11,22 @@ training texts is kept out of the estimates while the weights are learned, and c
 afterwards.  V + 1 types (one unseen) share the uniform part, so the model sums to one.
 
 The corpus is cut into blocks of one kind (estimated, tuned, scored only).  Each block sends its
-distinct words and bigrams, as 64-bit hashes with counts, to hash buckets; a bucket adds them up
-over all blocks and sends every block back the totals of what it asked for.  So a frequent word
-is one entry of each block and no table has to fit in one place: memory is bounded by a block
-and by a bucket, whose number follows the size of the input.  Only the weights, their histogram
-of bounded size, N and V reach the driver.
-
-Null and empty texts hold the end alone.  Without training texts all counts are 0 and the score
-is that of the uniform part.  Repeated rows are scored, and counted, as often as they occur.
-Only id and text are read, so further columns cannot clash.
+distinct words and bigrams, as 64-bit hashes with counts, to ``fan`` hash ranges; a range adds them
+up over all blocks and sends every block back the totals of what it asked for.  Where a range of all
+blocks would be too large for one task, ``fan`` blocks at a time are first added up within a range,
+and the sums go on to its ``fan`` parts, as deep as it takes; totals come back the same way.  So every
+level has ``fan`` rows a block, whatever the size of the corpus, a frequent word is one entry of each
+block, and memory is bounded by a block and by ``bucket_bytes``.  The depth follows the text bytes
+that the blocks have counted.  Only the weights, their histogram of bounded size, N and V reach the driver.
+
+The held-out histogram rounds each estimate to an eighth of a doubling, so the likelihoods that EM
+sees are within 4.5 percent; scores themselves are computed from exact counts.  Counts, V and the base
+score rest on 64-bit hashes: at V distinct words one clash is expected at about V = 4 billion.
+
+Null and empty texts hold the end alone.  Texts without an id are scored, not learned from, and keep
+a null id.  Without training texts all counts are 0 and every token has the one uniform share, so
+scores are 0.  Repeated rows are scored, and counted, as often as they occur.  Only id and text are
+read, so further columns cannot clash.
 """
 
 from __future__ import annotations
@@ -33,7 +40,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold_of, id_text, materialise, narrow_batches, sliced
+from .common import fold_of, id_text, materialise, sliced
 
 ESTIMATE, TUNE, SCORE = 0, 1, 2
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -67,8 +74,9 @@ def unpack_sorted(data: bytes) -> np.ndarray:
     return np.cumsum(unpack(data), dtype=np.uint64)
 
 
-_BLOCK = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("kind", pa.int32()), ("ids", pa.binary()), ("lens", pa.binary()), ("words", pa.binary()), ("sequence", pa.binary())])
-_BLOCK_DDL = "block long, bucket int, kind int, ids binary, lens binary, words binary, sequence binary"
+_BINARY = ("ids", "named", "lens", "words", "sequence")
+_BLOCK = pa.schema([("block", pa.int64()), ("kind", pa.int32()), ("size", pa.int64()), *((c, pa.binary()) for c in _BINARY)])
+_BLOCK_DDL = "block long, kind int, size long, ids binary, named binary, lens binary, words binary, sequence binary"
 
 
 def _blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
@@ -80,16 +88,17 @@ def _blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
 
         def flush(kind: int) -> pa.RecordBatch:
             nonlocal made
-            ids, lens, parts, _, known = held[kind]
+            ids, lens, parts, size, known = held[kind]
             hashes = np.fromiter((_END if w == b" " else xxhash.xxh3_64_intdigest(w) for w in known), np.uint64, len(known))
             order = np.argsort(hashes)
             place = np.empty(len(order), np.int64)
             place[order] = np.arange(len(order))
             row = {
                 "block": (TaskContext.get().partitionId() << 24) + made,
-                "bucket": -1,
                 "kind": kind,
-                "ids": np.array(ids, np.int64).tobytes(),
+                "size": size,
+                "ids": np.array([x or 0 for x in ids], np.int64).tobytes(),
+                "named": np.array([x is not None for x in ids], np.uint8).tobytes(),
                 "lens": pack(np.array(lens, np.int64)),
                 "words": pack_sorted(hashes[order]),
                 "sequence": pack(place[np.concatenate(parts)]),
@@ -147,81 +156,144 @@ class Block:
         return h[order], counts[order], place[inverse]
 
 
-_ENTRY_DDL = "block long, bucket int, kind int, words binary, n_words binary, pairs binary, n_pairs binary"
+_ASKED = ("words", "words_est", "words_tune", "pairs", "pairs_est", "pairs_tune")
+_ENTRY = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), ("tuned", pa.bool_()), *((c, pa.binary()) for c in _ASKED)])
+_ENTRY_DDL = "block long, bucket long, tuned boolean, " + ", ".join(f"{c} binary" for c in _ASKED)
+_GIVEN = ("words", "pairs", "words_est", "pairs_est")
+_TOTAL = pa.schema([("block", pa.int64()), ("bucket", pa.int64()), *((c, pa.binary()) for c in _GIVEN), *((c, pa.int64()) for c in ("n", "v", "n_est", "v_est"))])
+_TOTAL_DDL = "block long, bucket long, words binary, pairs binary, words_est binary, pairs_est binary, n long, v long, n_est long, v_est long"
 
 
-def _entries(blocks: DataFrame, buckets: int) -> DataFrame:
-    """What each block asks of each hash bucket: hashes, and counts where the block is counted."""
-    bounds = np.array([(k << 64) // buckets for k in range(1, buckets)], np.uint64)
+def _bits(fan: int) -> int:
+    return fan.bit_length() - 1
+
+
+def _parts(hashes: np.ndarray, level: int, fan: int) -> np.ndarray:
+    """Bounds of the ``fan`` parts of sorted hashes that agree in all bits above this level."""
+    part = (hashes >> np.uint64(64 - _bits(fan) * (level + 1))) & np.uint64(fan - 1)
+    return np.searchsorted(part, np.arange(fan + 1, dtype=np.uint64))
+
+
+def _dealt(block: int, bucket: int, level: int, fan: int, tuned: bool, what: dict[str, tuple[np.ndarray, np.ndarray, np.ndarray]]) -> Iterator[dict]:
+    """One entry for each part of a range that is asked for: hashes, estimated and tuned counts."""
+    bounds = {w: _parts(x[0], level, fan) for w, x in what.items()}
+    for k in range(fan):
+        if any(b[k] < b[k + 1] for b in bounds.values()):
+            row = {"block": block, "bucket": bucket * fan + k, "tuned": tuned}
+            for w, (hashes, est, tune) in what.items():
+                own = slice(bounds[w][k], bounds[w][k + 1])
+                row |= {w: pack_sorted(hashes[own]), f"{w}_est": pack(est[own]) if est[own].any() else b"", f"{w}_tune": pack(tune[own]) if tune[own].any() else b""}
+            yield row
+
+
+def _entries(blocks: DataFrame, fan: int) -> DataFrame:
+    """What each block asks of each hash range: hashes, and counts where the block is counted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
                 own = Block(row["lens"], row["words"], row["sequence"])
                 pairs, n_pairs, _ = own.pairs()
-                n_words = np.bincount(own.word, minlength=len(own.words))
-                out = []
-                cuts = [np.concatenate(([0], np.searchsorted(h, bounds), [len(h)])) for h in (own.words, pairs)]
-                for k in range(buckets):
-                    (a, b), (c, d) = ((int(x[k]), int(x[k + 1])) for x in cuts)
-                    if a == b and c == d:
-                        continue
-                    counted = row["kind"] != SCORE
-                    out.append({"block": row["block"], "bucket": k, "kind": row["kind"], "words": pack_sorted(own.words[a:b]), "n_words": pack(n_words[a:b]) if counted else b"", "pairs": pack_sorted(pairs[c:d]), "n_pairs": pack(n_pairs[c:d]) if counted else b""})
-                yield pa.RecordBatch.from_pylist(out, schema)
+                counts = {"words": (own.words, np.bincount(own.word, minlength=len(own.words))), "pairs": (pairs, n_pairs)}
+                what = {w: (h, n * (row["kind"] == ESTIMATE), n * (row["kind"] == TUNE)) for w, (h, n) in counts.items()}
+                yield pa.RecordBatch.from_pylist(list(_dealt(row["block"], 0, 0, fan, row["kind"] == TUNE, what)), _ENTRY)
+
+    return blocks.select("block", "kind", "lens", "words", "sequence").mapInArrow(run, _ENTRY_DDL)
 
-    schema = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("kind", pa.int32()), *((c, pa.binary()) for c in ("words", "n_words", "pairs", "n_pairs"))])
-    return blocks.select("block", "bucket", "kind", "ids", "lens", "words", "sequence").mapInArrow(run, _ENTRY_DDL)
 
+def _added(rows: list[dict], what: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct hashes of entries, their summed counts, the place of each asked hash, and where each row's places end."""
+    hashes = [unpack_sorted(r[what]) for r in rows]
+    sizes = np.array([len(h) for h in hashes], np.int64)
+    distinct, place = np.unique(np.concatenate(hashes), return_inverse=True)
+    sums = []
+    for c in ("est", "tune"):
+        counts = np.concatenate([unpack(r[f"{what}_{c}"]).astype(np.int64) if r[f"{what}_{c}"] else np.zeros(n, np.int64) for r, n in zip(rows, sizes.tolist(), strict=True)])
+        sums.append(np.bincount(place, counts, len(distinct)).astype(np.int64))
+    return distinct, *sums, place, np.cumsum(sizes)
 
-_TOTAL = pa.schema([("block", pa.int64()), ("bucket", pa.int32()), ("kind", pa.int32()), ("words", pa.binary()), ("pairs", pa.binary()), ("words_est", pa.binary()), ("pairs_est", pa.binary()), *((c, pa.int64()) for c in ("n", "v", "n_est", "v_est"))])
-_TOTAL_DDL = "block long, bucket int, kind int, words binary, pairs binary, words_est binary, pairs_est binary, n long, v long, n_est long, v_est long"
+
+def _answers(rows: list[dict], what: str, total: np.ndarray, estimate: np.ndarray, place: np.ndarray, ends: np.ndarray, back: list[dict]) -> None:
+    """Put each row's totals, in the order it asked, into its answer."""
+    start = 0
+    for r, e, out in zip(rows, ends.tolist(), back, strict=True):
+        own = place[start:e]
+        out |= {what: pack(total[own]), f"{what}_est": pack(estimate[own]) if r["tuned"] else b""}
+        start = e
 
 
 def _sum_bucket(rows: list[dict]) -> Iterator[dict]:
-    """Totals of one hash bucket, for each block in the order it asked; then N and V of the bucket."""
-    back: list[dict] = [{"block": r["block"], "bucket": r["bucket"], "kind": r["kind"]} for r in rows]
-    sums = {}
+    """Totals of one hash range, for each entry in the order it asked; then N and V of the range."""
+    back: list[dict] = [{"block": r["block"], "bucket": r["bucket"]} for r in rows]
+    last = {"block": -1, "bucket": rows[0]["bucket"]}
     for what in ("words", "pairs"):
-        hashes = [unpack_sorted(r[what]) for r in rows]
-        sizes = [len(h) for h in hashes]
-        counts = np.concatenate([np.zeros(n, np.int64) if r["kind"] == SCORE else unpack(r[f"n_{what}"]).astype(np.int64) for r, n in zip(rows, sizes, strict=True)])
-        tuned = np.repeat([r["kind"] == TUNE for r in rows], sizes)
-        distinct, group = np.unique(np.concatenate(hashes), return_inverse=True)
-        total = np.bincount(group, counts, len(distinct)).astype(np.int64)
-        estimate = total - np.bincount(group[tuned], counts[tuned], len(distinct)).astype(np.int64)
-        sums[what] = total, estimate
-        ends = np.cumsum(sizes)
-        for r, e, n in zip(back, ends.tolist(), sizes, strict=True):
-            r[what] = pack(total[group[e - n : e]])
-            if r["kind"] == TUNE:
-                r[f"{what}_est"] = pack(estimate[group[e - n : e]])
+        _, est, tune, place, ends = _added(rows, what)
+        _answers(rows, what, est + tune, est, place, ends, back)
+        if what == "words":
+            last |= {"n": int((est + tune).sum()), "v": int((est + tune > 0).sum()), "n_est": int(est.sum()), "v_est": int((est > 0).sum())}
     yield from back
-    total, estimate = sums["words"]
-    yield {"block": -1, "bucket": rows[0]["bucket"], "kind": -1, "n": int(total.sum()), "v": int((total > 0).sum()), "n_est": int(estimate.sum()), "v_est": int((estimate > 0).sum())}
+    yield last
 
 
-def _totals(entries: DataFrame) -> DataFrame:
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[dict] = []
-        for batch in batches:
-            for row in batch.to_pylist():
-                if rows and rows[0]["bucket"] != row["bucket"]:
-                    yield pa.RecordBatch.from_pylist(list(_sum_bucket(rows)), _TOTAL)
-                    rows = []
-                rows.append(row)
-        if rows:
-            yield pa.RecordBatch.from_pylist(list(_sum_bucket(rows)), _TOTAL)
-
-    return entries.repartition("bucket").sortWithinPartitions("bucket", "block").mapInArrow(run, _TOTAL_DDL)
+def _runs(batches: Iterator[pa.RecordBatch], *keys: str) -> Iterator[list[dict]]:
+    """Rows that follow each other with the same keys."""
+    rows: list[dict] = []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if rows and any(rows[0][k] != row[k] for k in keys):
+                yield rows
+                rows = []
+            rows.append(row)
+    if rows:
+        yield rows
+
+
+def _totals(entries: DataFrame, n_blocks: int, level: int, depth: int, fan: int) -> DataFrame:
+    """The answers to entries of ranges at this level; with them one row for each range that was summed."""
+    if level + 1 == depth:
+
+        def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for rows in _runs(batches, "bucket"):
+                yield pa.RecordBatch.from_pylist(list(_sum_bucket(rows)), _TOTAL)
+
+        return entries.repartition("bucket").sortWithinPartitions("bucket", "block").mapInArrow(total, _TOTAL_DDL)
+
+    groups = -(-n_blocks // fan)
+    entries = materialise(entries.withColumn("grp", F.expr(f"pmod(xxhash64(block), {groups})")), "entries", compression="zstd")
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches, "bucket", "grp"):
+            what = {w: _added(rows, w)[:3] for w in ("words", "pairs")}
+            yield pa.RecordBatch.from_pylist(list(_dealt(rows[0]["grp"], rows[0]["bucket"], level + 1, fan, any(r["tuned"] for r in rows), what)), _ENTRY)
+
+    merged = entries.repartition("bucket", "grp").sortWithinPartitions("bucket", "grp", "block").mapInArrow(merge, _ENTRY_DDL)
+    given = materialise(_totals(merged, groups, level + 1, depth, fan), "part-totals", compression="zstd")
+
+    def scatter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(batches, "bucket", "grp"):
+            asked, answers = [r for r in rows if r["part"] < 0], [r for r in rows if r["part"] >= 0]
+            back: list[dict] = [{"block": r["block"], "bucket": r["bucket"]} for r in asked]
+            tuned = any(r["tuned"] for r in asked)
+            for what in ("words", "pairs"):
+                _, _, _, place, ends = _added(asked, what)
+                total, estimate = (np.concatenate([unpack(r[c]).astype(np.int64) for r in answers]) for c in (what, f"{what}_est"))
+                _answers(asked, what, total, estimate if tuned else total, place, ends, back)
+            yield pa.RecordBatch.from_pylist(back, _TOTAL)
+
+    columns = ["bucket", "grp", "block", "part", "tuned", *dict.fromkeys((*_ASKED, *_GIVEN))]
+    # Totals of a part come back under its range; its number puts them in the order of hashes.
+    answers = given.where("block >= 0").select(F.expr(f"bucket div {fan}").alias("bucket"), F.col("block").alias("grp"), F.expr("-1L").alias("block"), F.expr(f"cast(bucket % {fan} AS int)").alias("part"), F.lit(None).cast("boolean").alias("tuned"), *[F.col(c) if c in _GIVEN else F.lit(None).cast("binary").alias(c) for c in columns[5:]])
+    asked = entries.withColumn("part", F.lit(-1)).select(*columns)
+    both = asked.unionByName(answers).repartition("bucket", "grp").sortWithinPartitions("bucket", "grp", "part", "block")
+    return both.mapInArrow(scatter, _TOTAL_DDL).unionByName(given.where("block < 0"))
 
 
 def _meet(blocks: DataFrame, totals: DataFrame, est: bool) -> DataFrame:
     """Every block's row followed by its totals in the order of buckets, in one partition."""
     tail = "_est" if est else ""
-    left = blocks.select("block", "bucket", "ids", "lens", "words", "sequence", F.lit(None).cast("binary").alias("cw"), F.lit(None).cast("binary").alias("cp"))
     none = F.lit(None).cast("binary")
-    right = totals.select("block", "bucket", none.alias("ids"), none.alias("lens"), none.alias("words"), none.alias("sequence"), F.col(f"words{tail}").alias("cw"), F.col(f"pairs{tail}").alias("cp"))
+    left = blocks.select("block", F.lit(-1).cast("long").alias("bucket"), *_BINARY, none.alias("cw"), none.alias("cp"))
+    right = totals.select("block", "bucket", *[none.alias(c) for c in _BINARY], F.col(f"words{tail}").alias("cw"), F.col(f"pairs{tail}").alias("cp"))
     return left.unionByName(right).repartition("block").sortWithinPartitions("block", "bucket")
 
 
@@ -304,30 +376,33 @@ def _scores(met: DataFrame, weights: np.ndarray, n: int, v: int) -> DataFrame:
             w = weights[context_bucket(ch)]
             p = w[:, 0] * c2 / np.maximum(ch, 1) + w[:, 1] * c1 / max(n, 1) + w[:, 2] / (v + 1)
             sums = [np.add.reduceat(x, own.starts) for x in ((c1 > 0).astype(np.int64), np.log10((c1 + 1) / (n + v + 1)), np.log10(p))]
-            yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(row["ids"], np.int64)), pa.array(own.lens), *map(pa.array, sums)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
+            ids = pa.array(np.frombuffer(row["ids"], np.int64), mask=np.frombuffer(row["named"], np.uint8) == 0)
+            yield pa.RecordBatch.from_arrays([ids, pa.array(own.lens), *map(pa.array, sums)], ["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
     return met.mapInArrow(run, "doc_id long, n_tokens long, n_known long, base_score double, score double")
 
 
-def score_texts(docs: DataFrame, training: Column | None = None, block_bytes: int = 4_000_000, bucket_bytes: int = 6_000_000) -> DataFrame:
+def score_texts(docs: DataFrame, training: Column | None = None, block_bytes: int = 4_000_000, bucket_bytes: int = 16_000_000, fan: int = 64) -> DataFrame:
     """doc_id, n_tokens, n_known, train_tokens, base_score, score of every row.
 
-    ``training`` marks the rows to learn from (default: all).  ``bucket_bytes`` is how much of the
-    stored input one hash bucket serves.
+    ``training`` marks the rows to learn from (default: all that have an id).  ``bucket_bytes`` is how
+    much text one summed hash range stands for; ``fan``, a power of two, is the number of parts of a range.
     """
-    narrow_batches(docs.sparkSession)
-    learns = F.lit(True) if training is None else training
+    learns = F.col("doc_id").isNotNull() & (F.lit(True) if training is None else F.coalesce(training, F.lit(False)))
     kind = F.when(~learns, SCORE).when(F.expr("pmod(xxhash64(doc_id, 'held out'), 7)") == 0, TUNE).otherwise(ESTIMATE)
     texts = id_text(docs)
     blocks = materialise(_blocks(texts.select("doc_id", "text", kind.alias("kind")), block_bytes), "blocks", compression="zstd")
-    stored = int(str(docs._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    buckets = int(min(max(8, -(-stored // bucket_bytes)), 1 << 20))
-    totals = materialise(_totals(_entries(blocks, buckets)), "totals", compression="zstd")
+    n_blocks, size = blocks.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
+    depth = 1
+    while size > bucket_bytes * fan**depth and _bits(fan) * (depth + 1) < 64:
+        depth += 1
+    totals = materialise(_totals(_entries(blocks, fan), n_blocks, 0, depth, fan), "totals", compression="zstd")
     n, v, n_est, v_est = (x or 0 for x in totals.where("block < 0").agg(F.sum("n"), F.sum("v"), F.sum("n_est"), F.sum("v_est")).first())
     asked = totals.where("block >= 0")
-    tuned = _meet(blocks.where(F.col("kind") == TUNE), asked.where(F.col("kind") == TUNE), True)
+    tuned = blocks.where(F.col("kind") == TUNE)
+    tuned = _meet(tuned, asked.join(tuned.select("block"), "block", "left_semi"), True)
     cells = np.array([tuple(r) for r in _held_out_histogram(tuned, n_est).collect()], np.float64).reshape(-1, 4)
-    weights = learn_weights(cells, v_est)
+    weights = learn_weights(cells, v_est) if n else np.tile([0.0, 0.0, 1.0], (64, 1))
     scored = _scores(_meet(blocks, asked, False), weights, n, v)
     return scored.withColumn("train_tokens", F.lit(int(n)))
 

@@ -75,12 +75,57 @@ def test_token_binary_round_trip(spark, docs, empty):
 def test_records_have_random_access():
     rng = np.random.default_rng(2)
     ids, counts = rng.integers(0, 30, 5000).astype(np.int32), np.full(50, 100)
-    r = token_binary.Record(token_binary.pack(np.arange(50), ids, counts, 50257))
+    r = token_binary.Record(token_binary.pack(np.arange(50), np.ones(50, bool), ids, counts, 50257))
     assert len(r.symbols) < len(ids)
     for k in (0, 17, 49):
         assert r.document(k).tolist() == ids[100 * k : 100 * k + 100].tolist()
 
 
+def test_grammar_goes_on_until_no_pair_pays():
+    rng = np.random.default_rng(3)
+    block = rng.integers(0, 50_000, 1000).astype(np.int32)
+    for ids, most in ((np.tile(block, 200), 6), (np.zeros(100_000, np.int32), 40), (np.tile(np.array([1, 1, 2], np.int32), 20_000), 40), (rng.integers(0, 40, 60_000).astype(np.int32), 60_000)):
+        last = np.zeros(len(ids), bool)
+        last[999::1000] = last[-1] = True
+        symbols, ends, left, right = token_binary.pair_rules(ids.copy(), last.copy(), 50_257)
+        assert len(symbols) / ends.sum() <= most
+        text = {k: [k] for k in range(50_257)}
+        for k, (a, b) in enumerate(zip(left.tolist(), right.tolist())):
+            text[50_257 + k] = text[a] + text[b]
+        assert [x for k in symbols.tolist() for x in text[k]] == ids.tolist()
+        assert np.array_equal(np.cumsum([len(text[k]) for k in symbols.tolist()])[ends], np.flatnonzero(last) + 1)
+        if 50_257 + len(left) < 1 << 16:
+            seen, taken, at = collections.Counter(), {}, 0
+            for at in range(len(symbols) - 1):  # places of a pair that do not overlap
+                pair = symbols[at], symbols[at + 1]
+                if not ends[at] and taken.get(pair, -2) < at - 1:
+                    seen[pair] += 1
+                    taken[pair] = at
+            assert not seen or max(seen.values()) < 5
+
+
+def test_token_binary_of_null_and_repeated_ids(spark):
+    lib = library()
+    rows = [(None, "no id"), (None, None), (9007199254740993, "a b"), (-3, "first"), (9007199254740993, "a a"), (7, "x")] * 2
+    got = token_binary.read_tokens(token_binary.write_tokens(spark.createDataFrame(rows, "doc_id long, text string"), BPE, segment_tokens=4)).collect()
+    order, start = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] or "")), 0
+    for r, (doc, text) in zip(sorted(got, key=lambda r: r.start), order, strict=True):
+        ids = lib.encode(text or "", add_special_tokens=False).ids + [2]
+        assert (r.doc_id, r.start, r.n_tokens, r.ids_crc32) == (doc, start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+
+
+def test_pieces_of_one_hash_are_told_apart():
+    encoder, lib = token_binary.AtomEncoder(BPE), library()
+    text = "some words and more words"
+    encode = lambda: encoder.encode(np.frombuffer(text.encode(), np.uint8), np.array([0, len(text)]))[0].tolist()
+    assert encode() == lib.encode(text).ids
+    encoder.raw[: encoder.raw_used] ^= 1  # as if every entry were of other bytes
+    assert encode() == lib.encode(text).ids
+    encoder.raw_lens += 1
+    assert encode() == lib.encode(text).ids
+
+
 def test_pieces_are_the_librarys(spark, docs, empty):
     import sentencepiece
 
@@ -202,7 +247,17 @@ def test_trees_fit_a_rule():
     assert ((model.score(x[1500:]) > 0.5) == y[1500:]).mean() > 0.98
 
 
-@pytest.mark.parametrize("block", [2_000_000, 300])
+def test_decontamination_without_ids(spark):
+    df = spark.createDataFrame([(None, "one two three"), (None, "one two three"), (1, "x one two three"), (2, "clean")], "doc_id long, text string").withColumn("items", F.lit(2))
+    bench = spark.createDataFrame([(None, "One two!"), (5, "two three"), (None, "other"), (6, None)], "item_id long, text string")
+    for block in (4_000_000, 10):
+        got = find_benchmark(df, bench, block_bytes=block).collect()
+        assert sorted((r.doc_id or 0, r.n_words, r.n_hit, tuple(r.items)) for r in got) == [(0, 3, 3, (5,)), (0, 3, 3, (5,)), (1, 4, 3, (5,)), (2, 1, 0, ())]
+        kept = clean_of(df, bench, block_bytes=block)
+        assert kept.columns == df.columns and [r.doc_id for r in kept.collect()] == [2]
+
+
+@pytest.mark.parametrize("block", [4_000_000, 300])
 def test_decontamination(spark, docs, empty, block):
     rng = np.random.default_rng(7)
     words = [f"w{k}" for k in range(60)]
@@ -234,7 +289,7 @@ def test_decontamination(spark, docs, empty, block):
         assert r.items_sha256 == hashlib.sha256(",".join(sorted(map(str, ids))).encode()).hexdigest()
     spot = got[4].spans[0]
     assert texts[4][spot.start : spot.end] == "only (three)  WORDS"
-    assert clean_of(df, bench).count() == sum(not r.contaminated for r in got.values())
+    assert clean_of(df, bench, block_bytes=block).count() == sum(not r.contaminated for r in got.values())
     assert find_benchmark(empty, bench).count() == 0
     assert find_benchmark(df, bench.where("item_id > 99")).where("contaminated").count() == 0
 
@@ -347,7 +402,7 @@ def test_language_model(spark, docs, empty):
     texts = [" ".join(words[i : i + 50]) for i in range(0, 20000, 50)]
     df = spark.createDataFrame(list(enumerate(texts)) + [(1000, None), (1001, ""), (1002, "never seen words")], "doc_id long, text string")
     fold = ngram_lm.training_fold()
-    got = {r.doc_id: r for r in ngram_lm.score_texts(df, fold, block_bytes=4000, bucket_bytes=200).collect()}
+    got = {r.doc_id: r for r in ngram_lm.score_texts(df, fold, block_bytes=4000).collect()}
     train = lambda i: zlib.crc32(str(i).encode()) % 7 != 2
     toks = lambda t: [w.lower() for w in (t or "").split()] + [" end "]
     rows = list(enumerate(texts)) + [(1000, None), (1001, ""), (1002, "never seen words")]
@@ -360,10 +415,74 @@ def test_language_model(spark, docs, empty):
     held = [i for i in range(400) if not train(i)]
     assert sum(got[i].score for i in held) > sum(got[i].base_score for i in held)
     assert ngram_lm.score_texts(docs).count() == len(ODD)
-    assert ngram_lm.score_texts(docs, F.lit(False)).where("score >= 0 OR score IS NULL OR isnan(score)").count() in (0, len(ODD))
+    unlearned = ngram_lm.score_texts(docs, F.lit(False)).collect()
+    assert {(r.score, r.base_score, r.n_known, r.train_tokens) for r in unlearned} == {(0.0, 0.0, 0, 0)} and len(unlearned) == len(ODD)
     assert ngram_lm.score_texts(empty).count() == 0
 
 
+def interpolated(rows, training, tuned):
+    """Deleted interpolation restated with dictionaries: scores of all rows."""
+    toks = lambda t: [w.lower() for w in (t or "").split()] + [" end "]
+    pairs = lambda t: list(zip([" end ", *toks(t)], toks(t)))
+
+    def counted(ids):
+        one, two = collections.Counter(), collections.Counter()
+        for i, t in rows:
+            if i in ids:
+                one.update(toks(t))
+                two.update(pairs(t))
+        return one, two
+
+    cell = lambda p: 2.0 ** (round(math.log2(p) * 8) / 8) if p > 0 else 0.0
+    one, two = counted(training - tuned)
+    n, v = sum(one.values()), len(one)
+    held = collections.defaultdict(list)
+    for i, t in rows:
+        if i in tuned:
+            for h, w in pairs(t):
+                held[int(math.log2(one[h] + 1))].append((cell(two[h, w] / max(one[h], 1)), cell(one[w] / max(n, 1)), 1 / (v + 1)))
+    weights, last = {}, (0.0, 0.7, 0.3)
+    for b in range(64):
+        if b in held:
+            w = [1e-9 if b == 0 else 1.0, 1.0, 1.0]
+            w = [x / sum(w) for x in w]
+            for _ in range(60):
+                part = [0.0] * 3
+                for p in held[b]:
+                    whole = sum(x * y for x, y in zip(p, w))
+                    part = [s + x * y / whole for s, x, y in zip(part, p, w)]
+                w = [(s + 1e-3) / (sum(part) + 3e-3) for s in part]
+            last = (0.0, w[1] / (w[1] + w[2]), w[2] / (w[1] + w[2])) if b == 0 else tuple(w)
+        weights[b] = last
+    one, two = counted(training)
+    n, v = sum(one.values()), len(one)
+    score = lambda h, w: sum(x * y for x, y in zip(weights[int(math.log2(one[h] + 1))], (two[h, w] / max(one[h], 1), one[w] / n, 1 / (v + 1))))
+    return {i: sum(math.log10(score(h, w)) for h, w in pairs(t)) for i, t in rows}
+
+
+def test_model_score_is_deleted_interpolation(spark, tmp_path):
+    rng = np.random.default_rng(11)
+    words = np.array([f"w{k}" for k in range(80)] + ["The", "the", "é"])
+    rows = [(i, " ".join(rng.choice(words, int(rng.integers(0, 60)), p=np.linspace(2, 0.1, 83) / np.linspace(2, 0.1, 83).sum()))) for i in range(160)] + [(200, None), (201, "new words only")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    training = {i for i, _ in rows if zlib.crc32(str(i).encode()) % 7 != 2}
+    tuned = {r.doc_id for r in df.where("pmod(xxhash64(doc_id, 'held out'), 7) = 0").collect()} & training
+    want = interpolated(rows, training, tuned)
+    df.write.parquet(str(tmp_path / "docs"))
+    stored = spark.read.parquet(str(tmp_path / "docs"))
+    fold = ngram_lm.training_fold()
+    # One range for all, and trees of ranges two and four levels deep, over many small blocks.
+    for frame, sizes in ((df, {}), (stored, {"block_bytes": 500, "bucket_bytes": 1000, "fan": 4}), (df, {"block_bytes": 300, "bucket_bytes": 500, "fan": 2})):
+        got = {r.doc_id: r.score for r in ngram_lm.score_texts(frame, fold, **sizes).collect()}
+        assert got == pytest.approx(want, rel=1e-9)
+
+
+def test_scores_without_ids(spark):
+    df = spark.createDataFrame([(None, "a b"), (1, "a b"), (2, "a c"), (None, None)], "doc_id long, text string")
+    got = ngram_lm.score_texts(df).collect()
+    assert sorted((r.doc_id or 0, r.n_tokens, r.train_tokens) for r in got) == [(0, 1, 6), (0, 3, 6), (1, 3, 6), (2, 3, 6)]
+
+
 def test_weights_sum_to_one_and_follow_the_counts():
     cells = np.array([[3, -8, -40, 900], [3, 1, -40, 100], [0, 1, -40, 50]], float)
     w = ngram_lm.learn_weights(cells, 1000)
