@@ -306,9 +306,10 @@ def pair_rules(symbols: np.ndarray, last: np.ndarray, base: int, least: int = 5,
     made = 0
     live = np.flatnonzero(~last[:-1])  # places whose pair may pay; a rare pair only does so with a new symbol in it
     while len(live) and base + made < most:
-        key = (symbols[live].astype(np.uint32) << np.uint32(16)) | symbols[live + 1].astype(np.uint32)
+        wide = symbols.astype(np.uint32)
+        key = ((wide[:-1] << np.uint32(16)) | wide[1:])[live]
         seen, counts = _counted(key)
-        seen, counts = seen[counts >= least], counts[counts >= least]
+        seen, counts = seen[counts >= least], counts[counts >= least].astype(np.int32)
         if not len(seen):
             break
         at = _placed(seen, key)
@@ -316,11 +317,15 @@ def pair_rules(symbols: np.ndarray, last: np.ndarray, base: int, least: int = 5,
         live, at = live[known], at[known]
         # A place is taken if its pair is more frequent than those it overlaps with; on a tie the first is.
         weight = counts[at]
-        beside = live[1:] == live[:-1] + 1
-        before, after = np.zeros(len(live), np.int64), np.zeros(len(live), np.int64)
-        before[1:][beside], after[:-1][beside] = weight[:-1][beside], weight[1:][beside]
-        taken = (weight > before) & (weight >= after)
-        taken |= _every_second((weight == before) & (weight >= after), taken)
+        beside = np.diff(live) == 1
+        before, after = np.zeros(len(live), np.int32), np.zeros(len(live), np.int32)
+        np.multiply(weight[:-1], beside, out=before[1:])
+        np.multiply(weight[1:], beside, out=after[:-1])
+        highest = weight >= after
+        taken = (weight > before) & highest
+        level = (weight == before) & highest
+        if level.any():
+            taken |= _every_second(level, taken)
         uses = np.bincount(at[taken], minlength=len(seen))
         chosen = np.flatnonzero(uses >= least)
         if not len(chosen):  # overlaps leave no pair enough places: pair by pair, the most frequent first
@@ -329,22 +334,24 @@ def pair_rules(symbols: np.ndarray, last: np.ndarray, base: int, least: int = 5,
             if not len(chosen):
                 break
         chosen = chosen[np.argsort(-uses[chosen], kind="stable")[: most - base - made]]
-        number = np.full(len(seen), -1, np.int64)
-        number[chosen] = np.arange(len(chosen))
-        taken &= number[at] >= 0
+        number = np.full(len(seen), -1, np.int32)
+        number[chosen] = np.arange(base + made, base + made + len(chosen), dtype=np.int32)
+        rule = number[at]
+        taken &= rule >= 0
         places = live[taken]
         sides.append(np.stack([seen[chosen] >> np.uint32(16), seen[chosen] & np.uint32(0xFFFF)], 1).astype(np.int64))
-        symbols[places] = number[at[taken]] + (base + made)
+        symbols[places] = rule[taken]
         last[places] = last[places + 1]
-        keep = np.ones(len(symbols), bool)
-        keep[places + 1] = False
+        gone = np.zeros(len(symbols) + 1, bool)
+        gone[places + 1] = True
         again = np.zeros(len(symbols), bool)
-        again[live] = again[places] = True
-        again[np.maximum(places - 1, 0)] = True
-        left = places - 1 - (~keep[np.maximum(places - 1, 0)])  # the symbol before, past one that has just gone
-        again[np.maximum(left, 0)] = True
+        again[live] = True
+        # The pair of a new symbol with the one before it, past one that has just gone.
+        again[np.maximum(places - 1 - gone[places - 1], 0)] = True
+        keep = np.flatnonzero(~gone[:-1])
         symbols, last, again = symbols[keep], last[keep], again[keep]
-        live = np.flatnonzero(again[:-1] & ~last[:-1])
+        again &= ~last
+        live = np.flatnonzero(again[:-1])
         made += len(chosen)
     rules = np.concatenate(sides) if sides else np.zeros((0, 2), np.int64)
     return symbols, last, rules[:, 0], rules[:, 1]
@@ -354,15 +361,17 @@ def _placed(seen: np.ndarray, key: np.ndarray) -> np.ndarray:
     """The place of each key in ``seen``; -1 if it isn't there.  A table by hash, and a search for those that share a slot."""
     slot = np.full(1 << 18, -1, np.int32)
     spread = lambda k: (k * np.uint32(0x9E3779B1)) >> np.uint32(14)
-    slot[spread(seen)] = np.arange(len(seen), dtype=np.int32)
+    own = spread(seen)
+    slot[own] = np.arange(len(seen), dtype=np.int32)
     at = slot[spread(key)]
-    at[seen[at] != key] = -1
-    second = np.flatnonzero(slot[spread(seen)] != np.arange(len(seen)))
+    other = (at >= 0) & (seen[at] != key)
+    second = np.flatnonzero(slot[own] != np.arange(len(seen)))
     if len(second):
-        rest = np.flatnonzero(at < 0)
+        rest = np.flatnonzero(other)
         near = second[np.minimum(np.searchsorted(seen[second], key[rest]), len(second) - 1)]
-        same = seen[near] == key[rest]
-        at[rest[same]] = near[same]
+        at[rest] = np.where(seen[near] == key[rest], near, -1)
+    else:
+        at[other] = -1
     return at
 
 
@@ -397,12 +406,13 @@ def _alternate(places: np.ndarray) -> np.ndarray:
 
 def _every_second(level: np.ndarray, taken: np.ndarray) -> np.ndarray:
     """Of runs of equally frequent overlapping pairs, whose first is ``taken``, every second further place."""
-    run = level & ~taken
-    if not run.any():
-        return run
-    place = np.arange(len(run))
-    head = np.maximum.accumulate(np.where(run, -1, place))  # the last place before the run
-    return run & taken[np.maximum(head, 0)] & ((place - head) % 2 == 0)
+    run = np.zeros(len(level), bool)
+    place = np.flatnonzero(level & ~taken)
+    if len(place):
+        fresh = np.concatenate(([True], np.diff(place) != 1))
+        head = place[fresh][np.cumsum(fresh) - 1]
+        run[place[taken[head - 1] & (head > 0) & ((place - head) % 2 == 1)]] = True
+    return run
 
 
 def pack(doc_ids: np.ndarray, named: np.ndarray, ids: np.ndarray, counts: np.ndarray, base: int) -> bytes:
