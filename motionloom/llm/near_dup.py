@@ -5,7 +5,7 @@ shingles are all runs of five words, weighted by how often they occur (a text of
 one shingle).  Similarity is probability Jaccard of the weights; two texts are linked at 0.8 or
 more, and a class is a connected component of links.
 
-1. Equal texts are one: the least id of each text stands for it.
+1. Equal texts are one node.
 2. ProbMinHash: each shingle is a Poisson process whose rate is its weight; every arrival goes to
    a random slot, a slot keeps its first arrival, and a process ends as soon as it is later than
    every slot.  Two signatures agree in a slot with probability equal to their similarity.
@@ -20,14 +20,19 @@ more, and a class is a connected component of links.
    If a and b are the shares of two texts' weight outside their common shingles, similarity is at
    most 1 / (1/(1-a) + 1/(1-b) - 1).  So, in one order of all shingles from rare to frequent, the
    first common shingle of a pair at 0.8 has at most 1/5 of either text's weight before it, and at
-   most 1/9 of one's; texts of one template that are less alike than 0.8 do not meet at all.
-   These pairs go through step 4, and their links join classes in step 5.
+   most 1/9 of one's.  Texts are not paired there but held in blocks of a few hundred, large classes in
+   blocks of their own: a text meets each block that holds such a shingle once, and within it an
+   inverted index gives both shares exactly; what they allow is verified, without any estimate.
 
-No step gathers a bucket or a class in one task, and nothing but row counts reaches the driver.
+Texts of a bucket's leader, and of a block, are sent once for each few thousand that are compared with
+them, and such groups are dealt out, so neither a hot leader nor a hot block is one task's work.  No step
+gathers a bucket or a class in one task, and nothing but row counts reaches the driver.
 
 Null and empty texts are equal to each other and to no other text; texts without words are only
-equal to exact copies.  Repeated ids and rows fall together.  Only id and text are read, so
-further columns cannot clash.  An empty table gives an empty result.
+equal to exact copies.  A class is named by its least id (null if none of its rows has an id).  Texts
+that share an id are nodes of their own, so near copies of each of them are found; repeated rows fall
+together.  Only id and text are read, so further columns cannot clash.  An empty table gives an empty
+result.
 """
 
 from __future__ import annotations
@@ -37,11 +42,12 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from .common import TMP, id_text, materialise, sliced
+from .common import TMP, drop, id_text, materialise, sliced, text_of
+from .token_binary import ragged
 
 _GOLD = np.uint64(0x9E3779B97F4A7C15)
 _MIX = (np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB))
@@ -139,8 +145,19 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float((x / denominator).sum())
 
 
+_NO_ID = (1 << 63) - 1  # stands for null, after all ids
+
+
+def _own_id(column: str = "doc_id") -> Column:
+    return F.coalesce(F.col(f"`{column}`").cast("long"), F.lit(_NO_ID))
+
+
+def _digest(text: Column) -> Column:
+    return F.md5(F.encode(text, "UTF-8"))
+
+
 def _signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, digest of the text, 32 bits of each slot's winner, band keys (null without words)."""
+    """did, digest of the text, 32 bits of each slot's winner, band keys (null without words)."""
     slots = bands * rows
     orders = np.stack([np.arange(slots), np.argsort(mixed(np.arange(1, slots + 1, dtype=np.uint64)))]).reshape(-1, rows)
 
@@ -163,16 +180,16 @@ def _signatures(docs: DataFrame, size: int, bands: int, rows: int) -> DataFrame:
             got = [made[t] for t in texts]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(0), batch.column(2), pa.array([g and g[0] for g in got], pa.binary()), pa.array([g and g[1] for g in got], pa.list_(pa.int64()))],
-                ["doc_id", "digest", "sig", "keys"],
+                ["did", "digest", "sig", "keys"],
             )
 
-    return docs.mapInArrow(run, "doc_id long, digest string, sig binary, keys array<long>")
+    return docs.mapInArrow(run, "did long, digest string, sig binary, keys array<long>")
 
 
 def _compare(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
     """(id, leader) -> share of agreeing slots."""
-    own = pairs.join(sigs.select(F.col("doc_id").alias("id"), F.col("sig").alias("a")), "id")
-    both = own.join(sigs.select(F.col("doc_id").alias("leader"), F.col("sig").alias("b")), "leader").select("id", "leader", "a", "b")
+    own = pairs.join(sigs.select(F.col("node").alias("id"), F.col("sig").alias("a")), "id")
+    both = own.join(sigs.select(F.col("node").alias("leader"), F.col("sig").alias("b")), "leader").select("id", "leader", "a", "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -185,7 +202,7 @@ def _compare(pairs: DataFrame, sigs: DataFrame) -> DataFrame:
 
 def _buckets(sigs: DataFrame) -> DataFrame:
     """(id, key, n): the buckets of at least two members."""
-    banded = sigs.select(F.col("doc_id").alias("id"), F.explode("keys").alias("key"))
+    banded = sigs.select(F.col("node").alias("id"), F.explode("keys").alias("key"))
     sizes = banded.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     return materialise(banded.join(sizes, "key"), "shared")
 
@@ -207,70 +224,127 @@ def _unsettled(shared: DataFrame, classes: DataFrame) -> DataFrame:
     return materialise(own.join(several, "key").select("id", "class").distinct(), "unsettled")
 
 
-def _rarest(rest: DataFrame, docs: DataFrame, size: int, least: float) -> DataFrame:
-    """(id, class, shingle, before): each text's rarest shared shingles, and the share of its weight before them."""
+class _Block:
+    """An inverted index over the shingles of some texts."""
+
+    def __init__(self, members: list[tuple[int, int, tuple[np.ndarray, np.ndarray]]]):
+        self.ids, self.classes = (np.array([m[k] for m in members], np.int64) for k in (0, 1))
+        self.sets = [m[2] for m in members]
+        flat = np.concatenate([e for e, _ in self.sets])
+        order = np.argsort(flat, kind="stable")
+        self.elements = flat[order]
+        self.owners = np.repeat(np.arange(len(members)), [len(e) for e, _ in self.sets])[order]
+        self.weights = np.concatenate([w for _, w in self.sets])[order]
+        self.totals = np.array([w.sum() for _, w in self.sets], np.float64)
+
+    def links(self, node: int, own_class: int, own: tuple[np.ndarray, np.ndarray], least: float) -> list[int]:
+        """One member of each other class that is similar enough to a text."""
+        first, last = (np.searchsorted(self.elements, own[0], side) for side in ("left", "right"))
+        places = ragged(first, last - first)
+        owners = self.owners[places]
+        mine = np.bincount(owners, np.repeat(own[1], last - first), len(self.ids)) / max(own[1].sum(), 1)
+        theirs = np.bincount(owners, self.weights[places], len(self.ids)) / np.maximum(self.totals, 1)
+        both = (mine > 0) & (self.classes != own_class) & (self.ids != node)
+        able = np.flatnonzero(both)
+        able = able[1 / mine[able] + 1 / theirs[able] - 1 <= 1 / least + 1e-9]
+        found: dict[int, int] = {}
+        for k in able[np.argsort(-mine[able], kind="stable")].tolist():
+            if int(self.classes[k]) not in found and similarity(own, self.sets[k]) >= least:
+                found[int(self.classes[k])] = int(self.ids[k])
+        return list(found.values())
+
+
+def _texts(docs: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, text) of the nodes given with their did and digest; repeated rows count once."""
+    once = docs.groupBy("digest", "did").agg(F.first("text").alias("text"))
+    return once.join(nodes.select("digest", "did", "node"), ["digest", "did"]).select("node", "text")
+
+
+def _links(asked: DataFrame, members: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, least: float, at_once: int = 4000) -> DataFrame:
+    """(id, other): verified links of the texts ``asked`` (id, class, block) to ``members`` (id, class, block) of the block.
+
+    A text and a member of one class are not compared, and one link to each class is enough.  A block
+    is sent again for every ``at_once`` texts asked, so that tasks are of like size.
+    """
+    load = asked.groupBy("block").agg(F.ceil(F.count("*") / at_once).cast("int").alias("chunks"))
+    one = asked.join(load, "block").select("block", F.expr("pmod(xxhash64(id), chunks)").cast("int").alias("chunk"), F.lit(1).alias("kind"), "id", "class")
+    other = members.join(load, "block").select("block", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("chunk"), F.lit(0).alias("kind"), "id", "class")
+    rows = materialise(one.unionByName(other), "asked")
+    held = nodes.join(rows.select(F.col("id").alias("node")).distinct(), "node", "left_semi")
+    told = rows.join(_texts(docs, held), F.col("id") == F.col("node")).select("block", "chunk", "kind", "id", "class", "text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler = Shingler(size)
+        at, members, block = None, [], None
+        for batch in sliced(batches, chars=1_000_000):
+            with np.errstate(over="ignore"):
+                sets = shingler(batch.column(5).to_pylist())
+            ids, others = [], []
+            for key, chunk, kind, node, own_class, own in zip(*(batch.column(k).to_pylist() for k in range(5)), sets, strict=True):
+                if at != (key, chunk):
+                    at, members, block = (key, chunk), [], None
+                if kind == 0:
+                    members.append((node, own_class, own))
+                    continue
+                block = block or _Block(members)
+                found = block.links(node, own_class, own, least)
+                ids += [node] * len(found)
+                others += found
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(others, pa.int64())], ["id", "other"])
+
+    dealt = told.repartition("block", "chunk").sortWithinPartitions("block", "chunk", "kind", "id")
+    return dealt.mapInArrow(run, "id long, other long")
+
+
+def _rarest(rest: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, least: float) -> tuple[DataFrame, DataFrame]:
+    """(id, shingle, before): each text's rarest shared shingles and the share of its weight before them; (id, total weight)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(size)
         for batch in sliced(batches, chars=250_000):
             with np.errstate(over="ignore"):
-                own = shingler(batch.column(2).to_pylist())
+                own = shingler(batch.column(1).to_pylist())
             lens = [len(e) for e, _ in own]
-            ids, classes = (np.repeat(batch.column(k).to_numpy(zero_copy_only=False), lens) for k in (0, 1))
             totals = np.repeat([int(w.sum()) for _, w in own], lens)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids), pa.array(classes), pa.array(np.concatenate([e for e, _ in own]).view(np.int64)), pa.array(np.concatenate([w for _, w in own]).astype(np.int64)), pa.array(totals.astype(np.int64))],
-                ["id", "class", "shingle", "weight", "total"],
+                [pa.array(np.repeat(batch.column(0).to_numpy(), lens)), pa.array(np.concatenate([e for e, _ in own]).view(np.int64)), pa.array(np.concatenate([w for _, w in own]).astype(np.int64)), pa.array(totals.astype(np.int64))],
+                ["id", "shingle", "weight", "total"],
             )
 
-    texts = rest.join(docs.withColumnRenamed("doc_id", "id").dropDuplicates(["id"]), "id").select("id", "class", "text")
-    every = materialise(texts.mapInArrow(run, "id long, class long, shingle long, weight long, total long"), "shingles")
+    held = nodes.join(rest.select(F.col("id").alias("node")), "node", "left_semi")
+    every = materialise(_texts(docs, held).mapInArrow(run, "id long, shingle long, weight long, total long"), "shingles")
     often = every.groupBy("shingle").agg(F.count("*").alias("often")).where("often > 1")
     shared = every.join(often, "shingle")
     # What no other text holds comes first in the order and counts as weight only.
     whole = Window.partitionBy("id")
     before = F.col("total") - F.sum("weight").over(whole) + F.sum("weight").over(whole.orderBy("often", "shingle").rowsBetween(Window.unboundedPreceding, 0)) - F.col("weight")
-    return shared.select("id", "class", "shingle", (before / F.col("total")).alias("before")).where(F.col("before") <= 1 - least + 1e-9)
-
-
-def _rest(rest: DataFrame, docs: DataFrame, size: int, least: float) -> DataFrame:
-    """(id, leader): all pairs of different classes that can be similar enough."""
-    rarest = materialise(_rarest(rest, docs, size, least), "rarest")
-    low = F.col("before") <= 1 - 2 / (1 + 1 / least) + 1e-9  # holds for one text of a pair at least
-    sizes = rarest.groupBy("shingle", "class").agg(F.count("*").alias("n"), F.max(low).alias("low"))
-    tops = sizes.groupBy("shingle").agg(F.count("*").alias("classes"), F.max(F.struct("n", "class")).alias("top"), F.max("low").alias("low"))
-    # The largest class of a shingle meets the others, never itself.
-    met = materialise(rarest.join(tops.where("classes > 1 AND low").select("shingle", F.col("top.class").alias("top")), "shingle").withColumn("minor", F.col("class") != F.col("top")), "met")
-    a, b = met.where(low).alias("a"), met.alias("b")
-    near = (F.col("a.class") != F.col("b.class")) & (1 / (1 - F.col("a.before")) + 1 / (1 - F.col("b.before")) <= 1 + 1 / least + 1e-9)
+    rows = shared.select("id", "shingle", (before / F.col("total")).alias("before")).where(F.col("before") <= 1 - least + 1e-9)
+    return rows, every.groupBy("id").agg(F.max("total").alias("total"))
 
-    def pairs(one: DataFrame, other: DataFrame) -> DataFrame:
-        both = one.join(other, (F.col("a.shingle") == F.col("b.shingle")) & near)
-        return both.select(F.greatest("a.id", "b.id").alias("id"), F.least("a.id", "b.id").alias("leader"))
 
-    return materialise(pairs(a.where("minor"), b).unionByName(pairs(a.where("NOT minor"), b.where("minor"))).distinct(), "rest")
+def _in_blocks(rest: DataFrame, compared: DataFrame, totals: DataFrame, texts: int = 256, weight: int = 1_000_000) -> DataFrame:
+    """(id, class, block, own): blocks of about ``texts`` texts, or ``weight`` shingles, around one leader each.
 
-
-def _verified(pairs: DataFrame, docs: DataFrame, size: int, least: float) -> DataFrame:
-    """The (id, leader) whose whole texts are similar enough."""
-    own = pairs.join(docs.select(F.col("doc_id").alias("id"), F.col("text").alias("a")), "id")
-    both = own.join(docs.select(F.col("doc_id").alias("leader"), F.col("text").alias("b")), "leader").select("id", "leader", "a", "b")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shingler = Shingler(size)
-        kept: tuple[int, tuple[np.ndarray, np.ndarray]] | None = None
-        for batch in sliced(batches, text="a", chars=1_000_000):
-            ids, leaders = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            good = []
-            with np.errstate(over="ignore"):
-                weights = shingler(batch.column(2).to_pylist())
-                for k, leader in enumerate(leaders):
-                    if kept is None or kept[0] != leader:  # rows come sorted by leader
-                        kept = leader, shingler([batch.column(3)[k].as_py()])[0]
-                    good.append(similarity(weights[k], kept[1]) >= least)
-            yield pa.RecordBatch.from_arrays([pa.array([x for x, g in zip(ids, good, strict=True) if g], pa.int64()), pa.array([x for x, g in zip(leaders, good, strict=True) if g], pa.int64())], ["id", "leader"])
-
-    return both.mapInArrow(run, "id long, leader long")
+    Classes with at least a block of texts there have blocks of their own (``own`` is the class, else null).
+    """
+    near = compared.groupBy("id").agg(F.max_by("leader", F.struct("agree", "leader")).alias("anchor"))
+    placed = rest.join(totals, "id").join(near, "id", "left").select("id", "class", "total", F.coalesce("anchor", "id").alias("anchor"))
+    placed = materialise(placed, "anchored")
+    large = placed.groupBy("anchor", "class").agg(F.count("*").alias("n")).where(F.col("n") >= texts).select("anchor", "class", F.col("class").alias("own"))
+    placed = placed.join(large, ["anchor", "class"], "left").withColumn("grp", F.coalesce("own", F.lit(-1)))
+    sizes = placed.groupBy("anchor", "grp").agg(F.ceil(F.greatest(F.count("*") / texts, F.sum("total") / weight)).cast("long").alias("parts"))
+    return placed.join(sizes, ["anchor", "grp"]).select("id", "class", F.xxhash64("anchor", "grp", F.expr("pmod(xxhash64(id), parts)")).alias("block"), "own")
+
+
+def _late_links(rest: DataFrame, compared: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, least: float) -> DataFrame:
+    """(id, other): links between different classes of ``rest`` (id, class)."""
+    rows, totals = _rarest(rest, docs, nodes, size, least)
+    blocks = materialise(_in_blocks(rest, compared, totals), "blocks")
+    rows = materialise(rows.join(blocks, "id"), "rarest")
+    by_block = rows.groupBy("shingle", F.col("block").alias("there"), F.col("own").alias("theirs")).agg(F.min("before").alias("least_before"))
+    near = (F.col("block") >= F.col("there")) & ~F.coalesce(F.col("own") == F.col("theirs"), F.lit(False)) & (1 / (1 - F.col("before")) + 1 / (1 - F.col("least_before")) <= 1 + 1 / least + 1e-9)
+    asked = rows.join(by_block, "shingle").where(near).select("id", "class", F.col("there").alias("block")).distinct()
+    return _links(asked, blocks.select("id", "class", "block"), docs, nodes, size, least)
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -281,10 +355,12 @@ def components(edges: DataFrame) -> DataFrame:
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         large = materialise(large, "large-star")
+        drop(edges)
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         joined = large.join(least, "u")
         small = joined.select("u", F.col("m").alias("v")).unionByName(joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct()
         small = materialise(small, "small-star")
+        drop(large)
         # Stars around least nodes, and nothing else, no longer change.
         inner = small.select(F.col("v").alias("u")).distinct().join(small.select("u").distinct(), "u", "left_semi")
         many = small.groupBy("u").agg(F.count("*").alias("n")).where("n > 1")
@@ -294,34 +370,49 @@ def components(edges: DataFrame) -> DataFrame:
     return small.select(F.col("u").alias("node"), F.col("v").alias("class")).unionByName(small.select(F.col("v").alias("node"), F.col("v").alias("class")).distinct())
 
 
+def _classes(docs: DataFrame, size: int, least: float, bands: int, rows: int, slack: float) -> tuple[DataFrame, DataFrame]:
+    """Rows' (did, digest), and (digest, did, class, class_id) of every text: its least id, its class, that one's least id."""
+    texts = id_text(docs).select(_own_id().alias("did"), "text", _digest(F.col("text")).alias("digest"))
+    signed = materialise(_signatures(texts, size, bands, rows), "signatures")
+    once = signed.groupBy("digest").agg(F.min("did").alias("did"), F.first("sig").alias("sig"), F.first("keys").alias("keys"))
+    nodes = materialise(once.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    standing = nodes.where("sig IS NOT NULL")
+    shared = _buckets(standing)
+    compared = _candidates(shared, standing)
+    close = compared.where(F.col("agree") >= least - slack).select("id", F.col("id").alias("class"), F.col("leader").alias("block"))
+    leaders = close.select(F.col("block").alias("id"), F.col("block").alias("class"), "block").distinct()
+    links = _links(close, leaders, texts, nodes, size, least)
+    classes = materialise(components(links.select(F.col("id").alias("u"), F.col("other").alias("v"))), "classes")
+    rest = _unsettled(shared, classes)
+    named = nodes.select("digest", "did", "node").join(classes, "node", "left").select("digest", "did", F.coalesce("class", "node").alias("class"))
+    if not rest.isEmpty():
+        late = _late_links(rest, compared, texts, nodes, size, least)
+        late = late.join(rest.select("id", F.col("class").alias("u")), "id").join(rest.select(F.col("id").alias("other"), F.col("class").alias("v")), "other")
+        joins = components(late.select("u", "v")).select(F.col("node").alias("class"), F.col("class").alias("joined"))
+        named = named.join(joins, "class", "left").select("digest", "did", F.coalesce("joined", "class").alias("class"))
+    named = materialise(named, "named")
+    least_ids = named.groupBy("class").agg(F.min("did").alias("class_id"))
+    return signed.select("did", "digest"), named.join(least_ids, "class").select("digest", "did", "class", "class_id")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, least: float = 0.8, bands: int = 20, rows: int = 5, slack: float = 0.14) -> DataFrame:
     """doc_id, class_id (the least id of the class) of every row.
 
     ``bands`` x ``rows`` slots: a pair at 0.8 shares a band of the first order alone with
-    probability 0.9996.  A pair is verified if its signatures agree in at least ``least - slack``
-    of the slots (three and a half standard errors below the threshold).
+    probability 0.9996.  A pair of a bucket's leader is verified if its signatures agree in at least
+    ``least - slack`` of the slots (three and a half standard errors below the threshold).
     """
-    texts = id_text(docs)
-    marked = texts.withColumn("digest", F.md5(F.encode("text", "UTF-8")))
-    signed = materialise(_signatures(marked.select("doc_id", "text", "digest"), size, bands, rows), "signatures")
-    firsts = materialise(signed.groupBy("digest").agg(F.min("doc_id").alias("first")), "firsts")
-    member = materialise(signed.select("doc_id", "digest").join(firsts, "digest").select("doc_id", "first"), "members")
-    standing = signed.where("sig IS NOT NULL").join(member.where("doc_id = first").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates(["doc_id", "digest"])
-    standing = materialise(standing.groupBy("doc_id").agg(F.min(F.struct("digest", "sig", "keys")).alias("s")).select("doc_id", "s.sig", "s.keys"), "standing")
-    shared = _buckets(standing)
-    close = F.col("agree") >= least - slack
-    links = _verified(_candidates(shared, standing).where(close).select("id", "leader"), texts, size, least)
-    classes = materialise(components(links.select(F.col("id").alias("u"), F.col("leader").alias("v"))), "classes")
-    rest = _unsettled(shared, classes)
-    late = materialise(_compare(_rest(rest, texts, size, least), standing), "compared").where(close).select("id", "leader")
-    late = _verified(late, texts, size, least)
-    late = late.join(rest.select("id", F.col("class").alias("u")), "id").join(rest.select(F.col("id").alias("leader"), F.col("class").alias("v")), "leader")
-    joins = components(late.select("u", "v")).select(F.col("node").alias("class_id"), F.col("class").alias("least_id"))
-    found = member.join(classes, F.col("first") == F.col("node"), "left").select("doc_id", F.coalesce("class", "first").alias("class_id"))
-    return found.join(joins, "class_id", "left").select("doc_id", F.coalesce("least_id", "class_id").alias("class_id"))
-
-
-def keep_one(docs: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs``, all columns, that stand for their class (the least id of each)."""
-    gone = near_duplicates(docs).where("doc_id <> class_id").select(F.col("doc_id").alias(f"{TMP}gone"))
-    return docs.join(gone, F.col(f"`{id_col}`").eqNullSafe(F.col(f"{TMP}gone")), "left_anti")
+    found, named = _classes(docs, size, least, bands, rows, slack)
+    known = lambda c: F.nullif(F.col(c), F.lit(_NO_ID)).alias("doc_id" if c == "did" else c)
+    return found.join(named.select("digest", "class_id"), "digest").select(known("did"), known("class_id"))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row of each class, all columns: the one with the least id (of equal rows, any)."""
+    own = [F.col(f"`{c}`") for c in docs.columns]
+    _, named = _classes(docs, 5, 0.8, 20, 5, 0.14)
+    # Of several texts with the class's least id the one with the least digest stays.
+    kept = named.where("did = class_id").groupBy("class").agg(F.min(F.struct("did", "digest")).alias("k")).select(F.col("k.did").alias(f"{TMP}did"), F.col("k.digest").alias(f"{TMP}digest"))
+    marked = docs.withColumns({f"{TMP}did": _own_id(id_col), f"{TMP}digest": _digest(text_of(text_col))})
+    keys = [f"{TMP}did", f"{TMP}digest"]
+    return marked.join(kept, keys, "left_semi").dropDuplicates(keys).select(*own)
