@@ -1,12 +1,13 @@
 """Benchmark decontamination: one Aho-Corasick automaton over the normalised benchmark texts.
 
 Texts and benchmark items are normalised alike: A-Z to lower case, every run of ASCII characters
-other than letters and digits to one space.  The automaton reads words, as numbers of the
-benchmark's vocabulary, and holds every window of ``width`` consecutive item words (an item of fewer
+other than letters and digits to one space.  The automaton reads words, each as one character that
+stands for it in the benchmark's vocabulary, and holds every window of ``width`` consecutive item words (an item of fewer
 words is one window); a text is scanned once, and each match is a run of word places, which is
 mapped to offsets in the original text.
 
-The automaton is built from at most ``block_bytes`` of benchmark text, so neither the driver nor a
+The automaton is built from at most ``block_bytes`` of benchmark text (whose words then always fit the
+characters there are), so neither the driver nor a
 worker ever holds more.  A larger benchmark is cut into blocks: the documents are numbered and written
 once, every block has an automaton and a narrow scan of its own, which returns only the rows that it
 hits, and these are joined to the documents at the end.
@@ -47,13 +48,18 @@ class Matcher:
     """The automaton over all windows of some benchmark items."""
 
     def __init__(self, items: list[tuple[int | None, str]], width: int):
-        self.vocabulary: dict[bytes, int] = {}
-        windows: dict[tuple[int, ...], list[int | None]] = {}
+        self.vocabulary: dict[bytes, str] = {}
+        windows: dict[str, list[int | None]] = {}
         for item, text in items:
-            words = [self.vocabulary.setdefault(w, len(self.vocabulary) + 1) for w in _words(text or "")]
-            for at in range(max(1, len(words) - width + 1) if words else 0):
-                windows.setdefault(tuple(words[at : at + width]), []).append(item)
-        self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE) if windows else None
+            words = _words(text or "")
+            for w in words:
+                if w not in self.vocabulary:
+                    place = len(self.vocabulary) + 1
+                    self.vocabulary[w] = chr(place if place < 0xD800 else place + 0x800)  # no surrogates
+            line = "".join(map(self.vocabulary.__getitem__, words))
+            for at in range(max(1, len(line) - width + 1) if line else 0):
+                windows.setdefault(line[at : at + width], []).append(item)
+        self.automaton = ahocorasick.Automaton() if windows else None
         for window, owners in windows.items():
             self.automaton.add_word(window, (len(window), owners))
         if windows:
@@ -65,7 +71,7 @@ class Matcher:
         if self.automaton is None or not words:
             return len(words), [], set()
         get = self.vocabulary.get
-        found = list(self.automaton.iter(tuple([get(w, 0) for w in words])))
+        found = list(self.automaton.iter("".join([get(w, "\0") for w in words])))
         return len(words), [(end + 1 - n, end + 1) for end, (n, _) in found], {i for _, (_, owners) in found for i in owners if i is not None}
 
 
