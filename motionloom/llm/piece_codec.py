@@ -1,21 +1,22 @@
 """SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-The model file is compiled into a normaliser (space to U+2581, optional leading one), a trie of
-piece arcs and byte fallback arcs for characters that no piece covers.  Encoding composes the
-machine with the input on the fly and takes the shortest path in the tropical semiring.
+The model file is compiled into a normaliser (its character map, white space, U+2581 for spaces,
+a leading one), a trie of piece arcs, and byte or unknown arcs for characters that no piece covers.
+Encoding composes the machine with the input on the fly and relaxes the arcs in the tropical
+semiring, place by place; the cheapest path gives the pieces.
 
-* Unigram models: an arc costs minus its piece's score.
-* BPE models: states also remember the last piece, and an arc costs nothing if that pair of pieces
-  is stable under the model's merges and infinity otherwise.  Every prefix has exactly one path of
-  finite cost, so the path is the BPE result.  (Adding up the scores, as for unigram models, would
-  not give it.)
+An arc costs minus its piece's score.  Of a unigram model that is all.  A BPE model is composed with
+one more machine, which remembers the last piece: a pair of pieces costs nothing if it is stable under
+the model's merges and infinity otherwise.  (Scores alone would not give the merges' result.)  Each
+prefix then has one path of finite cost, the model's own encoding of it.
 
 No piece continues after a character into U+2581, so the machine is back at its start at every
-word; words are composed once and kept in a dictionary of bounded size.
+word; words are composed once and kept in a dictionary of bounded size.  Of equally cheap paths the
+one whose last arc starts first is taken; costs are doubles.
 
 Null and empty texts give no pieces and decode to the empty string.  Invalid byte sequences of
-pieces decode to U+FFFD.  Repeated rows give repeated results.  Only id and text are read, so
-further columns cannot clash.
+pieces decode to U+FFFD.  Rows without an id keep a null id; repeated rows give repeated results.
+Only id and text are read, so further columns cannot clash.
 """
 
 from __future__ import annotations
@@ -31,6 +32,7 @@ from pyspark.sql import DataFrame
 from .common import give_back, id_text, sliced
 from .token_binary import ragged
 
+INFINITY = float("inf")
 SPACE = "▁"
 _NORMAL, _UNKNOWN, _CONTROL, _USER, _UNUSED, _BYTE = 1, 2, 3, 4, 5, 6
 
@@ -60,6 +62,34 @@ def _fields(data: bytes) -> Iterator[tuple[int, int | bytes]]:
             at += size
 
 
+def character_map(blob: bytes) -> dict:
+    """A model's compiled character map as a trie of characters; the empty key holds what replaces a path.
+
+    The file has the size of a double array, its units, and the replacements, each ended by a zero.
+    """
+    if not blob:
+        return {}
+    size = struct.unpack_from("<I", blob)[0]
+    units, strings = np.frombuffer(blob, "<u4", size // 4, 4).astype(np.int64), blob[4 + size :]
+    below = (units >> 10) << ((units & 512) >> 6)
+    labels, every = units & 0x800000FF, np.arange(1, 256)
+    trie: dict = {}
+    open_ = [(int(below[0]), b"")]
+    while open_:
+        base, path = open_.pop()
+        at = base ^ every
+        inside = at < len(units)
+        for byte in every[inside][labels[at[inside]] == every[inside]].tolist():
+            unit, child, own = int(units[base ^ byte]), base ^ byte ^ int(below[base ^ byte]), path + bytes([byte])
+            if unit >> 8 & 1:  # a path ends here
+                start, node = int(units[child]) & 0x7FFFFFFF, trie
+                for c in own.decode():
+                    node = node.setdefault(c, {})
+                node[""] = strings[start : strings.index(b"\0", start)].decode()
+            open_.append((child, own))
+    return trie
+
+
 class PieceMachine:
     """The compiled transducer of one model file."""
 
@@ -79,29 +109,37 @@ class PieceMachine:
                 settings = dict(_fields(value))
             elif field == 3:
                 normaliser = dict(_fields(value))
-        if normaliser.get(2):
-            raise ValueError("models with a character map are not supported")
-        if normaliser.get(4, 1) or not normaliser.get(5, 1):
-            raise ValueError("models that drop extra white space, or keep plain spaces, are not supported")
-        if not settings.get(35, 0):
-            raise ValueError("models without byte fallback are not supported")
         self.bpe = settings.get(3, 1) == 2
-        self.prefix = SPACE if normaliser.get(3, 1) else ""
-        self.ids = {p: i for i, (p, k) in enumerate(zip(self.pieces, kinds, strict=True)) if k in (_NORMAL, _USER, _UNUSED)}
+        if settings.get(3, 1) not in (1, 2) or settings.get(24, 0) or self.bpe and _UNUSED in kinds:
+            raise ValueError("word and character models, spaces at the end of pieces and unused BPE pieces are not supported")
+        self.map, self.squeeze = character_map(normaliser.get(2, b"")), bool(normaliser.get(4, 1))
+        self.space = SPACE if normaliser.get(5, 1) else " "
+        self.prefix = self.space if normaliser.get(3, 1) else ""
+        self.fallback = bool(settings.get(35, 0))
+        self.ids = {p: i for i, (p, k) in enumerate(zip(self.pieces, kinds, strict=True)) if k in (_NORMAL, _USER)}
         self.bytes = [0] * 256
         self.raw: list[bytes] = []
         for i, (p, k) in enumerate(zip(self.pieces, kinds, strict=True)):
             if k == _BYTE:
                 self.bytes[int(p[3:5], 16)] = i
                 self.raw.append(bytes([int(p[3:5], 16)]))
+            elif k == _UNKNOWN:
+                self.unknown = i
+                self.raw.append(settings.get(44, " \u2047 ".encode()))
             else:
-                self.raw.append(b"" if k in (_CONTROL, _UNKNOWN) else p.replace(SPACE, " ").encode())
-        self.by_word = not any(SPACE in p.lstrip(SPACE) for p in self.ids)
-        self.segments = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+$") if self.by_word else re.compile("(?s).+")
-        self.worst = min(self.scores) - 10.0
+                self.raw.append(b"" if k == _CONTROL else p.replace(SPACE, " ").encode())
+        user = sorted((p for p, k in zip(self.pieces, kinds, strict=True) if k == _USER), key=len, reverse=True)
+        self.user = re.compile("(" + "|".join(map(re.escape, user)) + ")") if user else None
+        normal = [x for x, k in zip(self.scores, kinds, strict=True) if k == _NORMAL]
+        self.spaced = {i for p, i in self.ids.items() if p[:1] == SPACE}
+        self.worst = 10.0 - min(normal, default=0.0)
+        # A given piece of a unigram model beats any other way to cover its characters.
+        self.weights = [0.1 - len(p) * max(normal, default=0.0) if k == _USER and not self.bpe else -x for p, x, k in zip(self.pieces, self.scores, kinds, strict=True)]
+        self.by_word = not any(self.space in p.lstrip(self.space) for p in self.ids)
+        self.segments = re.compile(f"{self.space}*[^{self.space}]+|{self.space}+$") if self.by_word else re.compile("(?s).+")
         self.trie: dict = {}
         for p, i in self.ids.items():
-            if self.bpe and self._merge(p) != [p]:
+            if self.bpe and (kinds[i] == _USER or self._merge(p) != [p]):
                 continue  # merges never build it
             node = self.trie
             for c in p:
@@ -154,76 +192,90 @@ class PieceMachine:
         return known
 
     def shortest_path(self, text: str) -> list[int]:
-        """Piece ids of normalised text: composition and tropical shortest path in one pass."""
-        steps = self._stable_path(text) if self.bpe else self._cheapest_path(text)
+        """Piece ids of normalised text."""
         out: list[int] = []
-        for at, piece in steps:
-            if piece < 0:
-                out.extend(self.bytes[b] for b in text[at].encode("utf-8", "surrogatepass"))
-            else:
-                out.append(piece)
+        parts = self.user.split(text) if self.bpe and self.user else [text]
+        for k, part in enumerate(parts):
+            if k % 2:
+                out.append(self.ids[part])
+                continue
+            for at, piece in self._relaxed(part) if part else ():
+                if piece >= 0:
+                    out.append(piece)
+                elif self.fallback:
+                    out.extend(self.bytes[b] for b in part[at].encode("utf-8", "surrogatepass"))
+                elif not out or out[-1] != self.unknown:  # unknown characters in a row are one piece
+                    out.append(self.unknown)
         return out
 
-    def _cheapest_path(self, text: str) -> list[tuple[int, int]]:
-        """Arcs (start, piece) of the least cost; piece -1 stands for the bytes of a character."""
-        n = len(text)
-        cost: list[float] = [0.0] + [np.inf] * n
-        back: list[tuple[int, int]] = [(0, -1)] * (n + 1)
+    def _relaxed(self, text: str) -> list[tuple[int, int]]:
+        """Arcs (start, piece) of the cheapest path; piece -1 stands for a character that no piece covers.
+
+        A state is a place and, in a BPE model, the last piece; each holds its least cost and the arc
+        that gave it.
+        """
+        n, trie, ids, weights, stable, width, bpe = len(text), self.trie, self.ids, self.weights, self.stable, len(self.pieces), self.bpe
+        states: list[dict[int, tuple[float, int, int]]] = [{} for _ in range(n + 1)]
+        states[0][-1] = 0.0, 0, -1
         for at in range(n):
-            node = self.trie
-            for end in range(at, n):
+            here = states[at].items()
+            if not here:
+                continue
+            arcs = [] if text[at] in ids else [(at + 1, -1, self.worst)]
+            node, end = trie, at
+            while end < n:
                 node = node.get(text[end])
                 if node is None:
                     break
+                end += 1
                 piece = node.get("")
-                if piece is not None and cost[at] - self.scores[piece] < cost[end + 1]:
-                    cost[end + 1], back[end + 1] = cost[at] - self.scores[piece], (at, piece)
-            if text[at] not in self.ids and cost[at] - self.worst < cost[at + 1]:
-                cost[at + 1], back[at + 1] = cost[at] - self.worst, (at, -1)
-        steps, at = [], n
+                if piece is not None:
+                    arcs.append((end, piece, weights[piece]))
+            for last, (cost, _, _) in here:
+                for end, piece, weight in arcs:
+                    if bpe and piece >= 0 and last >= 0 and not (stable[k] if (k := last * width + piece) in stable else self.allowed(last, piece)):
+                        continue  # infinity
+                    there, state = states[end], piece if bpe else -1
+                    known = there.get(state)
+                    if known is None or cost + weight < known[0]:
+                        there[state] = cost + weight, at if bpe else piece, last if bpe else at
+        steps: list[tuple[int, int]] = []
+        at, state = n, min(states[n], key=lambda x: states[n][x][0])
         while at > 0:
-            steps.append(back[at])
-            at = back[at][0]
+            _, x, y = states[at][state]
+            start, piece, before = (x, state, y) if bpe else (y, x, -1)
+            steps.append((start, piece))
+            at, state = start, before
         return steps[::-1]
 
-    def _stable_path(self, text: str) -> list[tuple[int, int]]:
-        """The path of finite cost, longest arcs first.
-
-        Every prefix has one such path, so a place that led nowhere once never has to be tried again.
-        """
-        n, at, last = len(text), 0, -1
-        steps: list[tuple[int, int]] = []
-        choices: list[list[tuple[int, int]]] = []
-        dead = bytearray(n + 1)
-        trie, ids, stable, width = self.trie, self.ids, self.stable, len(self.pieces)
+    def normalised(self, text: str) -> str:
+        """The text as the machine reads it."""
+        if self.map:
+            kept = self.user.split(text) if self.user else [text]  # given pieces stay as they are
+            text = "".join(x if k % 2 else self._mapped(x) for k, x in enumerate(kept))
+        if self.squeeze:
+            text = re.sub(" +", " ", text).lstrip(" ")
+        text = self.prefix + text.replace(" ", self.space) if text else ""
+        return text.rstrip(self.space) if self.squeeze else text
+
+    def _mapped(self, text: str) -> str:
+        """The longest path of the character map at each place, replaced."""
+        out, at, n = [], 0, len(text)
         while at < n:
-            if len(choices) == len(steps):
-                arcs = [] if text[at] in ids else [(at + 1, -1)]
-                node, end = trie, at
-                while end < n:
-                    node = node.get(text[end])
-                    if node is None:
-                        break
-                    end += 1
-                    if "" in node:
-                        arcs.append((end, node[""]))
-                choices.append(arcs)
-            arcs = choices[-1]
-            while arcs:
-                end, piece = arcs.pop()
-                if not dead[end] and (piece < 0 or last < 0 or (stable[k] if (k := last * width + piece) in stable else self.allowed(last, piece))):
-                    steps.append((at, piece))
-                    at, last = end, piece
+            node, end, best = self.map, at, (text[at], at + 1)
+            while end < n:
+                node = node.get(text[end])
+                if node is None:
                     break
-            else:
-                dead[at] = 1
-                choices.pop()
-                at, _ = steps.pop()
-                last = steps[-1][1] if steps else -1
-        return steps
+                end += 1
+                if "" in node:
+                    best = node[""], end
+            out.append(best[0])
+            at = best[1]
+        return "".join(out)
 
     def _learn(self, keys: list[str]) -> None:
-        paths = [self.shortest_path(k[1:] if k[0] == "\0" else k if SPACE in k else SPACE + k) for k in keys]
+        paths = [self.shortest_path(k[1:] if k[0] == "\0" else k if self.space in k else self.space + k) for k in keys]
         lens = np.fromiter(map(len, paths), np.int64, len(paths))
         self.words.update(zip(keys, range(len(self.lens), len(self.lens) + len(keys)), strict=True))
         self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(lens) - lens))
@@ -235,14 +287,14 @@ class PieceMachine:
         """All piece ids, one text after the other, and the number of pieces of each text."""
         words: list[str] = []
         ends = []
-        plain = self.by_word and self.prefix
+        plain = self.by_word and self.prefix == SPACE and not self.map and not self.user
         for text in texts:
             if not text:
                 pass
             elif plain and "  " not in text and text[0] != " " and text[-1] != " " and SPACE not in text and "\0" not in text:
                 words += text.split(" ")  # each has one U+2581 in front, left out of its key
             else:
-                words += [w if SPACE in w else "\0" + w for w in self.segments.findall(self.prefix + text.replace(" ", SPACE))]
+                words += ["\0" + w if "\0" in w or self.space not in w else w for w in self.segments.findall(self.normalised(text))]
             ends.append(len(words))
         missing = set(words).difference(self.words)
         if len(self.words) + len(missing) > self.cache_size:
@@ -262,8 +314,15 @@ class PieceMachine:
         raw, out, at = self.raw, [], 0
         every = ids.tolist()
         for n in counts.tolist():
-            text = b"".join([raw[i] for i in every[at : at + n]]).decode("utf-8", "replace")
-            out.append(text[1:] if self.prefix and text[:1] == " " else text)
+            own = every[at : at + n]
+            parts = [raw[i] for i in own]
+            if self.prefix or self.squeeze:
+                for k, i in enumerate(own):  # with white space squeezed, all spaces in front go
+                    if i in self.spaced:
+                        parts[k] = parts[k][1:]
+                    if parts[k] or not self.squeeze:
+                        break
+            out.append(b"".join(parts).decode("utf-8", "replace"))
             at += n
         return out
 
