@@ -2,13 +2,14 @@
 
 Every text becomes one vector of statistics of its bytes, words and lines (nothing but the text
 is an input).  A bounded sample of labelled rows (``sample_rows``, chosen by a hash of the id) is
-brought to the driver; features are cut into at most ``bins`` quantile bins, and each tree is
+brought to the driver after its ids have been matched; features are cut into at most ``bins`` quantile bins, and each tree is
 grown level by level from gradient histograms.  The trees are flattened into arrays (feature,
 threshold, children, value), and all documents of a batch walk all trees at once in numpy.
 
 Null and empty texts have all-zero statistics and get a score like any other.  Without labels of
 both classes every score is the share of label 1 (0.5 without any label).  Repeated labels of an
-id count by their mean (0.5 or more is 1); repeated documents are scored alike.  Further columns
+id count by their mean (0.5 or more is 1); repeated documents are scored alike, and all texts of a
+labelled id carry its label.  Rows without an id are scored and never learned from.  Further columns
 cannot clash: only ids, texts and label columns are read.
 """
 
@@ -21,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import TMP, id_text, materialise, sliced
+from .common import TMP, id_text, materialise, sliced, text_of
 
 #: Byte classes whose shares are features.
 _CLASSES: dict[str, bytes] = {
@@ -138,40 +139,47 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: flo
     return BoostedTrees(start, *joined, np.array(roots, np.int64), depth)
 
 
-def document_statistics(docs: DataFrame) -> DataFrame:
-    """doc_id and its statistics (array<float>); one pass over the texts, no shuffle."""
+def train(docs: DataFrame, labels: DataFrame, usable: Column | None = None, sample_rows: int = 20_000) -> BoostedTrees:
+    """Fit on at most ``sample_rows`` labelled rows of ``docs`` for which ``usable`` (over doc_id) holds.
+
+    Ids are matched first, so only the chosen rows' statistics are computed.
+    """
+    own = id_text(docs)
+    marks = labels.where(F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
+    by = F.xxhash64("doc_id"), F.col("doc_id")
+    ids = own.select("doc_id").where(F.lit(True) if usable is None else usable).join(marks, "doc_id").distinct().orderBy(*by).limit(sample_rows)
+    rows = own.join(F.broadcast(materialise(ids, "labelled-ids")), "doc_id").orderBy(*by, F.xxhash64("text"), "text").limit(sample_rows)  # at most sample_rows ids
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in sliced(batches):
             x = statistics(batch.column(1).to_pylist())
             values = pa.ListArray.from_arrays(pa.array(np.arange(len(x) + 1, dtype=np.int32) * x.shape[1]), pa.array(x.ravel()))
-            yield pa.RecordBatch.from_arrays([batch.column(0), values], ["doc_id", "x"])
-
-    return id_text(docs).mapInArrow(run, "doc_id long, x array<float>")
+            yield pa.RecordBatch.from_arrays([values, batch.column(2)], ["x", "y"])
 
-
-def train(stats: DataFrame, labels: DataFrame, usable: Column, sample_rows: int = 20_000) -> BoostedTrees:
-    """Fit on at most ``sample_rows`` labelled rows of ``stats`` for which ``usable`` holds."""
-    marks = labels.where(F.col("quality").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("quality") >= 0.5).cast("int").alias("y"))
-    known = stats.where(usable).join(marks, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_rows).select("x", "y").toPandas()
+    known = rows.select("doc_id", "text", "y").mapInArrow(run, "x array<float>, y int").toPandas()
     x = np.stack(known["x"].to_list()) if len(known) else np.zeros((0, len(FEATURES)), np.float32)
     return fit(np.asarray(x, np.float32), known["y"].to_numpy(np.float64))
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, usable: Column | None = None, cut: float = 0.3) -> DataFrame:
-    """doc_id, score, predicted of every row; learns from labelled rows where ``usable`` holds."""
-    stats = materialise(document_statistics(docs), "statistics")
-    model = train(stats, labels, F.lit(True) if usable is None else usable)
+    """doc_id, score, predicted of every row; learns from labelled rows where ``usable`` holds; no shuffle of texts."""
+    model = train(docs, labels, usable)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            x = batch.column(1).flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, len(FEATURES))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(x))], ["doc_id", "score"])
+        for batch in sliced(batches):
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.score(statistics(batch.column(1).to_pylist())))], ["doc_id", "score"])
+
+    return id_text(docs).mapInArrow(run, "doc_id long, score double").withColumn("predicted", (F.col("score") >= cut).cast("int"))
 
-    return stats.mapInArrow(run, "doc_id long, score double").withColumn("predicted", (F.col("score") >= cut).cast("int"))
 
+def keep_predicted(docs: DataFrame, labels: DataFrame, usable: Column | None = None, cut: float = 0.3, text_col: str = "text") -> DataFrame:
+    """The rows of ``docs``, all columns, that are predicted to be good: a narrow pass, each row judged by its own text."""
+    model = train(docs, labels, usable)
+    marked = docs.withColumn(f"{TMP}text", text_of(text_col))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in sliced(batches, text=f"{TMP}text"):
+            texts = batch.column(batch.schema.get_field_index(f"{TMP}text")).to_pylist()
+            yield batch.filter(pa.array(model.score(statistics(texts)) >= cut))
 
-def keep_predicted(docs: DataFrame, labels: DataFrame, usable: Column | None = None, id_col: str = "doc_id") -> DataFrame:
-    """The rows of ``docs``, all columns, that are predicted to be good (repeated ids: all or none)."""
-    bad = score_quality(docs, labels, usable).where("predicted = 0").select(F.col("doc_id").alias(f"{TMP}bad"))
-    return docs.join(bad, F.col(f"`{id_col}`").eqNullSafe(F.col(f"{TMP}bad")), "left_anti")
+    return marked.mapInArrow(run, marked.schema).drop(f"{TMP}text")
