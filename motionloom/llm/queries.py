@@ -78,7 +78,7 @@ w AS (SELECT r, doc_id, t, regexp_extract_all(t, '{_SPACE}+') AS ws, list_filter
 tri AS (SELECT r, i, ws[i] || chr(1) || ws[i + 1] || chr(1) || ws[i + 2] AS k FROM (SELECT r, ws, unnest(range(1, len(ws) - 1)) AS i FROM w)),
 rep AS (SELECT r, count(DISTINCT p) AS n FROM (SELECT r, unnest([i, i + 1, i + 2]) AS p FROM tri QUALIFY count(*) OVER (PARTITION BY r, k) > 1) GROUP BY r),
 c AS (SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(list_sum(list_transform(ws, lambda x: length(x))), 0)::BIGINT AS word_chars, length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
-  (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words, len(list_filter(ws, lambda x: x IN ({_STOPS}))) AS n_stop, len(ls) AS n_lines, len(list_filter(ls, lambda l: l LIKE '%...' OR l LIKE '%…')) AS n_ell FROM w LEFT JOIN rep USING (r))
+  (len(ls) - len(list_distinct(ls)))::BIGINT AS n_dup_lines, coalesce(n, 0)::BIGINT AS n_repeat_words, len(list_filter(ws, lambda x: lower(x) IN ({_STOPS}))) AS n_stop, len(ls) AS n_lines, len(list_filter(ls, lambda l: l LIKE '%...' OR l LIKE '%…')) AS n_ell FROM w LEFT JOIN rep USING (r))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, {_BASE} AS base_failed,
   NOT {_BASE} AND word_chars / n_words BETWEEN 2 AND 12 AND n_symbols / n_words <= 0.25 AND n_stop / n_words >= 0.06 AND n_dup_lines / n_lines <= 0.5 AND n_ell / n_lines <= 0.5 AS kept FROM c"""
 _LOW = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"

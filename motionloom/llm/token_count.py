@@ -8,7 +8,7 @@ merging all occurrences of the lowest pair together equals the usual one-at-a-ti
 
 Texts are cut before every single space that stands between two other characters: the
 pre-tokenizer always begins a pre-token there.  The pieces repeat a lot, so their counts are
-kept in a dictionary of bounded size.  A text with any other run of white space around a
+kept in a dictionary of bounded size (entries of at most ``longest`` characters).  A text with any other run of white space around a
 space is pre-tokenized as a whole.
 
 Null and empty texts have 0 tokens.  Repeated rows give repeated results.  Only the id and the
@@ -46,7 +46,7 @@ def byte_alphabet() -> list[str]:
 class RankMerger:
     """Counts the tokens of whole texts for a byte-level BPE file of the tokenizers library."""
 
-    def __init__(self, path: str, cache_size: int = 400_000):
+    def __init__(self, path: str, cache_size: int = 400_000, longest: int = 64):
         spec = json.load(open(path, encoding="utf-8"))
         vocab = spec["model"]["vocab"]
         self.width = len(vocab) + len(spec["added_tokens"]) + 1
@@ -59,7 +59,7 @@ class RankMerger:
         self.words = regex.compile(PATTERN)
         special = [t["content"] for t in spec["added_tokens"]]
         self.special = regex.compile("|".join(map(regex.escape, sorted(special, key=len, reverse=True)))) if special else None
-        self.cache_size, self.cache = cache_size, {}
+        self.cache_size, self.longest, self.cache = cache_size, longest, {}
 
     def merge_counts(self, sequences: list[bytes]) -> np.ndarray:
         """Surviving symbols of each byte sequence, all merged together."""
@@ -133,6 +133,9 @@ class RankMerger:
             odd = [not c or c[-1:].isspace() or c[:1].isspace() or (c[:1] == "\0" and (c[1:2].isspace() or c[1:2] == "\0")) for c in missing]
             self.cache.update(zip(missing, np.where(odd, -(1 << 40), self.count_each(["" if o else p for p, o in zip(plain, odd, strict=True)])).tolist(), strict=True))
         counts = np.fromiter(map(self.cache.__getitem__, chunks), np.int64, len(chunks))
+        for c in missing:
+            if len(c) > self.longest:  # long chunks hardly come again, and would fill the memory
+                del self.cache[c]
         out = np.diff(np.concatenate(([0], np.cumsum(counts)))[ends], prepend=0)
         whole = np.flatnonzero(out < 0)
         if len(whole):
