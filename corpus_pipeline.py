@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from motionloom.llm.common import materialise, table
+from motionloom.llm.common import drop, fold_of, materialise, table
 from motionloom.llm.decontaminate import clean_of
 from motionloom.llm.near_dup import keep_one
 from motionloom.llm.piece_codec import encode_pieces
@@ -23,12 +23,12 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the boosted trees, fitted on the labelled ones among them, call good."""
-    return keep_predicted(docs, table(spark, sf_dir, "labels"))
+    """Documents that the boosted trees call good; fitted on the labelled ones outside the held-out fifth."""
+    return keep_predicted(docs, table(spark, sf_dir, "labels"), fold_of("doc_id", 5) != 0)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the one with the least id, of each class of near duplicates."""
+    """One document, one with the least id, of each class of near duplicates."""
     return keep_one(docs)
 
 
@@ -59,5 +59,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages on the documents; each stage's result is written before the next one reads it."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        before, docs = docs, materialise(stage(spark, docs, sf_dir), f"pipeline-{name}")
+        drop(before)  # nothing reads it any more
     return STAGES[-1][1](spark, docs, sf_dir)
