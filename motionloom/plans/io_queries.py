@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -166,48 +164,51 @@ def _cache(spark: SparkSession, d: str) -> DataFrame:
     return spark.read.parquet(path).agg(F.count("*").alias("n"))
 
 
-def _parts(spark: SparkSession, d: str) -> str:
-    """Events in time order as four files."""
+def _parts(spark: SparkSession, d: str, closed: bool = False) -> str:
+    """Events in time order as four files; ``closed`` adds a heartbeat that ends all windows."""
     path = place(spark, "events")
-    table(spark, d, "events").repartitionByRange(4, "ts").sortWithinPartitions("ts").write.parquet(path)
+    events = table(spark, d, "events")
+    events.repartitionByRange(4, "ts").sortWithinPartitions("ts").write.parquet(path)
+    if closed:
+        W.heartbeat(events, path)
     return path
 
 
-def _name() -> str:
-    return "loom_" + uuid.uuid4().hex
+def _to_files(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    return W.run_to_files(df, place(spark, name), place(spark, f"{name}-state"))
 
 
 @query("stream_fixed_windows", "SELECT epoch_us(time_bucket(INTERVAL 10 SECOND, ts)) AS start_us, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def _s_windows(spark: SparkSession, d: str) -> DataFrame:
-    got = W.run_to_memory(W.stream_fixed_windows(W.event_stream(spark, _parts(spark, d), 10)), _name(), "complete")
+    got = _to_files(spark, W.stream_fixed_windows(W.event_stream(spark, _parts(spark, d, True), 10)), "windows")
     return got.withColumn("total", F.round("total", 4))
 
 
 @query("stream_quality_feed", "SELECT epoch_us(date_trunc('hour', ts)) AS start_us, count(*) AS n, count_if(value < 5)::BIGINT AS failures, round(avg(value), 4) AS mean_value FROM events GROUP BY 1")
 def _s_quality(spark: SparkSession, d: str) -> DataFrame:
-    got = W.run_to_memory(W.stream_quality_feed(W.event_stream(spark, _parts(spark, d), 10)), _name(), "complete")
+    got = _to_files(spark, W.stream_quality_feed(W.event_stream(spark, _parts(spark, d, True), 10)), "quality")
     return got.withColumn("mean_value", F.round("mean_value", 4))
 
 
 @query("stream_track_gap", "WITH s AS (SELECT user_id, ts, CASE WHEN ts > lag(ts) OVER w + INTERVAL 15 MINUTE OR lag(ts) OVER w IS NULL OR ts = lag(ts) OVER w + INTERVAL 15 MINUTE THEN 1 ELSE 0 END AS st FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), g AS (SELECT *, sum(st) OVER (PARTITION BY user_id ORDER BY ts) AS grp FROM s) SELECT user_id, epoch_us(min(ts)) AS start_us, count(*) AS n FROM g GROUP BY user_id, grp")
 def _s_gap(spark: SparkSession, d: str) -> DataFrame:
-    return W.run_to_memory(W.stream_track_gap(W.event_stream(spark, _parts(spark, d), 10)), _name(), "complete")
+    return _to_files(spark, W.stream_track_gap(W.event_stream(spark, _parts(spark, d, True), 10)), "tracks")
 
 
 @query("stream_resume_keys", "SELECT DISTINCT user_id, event_type FROM events")
 def _s_resume(spark: SparkSession, d: str) -> DataFrame:
-    s = W.stream_resume_keys(W.event_stream(spark, _parts(spark, d)), ["user_id", "event_type"], "10000 days")
-    return W.run_to_memory(s.select("user_id", "event_type"), _name())
+    out = place(spark, "resume")
+    W.run_batches(W.event_stream(spark, _parts(spark, d)), W.resume_new(out, ["user_id", "event_type"], 8), place(spark, "resume-state"))
+    return spark.read.parquet(out).select("user_id", "event_type")
 
 
 @query("stream_collapse_text", "SELECT user_id, event_id, event_type FROM events QUALIFY event_type IS DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id)")
 def _s_collapse(spark: SparkSession, d: str) -> DataFrame:
-    return W.run_to_memory(W.stream_collapse_text(W.event_stream(spark, _parts(spark, d), 10), "user_id", "event_type"), _name())
+    return _to_files(spark, W.stream_collapse_text(W.event_stream(spark, _parts(spark, d), 10), "user_id", "event_type"), "collapsed")
 
 
 @query("stream_latest_wins", "SELECT user_id, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")
 def _s_latest(spark: SparkSession, d: str) -> DataFrame:
     out = place(spark, "latest")
-    q = W.event_stream(spark, _parts(spark, d)).writeStream.foreachBatch(W.upsert_latest(out, ["user_id", "event_type"], ["ts", "event_id"])).option("checkpointLocation", place(spark, "latest-state")).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.read.parquet(f"{out}/{q.lastProgress['batchId']}").select("user_id", "event_type", "event_id")
+    W.run_batches(W.event_stream(spark, _parts(spark, d)), W.upsert_latest(out, ["user_id", "event_type"], ["ts", "event_id"], 8), place(spark, "latest-state"))
+    return W.latest_of(spark, out).select("user_id", "event_type", "event_id")

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..engine import register
 from ..functions import scalars as Z
 from ..operators import segments as G
 from ..operators import sequences as S
@@ -32,6 +33,14 @@ def _fixed(spark: SparkSession, d: str) -> DataFrame:
     return G.fixed_windows(_docs(spark, d), "dur").select("doc_id", "segment_index", F.round("start_sec", 4).alias("start_sec"), F.round("end_sec", 4).alias("end_sec"))
 
 
+@query("udtf_fixed_windows", f"WITH {_windows_sql('dur')} {_WIN}")
+def _windows_function(spark: SparkSession, d: str) -> DataFrame:
+    register(spark)
+    _docs(spark, d).createOrReplaceTempView("loom_durations")
+    rows = spark.sql("SELECT doc_id, w.* FROM loom_durations, LATERAL fixed_windows(dur, 10D, 2D) w")
+    return rows.select("doc_id", "segment_index", F.round("start_sec", 4).alias("start_sec"), F.round("end_sec", 4).alias("end_sec"))
+
+
 @query("fixed_windows_capped", f"WITH {_windows_sql('least(dur, 25)')} {_WIN}")
 def _capped(spark: SparkSession, d: str) -> DataFrame:
     return G.fixed_windows(_docs(spark, d), "dur", cap=25.0).select("doc_id", "segment_index", F.round("start_sec", 4).alias("start_sec"), F.round("end_sec", 4).alias("end_sec"))

@@ -13,10 +13,19 @@ FRAME = f"struct<frame_id:int,instances:array<{INSTANCE}>>"
 
 
 def _named(spark: SparkSession, path: str, glob: str) -> DataFrame:
-    """Whole files as text with their path."""
+    """Whole files as text with their path: for files that are one JSON value each, at most 2 GB, one task a file."""
     return spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path).select("value", F.col("_metadata.file_path").alias("file"))
 
 
+def _lines(spark: SparkSession, path: str, glob: str) -> DataFrame:
+    """Lines of all files with their place: file, block (offset of the part of the file) and place (rising within it).
+
+    Files are split as Spark splits them, so a file of any size is many tasks' work.
+    """
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path)
+    return raw.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("place"), F.col("value").alias("text"))
+
+
 def frame_number(file: Column, last_run: bool = False) -> Column:
     """All digits of a file's name as a number, or its last run of digits."""
     name = F.element_at(F.split(file, "/"), -1)
@@ -58,15 +67,13 @@ def instance_points(instances: DataFrame) -> DataFrame:
 
 
 def scan_jsonl_tolerant(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFrame:
-    """file, line, v (variant): blank and malformed lines are skipped; lines keep their order."""
-    lines = _named(spark, path, glob).select("file", F.posexplode(F.split("value", "\n")).alias("line", "text"))
-    return lines.withColumn("v", F.try_parse_json("text")).where("v IS NOT NULL").drop("text")
+    """file, block, place, v (variant): blank and malformed lines are skipped; (file, block, place) is the lines' order."""
+    return _lines(spark, path, glob).withColumn("v", F.try_parse_json("text")).where("v IS NOT NULL").drop("text")
 
 
 def quarantine(spark: SparkSession, path: str, glob: str = "*.jsonl") -> DataFrame:
     """The malformed lines that ``scan_jsonl_tolerant`` skips, with their place."""
-    lines = _named(spark, path, glob).select("file", F.posexplode(F.split("value", "\n")).alias("line", "text"))
-    return lines.where((F.trim("text") != "") & F.try_parse_json("text").isNull())
+    return _lines(spark, path, glob).where((Z.strip(F.col("text")) != "") & F.try_parse_json("text").isNull())
 
 
 def scan_csv_labels(spark: SparkSession, path: str) -> DataFrame:
@@ -87,10 +94,9 @@ def scan_windows_csv(spark: SparkSession, path: str) -> DataFrame:
 
 def scan_tsv_manifest(spark: SparkSession, path: str, glob: str = "*.tsv") -> DataFrame:
     """id, title, duration (NA: null), url; short rows skipped, the last row of an id wins."""
-    lines = _named(spark, path, glob).select("file", F.posexplode(F.split("value", "\r?\n")).alias("line", "text"))
-    cells = lines.withColumn("c", F.split("text", "\t")).where("size(c) >= 4")
-    rows = cells.select("file", "line", F.col("c")[0].alias("id"), F.col("c")[1].alias("title"), F.col("c")[2].try_cast("double").alias("duration"), F.col("c")[3].alias("url"))
-    return rows.groupBy("id").agg(F.max_by(F.struct("title", "duration", "url"), F.struct("file", "line")).alias("r")).select("id", "r.*")
+    cells = _lines(spark, path, glob).withColumn("c", F.split("text", "\t")).where("size(c) >= 4")
+    rows = cells.select("file", "block", "place", F.col("c")[0].alias("id"), F.col("c")[1].alias("title"), F.col("c")[2].try_cast("double").alias("duration"), F.col("c")[3].alias("url"))
+    return rows.groupBy("id").agg(F.max_by(F.struct("title", "duration", "url"), F.struct("file", "block", "place")).alias("r")).select("id", "r.*")
 
 
 def scan_scenes_tree(spark: SparkSession, path: str, glob: str = "scenes.csv", video: str = r"/([^/]+)/scenes\.csv$") -> DataFrame:

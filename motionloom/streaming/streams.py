@@ -1,11 +1,16 @@
-"""Structured Streaming forms of the resume, latest-wins, window, gap and collapse operators."""
+"""Structured Streaming forms of the resume, latest-wins, window, gap and collapse operators.
+
+Results go to files, never to the driver; every stream has a checkpoint and state that a watermark
+or an idle time bounds.  Windows and tracks are written once the watermark has passed them.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from datetime import timedelta
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -19,6 +24,12 @@ def event_stream(spark: SparkSession, path: str, files_per_batch: int = 1) -> Da
     return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
+def heartbeat(events: DataFrame, path: str, after: str = "1 day") -> None:
+    """Add one event without a user, later than all others, which lets the watermark close what is open."""
+    last = events.agg((F.max("ts") + F.expr(f"INTERVAL {after}")).alias("ts"))
+    last.select(*[F.col("ts") if c == "ts" else F.lit(None).cast(kind).alias(c) for c, kind in events.dtypes]).write.mode("append").parquet(path)
+
+
 def stream_fixed_windows(events: DataFrame, seconds: int = 10, late: str = "1 minute") -> DataFrame:
     """Counts and sums of tumbling windows."""
     w = F.window("ts", f"{seconds} seconds")
@@ -37,46 +48,97 @@ def stream_track_gap(events: DataFrame, gap: str = "15 minutes", late: str = "1
     return events.withWatermark("ts", late).groupBy(w, "user_id").agg(F.count("*").alias("n")).select("user_id", F.unix_micros("session_window.start").alias("start_us"), "n")
 
 
-def stream_resume_keys(events: DataFrame, keys: list[str], late: str = "1 hour") -> DataFrame:
-    """Each key once, within the watermark."""
-    return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(keys)
-
+def stream_collapse_text(events: DataFrame, key: str, text: str, late: str = "1 hour", idle: timedelta = timedelta(days=30)) -> DataFrame:
+    """Rows whose text differs from the one before of their key; the last text is the state.
 
-def stream_collapse_text(events: DataFrame, key: str, text: str) -> DataFrame:
-    """Rows whose text differs from the one before of their key; the last text is the state."""
+    A key without events for ``idle`` is forgotten; its next text then counts as new.
+    """
 
     def step(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         pdf = pd.concat(list(batches)).sort_values(["ts", "event_id"])
         last = state.get[0] if state.exists else None
         keep = pdf[text] != pdf[text].shift(fill_value=last)
         if len(pdf):
             state.update((pdf[text].iloc[-1],))
+            state.setTimeoutTimestamp(int(max(pdf["ts"].iloc[-1].timestamp() * 1000, state.getCurrentWatermarkMs()) + idle / timedelta(milliseconds=1)))
         yield pdf.loc[keep, [key, "event_id", text]]
 
     kinds = dict(events.dtypes)
     out = f"{key} {kinds[key]}, event_id {kinds['event_id']}, {text} {kinds[text]}"
-    return events.groupBy(key).applyInPandasWithState(step, out, f"last {kinds[text]}", "append", GroupStateTimeout.NoTimeout)
+    return events.withWatermark("ts", late).groupBy(key).applyInPandasWithState(step, out, f"last {kinds[text]}", "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def part_of(keys: list[str], parts: int) -> Column:
+    return F.expr(f"cast(pmod(xxhash64({', '.join(keys)}), {parts}) AS int)")
+
+
+def _stored(spark: SparkSession, path: str, schema: str, touched: list[int], before: int) -> DataFrame:
+    """Rows of earlier batches in the parts that a batch touches."""
+    return spark.read.schema(schema + ", batch int, part int").parquet(path).where(F.col("part").isin(touched) & (F.col("batch") < before))
+
+
+def _touched(batch: DataFrame) -> list[int]:
+    return [r.part for r in batch.select("part").distinct().collect()]  # at most the number of parts
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{c}` {kind}" for c, kind in df.dtypes)
+
 
+def resume_new(path: str, keys: list[str], parts: int = 64) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that stores each key the first time it comes.
+
+    What has been done is a table of files in ``parts`` parts by key; a batch reads the parts that it
+    touches, so nothing is held in memory and keys are known for ever.  A batch run again gives the same files.
+    """
+
+    def write(batch: DataFrame, number: int) -> None:
+        fresh = batch.select(*keys).distinct().withColumn("part", part_of(keys, parts))
+        if number > 0:
+            fresh = fresh.join(_stored(batch.sparkSession, path, _ddl(batch.select(*keys)), _touched(fresh), number).select(*keys), keys, "left_anti")
+        fresh.select(*keys, "part").write.mode("overwrite").partitionBy("part").parquet(f"{path}/batch={number}")
+
+    return write
 
-def upsert_latest(path: str, keys: list[str], order: list[str]) -> Callable[[DataFrame, int], None]:
-    """A foreachBatch function that keeps the last record of each key in a table of versions.
 
-    Batch n writes version n from version n - 1, so a batch that is run again gives the same table.
+def upsert_latest(path: str, keys: list[str], order: list[str], parts: int = 64) -> Callable[[DataFrame, int], None]:
+    """A foreachBatch function that keeps the last record of each key in a table of ``parts`` parts.
+
+    A batch reads and rewrites the parts that it touches and no others; ``latest_of`` reads the newest
+    version of every part.  A batch run again gives the same files.
     """
 
     def write(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        merged = batch
+        merged = batch.withColumn("part", part_of(keys, parts))
         if number > 0:
-            merged = spark.read.schema(batch.schema).parquet(f"{path}/{number - 1}").unionByName(batch)
-        w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc() for c in order])
-        merged.withColumn("__loom_n", F.row_number().over(w)).where("__loom_n = 1").drop("__loom_n").write.mode("overwrite").parquet(f"{path}/{number}")
+            old = _newest(_stored(batch.sparkSession, path, _ddl(batch), _touched(merged), number))
+            merged = old.select(*batch.columns, "part").unionByName(merged)
+        w = Window.partitionBy("part", *keys).orderBy(*[F.col(c).desc() for c in order])
+        merged.withColumn("__loom_n", F.row_number().over(w)).where("__loom_n = 1").drop("__loom_n").write.mode("overwrite").partitionBy("part").parquet(f"{path}/batch={number}")
 
     return write
 
 
-def run_to_memory(df: DataFrame, name: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is there now and return what it gave."""
-    q: StreamingQuery = df.writeStream.format("memory").queryName(name).outputMode(mode).trigger(availableNow=True).start()
+def _newest(rows: DataFrame) -> DataFrame:
+    last = rows.groupBy("part").agg(F.max("batch").alias("batch"))  # read from the folders' names, one row a part
+    return rows.join(F.broadcast(last), ["part", "batch"], "left_semi")
+
+
+def latest_of(spark: SparkSession, path: str) -> DataFrame:
+    """The current records of a table that ``upsert_latest`` keeps."""
+    return _newest(spark.read.parquet(path)).drop("part", "batch")
+
+
+def run_batches(df: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> None:
+    """Run a stream over all that is there now through a foreachBatch function."""
+    df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+
+
+def run_to_files(df: DataFrame, path: str, checkpoint: str) -> DataFrame:
+    """Run a stream over all that is there now into Parquet files, and read them."""
+    q: StreamingQuery = df.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
     q.awaitTermination()
-    return df.sparkSession.table(name)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

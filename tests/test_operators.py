@@ -351,5 +351,53 @@ def test_stream_keeps_state_between_batches(spark, tmp_path):
     first.write.parquet(path)
     time.sleep(1.1)  # files are taken in order of their times
     second.write.mode("append").parquet(path)
-    got = W.run_to_memory(W.stream_collapse_text(W.event_stream(spark, path), "user_id", "event_type"), "collapsed")
-    assert sorted(r.event_id for r in got.collect()) == [1, 4]
+    run = lambda: W.run_to_files(W.stream_collapse_text(W.event_stream(spark, path), "user_id", "event_type"), str(tmp_path / "out"), str(tmp_path / "state"))
+    assert sorted(r.event_id for r in run().collect()) == [1, 4]
+    time.sleep(1.1)
+    third = spark.createDataFrame([(5, at + datetime.timedelta(days=40), 2, "z", 1.0)], kinds).coalesce(1)
+    third.write.mode("append").parquet(path)
+    run()
+    time.sleep(1.1)
+    spark.createDataFrame([(6, at + datetime.timedelta(days=41), 1, "b", 1.0)], kinds).coalesce(1).write.mode("append").parquet(path)
+    assert sorted(r.event_id for r in run().collect()) == [1, 4, 5, 6]  # user 1 had been forgotten
+
+
+def test_streamed_tables_touch_their_parts_only(spark, tmp_path):
+    from motionloom.streaming import streams as W
+
+    kinds = "event_id long, ts timestamp, user_id long, event_type string"
+    at = datetime.datetime(2024, 1, 1)
+    batches = [[(k + 100 * n, at + datetime.timedelta(hours=n), (k * 7 + n) % 23, "ab"[k % 2]) for k in range(12)] for n in range(4)]
+    latest, seen = str(tmp_path / "latest"), str(tmp_path / "seen")
+    upsert, resume = W.upsert_latest(latest, ["user_id"], ["ts", "event_id"], 6), W.resume_new(seen, ["user_id"], 6)
+    for n in (0, 1, 2, 2, 3):  # one batch comes twice
+        batch = spark.createDataFrame(batches[n], kinds)
+        upsert(batch, n)
+        resume(batch, n)
+    rows = [r for b in batches for r in b]
+    want = {u: max((r for r in rows if r[2] == u), key=lambda r: (r[1], r[0]))[0] for u in {r[2] for r in rows}}
+    assert {r.user_id: r.event_id for r in W.latest_of(spark, latest).collect()} == want
+    assert sorted(r.user_id for r in spark.read.parquet(seen).collect()) == sorted(want)
+
+
+def test_lines_keep_their_order_over_blocks(spark, tmp_path):
+    from motionloom.sources import files as S
+
+    (tmp_path / "a.tsv").write_text("".join(f"v{k % 50}\ttitle {k}\t{k}\tu\n" for k in range(5000)))
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4096")
+    try:
+        got = S.scan_tsv_manifest(spark, str(tmp_path))
+        assert {r.id: r.title for r in got.collect()} == {f"v{k}": f"title {4950 + k}" for k in range(50)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_operators_by_name(spark):
+    from motionloom import engine
+
+    df = spark.createDataFrame([(1, 0.0, 0.5, 0.1), (1, 0.5, 3.0, 0.2)], "k int, start_sec double, end_sec double, cut_confidence double")
+    assert engine.op("merge_runts")(df, keys=["k"], min_len=1.0).count() == 1
+    assert {"fixed_windows", "feature_table", "mann_whitney", "link_tracks", "interpolate", "video_summary"} <= set(engine.operators())
+    with pytest.raises(KeyError, match="no operator"):
+        engine.op("nothing")
