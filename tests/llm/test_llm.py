@@ -281,6 +281,101 @@ def test_html_of_any_depth():
     assert html_text.main_text(f"<body>{deep}<p>{PROSE}</p><nav>Home</nav><p>{PROSE}</p></body>") == " ".join([PROSE.strip()] * 2)
 
 
+def test_html_names_are_no_verdict_alone():
+    para = f"<p>{PROSE}</p>"
+    links = "".join(f"<a href=r{k}>Other story {k}</a> " for k in range(5))
+    page = lambda inner: html_text.main_text(f"<body><nav>{links}</nav><article>{inner}</article></body>")
+    assert page(f'{para}<div class="related-work">{para}</div><section id="search-and-rescue">{para}</section>') == " ".join([PROSE.strip()] * 3)
+    assert page(f'{para}<div class="related-today">{links}</div><div class="related links">{para}</div><div class="reader-comments">{para}</div>{para}') == " ".join([PROSE.strip()] * 2)
+    deep = "<div>" * 260 + "<nav>Menu</nav>" + para + "</div>" * 260
+    assert page(deep) == PROSE.strip()
+
+
+def by_hand(body):
+    """The article of a page given as a tree (tag, name, kids), by plain recursion over the definitions."""
+    seen = lambda n: [k for k in n[2] if not isinstance(k, str) and k[0] != "nav" and k[1] != "menu"]
+    size = lambda t: len("".join(t.split()))
+    own_chars = lambda n: sum(size(k) for k in n[2] if isinstance(k, str))
+    chars = lambda n: own_chars(n) + sum(map(chars, seen(n)))
+    linked = lambda n, inside=False: (own_chars(n) if inside or n[0] == "a" else 0) + sum(linked(k, inside or n[0] == "a") for k in seen(n))
+    tags = lambda n: sum(1 + tags(k) for k in seen(n))
+    link_tags = lambda n: sum((k[0] == "a") + link_tags(k) for k in seen(n))
+
+    def dense(c, lc, t, lt):
+        if not c:
+            return 0.0
+        base = math.log(c / max(c - lc, 1) * lc + linked(body) / max(chars(body), 1) * c + math.e)
+        return c / max(t, 1) * max(math.log(c / max(lc, 1) * max(t, 1) / max(lt, 1)), 0) / max(math.log(base) if base > 1 else 0, 1)
+
+    density = lambda n: dense(chars(n), linked(n), tags(n), link_tags(n))
+    doubt = lambda n: n[1] == "related-work"
+    peak = lambda n: max([density(n), *map(peak, seen(n))]) if chars(n) else -1.0
+    nodes = []
+
+    def walk(n, above, suspect):
+        for k in seen(n):
+            walk(k, [n, *above], suspect or doubt(k))
+        nodes.append((sum(density(k) * (0.5 if doubt(k) else 1) for k in seen(n)) * (0.5 if suspect else 1), chars(n), -len(nodes), n, above))
+
+    walk(body, [], False)
+    *_, best, above = max(nodes, key=lambda x: x[:3])
+    if not any(chars(k) for k in seen(best)):
+        best, above = body, []
+    path = [best, *above]
+    least = min(map(density, path))
+    for below, at in zip(path, path[1:]):
+        if own_chars(at) and dense(own_chars(at), 0, 0, 0) >= least or any(peak(k) >= least for k in seen(at) if k is not below):
+            best = at
+    blocks = {"body", "div", "section", "p", "ul", "li"}
+
+    def text(n):
+        out = ""
+        for k in n[2]:
+            if isinstance(k, str):
+                out += k
+            elif k in seen(n):
+                if doubt(k) and (density(k) < least / 2 or 2 * linked(k) > chars(k)):
+                    continue
+                if k[0] in blocks and linked(k) > 0.6 * chars(k) and link_tags(k) > 1 and density(k) < least:
+                    continue
+                out += f" {text(k)} " if k[0] in blocks else text(k)
+            elif k[0] in blocks:
+                out += ""
+        return out
+
+    return " ".join(text(best).split())
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_html_is_the_recursion(seed):
+    rng = np.random.default_rng(seed)
+    words = PROSE.split()
+
+    def prose(n):
+        return " ".join(rng.choice(words, n)) + " "
+
+    def grown(depth):
+        kind = rng.choice(["p", "list", "group", "menu"], p=[0.5, 0.15, 0.3, 0.05] if depth else [1, 0, 0, 0])
+        if kind == "p":
+            kids = [prose(int(rng.integers(3, 60)))]
+            if rng.random() < 0.3:
+                kids += [("a", None, [prose(2)]), prose(5), ("span", None, [prose(3)])]
+            return ("p", None, kids)
+        if kind == "list":
+            return ("ul", None, [("li", None, [("a", None, [prose(3)]), prose(int(rng.integers(0, 4)))]) for _ in range(int(rng.integers(1, 6)))])
+        if kind == "menu":
+            return (str(rng.choice(["nav", "div"])), "menu", [("a", None, [prose(2)])])
+        name = str(rng.choice(["", "content", "related-work"], p=[0.6, 0.2, 0.2])) or None
+        return (str(rng.choice(["div", "section"])), name, [grown(depth - 1) for _ in range(int(rng.integers(1, 7)))] + ([prose(6)] if rng.random() < 0.2 else []))
+
+    def html(n):
+        return f"<{n[0]}" + (f' class="{n[1]}"' if n[1] else "") + ">" + "".join(k if isinstance(k, str) else html(k) for k in n[2]) + f"</{n[0]}>"
+
+    for _ in range(25):
+        body = ("body", None, [grown(3) for _ in range(int(rng.integers(1, 5)))])
+        assert html_text.main_text(f"<html>{html(body)}</html>") == by_hand(body)
+
+
 def test_html_query(spark):
     df = spark.createDataFrame([(1, "u", None, 5), (1, "u", "<p>x y</p>", 5), (2, None, "", 5)], "page_id long, url string, html string, text int")
     got = sorted((r.page_id, r.text, r.n_chars) for r in html_text.extract_text(df).collect())
@@ -309,6 +404,26 @@ def test_classifier(spark, empty):
     assert quality_model.score_quality(odd, labels).count() == 3
 
 
+def test_trees_are_walked_as_written():
+    """Flattened traversal against one row and one tree at a time; the first split against all cuts."""
+    rng = np.random.default_rng(15)
+    x = rng.normal(size=(800, 4)).astype(np.float32)
+    y = (x[:, 2] + 0.3 * x[:, 0] > 0.2).astype(float)
+    model = quality_model.fit(x, y, trees=5, depth=3, bins=8)
+    for row, got in zip(x[:50], model.score(x[:50])):
+        raw = model.start
+        for at in model.roots.tolist():
+            while model.left[at] != at:
+                at = model.left[at] if row[model.feature[at]] <= model.threshold[at] else model.right[at]
+            raw += model.value[at]
+        assert got == pytest.approx(1 / (1 + math.exp(-raw)))
+    g, h = y.mean() - y, np.full(len(y), y.mean() * (1 - y.mean()))
+    part = lambda own: g[own].sum() ** 2 / (h[own].sum() + 1)
+    gains = {(f, float(c)): part(x[:, f] <= c) + part(x[:, f] > c) for f in range(4) for c in np.unique(np.quantile(x[:, f], np.linspace(0, 1, 9)[1:-1]))}
+    best = max(gains, key=gains.get)
+    assert best[0] == model.feature[0] and best[1] == pytest.approx(float(model.threshold[0]))
+
+
 def test_trees_fit_a_rule():
     rng = np.random.default_rng(6)
     x = rng.random((2000, 5)).astype(np.float32)
@@ -668,6 +783,71 @@ def test_pipeline(spark):
     assert all(texts[r.doc_id] == r.decoded for r in out.itertuples())
 
 
+def write_tables(spark, folder, docs, labels, bench):
+    docs.write.parquet(f"{folder}/documents.parquet")
+    labels.write.parquet(f"{folder}/labels.parquet")
+    bench.write.parquet(f"{folder}/benchmark.parquet")
+
+
+def test_pipeline_by_hand(spark, tmp_path):
+    import sentencepiece
+
+    import corpus_pipeline
+    from motionloom.llm.common import id_text
+    from motionloom.llm.quality_rules import STOP_WORDS
+
+    rng = np.random.default_rng(16)
+    stops = {w for ws in STOP_WORDS.values() for w in ws}
+    words = np.array([*"the and of to in it is on for a".split(), *(f"word{k}" for k in range(400))])
+    weights = np.array([4.0] * 10 + [1.0] * 400)
+    text = lambda n: " ".join(rng.choice(words, n, p=weights / weights.sum()))
+    rows = [(i, text(int(rng.integers(60, 160)))) for i in range(60)]
+    item = text(14)
+    rows += [(100 + i, " ".join([*t.split()[:-1], "changed"])) for i, t in rows[:10]] + [rows[3], rows[3], (4, rows[5][1])]
+    rows += [(200 + i, t + " " + item) for i, t in rows[20:26]] + [(300, None), (301, ""), (302, "short"), (None, text(80)), (303, " ".join(w + "###" for w in rows[7][1].split())), (304, text(80).upper())]
+    rows += [(400 + i, " ".join(rng.choice(["spam", "the", "buy"], 3)) + " " + text(70).replace("word", "!!")) for i in range(12)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit(c) for c in ("digest", "node", "score", "did", "kept", "class")})
+    labels = [(i, int(i < 400), 0) for i in [*range(0, 60, 2), *range(400, 412)]]
+    write_tables(spark, tmp_path, docs.repartition(3), spark.createDataFrame(labels, "doc_id long, quality int, toxic int"), spark.createDataFrame([(1, item), (2, None)], "item_id long, text string"))
+    got = corpus_pipeline.run(spark, str(tmp_path)).collect()
+
+    def passes(t):
+        n, chars, symbols, dup, repeat = brute_counts(t)
+        lines = [x for x in (t or "").split("\n") if x.strip()]
+        ends = sum(x.endswith(("...", "…")) for x in lines)
+        return n >= 50 and repeat <= 0.5 * n and 2 <= chars / n <= 12 and symbols / n <= 0.25 and sum(w.lower() in stops for w in t.split()) / n >= 0.06 and dup / len(lines) <= 0.5 and ends / len(lines) <= 0.5
+
+    left = [r for r in rows if passes(r[1])]
+    frame = id_text(spark.createDataFrame(left, "doc_id long, text string"))
+    train = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = quality_model.train(frame, train, F.expr("pmod(crc32(encode(cast(doc_id AS string), 'UTF-8')), 5) <> 0"))
+    scores = model.score(quality_model.statistics([t for _, t in left]))
+    left = [r for r, x in zip(left, scores) if x >= 0.3]
+    distinct = sorted({t for _, t in left})
+    least = {t: min((i for i, u in left if u == t and i is not None), default=1 << 62) for t in distinct}
+    sets = near_dup.Shingler()(distinct)
+    group = list(range(len(distinct)))
+    for i in range(len(distinct)):
+        for j in range(i):
+            if near_dup.similarity(sets[i], sets[j]) >= 0.8 and group[i] != group[j]:
+                group = [group[j] if x == group[i] else x for x in group]
+    kept = {min(((least[distinct[k]], hashlib.md5(distinct[k].encode()).hexdigest(), distinct[k]) for k in range(len(distinct)) if group[k] == x))[2] for x in set(group)}
+    window = item.lower().split()
+    runs = {tuple(window[a : a + 10]) for a in range(len(window) - 9)}
+    hit = lambda t: any(tuple(t.lower().split()[a : a + 10]) in runs for a in range(len(t.split())))
+    want = {(None if least[t] == 1 << 62 else least[t], t) for t in kept if not hit(t)}
+    assert {(r.doc_id, r.decoded) for r in got} == want and len(got) == len(want) and 30 < len(want) < 65
+    lib = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    assert all(r.pieces == lib.encode(r.decoded) and r.n_pieces == len(r.pieces) for r in got)
+
+
+def test_pipeline_of_empty_tables(spark, tmp_path):
+    import corpus_pipeline
+
+    write_tables(spark, tmp_path, spark.createDataFrame([], "doc_id long, text string"), spark.createDataFrame([], "doc_id long, quality int, toxic int"), spark.createDataFrame([], "item_id long, text string"))
+    assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
+
+
 def test_registered(spark):
     from motionloom.llm import queries
 
