@@ -21,8 +21,8 @@ more, and a class is a connected component of links.
    most 1 / (1/(1-a) + 1/(1-b) - 1).  So, in one order of all shingles from rare to frequent, the
    first common shingle of a pair at 0.8 has at most 1/5 of either text's weight before it, and at
    most 1/9 of one's.  Texts are not paired there but held in blocks of a few hundred, large classes in
-   blocks of their own: a text meets each block that holds such a shingle once, and within it an
-   inverted index gives both shares exactly; what they allow is verified, without any estimate.
+   blocks of their own: where two blocks share such a shingle, the texts of one meet the other block,
+   in which an inverted index gives both shares exactly; what they allow is verified, without any estimate.
 
 Texts of a bucket's leader, and of a block, are sent once for each few thousand that are compared with
 them, and such groups are dealt out, so neither a hot leader nor a hot block is one task's work.  No step
@@ -323,27 +323,31 @@ def _rarest(rest: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, least
 
 
 def _in_blocks(rest: DataFrame, compared: DataFrame, totals: DataFrame, texts: int = 256, weight: int = 1_000_000) -> DataFrame:
-    """(id, class, block, own): blocks of about ``texts`` texts, or ``weight`` shingles, around one leader each.
+    """(id, class, block, own): blocks of about ``texts`` texts, or ``weight`` shingles.
 
-    Classes with at least a block of texts there have blocks of their own (``own`` is the class, else null).
+    Large classes have blocks of their own (``own`` is the class, else null); other texts lie with those
+    whose most similar leader is of the same class.
     """
-    near = compared.groupBy("id").agg(F.max_by("leader", F.struct("agree", "leader")).alias("anchor"))
-    placed = rest.join(totals, "id").join(near, "id", "left").select("id", "class", "total", F.coalesce("anchor", "id").alias("anchor"))
-    placed = materialise(placed, "anchored")
-    large = placed.groupBy("anchor", "class").agg(F.count("*").alias("n")).where(F.col("n") >= texts).select("anchor", "class", F.col("class").alias("own"))
-    placed = placed.join(large, ["anchor", "class"], "left").withColumn("grp", F.coalesce("own", F.lit(-1)))
-    sizes = placed.groupBy("anchor", "grp").agg(F.ceil(F.greatest(F.count("*") / texts, F.sum("total") / weight)).cast("long").alias("parts"))
-    return placed.join(sizes, ["anchor", "grp"]).select("id", "class", F.xxhash64("anchor", "grp", F.expr("pmod(xxhash64(id), parts)")).alias("block"), "own")
+    best = compared.groupBy("id").agg(F.max_by("leader", F.struct("agree", "leader")).alias("leader"))
+    leaders = rest.select(F.col("id").alias("leader"), F.col("class").alias("around"))
+    large = rest.groupBy("class").agg(F.count("*").alias("n")).where(F.col("n") >= texts).select("class", F.col("class").alias("own"))
+    placed = rest.join(totals, "id").join(best, "id", "left").join(leaders, "leader", "left").join(large, "class", "left")
+    placed = placed.select("id", "class", "own", "total", F.coalesce("own", "around", "class").alias("around"), F.coalesce("own", F.lit(-1)).alias("grp"))
+    placed = materialise(placed, "placed")
+    sizes = placed.groupBy("around", "grp").agg(F.ceil(F.greatest(F.count("*") / texts, F.sum("total") / weight)).cast("long").alias("parts"))
+    return placed.join(sizes, ["around", "grp"]).select("id", "class", F.xxhash64("around", "grp", F.expr("pmod(xxhash64(id), parts)")).alias("block"), "own")
 
 
 def _late_links(rest: DataFrame, compared: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, least: float) -> DataFrame:
     """(id, other): links between different classes of ``rest`` (id, class)."""
     rows, totals = _rarest(rest, docs, nodes, size, least)
     blocks = materialise(_in_blocks(rest, compared, totals), "blocks")
-    rows = materialise(rows.join(blocks, "id"), "rarest")
-    by_block = rows.groupBy("shingle", F.col("block").alias("there"), F.col("own").alias("theirs")).agg(F.min("before").alias("least_before"))
-    near = (F.col("block") >= F.col("there")) & ~F.coalesce(F.col("own") == F.col("theirs"), F.lit(False)) & (1 / (1 - F.col("before")) + 1 / (1 - F.col("least_before")) <= 1 + 1 / least + 1e-9)
-    asked = rows.join(by_block, "shingle").where(near).select("id", "class", F.col("there").alias("block")).distinct()
+    held = rows.join(blocks, "id").groupBy("shingle", "block", "own").agg(F.min("before").alias("before"))
+    held = materialise(held, "rarest")
+    other = held.select("shingle", F.col("block").alias("there"), F.col("own").alias("theirs"), F.col("before").alias("their_before"))
+    near = (F.col("block") >= F.col("there")) & ~F.coalesce(F.col("own") == F.col("theirs"), F.lit(False)) & (1 / (1 - F.col("before")) + 1 / (1 - F.col("their_before")) <= 1 + 1 / least + 1e-9)
+    meet = held.join(other, "shingle").where(near).select("block", "there").distinct()
+    asked = blocks.select("id", "class", "block").join(meet, "block").select("id", "class", F.col("there").alias("block"))
     return _links(asked, blocks.select("id", "class", "block"), docs, nodes, size, least)
 
 
