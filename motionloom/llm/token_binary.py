@@ -54,6 +54,7 @@ _CLASS[[*range(65, 91), *range(97, 123), *range(128, 256)]] = _L
 _CLASS[48:58] = _D
 _CLASS[[9, 11, 12, 13, 28, 29, 30, 31]] = _W
 _CLASS[[10, 32, 39]] = _N, _S, _GLUE
+_BLANK = (_CLASS == _N) | (_CLASS == _S) | (_CLASS == _W)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -134,17 +135,16 @@ class AtomEncoder:
         self.held += len(lens)
         return np.arange(self.held - len(lens), self.held)
 
-    def _note(self, numbers: np.ndarray, pieces: list[bytes]) -> None:
-        """Keep the bytes of the pieces that have these numbers in the store."""
-        lens = np.fromiter(map(len, pieces), np.int64, len(pieces))
-        while self.raw_used + int(lens.sum()) > len(self.raw):
+    def _note(self, numbers: np.ndarray, own: np.ndarray, lens: np.ndarray) -> None:
+        """Keep the bytes of the pieces (one after the other) that have these numbers in the store."""
+        while self.raw_used + len(own) > len(self.raw):
             self.raw = np.concatenate((self.raw, np.zeros_like(self.raw)))
         if len(self.raw_starts) < len(self.starts):
             grown = np.zeros(len(self.starts), np.int64)
             self.raw_starts, self.raw_lens = (np.concatenate((x, grown[len(x) :])) for x in (self.raw_starts, self.raw_lens))
-        self.raw[self.raw_used : self.raw_used + int(lens.sum())] = np.frombuffer(b"".join(pieces), np.uint8)
+        self.raw[self.raw_used : self.raw_used + len(own)] = own
         self.raw_starts[numbers], self.raw_lens[numbers] = self.raw_used + np.cumsum(lens) - lens, lens
-        self.raw_used += int(lens.sum())
+        self.raw_used += len(own)
 
     def _others(self, buffer: np.ndarray, found: np.ndarray, at: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Whether each piece found has other bytes than its entry; pieces lie one after the other."""
@@ -159,32 +159,41 @@ class AtomEncoder:
 
     def _learn(self, raw: bytes, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray, whole_chunks: bool) -> None:
         """New pieces: ids from the library; -1 (take the chunk) or -2 (take the text) where a piece is not simple."""
-        pieces = [raw[s:e].decode("utf-8", "surrogatepass") for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+        lens = ends - starts
+        own = np.frombuffer(raw, np.uint8)[ragged(starts, lens)]
+        at = np.cumsum(lens) - lens
+        pieces = [raw[s:e] for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
         values = np.zeros(len(pieces), np.int64)
-        lines, single = [], []
-        for k, p in enumerate(pieces):
-            if whole_chunks:
+        blank = np.logical_and.reduceat(_BLANK[own], at)
+        if whole_chunks:
+            lines, single = np.zeros(0, np.int64), []
+            for k, piece in enumerate(pieces):
+                p = piece.decode("utf-8", "surrogatepass")
                 if any(map(str.isspace, p[1:])) or p[:1].isspace() and p[:1] != " " or p.isspace() and len(p) > 1:
                     values[k] = -2
                 else:
                     single.append(k)
-            elif p.isascii() or p.lstrip(" ").isalpha():
-                (lines if not p.isspace() else single).append(k)
-            else:
-                values[k] = -1
+        else:
+            simple = np.maximum.reduceat(own, at) < 128
+            for k in np.flatnonzero(~simple).tolist():
+                if pieces[k].decode("utf-8", "surrogatepass").lstrip(" ").isalpha():
+                    simple[k] = True
+                else:
+                    values[k] = -1
+            lines, single = np.flatnonzero(simple & ~blank), np.flatnonzero(simple & blank).tolist()
         if single:
-            ids = self._library([pieces[k] for k in single])
+            ids = self._library([pieces[k].decode("utf-8", "surrogatepass") for k in single])
             values[single] = self._add(np.concatenate(ids), np.array(list(map(len, ids)), np.int64))
-            self._note(values[single], [raw[starts[k] : ends[k]] for k in single])
-        groups = [lines[at : at + 100] for at in range(0, len(lines), 100)]
-        texts = ["\n".join([pieces[k] for k in own]) for own in groups]
-        for own, coded in zip(groups, self.liner.encode_batch_fast(texts, add_special_tokens=False) if texts else [], strict=True):
+        groups = [lines[k : k + 100] for k in range(0, len(lines), 100)]
+        texts = [b"\n".join([pieces[k] for k in group.tolist()]).decode("utf-8", "surrogatepass") for group in groups]
+        for group, coded in zip(groups, self.liner.encode_batch_fast(texts, add_special_tokens=False) if texts else [], strict=True):
             ids = np.array(coded.ids, np.int32)
             marks = np.concatenate((np.flatnonzero(ids == self.line[0]), [len(ids)]))
-            if len(self.line) != 1 or len(marks) != len(own):
+            if len(self.line) != 1 or len(marks) != len(group):
                 raise ValueError("the vocabulary has no line end of its own")
-            values[own] = self._add(ids[ids != self.line[0]], np.diff(marks, prepend=-1) - 1)
-            self._note(values[own], [raw[starts[k] : ends[k]] for k in own])
+            values[group] = self._add(ids[ids != self.line[0]], np.diff(marks, prepend=-1) - 1)
+        kept = values >= 0
+        self._note(values[kept], own if kept.all() else own[np.repeat(kept, lens)], lens[kept])
         self._insert(keys, values)
 
     def _values(self, raw: bytes, keys: np.ndarray, starts: np.ndarray, ends: np.ndarray, whole_chunks: bool) -> np.ndarray:
