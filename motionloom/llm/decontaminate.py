@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import TMP, id_text, materialise, sliced, text_of
+from .common import id_text, materialise, sliced, text_of
 
 _FOLD = bytes((c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32) for c in range(256))
 
@@ -196,15 +196,15 @@ def find_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = 10, block
 
 def clean_of(docs: DataFrame, benchmark: DataFrame, width: int = 10, text_col: str = "text", block_bytes: int = 4_000_000) -> DataFrame:
     """The rows of ``docs``, all columns, in which no benchmark window occurs: one narrow pass for each block."""
-    marked = docs.withColumn(f"{TMP}text", text_of(text_col))
+    clean = docs
     for block in _blocks(benchmark, block_bytes):
         items, key = _held(block), uuid.uuid4().hex
 
         def run(batches: Iterator[pa.RecordBatch], items: list = items, key: str = key) -> Iterator[pa.RecordBatch]:
             own = _matcher(key, items, width)
-            for batch in sliced(batches, text=f"{TMP}text"):
-                texts = batch.column(batch.schema.get_field_index(f"{TMP}text")).to_pylist()
-                yield batch.filter(pa.array([not own.scan(t)[1] for t in texts], pa.bool_()))
+            for batch in sliced(batches, text=text_col):
+                texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+                yield batch.filter(pa.array([not own.scan(t or "")[1] for t in texts], pa.bool_()))
 
-        marked = marked.mapInArrow(run, marked.schema)
-    return marked.drop(f"{TMP}text")
+        clean = clean.mapInArrow(run, docs.schema)
+    return clean

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import TMP, id_text, materialise, sliced, text_of
+from .common import id_text, materialise, sliced
 
 #: Byte classes whose shares are features.
 _CLASSES: dict[str, bytes] = {
@@ -175,11 +175,10 @@ def score_quality(docs: DataFrame, labels: DataFrame, usable: Column | None = No
 def keep_predicted(docs: DataFrame, labels: DataFrame, usable: Column | None = None, cut: float = 0.3, text_col: str = "text") -> DataFrame:
     """The rows of ``docs``, all columns, that are predicted to be good: a narrow pass, each row judged by its own text."""
     model = train(docs, labels, usable)
-    marked = docs.withColumn(f"{TMP}text", text_of(text_col))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in sliced(batches, text=f"{TMP}text"):
-            texts = batch.column(batch.schema.get_field_index(f"{TMP}text")).to_pylist()
+        for batch in sliced(batches, text=text_col):
+            texts = [t or "" for t in batch.column(batch.schema.get_field_index(text_col)).to_pylist()]
             yield batch.filter(pa.array(model.score(statistics(texts)) >= cut))
 
-    return marked.mapInArrow(run, marked.schema).drop(f"{TMP}text")
+    return docs.mapInArrow(run, docs.schema)

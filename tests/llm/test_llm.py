@@ -848,6 +848,30 @@ def test_pipeline_of_empty_tables(spark, tmp_path):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == 0
 
 
+def test_very_long_texts(spark):
+    """A text of a million words, and one word of a million characters, through every operator."""
+    import sentencepiece
+
+    long, wide = " ".join(f"w{k % 5003} the" for k in range(500_000)), "x1" * 500_000
+    df = spark.createDataFrame([(1, long), (2, wide), (3, long)], "doc_id long, text string").repartition(3)
+    lib = library()
+    sizes = {1: len(lib.encode(long).ids), 2: len(lib.encode(wide).ids)}
+    sizes[3] = sizes[1]
+    assert {r.doc_id: r.n_tokens for r in count_tokens(df, BPE).collect()} == sizes
+    assert {r.doc_id: r.n_tokens - 1 for r in token_binary.read_tokens(token_binary.write_tokens(df, BPE)).collect()} == sizes
+    pieces = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    assert {r.doc_id: r.n_pieces for r in encode_pieces(df.where("doc_id = 1"), PIECES).collect()} == {1: len(pieces.encode(long))}
+    assert {r.doc_id: (r.n_words, r.n_repeat_words) for r in quality_counts(df).collect()} == {1: (1_000_000, 1_000_000), 2: (1, 0), 3: (1_000_000, 1_000_000)}
+    found = find_benchmark(df, spark.createDataFrame([(9, "w5 the w6 the w7")], "item_id long, text string")).collect()
+    assert {r.doc_id: (r.n_words, r.n_hit > 400) for r in found} == {1: (1_000_000, True), 2: (1, False), 3: (1_000_000, True)}
+    assert {r.doc_id: r.class_id for r in near_dup.near_duplicates(df).collect()} == {1: 1, 2: 2, 3: 1}
+    assert {r.doc_id: r.n_tokens for r in ngram_lm.score_texts(df).collect()} == {1: 1_000_001, 2: 2, 3: 1_000_001}
+    assert quality_model.score_quality(df, spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")).count() == 3
+    assert shard_ring.shard_rows(df).count() == 3
+    page = f"<body><p>{long}</p></body>"
+    assert html_text.main_text(page) == long
+
+
 def test_registered(spark):
     from motionloom.llm import queries
 
