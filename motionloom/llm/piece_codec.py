@@ -93,7 +93,7 @@ def character_map(blob: bytes) -> dict:
 class PieceMachine:
     """The compiled transducer of one model file."""
 
-    def __init__(self, path: str, cache_size: int = 300_000, pair_size: int = 200_000):
+    def __init__(self, path: str, cache_size: int = 450_000, pair_size: int = 300_000):
         self.pieces: list[str] = []
         self.scores: list[float] = []
         kinds: list[int] = []
@@ -138,13 +138,21 @@ class PieceMachine:
         self.by_word = not any(self.space in p.lstrip(self.space) for p in self.ids)
         self.segments = re.compile(f"{self.space}*[^{self.space}]+|{self.space}+$") if self.by_word else re.compile("(?s).+")
         self.trie: dict = {}
+        order = {x: k for k, x in enumerate(sorted({self.scores[i] for i in self.ids.values()}, reverse=True))}
+        self.turn, self.halves = [-1] * len(self.pieces), [(i, i) for i in range(len(self.pieces))]  # when a piece is merged, and of what
         for p, i in self.ids.items():
-            if self.bpe and (kinds[i] == _USER or self._merge(p) != [p]):
-                continue  # merges never build it
+            if self.bpe:
+                parts, joined = self._merge(p)
+                if kinds[i] == _USER or parts != [p]:
+                    continue  # merges never build it
+                if len(p) > 1:
+                    self.turn[i], self.halves[i] = order[self.scores[i]], (self.ids.get(p[:joined], -1), self.ids.get(p[joined:], -1))
             node = self.trie
             for c in p:
                 node = node.setdefault(c, {})
             node[""] = i
+        if any(min(h) < 0 or self.turn[i] < max(self.turn[h[0]], self.turn[h[1]]) for i, h in enumerate(self.halves) if self.turn[i] >= 0):
+            raise ValueError("a BPE model whose pieces are merged before their halves is not supported")
         self.pair_size, self.cache_size = pair_size, cache_size
         self.forget()
 
@@ -166,9 +174,9 @@ class PieceMachine:
         self.lens, self.uses = self.lens[keep], self.uses[keep] // 2
         self.starts = np.cumsum(self.lens) - self.lens
 
-    def _merge(self, text: str) -> list[str]:
-        """The merges of a BPE model on a short text: best score first, then leftmost."""
-        parts = list(text)
+    def _merge(self, text: str) -> tuple[list[str], int]:
+        """The merges of a BPE model on a short text, best score first, then leftmost; where the last one joined."""
+        parts, joined = list(text), 0
         while len(parts) > 1:
             best, at = None, -1
             for k in range(len(parts) - 1):
@@ -177,20 +185,38 @@ class PieceMachine:
                     best, at = self.scores[i], k
             if at < 0:
                 break
+            joined = len(parts[at])
             parts[at : at + 2] = [parts[at] + parts[at + 1]]
-        return parts
+        return parts, joined
 
     def allowed(self, left: int, right: int) -> bool:
-        """Whether two adjacent pieces of a BPE model stay apart under its merges."""
+        """Whether two adjacent pieces of a BPE model stay apart under its merges.
+
+        They do unless two parts beside the border could have merged before one of them grew into its
+        piece: the border's parts are followed back, the one that was built last first.  (Of merges of
+        equal score the leftmost comes first.)
+        """
         key = left * len(self.pieces) + right
         known = self.stable.get(key)
         if known is None:
             if len(self.stable) >= self.pair_size:
                 self.stable.clear()
-            a, b = self.pieces[left], self.pieces[right]
-            known = self.stable[key] = self._merge(a + b) == [a, b]
+            known = self.stable[key] = self._apart(left, right)
         return known
 
+    def _apart(self, left: int, right: int) -> bool:
+        pieces, ids, turn, halves, limit = self.pieces, self.ids, self.turn, self.halves, INFINITY
+        while True:
+            both = ids.get(pieces[left] + pieces[right])
+            if both is not None and turn[both] < limit:
+                return False
+            if turn[left] > turn[right]:
+                limit, left = turn[left], halves[left][1]
+            elif turn[right] >= 0:
+                limit, right = turn[right] + 1, halves[right][0]
+            else:
+                return True
+
     def shortest_path(self, text: str) -> list[int]:
         """Piece ids of normalised text."""
         out: list[int] = []
@@ -211,43 +237,56 @@ class PieceMachine:
     def _relaxed(self, text: str) -> list[tuple[int, int]]:
         """Arcs (start, piece) of the cheapest path; piece -1 stands for a character that no piece covers.
 
-        A state is a place and, in a BPE model, the last piece; each holds its least cost and the arc
-        that gave it.
+        Arcs are relaxed from an agenda: of a unigram model all of them, place by place; of a BPE model
+        those of the places reached, longest first, until the end is.  A place of a BPE model has one
+        state of finite cost, so the first path that comes to it is the cheapest.
         """
         n, trie, ids, weights, stable, width, bpe = len(text), self.trie, self.ids, self.weights, self.stable, len(self.pieces), self.bpe
-        states: list[dict[int, tuple[float, int, int]]] = [{} for _ in range(n + 1)]
-        states[0][-1] = 0.0, 0, -1
-        for at in range(n):
-            here = states[at].items()
-            if not here:
-                continue
-            arcs = [] if text[at] in ids else [(at + 1, -1, self.worst)]
-            node, end = trie, at
-            while end < n:
-                node = node.get(text[end])
-                if node is None:
+        cost, back, via = [0.0] + [INFINITY] * n, [0] * (n + 1), [-1] * (n + 1)
+        agenda: list[tuple[int, int, int]] = []
+        for place in (0,) if bpe else range(n - 1, -1, -1):
+            self._arcs(text, place, agenda)
+        while agenda:
+            at, end, piece = agenda.pop()
+            if bpe:
+                if cost[end] < INFINITY or piece >= 0 and (last := via[at]) >= 0 and not (stable[k] if (k := last * width + piece) in stable else self.allowed(last, piece)):
+                    continue  # already there, or at infinite cost
+                cost[end], back[end], via[end] = cost[at] + (weights[piece] if piece >= 0 else self.worst), at, piece
+                if end == n:
                     break
-                end += 1
-                piece = node.get("")
-                if piece is not None:
-                    arcs.append((end, piece, weights[piece]))
-            for last, (cost, _, _) in here:
-                for end, piece, weight in arcs:
-                    if bpe and piece >= 0 and last >= 0 and not (stable[k] if (k := last * width + piece) in stable else self.allowed(last, piece)):
-                        continue  # infinity
-                    there, state = states[end], piece if bpe else -1
-                    known = there.get(state)
-                    if known is None or cost + weight < known[0]:
-                        there[state] = cost + weight, at if bpe else piece, last if bpe else at
-        steps: list[tuple[int, int]] = []
-        at, state = n, min(states[n], key=lambda x: states[n][x][0])
+                if text[end] not in ids:
+                    agenda.append((end, end + 1, -1))
+                node, to = trie, end
+                while to < n:
+                    node = node.get(text[to])
+                    if node is None:
+                        break
+                    to += 1
+                    if "" in node:
+                        agenda.append((end, to, node[""]))
+                continue
+            total = cost[at] + (weights[piece] if piece >= 0 else self.worst)
+            if total < cost[end]:
+                cost[end], back[end], via[end] = total, at, piece
+        steps, at = [], n
         while at > 0:
-            _, x, y = states[at][state]
-            start, piece, before = (x, state, y) if bpe else (y, x, -1)
-            steps.append((start, piece))
-            at, state = start, before
+            steps.append((back[at], via[at]))
+            at = back[at]
         return steps[::-1]
 
+    def _arcs(self, text: str, at: int, agenda: list[tuple[int, int, int]]) -> None:
+        """Put the arcs of a place on the agenda, the longest last."""
+        if text[at] not in self.ids:
+            agenda.append((at, at + 1, -1))
+        node, to = self.trie, at
+        while to < len(text):
+            node = node.get(text[to])
+            if node is None:
+                break
+            to += 1
+            if "" in node:
+                agenda.append((at, to, node[""]))
+
     def normalised(self, text: str) -> str:
         """The text as the machine reads it."""
         if self.map:
@@ -338,7 +377,7 @@ def machine(path: str, cache_size: int, pair_size: int) -> PieceMachine:
     return _machines[key]
 
 
-def encode_pieces(docs: DataFrame, model_path: str, cache_size: int = 300_000, pair_size: int = 200_000, keep: bool = True) -> DataFrame:
+def encode_pieces(docs: DataFrame, model_path: str, cache_size: int = 450_000, pair_size: int = 300_000, keep: bool = True) -> DataFrame:
     """doc_id, n_pieces, pieces (ids), decoded (text of the pieces) of every row; no shuffle.
 
     ``cache_size`` words and ``pair_size`` pairs of pieces are remembered by each Python worker: about
