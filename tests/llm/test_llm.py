@@ -173,8 +173,17 @@ def hand_made_model(path, kind, fallback, rule=None, squeeze=True, prefix=True,
     rng = np.random.default_rng(14)
     letters = list("abcdeé日12.▁")
     pieces = dict.fromkeys(letters + ["▁a", "▁the", "the", "ing", "▁of", "of", "▁▁", "th", "he", "in", "ng", "日本", "▁日"])
-    for _ in range(60):
-        pieces.setdefault(("▁" if rng.random() < 0.3 else "") + "".join(rng.choice(letters[:-1], int(rng.integers(2, 4)))))
+    if kind == 1:
+        for _ in range(60):
+            pieces.setdefault(("▁" if rng.random() < 0.3 else "") + "".join(rng.choice(letters[:-1], int(rng.integers(2, 4)))))
+    else:  # merges of earlier pieces, characters last as in trained files
+        merged = ["th", "he", "in", "▁t", "▁th", "▁the", "the", "ng", "ing", "of", "▁o", "▁of", "日本", "▁▁"]
+        letters += list("thingof本")
+        for _ in range(80):
+            a, b = rng.choice([*letters, *merged], 2)
+            if "▁" not in b and len(a + b) < 6 and a + b not in merged:
+                merged.append(str(a + b))
+        pieces = dict.fromkeys([*merged, *letters])
     fields = [(1, message((1, "<unk>"), (2, 0.0), (3, 2))), (1, message((1, "<s>"), (2, 0.0), (3, 3))), (1, message((1, "</s>"), (2, 0.0), (3, 3)))]
     if fallback:
         fields += [(1, message((1, f"<0x{b:02X}>"), (2, 0.0), (3, 6))) for b in range(256)]
@@ -210,6 +219,18 @@ def test_pieces_of_other_models(tmp_path, kind, fallback, rule, squeeze, prefix,
         assert own.decode(ids, counts) == lib.decode(want)
 
 
+def test_borders_of_pieces_are_those_of_the_merges(tmp_path):
+    rng = np.random.default_rng(17)
+    for path in (PIECES, hand_made_model(tmp_path / "m.model", 2, True)):
+        own = PieceMachine(path)
+        able = [i for i in own.ids.values() if own._merge(own.pieces[i])[0] == [own.pieces[i]]]
+        short = [i for i in able if len(own.pieces[i]) <= 3]
+        spaces = [i for i in able if set(own.pieces[i]) == {"▁"}]
+        for pool in (able, short, spaces):
+            for a, b in rng.choice(pool, (4000, 2)).tolist():
+                assert own._apart(a, b) == (own._merge(own.pieces[a] + own.pieces[b])[0] == [own.pieces[a], own.pieces[b]])
+
+
 def brute_counts(t):
     w = re.findall(r"[^\x20\x09-\x0D]+", t or "")
     lines = [x for x in (t or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
