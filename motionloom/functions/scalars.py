@@ -142,58 +142,58 @@ def extract_json_object(raw: Column) -> Column:
     return F.try_parse_json(F.nullif(F.regexp_extract(raw, r"(?s)\{.*\}", 0), F.lit("")))
 
 
-def _kind(v: Column, path: str) -> tuple[Column, Column]:
+def kind_and_text(v: Column, path: str) -> tuple[Column, Column]:
+    """The type of a value (VOID for null) and the value as text; both null where the key is missing."""
     return F.schema_of_variant(F.try_variant_get(v, path, "variant")), F.try_variant_get(v, path, "string")
 
 
-def loose_text(v: Column, path: str) -> Column:
+def loose_text(kind: Column, text: Column) -> Column:
     """Any value as stripped text: null is None, booleans True and False; a missing key is null.
 
     Lists and objects are their JSON text.
     """
-    kind, text = _kind(v, path)
     return strip(F.when(kind == "VOID", "None").when(kind == "BOOLEAN", F.initcap(text)).otherwise(text))
 
 
-def coerce_bool(v: Column, path: str) -> Column:
+def coerce_bool(kind: Column, text: Column) -> Column:
     """Booleans as they are; strings true/yes/1; otherwise whether the value counts as something."""
-    kind, text = _kind(v, path)
     some = F.when(kind.isNull() | (kind == "VOID"), False).when(kind == "BOOLEAN", text == "true").when(kind == "STRING", F.lower(strip(text)).isin("true", "yes", "1"))
     return some.when(kind.startswith("ARRAY") | kind.startswith("OBJECT"), ~text.isin("[]", "{}")).otherwise(F.coalesce(text.try_cast("double") != 0, F.lit(False)))
 
 
-def coerce_int(v: Column, path: str) -> Column:
+def coerce_int(kind: Column, text: Column) -> Column:
     """max(0, whole part) as a long; strings only if they are whole numbers; anything else 0.
 
     Numbers beyond a long are the largest long.
     """
-    kind, text = _kind(v, path)
     whole = F.when(strip(text).rlike("^[+-]?[0-9]+(_[0-9]+)*$"), F.replace(strip(text), F.lit("_"), F.lit("")))
-    number = F.try_variant_get(v, path, "double")
     long = lambda exact, near: F.when(near >= 2.0**63, F.lit((1 << 63) - 1)).otherwise(F.coalesce(exact, near.try_cast("long")))
+    number = F.when(kind.startswith("ARRAY") | kind.startswith("OBJECT"), None).otherwise(text.try_cast("double"))
     value = F.when(kind == "STRING", long(whole.try_cast("long"), whole.try_cast("double"))).when(kind == "BOOLEAN", (text == "true").cast("long")).otherwise(long(F.when(text.rlike("^-?[0-9]+$"), text.try_cast("long")), number))
     return F.greatest(F.lit(0).cast("long"), F.coalesce(value, F.lit(0).cast("long")))
 
 
 def closed_scalar(v: Column, path: str, words: list[str]) -> Column:
     """The lower-cased text if it is one of the vocabulary (a null reads as none), else null."""
-    low = F.lower(loose_text(v, path))
+    low = F.lower(strip(F.try_variant_get(v, path, "string")))
+    if "none" in words:
+        low = F.when(F.is_variant_null(F.try_variant_get(v, path, "variant")), "none").otherwise(low)
     return F.when(low.isin(words), low)
 
 
 def _items(v: Column, path: str) -> Column:
-    items = F.coalesce(F.try_variant_get(v, path, "array<variant>"), F.array().cast("array<variant>"))
-    return F.transform(items, lambda x: F.coalesce(loose_text(x, "$"), F.lit("None")))  # a null inside a list is no variant
+    return F.coalesce(F.try_variant_get(v, path, "array<variant>"), F.array().cast("array<variant>"))
 
 
 def closed_array(v: Column, path: str, words: list[str]) -> Column:
     """Lower-cased members of the vocabulary, order and repeats kept; [] for anything but a list."""
-    return F.filter(F.transform(_items(v, path), F.lower), lambda x: x.isin(words))
+    return F.filter(F.transform(_items(v, path), lambda x: F.lower(strip(F.try_variant_get(x, "$", "string")))), lambda x: x.isin(words))
 
 
 def objects_top(v: Column, path: str, n: int = 5) -> Column:
     """The first ``n`` items of a list as stripped texts, empty ones left out."""
-    return F.slice(F.filter(_items(v, path), lambda x: x != ""), 1, n)
+    texts = F.transform(_items(v, path), lambda x: F.coalesce(loose_text(*kind_and_text(x, "$")), F.lit("None")))  # a null inside a list is no variant
+    return F.slice(F.filter(texts, lambda x: x != ""), 1, n)
 
 
 def key_present(v: Column, path: str) -> Column:

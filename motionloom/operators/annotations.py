@@ -38,20 +38,22 @@ def parse_annotation(df: DataFrame, raw: str, audio: bool = False) -> DataFrame:
     """
     df = df.withColumn("__loom_v", Z.extract_json_object(F.col(raw))).withColumn("parse_ok", F.col("__loom_v").isNotNull())
     v = F.col("__loom_v")
-    fields = {c: Z.coerce_bool(v, f"$.{c}") for c in ("has_infant", "has_adult")}
-    fields |= {c: Z.coerce_int(v, f"$.{c}") for c in ("num_infants", "num_children", "num_adults", "num_humans_total")}
+    booleans = ["has_infant", "has_adult", *(["infant_vocalising", "speech_present"] if audio else [])]
+    whole, texts = ["num_infants", "num_children", "num_adults", "num_humans_total"], ["description", *(["audio_description"] if audio else [])]
+    # Types and texts are columns of their own: several branches of a rule read them.
+    df = df.withColumns({f"__loom_{n}_{c}": x for c in (*booleans, *whole, *texts) for n, x in zip("kt", Z.kind_and_text(v, f"$.{c}"), strict=True)})
+    loose = lambda c: (F.col(f"__loom_k_{c}"), F.col(f"__loom_t_{c}"))
+    fields = {c: Z.coerce_bool(*loose(c)) for c in booleans} | {c: Z.coerce_int(*loose(c)) for c in whole} | {c: F.coalesce(Z.loose_text(*loose(c)), F.lit("")) for c in texts}
     fields |= {c: Z.closed_scalar(v, f"$.{c}", words) for c, words in ({"infant_visibility": VISIBILITY, "infant_posture": POSTURES} | SCENE).items()}
     fields |= {c: Z.closed_array(v, f"$.{c}", words) for c, words in {"visible_infant_parts": PARTS, "infant_actions": ACTIONS, "child_actions": CHILD_ACTIONS}.items()}
-    fields |= {"objects": Z.objects_top(v, "$.objects"), "description": F.coalesce(Z.loose_text(v, "$.description"), F.lit(""))}
+    fields |= {"objects": Z.objects_top(v, "$.objects")}
     flags = {"inconsistent": flag_inconsistent()}
     if audio:
         fields |= {"audio_events": Z.closed_array(v, "$.audio_events", AUDIO_EVENTS), "audio_source": Z.closed_scalar(v, "$.audio_source", AUDIO_SOURCES)}
-        fields |= {c: Z.coerce_bool(v, f"$.{c}") for c in ("infant_vocalising", "speech_present")}
-        fields |= {"audio_description": F.coalesce(Z.loose_text(v, "$.audio_description"), F.lit(""))}
         flags |= {"audio_inconsistent": flag_audio_inconsistent()}
     ok = lambda c: F.when(F.col("parse_ok"), c)
     df = df.withColumns({k: ok(c) for k, c in fields.items()})
-    return df.withColumns({k: ok(c) for k, c in flags.items()}).drop("__loom_v")
+    return df.withColumns({k: ok(c) for k, c in flags.items()}).drop("__loom_v", *(f"__loom_{n}_{c}" for n in "kt" for c in (*booleans, *whole, *texts)))
 
 
 def flag_inconsistent() -> Column:

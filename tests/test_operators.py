@@ -215,13 +215,13 @@ def test_whitelist_needs_every_feature(spark):
 def test_loose_json(spark):
     raws = ['{"a": true, "n": "3", "l": ["X ", "y", "X"]}', '{"a": "Yes", "n": "2.7", "l": "x"}', '{"a": 0, "n": 2.7}', '{"a": null, "n": -3}', "nothing"]
     v = spark.createDataFrame([(r,) for r in raws], "r string").withColumn("v", Z.extract_json_object(F.col("r")))
-    got = v.select(Z.coerce_bool(F.col("v"), "$.a").alias("a"), Z.coerce_int(F.col("v"), "$.n").alias("n"), Z.closed_array(F.col("v"), "$.l", ["x"]).alias("l"), Z.key_present(F.col("v"), "$.l").alias("k")).collect()
+    got = v.select(Z.coerce_bool(*Z.kind_and_text(F.col("v"), "$.a")).alias("a"), Z.coerce_int(*Z.kind_and_text(F.col("v"), "$.n")).alias("n"), Z.closed_array(F.col("v"), "$.l", ["x"]).alias("l"), Z.key_present(F.col("v"), "$.l").alias("k")).collect()
     assert [r.a for r in got[:4]] == [True, True, False, False]
     assert [r.n for r in got[:4]] == [3, 0, 2, 0]
     assert [r.l for r in got[:2]] == [["x", "x"], []]
     odd = [('1e12', 10**12), ('"7\\n"', 7), ('"1_000"', 1000), ('1e300', 2**63 - 1), ('9007199254740993', 9007199254740993), ('"2_"', 0), ('true', 1), ('null', 0), ('[3]', 0)]
     v = spark.createDataFrame([(f'{{"n": {r}, "w": " Sitting\\n", "s": null, "o": [null, true, "x\\u00a0"]}}',) for r, _ in odd], "r string").withColumn("v", Z.extract_json_object(F.col("r")))
-    out = v.select(Z.coerce_int(F.col("v"), "$.n").alias("n"), Z.closed_scalar(F.col("v"), "$.w", ["sitting"]).alias("w"), Z.closed_scalar(F.col("v"), "$.s", ["none"]).alias("s"), Z.objects_top(F.col("v"), "$.o").alias("o"), Z.closed_scalar(F.col("v"), "$.gone", ["none"]).alias("g")).collect()
+    out = v.select(Z.coerce_int(*Z.kind_and_text(F.col("v"), "$.n")).alias("n"), Z.closed_scalar(F.col("v"), "$.w", ["sitting"]).alias("w"), Z.closed_scalar(F.col("v"), "$.s", ["none"]).alias("s"), Z.objects_top(F.col("v"), "$.o").alias("o"), Z.closed_scalar(F.col("v"), "$.gone", ["none"]).alias("g")).collect()
     assert [r.n for r in out] == [n for _, n in odd]
     assert {(r.w, r.s, r.g, tuple(r.o)) for r in out} == {("sitting", "none", None, ("None", "True", "x"))}
     assert [r.k for r in got[:4]] == [True, True, False, False]
