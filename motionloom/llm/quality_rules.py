@@ -7,7 +7,7 @@ by sorting the text's window hashes (64 bits: in a text of a million words two d
 one with probability 3e-8) together with their places; texts whose windows all differ skip the sort.
 
 Null, empty and blank texts have zero counts and fail the base rule.  Texts of one very long
-word, or of very many words, go the same way.  Repeated rows get equal results.  Intermediate
+word, or of very many words, go the same way.  Rows without an id keep a null id; repeated rows get equal results.  Intermediate
 columns carry a reserved prefix, so columns of the input cannot clash with them.
 """
 

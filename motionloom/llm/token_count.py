@@ -11,7 +11,7 @@ pre-tokenizer always begins a pre-token there.  The pieces repeat a lot, so thei
 kept in a dictionary of bounded size (entries of at most ``longest`` characters).  A text with any other run of white space around a
 space is pre-tokenized as a whole.
 
-Null and empty texts have 0 tokens.  Repeated rows give repeated results.  Only the id and the
+Null and empty texts have 0 tokens.  Rows without an id keep a null id; repeated rows give repeated results.  Only the id and the
 text are read, so further columns cannot clash.
 """
 
