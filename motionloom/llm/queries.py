@@ -8,6 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .best_fit import cut_pieces, pack_pieces
 from .common import fold_of, table
 from .conversation_repair import damage, repair
 from .decontaminate import find_benchmark
@@ -74,12 +75,18 @@ def op11_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
 
 
+def op12_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pieces = cut_pieces(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    packed = pack_pieces(pieces.withColumn("ids_crc32", F.crc32("ids")).drop("ids"))
+    return packed.select("doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset")
+
+
 def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair(damage(table(spark, sf_dir, "conversations")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_token_counts, op2_token_binary, op3_sentencepiece, op4_quality_rules, op5_html_extraction, op6_quality_classifier, op7_decontamination, op8_near_duplicates, op9_lm_scoring, op10_sharding, op11_fill_middle, op13_conversation_repair)}
+    return {f.__name__: f for f in (op1_token_counts, op2_token_binary, op3_sentencepiece, op4_quality_rules, op5_html_extraction, op6_quality_classifier, op7_decontamination, op8_near_duplicates, op9_lm_scoring, op10_sharding, op11_fill_middle, op12_best_fit_packing, op13_conversation_repair)}
 
 
 _SPACE = r"[^\x20\x09-\x0D]"
