@@ -61,7 +61,7 @@ def _tiny(code: str, state: int) -> Iterator[tuple[int, int, str]]:
 
 
 @lru_cache(maxsize=1 << 16)
-def _forward_step(costs: tuple[int, ...], ranks: tuple[int, ...], code: str) -> tuple[int, tuple[int, ...], tuple[int, ...]]:
+def _forward_step(costs: tuple[int, ...], ranks: tuple[int, ...], code: str, onward: bool) -> tuple[int, tuple[int, ...], tuple[int, ...]]:
     best: dict[int, tuple[int, int, str]] = {}
     for state in range(4):
         if costs[state] < _FAR:
@@ -69,6 +69,10 @@ def _forward_step(costs: tuple[int, ...], ranks: tuple[int, ...], code: str) ->
                 way = (costs[state] + cost, ranks[state], made)
                 if to not in best or way < best[to]:
                     best[to] = way
+    if onward and 3 in best:
+        # After the assistant all is possible that is at the start, but for keeping a system row (or deleting it),
+        # and all that is after the system; so states that cost more than that never win.
+        best = {s: way for s, way in best.items() if s > 1 or way[0] <= best[3][0] + DELETE * (s == 0)}
     order = sorted(best, key=lambda to: best[to][1:])
     low = min(way[0] for way in best.values())
     return low, tuple(best[s][0] - low if s in best else _FAR for s in range(4)), tuple(order.index(s) if s in best else 4 for s in range(4))
@@ -81,11 +85,14 @@ def _backward_step(costs: tuple[int, ...], code: str) -> tuple[int, tuple[int, .
     return low, tuple(c - low if c < _FAR else _FAR for c in found)
 
 
-def forward(codes: str, start: int) -> tuple[list[int], tuple[int, ...]]:
-    """Least cost of reaching each state over the rows, and the order of the states' least audits."""
+def forward(codes: str, start: int, onward: bool) -> tuple[list[int], tuple[int, ...]]:
+    """Least cost of reaching each state over the rows, and the order of the states' least audits.
+
+    ``onward``: what follows does not end at the start or after the system, so states that can't win are left out.
+    """
     costs, ranks, paid = tuple(0 if s == start else _FAR for s in range(4)), (0, 0, 0, 0), 0
     for code in codes:
-        low, costs, ranks = _forward_step(costs, ranks, code)
+        low, costs, ranks = _forward_step(costs, ranks, code, onward)
         paid += low
     return [c + paid if c < _FAR else _FAR for c in costs], ranks
 
@@ -112,7 +119,7 @@ def audit_of(codes: str) -> str:
             done.append(min(ways)[1])
         else:
             mid = (lo + hi) // 2
-            costs, ranks = forward(codes[lo:mid], start)
+            costs, ranks = forward(codes[lo:mid], start, end is None or end > 1)
             rest = backward(codes[mid:hi], end)
             cross = min((costs[s] + rest[s], ranks[s], s) for s in range(4) if costs[s] < _FAR and rest[s] < _FAR)[2]
             work += [(mid, hi, cross, end), (lo, mid, start, cross)]
