@@ -25,7 +25,7 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from html import unescape
 
 import pyarrow as pa
@@ -34,7 +34,10 @@ from pyspark.sql import functions as F
 
 from .common import sliced, text_of
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>|[^<]+|<""", re.S)
+#: A tag: its name ends at quotes and brackets, too.  Attributes without brackets in quotes are read at once.
+_TAG = re.compile(r"""<(/?)([a-zA-Z][^\s/>"'<]*+)((?:[^>"'<]++|"[^"<>]*+"|'[^'<>]*+')*+)(>?)""")
+_PLAIN = re.compile(r"""[^>"']*+""")
+_DIGITS = re.compile(r"&#0*+([0-9]{8,});?")  # beyond Unicode, and perhaps beyond what int() takes
 _NAMES = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+))""", re.I)
 _WORD = re.compile(r"[a-z]+")
 
@@ -47,7 +50,7 @@ _NEVER = frozenset("nav aside footer form menu head script style noscript iframe
 _CLOSES_P = frozenset(
     "address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p pre section summary table ul".split()
 )
-_SAME = {"li": ("li", frozenset(("ul", "ol", "menu"))), "dt": ("dt dd", frozenset(("dl",))), "dd": ("dt dd", frozenset(("dl",))), "tr": ("tr", frozenset(("table",))), "td": ("td th", frozenset(("tr", "table"))), "th": ("td th", frozenset(("tr", "table"))), "option": ("option", frozenset(("select", "datalist")))}
+_SAME = {"li": (("li",), frozenset(("ul", "ol", "menu"))), "dt": (("dt", "dd"), frozenset(("dl",))), "dd": (("dt", "dd"), frozenset(("dl",))), "tr": (("tr",), frozenset(("table",))), "td": (("td", "th"), frozenset(("tr", "table"))), "th": (("td", "th"), frozenset(("tr", "table"))), "option": (("option",), frozenset(("select", "datalist")))}
 _ASIDE = frozenset(
     "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus login menu modal nav navbar navigation newsletter notice notices notification pagination pager popup promo related respond search share sharing sidebar signup social sponsor sponsored subscribe toolbar widget".split()
 )
@@ -58,6 +61,7 @@ _GENERIC = frozenset(
 _CONTENT = frozenset("article content main post story entry body text".split())
 _WEAK = frozenset("alert banner modal notice notices notification popup promo toolbar widget".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_ENDS = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I | re.A) for tag in _RAW}
 
 
 class _Node:
@@ -88,68 +92,103 @@ def _aside(tag: str, attributes: str, inside: bool) -> tuple[bool, bool]:
     return certain, bool(bad) and not certain
 
 
+class _TagEnds:
+    """Ends of tags whose attributes hold brackets in quotes, or quotes that are not closed.
+
+    Where reading on from a place has led to an unclosed quote is remembered, so all tags of a page together
+    take time in proportion to its length.
+    """
+
+    def __init__(self, page: str):
+        self.page, self.failed = page, set()
+        self.last = {quote: page.rfind(quote) for quote in "\"'"}
+
+    def find(self, place: int) -> int:
+        """The place of the ``>`` that closes a tag; of the next one if a quote in the tag is not closed."""
+        at, seen = place, []
+        while at not in self.failed:
+            seen.append(at)
+            at = _PLAIN.match(self.page, at).end()
+            if at == len(self.page):
+                break
+            quote = self.page[at]
+            if quote == ">":
+                return at
+            if at >= self.last[quote]:
+                break
+            at = self.page.find(quote, at + 1) + 1
+        self.failed.update(seen)
+        return self.page.find(">", place)
+
+
 def parse(page: str) -> _Node:
     """The DOM of a page, under a root node; left-out elements are marked."""
     root = _Node("", None, False)
-    at, open_, low, n = root, [root], page.lower(), len(page)
-    place = 0
-    count: dict[str, int] = {}  # open elements by tag
+    open_, n, place, last = [root], len(page), 0, page.rfind(">")
+    ends = _TagEnds(page)
+    depths: dict[str, list[int]] = {}  # of open elements, by tag
+    blocks: list[int] = [0]  # of open blocks other than p
+
+    def close(depth: int) -> None:
+        """Close all elements from a depth on."""
+        while len(open_) > depth:
+            depths[open_.pop().tag].pop()
+        while blocks[-1] >= depth:
+            blocks.pop()
 
-    def close() -> _Node:
-        last = open_.pop()
-        count[last.tag] -= 1
-        return last
+    def deepest(tags: Iterable[str]) -> int:
+        return max((depths[t][-1] for t in tags if depths.get(t)), default=-1)
 
     while place < n:
-        m = _TOKEN.match(page, place)
-        place = m.end()
-        tag = m[2] or m[5]
-        if tag is None:
-            if page[m.start()] != "<" or m.end() == m.start() + 1:
-                at.kids.append(m[0])
+        start = page.find("<", place)
+        if start < 0 or start > last:  # what follows is not closed
+            comment = page.find("<!--", place)
+            open_[-1].kids.append(page[place : n if comment < 0 else comment])
+            break
+        if start > place:
+            open_[-1].kids.append(page[place:start])
+        if page.startswith("<!--", start):
+            end = page.find("-->", start + 4)
+            place = end + 3 if end >= 0 else n
+            continue
+        if page[start + 1] in "!?":
+            place = page.find(">", start) + 1
+            continue
+        m = _TAG.match(page, start)
+        if m is None:
+            open_[-1].kids.append("<")
+            place = start + 1
             continue
-        tag = tag.lower()
-        if m[1] or m[4]:
-            if count.get(tag):
-                while close().tag != tag:
-                    pass
+        end = m.end() - 1 if m[4] else ends.find(m.end(2))
+        tag, attributes, place = m[2].lower(), page[m.end(2) : end], end + 1
+        if m[1]:
+            if depths.get(tag):
+                close(depths[tag][-1])
             elif tag == "br":
-                at.kids.append(_Node("br", at, False))
-            at = open_[-1]
+                open_[-1].kids.append(_Node("br", open_[-1], False))
             continue
-        attributes = m[3] or m[6] or ""
-        if tag in _CLOSES_P and count.get("p"):
-            for k in range(len(open_) - 1, 0, -1):
-                if open_[k].tag == "p":
-                    while len(open_) > k:
-                        close()
-                    break
-                if open_[k].tag in _BLOCKS:
-                    break
+        if tag in _CLOSES_P and deepest(("p",)) > blocks[-1]:
+            close(depths["p"][-1])
         if tag in _SAME:
             same, stop = _SAME[tag]
-            for k in range(len(open_) - 1, 0, -1) if any(map(count.get, same.split())) else ():
-                if open_[k].tag in same.split():
-                    while len(open_) > k:
-                        close()
-                    break
-                if open_[k].tag in stop:
-                    break
+            found = deepest(same)
+            if found > deepest(stop):
+                close(found)
         at = open_[-1]
-        inside = bool(count.get("article") or count.get("main"))
-        gone, doubt = _aside(tag, attributes, inside)
+        gone, doubt = _aside(tag, attributes, bool(depths.get("article") or depths.get("main")))
         node = _Node(tag, at, at.gone or gone, doubt)
         at.kids.append(node)
         if tag in _VOID or attributes.endswith("/") and tag not in _BLOCKS and tag not in _RAW:
             continue
         if tag in _RAW:
-            end = low.find(f"</{tag}", place)
-            after = page.find(">", end) if end >= 0 else -1
+            found_end = _ENDS[tag].search(page, place)
+            after = page.find(">", found_end.end()) if found_end else -1
             place = after + 1 if after >= 0 else n
             continue
+        depths.setdefault(tag, []).append(len(open_))
+        if tag in _BLOCKS and tag != "p":
+            blocks.append(len(open_))
         open_.append(node)
-        count[tag] = count.get(tag, 0) + 1
-        at = node
     return root
 
 
@@ -255,7 +294,8 @@ def main_text(page: str) -> str:
                 best = at
     pieces: list[str] = []
     _gather(best, least if around is None else 0.0, least / 2, pieces)
-    return " ".join(unescape("".join(pieces)).split())
+    joined = _DIGITS.sub("\ufffd", "".join(pieces))
+    return " ".join(unescape(joined).split())
 
 
 def extract_text(pages: DataFrame) -> DataFrame:
