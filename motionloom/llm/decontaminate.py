@@ -6,11 +6,12 @@ stands for it in the benchmark's vocabulary, and holds every window of ``width``
 words is one window); a text is scanned once, and each match is a run of word places, which is
 mapped to offsets in the original text.
 
-The automaton is built from at most ``block_bytes`` of benchmark text (whose words then always fit the
-characters there are), so neither the driver nor a
-worker ever holds more.  A larger benchmark is cut into blocks: the documents are numbered and written
-once, every block has an automaton and a narrow scan of its own, which returns only the rows that it
-hits, and these are joined to the documents at the end.
+Repeated items count once, and long ones are cut into runs of ``run_words`` words that share ``width`` - 1
+with the next, so every window is in one of them.  The automaton is built from at most about
+``block_bytes`` of benchmark text, whose distinct words are then fewer than the characters there are, so neither the
+driver nor a worker ever holds more.  A larger benchmark is cut into blocks: the documents are numbered and
+written once, the blocks scan them one after the other, each with an automaton of its own that returns
+only the rows it hits, and these are joined to the documents at the end.
 
 Null, empty and wordless texts have no words and no hits; null items have no windows.  The windows
 of an item without an id are hits like any other, but such an item is not listed.  Repeated
@@ -22,6 +23,7 @@ cannot clash: only ids and texts are read.  An empty benchmark hits nothing.
 from __future__ import annotations
 
 import hashlib
+import string
 import uuid
 from collections.abc import Iterator
 
@@ -31,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, materialise, sliced, text_of
+from .common import drop, id_text, materialise, sliced, text_of
 
 _FOLD = bytes((c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32) for c in range(256))
 
@@ -114,12 +116,24 @@ def _digest(items: list[int]) -> str:
     return hashlib.sha256(",".join(sorted(map(str, items))).encode()).hexdigest()
 
 
-def _blocks(benchmark: DataFrame, block_bytes: int) -> list[DataFrame]:
+def _item_runs(benchmark: DataFrame, width: int, run_words: int) -> DataFrame:
+    """The distinct items, those of many words as overlapping runs of words."""
+    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_of("text").alias("text")).distinct()
+    low = F.translate("text", string.ascii_uppercase, string.ascii_lowercase)
+    words = F.filter(F.split(low, r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"), lambda w: w != "")
+    cut = items.withColumn("words", words).withColumn("first", F.explode(F.sequence(F.lit(0), F.greatest(F.size("words") - width, F.lit(0)), F.lit(run_words))))
+    return cut.select("item_id", F.array_join(F.slice("words", F.col("first") + 1, F.lit(run_words + width - 1)), " ").alias("text"))
+
+
+def _blocks(benchmark: DataFrame, width: int, block_bytes: int, run_words: int) -> list[DataFrame]:
     """The items in blocks of at most about ``block_bytes``."""
-    items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), text_of("text").alias("text"))
-    total = items.agg(F.coalesce(F.sum(F.octet_length("text") + 8), F.lit(0))).first()[0]
-    n = 1 if total <= block_bytes else -(-2 * total // block_bytes)
-    return [items.where(F.expr(f"pmod(xxhash64(item_id, text), {n})") == k) if n > 1 else items for k in range(n)]
+    runs = _item_runs(benchmark, width, run_words)
+    total = runs.agg(F.coalesce(F.sum(F.octet_length("text") + 8), F.lit(0))).first()[0]
+    if total <= block_bytes:
+        return [runs]
+    n = -(-2 * total // block_bytes)
+    held = materialise(runs.withColumn("block", F.expr(f"pmod(xxhash64(item_id, text), {n})")), "decontaminate-items")
+    return [held.where(F.col("block") == k).drop("block") for k in range(n)]
 
 
 def _held(block: DataFrame) -> list[tuple[int | None, str]]:
@@ -186,18 +200,22 @@ def _scan_blocks(docs: DataFrame, blocks: list[DataFrame], width: int) -> DataFr
     return numbered.join(per, "row", "left").select("doc_id", "text", "places", "items").mapInArrow(finish, _FOUND)
 
 
-def find_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = 4_000_000) -> DataFrame:
+def find_benchmark(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = 4_000_000, run_words: int = 5000) -> DataFrame:
     """Per document: doc_id, n_words, n_hit, spans (offsets in the text), items, items_sha256, contaminated."""
-    blocks = _blocks(benchmark, block_bytes)
+    blocks = _blocks(benchmark, width, block_bytes, run_words)
     rows = id_text(docs)
     found = _scan_once(rows, _held(blocks[0]), width) if len(blocks) == 1 else _scan_blocks(rows, blocks, width)
     return found.withColumn("contaminated", F.col("n_hit") > 0)
 
 
-def clean_of(docs: DataFrame, benchmark: DataFrame, width: int = 10, text_col: str = "text", block_bytes: int = 4_000_000) -> DataFrame:
-    """The rows of ``docs``, all columns, in which no benchmark window occurs: one narrow pass for each block."""
+def clean_of(docs: DataFrame, benchmark: DataFrame, width: int = 10, text_col: str = "text", block_bytes: int = 4_000_000, run_words: int = 5000) -> DataFrame:
+    """The rows of ``docs``, all columns, in which no benchmark window occurs.
+
+    One narrow pass; with a benchmark of several blocks, one after the other over the rows that none before has hit.
+    """
+    blocks = _blocks(benchmark, width, block_bytes, run_words)
     clean = docs
-    for block in _blocks(benchmark, block_bytes):
+    for k, block in enumerate(blocks):
         items, key = _held(block), uuid.uuid4().hex
 
         def run(batches: Iterator[pa.RecordBatch], items: list = items, key: str = key) -> Iterator[pa.RecordBatch]:
@@ -206,5 +224,9 @@ def clean_of(docs: DataFrame, benchmark: DataFrame, width: int = 10, text_col: s
                 texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
                 yield batch.filter(pa.array([not own.scan(t or "")[1] for t in texts], pa.bool_()))
 
-        clean = clean.mapInArrow(run, docs.schema)
+        before, clean = clean, clean.mapInArrow(run, docs.schema)
+        if k + 1 < len(blocks):  # written, so that each block has workers of its own
+            clean = materialise(clean, "decontaminate-clean")
+            if before is not docs:
+                drop(before)
     return clean
