@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import id_text, sliced
+from .common import give_back, id_text, sliced
 
 #: Marks before the prefix, the suffix and the middle.
 MARKS = ("<P>", "<S>", "<M>")
@@ -97,7 +97,7 @@ def rewrite(ids: pa.Array, texts: pa.StringArray, seed: int, plain: int, spm: in
     return {"n": n, "form": form, "prefix_chars": pc.if_else(stays, none, prefix_chars), "middle_chars": pc.if_else(stays, none, middle_chars), "output": output}
 
 
-def fill_middle(docs: DataFrame, seed: int = 1, plain_from: int = 90, spm_below: int = 20, unit: str = "char", marks: tuple[str, str, str] = MARKS, batch_chars: int = 1_000_000) -> DataFrame:
+def fill_middle(docs: DataFrame, seed: int = 1, plain_from: int = 90, spm_below: int = 20, unit: str = "char", marks: tuple[str, str, str] = MARKS, batch_chars: int = 250_000) -> DataFrame:
     """doc_id, n (units), form, prefix_chars, middle_chars and output of every document.
 
     Of 100 draws those from ``plain_from`` on stay plain, and of the others those below ``spm_below``
@@ -110,6 +110,7 @@ def fill_middle(docs: DataFrame, seed: int = 1, plain_from: int = 90, spm_below:
         for batch in sliced(batches, chars=batch_chars):
             made = rewrite(batch.column(0), batch.column(1), seed, plain_from, spm_below, unit, marks)
             yield pa.RecordBatch.from_arrays([batch.column(0), *made.values()], ["doc_id", *made])
+        give_back()
 
     return id_text(docs).mapInArrow(run, _SCHEMA)
 
