@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+import math
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
+from .ordered import batched, frames_of, in_order
 from .sequences import gradient, islands
 
 
@@ -150,23 +155,29 @@ def track_candidates(points: DataFrame, threshold: float = 0.3) -> DataFrame:
 def greedy_centroid_track(df: DataFrame, threshold: float = 0.3, max_jump: float = 0.5) -> DataFrame:
     """Follow one person: best mean score first, then the nearest centre that is not too far.
 
-    Input: video, frame, person, cx, cy, span, mean_score, n_good.  Output: video, frame, person.
+    Input: video, frame, person, cx, cy, span, mean_score, n_good.  Output: video, frame, person.  A recording
+    is read in order; only the last centre and extent are held.
     """
 
-    def follow(pdf: pd.DataFrame) -> pd.DataFrame:
-        out, last = [], None
-        usable = pdf[(pdf.mean_score >= threshold / 2) & (pdf.n_good >= 4)].sort_values(["frame", "person"])
-        for frame, group in usable.groupby("frame", sort=True):
-            if last is None:
-                pick = group.loc[group.mean_score.idxmax()]
-            else:
-                far = np.hypot(group.cx - last[0], group.cy - last[1])
-                pick = group.loc[far.idxmin()]
-                if last[2] and far.min() > max_jump * last[2]:
-                    continue
-            last = pick.cx, pick.cy, pick.span or (last[2] if last else None)
-            out.append((pick.video, frame, pick.person))
-        return pd.DataFrame(out, columns=["video", "frame", "person"])
-
+    def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            of, last, reach = None, None, None
+            for video, frame, people in frames_of(batches):
+                if video != of:
+                    of, last, reach = video, None, None
+                if last is None:
+                    person, cx, cy, span, _ = max(people, key=lambda p: p[4])
+                else:
+                    far = lambda p: math.hypot(p[1] - last[0], p[2] - last[1])  # noqa: B023, E731 - used at once
+                    person, cx, cy, span, _ = near = min(people, key=far)
+                    if reach and far(near) > max_jump * reach:
+                        continue
+                last, reach = (cx, cy), span or reach
+                yield video, frame, person
+
+        return batched(rows(), schema)
+
+    usable = df.where((F.col("mean_score") >= threshold / 2) & (F.col("n_good") >= 4)).select("video", "frame", "person", "cx", "cy", "span", "mean_score")
+    schema = to_arrow_schema(usable.select("video", "frame", "person").schema)
     kinds = dict(df.dtypes)
-    return df.groupBy("video").applyInPandas(follow, f"video {kinds['video']}, frame {kinds['frame']}, person {kinds['person']}")
+    return in_order(usable, "video", ["frame", "person"]).mapInArrow(follow, f"video {kinds['video']}, frame {kinds['frame']}, person {kinds['person']}")

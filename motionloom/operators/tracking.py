@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
+import math
+from collections.abc import Iterable, Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
+from .ordered import batched, frames_of, in_order
+
 #: The three body proportions.
 RATIOS = ["r_head", "r_arm", "r_leg"]
 
@@ -54,48 +59,85 @@ def body_ratios(df: DataFrame) -> DataFrame:
     return p.select("video", "frame", "person", (head / torso).alias("r_head"), (limb([(5, 7, 9), (6, 8, 10)]) / torso).alias("r_arm"), (limb([(11, 13, 15), (12, 14, 16)]) / torso).alias("r_leg"))
 
 
+Box = tuple[float, float, float, float]
+
+
+def overlap(a: Box | None, b: Box | None, threshold: float) -> float:
+    """Intersection over union from ``threshold`` on; below it 0.15 for boxes of like size nearby, else 0."""
+    if a is None or b is None:
+        return 0.0
+    wa, ha, wb, hb = a[2] - a[0], a[3] - a[1], b[2] - b[0], b[3] - b[1]
+    common = max(0.0, min(a[2], b[2]) - max(a[0], b[0])) * max(0.0, min(a[3], b[3]) - max(a[1], b[1]))
+    either = wa * ha + wb * hb - common
+    own = common / either if common > 0 and either > 0 else 0.0
+    if own >= threshold:
+        return own
+    if min(wa, ha, wb, hb) <= 0 or max(wa * ha, wb * hb) > 4 * max(min(wa * ha, wb * hb), 1e-6):
+        return 0.0
+    apart = math.hypot((a[0] + a[2] - b[0] - b[2]) / 2, (a[1] + a[3] - b[1] - b[3]) / 2)
+    return 0.15 if apart < 0.5 * math.hypot((wa + wb) / 2, (ha + hb) / 2) else 0.0
+
+
+class Linker:
+    """The live tracks of one recording, frame after frame; tracks that ended are not held.
+
+    ``live`` is (track, last frame, last box) of each live track and ``made`` the number of tracks so far:
+    all that a stream must keep.
+    """
+
+    def __init__(self, threshold: float = 0.3, max_gap: int = 15, live: Iterable[tuple[int, int, Box | None]] = (), made: int = 0):
+        self.threshold, self.max_gap, self.live, self.made = threshold, max_gap, list(live), made
+
+    def step(self, frame: int, boxes: list[Box | None]) -> list[int]:
+        """The track of each box of a frame: best overlaps first, boxes left over start tracks."""
+        self.live = [t for t in self.live if frame - t[1] <= self.max_gap]
+        pairs = sorted(((overlap(t[2], b, self.threshold), i, j) for i, t in enumerate(self.live) for j, b in enumerate(boxes)), reverse=True)
+        of_box: dict[int, int] = {}
+        used: set[int] = set()
+        for s, i, j in pairs:
+            if s > 0 and j not in of_box and i not in used:
+                of_box[j] = i
+                used.add(i)
+        out = []
+        for j, box in enumerate(boxes):
+            if j in of_box:
+                track = self.live[of_box[j]][0]
+                self.live[of_box[j]] = (track, frame, box)
+            else:
+                track, self.made = self.made, self.made + 1
+                self.live.append((track, frame, box))
+            out.append(track)
+        return out
+
+
+def box_of(corners: Iterable[float | None]) -> Box | None:
+    """Four corners as a box; none if one is missing."""
+    box = tuple(corners)
+    return None if any(c is None for c in box) else box
+
+
 def link_tracks(df: DataFrame, threshold: float = 0.3, max_gap: int = 15) -> DataFrame:
     """Link boxes over frames: best overlaps first, unmatched boxes start tracks, idle tracks end.
 
     Input: video, frame, person, x1, y1, x2, y2.  Output: video, frame, person, track.  Linking is
-    sequential, so one recording is one group.
+    sequential, so a recording is one task's work; its rows are read in order and only live tracks are held.
     """
 
-    def score(a: np.ndarray, b: np.ndarray) -> float:
-        wa, ha, wb, hb = a[2] - a[0], a[3] - a[1], b[2] - b[0], b[3] - b[1]
-        common = max(0.0, min(a[2], b[2]) - max(a[0], b[0])) * max(0.0, min(a[3], b[3]) - max(a[1], b[1]))
-        either = wa * ha + wb * hb - common
-        own = common / either if common > 0 and either > 0 else 0.0
-        if own >= threshold:
-            return own
-        if min(wa, ha, wb, hb) <= 0 or max(wa * ha, wb * hb) > 4 * max(min(wa * ha, wb * hb), 1e-6):
-            return 0.0
-        apart = np.hypot((a[0] + a[2] - b[0] - b[2]) / 2, (a[1] + a[3] - b[1] - b[3]) / 2)
-        return 0.15 if apart < 0.5 * np.hypot((wa + wb) / 2, (ha + hb) / 2) else 0.0
-
-    def link(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, active, made = [], [], 0
-        for frame, group in pdf.sort_values(["frame", "person"]).groupby("frame", sort=True):
-            active = [t for t in active if frame - t[1] <= max_gap]
-            boxes = group[["x1", "y1", "x2", "y2"]].to_numpy()
-            pairs = sorted(((score(t[2], b), i, j) for i, t in enumerate(active) for j, b in enumerate(boxes)), reverse=True)
-            taken: dict[int, int] = {}
-            for s, i, j in pairs:
-                if s > 0 and j not in taken and i not in taken.values():
-                    taken[j] = i
-            for j, (person, box) in enumerate(zip(group.person, boxes, strict=True)):
-                if j in taken:
-                    track = active[taken[j]]
-                    track[1], track[2] = frame, box
-                else:
-                    track = [made, frame, box]
-                    made += 1
-                    active.append(track)
-                rows.append((pdf.video.iloc[0], frame, person, track[0]))
-        return pd.DataFrame(rows, columns=["video", "frame", "person", "track"])
+    def link(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def rows() -> Iterator[tuple]:
+            linker, of = Linker(threshold, max_gap), None
+            for video, frame, people in frames_of(batches):
+                if video != of:
+                    linker, of = Linker(threshold, max_gap), video
+                for (person, *_), track in zip(people, linker.step(frame, [box_of(p[1:]) for p in people]), strict=True):
+                    yield video, frame, person, track
+
+        return batched(rows(), schema)
 
+    kept = in_order(df.select("video", "frame", "person", "x1", "y1", "x2", "y2"), "video", ["frame", "person"])
+    schema = to_arrow_schema(kept.select("video", "frame", "person").withColumn("track", F.lit(0)).schema)
     kinds = dict(df.dtypes)
-    return df.groupBy("video").applyInPandas(link, f"video {kinds['video']}, frame {kinds['frame']}, person {kinds['person']}, track int")
+    return kept.mapInArrow(link, f"video {kinds['video']}, frame {kinds['frame']}, person {kinds['person']}, track int")
 
 
 def track_profiles(df: DataFrame, n_frames: DataFrame) -> DataFrame:

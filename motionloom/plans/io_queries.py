@@ -10,8 +10,9 @@ from ..sources import files as S
 from ..sources import sinks as K
 from ..streaming import streams as W
 from . import fixtures as X
+from .motion_queries import LINKED, linking_boxes
 from .registry import query, table
-from .shared import place
+from .shared import materialise, place
 
 
 _PTS = "array_join(transform(sequence(0, 16), k -> concat('[', e[2 * k], ',', e[2 * k + 1], ']')), ',')"
@@ -190,9 +191,21 @@ def _s_quality(spark: SparkSession, d: str) -> DataFrame:
     return got.withColumn("mean_value", F.round("mean_value", 4))
 
 
-@query("stream_track_gap", "WITH s AS (SELECT user_id, ts, CASE WHEN ts > lag(ts) OVER w + INTERVAL 15 MINUTE OR lag(ts) OVER w IS NULL OR ts = lag(ts) OVER w + INTERVAL 15 MINUTE THEN 1 ELSE 0 END AS st FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), g AS (SELECT *, sum(st) OVER (PARTITION BY user_id ORDER BY ts) AS grp FROM s) SELECT user_id, epoch_us(min(ts)) AS start_us, count(*) AS n FROM g GROUP BY user_id, grp")
+@query("stream_sessions", "WITH s AS (SELECT user_id, ts, CASE WHEN ts > lag(ts) OVER w + INTERVAL 15 MINUTE OR lag(ts) OVER w IS NULL OR ts = lag(ts) OVER w + INTERVAL 15 MINUTE THEN 1 ELSE 0 END AS st FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), g AS (SELECT *, sum(st) OVER (PARTITION BY user_id ORDER BY ts) AS grp FROM s) SELECT user_id, epoch_us(min(ts)) AS start_us, count(*) AS n FROM g GROUP BY user_id, grp")
 def _s_gap(spark: SparkSession, d: str) -> DataFrame:
-    return _to_files(spark, W.stream_track_gap(W.event_stream(spark, _parts(spark, d, True), 10)), "tracks")
+    return _to_files(spark, W.stream_sessions(W.event_stream(spark, _parts(spark, d, True), 10)), "sessions")
+
+
+@query("stream_track_gap", LINKED)
+def _s_tracks(spark: SparkSession, d: str) -> DataFrame:
+    """Boxes come in six waves, a frame a second; each wave has frames that belong between those of its neighbours."""
+    path = place(spark, "boxes")
+    boxes = materialise(linking_boxes(spark, d).withColumn("ts", F.timestamp_seconds(F.col("frame") + 1_000_000_000)), "boxes-all")
+    wave = (boxes.agg(F.max("frame")).first()[0] or 0) // 6 + 2
+    for k in range(6):
+        boxes.where(F.floor((F.col("frame") + F.pmod(F.col("frame") * 7, F.lit(4)) * 2) / wave) == k).write.mode("append").parquet(path)
+    W.heartbeat(boxes, path)
+    return _to_files(spark, W.stream_track_gap(W.event_stream(spark, path, 4), late=f"{wave + 12} seconds"), "tracks")
 
 
 @query("stream_resume_keys", "SELECT DISTINCT user_id, event_type FROM events")

@@ -142,7 +142,18 @@ def _people(spark: SparkSession, d: str) -> DataFrame:
     return M.track_candidates(X.persons(spark, d))
 
 
-@query("greedy_centroid_track")
+# The walk as a recursion over the frames that have someone to follow: the person last taken, and the last extent there was.
+_CANDIDATES = X.CTE_PERSONS + """, cand AS (SELECT video, frame, person, avg(CASE WHEN score >= 0.3 THEN x END) AS cx, avg(CASE WHEN score >= 0.3 THEN y END) AS cy, sqrt((max(x) - min(x))**2 + (max(y) - min(y))**2) AS span, avg(score) AS ms
+  FROM persons GROUP BY 1, 2, 3 HAVING avg(score) >= 0.15 AND count_if(score >= 0.3) >= 4)"""
+_CENTROID = f"""WITH RECURSIVE {_CANDIDATES}, steps AS (SELECT *, dense_rank() OVER (PARTITION BY video ORDER BY frame) AS n FROM cand),
+walk AS (SELECT video, 1::BIGINT AS n, frame, person, cx, cy, span, true AS taken FROM steps WHERE n = 1 QUALIFY row_number() OVER (PARTITION BY video ORDER BY ms DESC, person) = 1
+  UNION ALL SELECT video, n, CASE WHEN ok THEN frame ELSE of END, CASE WHEN ok THEN person ELSE op END, CASE WHEN ok THEN cx ELSE ox END, CASE WHEN ok THEN cy ELSE oy END, CASE WHEN ok THEN coalesce(nullif(span, 0), os) ELSE os END, ok
+  FROM (SELECT s.*, w.frame AS of, w.person AS op, w.cx AS ox, w.cy AS oy, w.span AS os, coalesce(sqrt((s.cx - w.cx)**2 + (s.cy - w.cy)**2) <= 0.5 * nullif(w.span, 0), true) AS ok FROM walk w JOIN steps s ON s.video = w.video AND s.n = w.n + 1
+    QUALIFY row_number() OVER (PARTITION BY s.video ORDER BY sqrt((s.cx - w.cx)**2 + (s.cy - w.cy)**2), s.person) = 1))
+SELECT video, frame, person FROM walk WHERE taken"""
+
+
+@query("greedy_centroid_track", _CENTROID)
 def _centroid(spark: SparkSession, d: str) -> DataFrame:
     return M.greedy_centroid_track(_people(spark, d))
 
@@ -273,9 +284,37 @@ def _review(spark: SparkSession, d: str) -> DataFrame:
     return _r(c.orderBy("first", "by_", "video"), "by_", places=3)
 
 
-@query("greedy_iou_track")
+def _overlap(a: str, b: str) -> str:
+    """The linking score of two boxes [x1, y1, x2, y2] in SQL."""
+    w, h = (lambda t: f"({t}[3] - {t}[1])"), (lambda t: f"({t}[4] - {t}[2])")
+    common = f"(greatest(0, least({a}[3], {b}[3]) - greatest({a}[1], {b}[1])) * greatest(0, least({a}[4], {b}[4]) - greatest({a}[2], {b}[2])))"
+    area = lambda t: f"({w(t)} * {h(t)})"
+    own = f"coalesce({common} / nullif(greatest({area(a)} + {area(b)} - {common}, 0), 0), 0)"
+    apart = f"sqrt((({a}[1] + {a}[3] - {b}[1] - {b}[3]) / 2)**2 + (({a}[2] + {a}[4] - {b}[2] - {b}[4]) / 2)**2)"
+    near = f"least({w(a)}, {h(a)}, {w(b)}, {h(b)}) > 0 AND greatest({area(a)}, {area(b)}) <= 4 * greatest(least({area(a)}, {area(b)}), 1e-6) AND {apart} < 0.5 * sqrt((({w(a)} + {w(b)}) / 2)**2 + (({h(a)} + {h(b)}) / 2)**2)"
+    return f"CASE WHEN {own} >= 0.3 THEN {own} WHEN {near} THEN 0.15 ELSE 0 END"
+
+
+# Linking as a recursion over frames: live tracks (id, frame, box) in a list, pairs by falling score taken one by one.
+LINKED = f"""WITH RECURSIVE {_BOXES}, det AS (SELECT video, frame, list(person ORDER BY person) AS ps, list([x1, y1, x2, y2] ORDER BY person) AS bs, row_number() OVER (PARTITION BY video ORDER BY frame) AS n FROM boxes GROUP BY 1, 2),
+run AS (SELECT DISTINCT video, 0::BIGINT AS n, -1 AS frame, CAST([] AS INTEGER[]) AS ps, CAST([] AS STRUCT(t BIGINT, f INTEGER, b DOUBLE[])[]) AS live, 0::BIGINT AS made, CAST([] AS BIGINT[]) AS tracks FROM det
+  UNION ALL SELECT video, n, frame, ps, list_concat(list_transform(old, lambda o, i: {{'t': o.t, 'f': CASE WHEN len(list_filter(own, lambda k: k = i)) > 0 THEN frame ELSE o.f END, 'b': CASE WHEN len(list_filter(own, lambda k: k = i)) > 0 THEN bs[list_position(own, i)] ELSE o.b END}}),
+      list_transform(list_filter(range(1, len(bs) + 1), lambda j: own[j] = 0), lambda j: {{'t': tr[j], 'f': frame, 'b': bs[j]}})), made + len(list_filter(own, lambda k: k = 0)), tr
+  FROM (SELECT *, list_transform(own, lambda k, j: CASE WHEN k > 0 THEN old[k].t ELSE made + len(list_filter(own[1:j], lambda z: z = 0)) - 1 END) AS tr
+  FROM (SELECT *, list_transform(range(1, len(bs) + 1), lambda j: coalesce(list_filter(got, lambda p: p.j = j)[1].i, 0)) AS own
+  FROM (SELECT *, CASE WHEN len(pairs) = 0 THEN CAST([] AS STRUCT(s DOUBLE, i BIGINT, j BIGINT)[]) ELSE list_reduce(list_transform(pairs, lambda p: [p]), lambda u, p: CASE WHEN len(list_filter(u, lambda z: z.i = p[1].i OR z.j = p[1].j)) > 0 THEN u ELSE list_concat(u, p) END) END AS got
+  FROM (SELECT *, list_reverse_sort(list_filter(flatten(list_transform(range(1, len(old) + 1), lambda i: list_transform(range(1, len(bs) + 1), lambda j: {{'s': ({_overlap('old[i].b', 'bs[j]')})::DOUBLE, 'i': i, 'j': j}}))), lambda p: p.s > 0)) AS pairs
+  FROM (SELECT d.video, d.n, d.frame, d.ps, d.bs, r.made, list_filter(r.live, lambda o: d.frame - o.f <= 15) AS old FROM run r JOIN det d ON d.video = r.video AND d.n = r.n + 1))))))
+SELECT video, frame, unnest(ps) AS person, unnest(tracks)::INTEGER AS track FROM run WHERE n > 0"""
+
+
+def linking_boxes(spark: SparkSession, d: str) -> DataFrame:
+    return _boxes(spark, d).select("video", "frame", "person", "x1", "y1", "x2", "y2")
+
+
+@query("greedy_iou_track", LINKED)
 def _link(spark: SparkSession, d: str) -> DataFrame:
-    return K.link_tracks(_boxes(spark, d).select("video", "frame", "person", "x1", "y1", "x2", "y2"))
+    return K.link_tracks(linking_boxes(spark, d))
 
 
 @query("agg_count_concurrent", f"WITH {X.CTE_PERSONS}, k AS (SELECT video, frame, count(DISTINCT person) AS k FROM persons WHERE score >= 0.97 GROUP BY 1, 2), n AS (SELECT video, count(*) AS n_frames FROM frames GROUP BY 1) SELECT video, greatest(1, round_even(median(k), 0)::INT) AS n_people, round(count_if(k > 1) / max(n_frames)::DOUBLE, 5) AS frac_multi FROM k JOIN n USING (video) GROUP BY 1")

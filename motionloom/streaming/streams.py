@@ -6,8 +6,10 @@ or an idle time bounds.  Windows and tracks are written once the watermark has p
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+import math
+from collections.abc import Callable, Iterable, Iterator
 from datetime import timedelta
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,6 +18,8 @@ from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from pyspark.sql.window import Window
 
+from ..operators.tracking import Linker
+
 
 def event_stream(spark: SparkSession, path: str, files_per_batch: int = 1) -> DataFrame:
     """Events from Parquet files; times become instants, as watermarks need them."""
@@ -42,12 +46,68 @@ def stream_quality_feed(events: DataFrame, late: str = "1 minute") -> DataFrame:
     return events.withWatermark("ts", late).groupBy(w).agg(F.count("*").alias("n"), F.count_if(F.col("value") < 5).alias("failures"), F.avg("value").alias("mean_value")).select(F.unix_micros("window.start").alias("start_us"), "n", "failures", "mean_value")
 
 
-def stream_track_gap(events: DataFrame, gap: str = "15 minutes", late: str = "1 minute") -> DataFrame:
-    """Tracks of each user: they end after a gap without events."""
+def stream_sessions(events: DataFrame, gap: str = "15 minutes", late: str = "1 minute") -> DataFrame:
+    """Sessions of each user: they end after a gap without events."""
     w = F.session_window("ts", gap)
     return events.withWatermark("ts", late).groupBy(w, "user_id").agg(F.count("*").alias("n")).select("user_id", F.unix_micros("session_window.start").alias("start_us"), "n")
 
 
+_BOX = ["x1", "y1", "x2", "y2"]
+_TRACK_STATE = "made int, tracks array<int>, lasts array<int>, live array<double>, at array<long>, frames array<int>, people array<int>, boxes array<double>"
+
+
+def stream_track_gap(boxes: DataFrame, late: str = "10 seconds", threshold: float = 0.3, max_gap: int = 15, idle: timedelta = timedelta(days=1)) -> DataFrame:
+    """Boxes of a stream linked into tracks by their overlap; a track ends after ``max_gap`` frames without a box.
+
+    Input: ts, video, frame, person, x1, y1, x2, y2, with times that rise with the frames of a recording.
+    Output: video, frame, person, track, as ``link_tracks`` gives them for all boxes together.  The state of a
+    recording is its live tracks and the boxes that the watermark has not passed: these wait, as an earlier
+    frame may still come.  A timer wakes a recording for them.  One without boxes for ``idle`` is forgotten.
+    """
+    kinds = dict(boxes.dtypes)
+    out = [f"{c} {kinds[c]}" for c in ("video", "frame", "person")]
+    columns = ["video", "frame", "person", "track"]
+
+    def step(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if group[0] is None or pd.isna(group[0]):  # a heartbeat
+            return
+        made, tracks, lasts, live, at, frames, people, corners = state.get if state.exists else (0, *([] for _ in range(7)))
+        waiting = list(zip(at, frames, people, _fours(corners), strict=True))
+        for pdf in [] if state.hasTimedOut else batches:
+            waiting += list(zip(pdf["us"].tolist(), pdf["frame"].tolist(), pdf["person"].tolist(), map(tuple, pdf[_BOX].to_numpy().tolist()), strict=True))
+        now = state.getCurrentWatermarkMs() * 1000
+        ready = sorted(w[1:] for w in waiting if w[0] <= now)
+        waiting = [w for w in waiting if w[0] > now]
+        linker = Linker(threshold, max_gap, zip(tracks, lasts, _fours(live), strict=True), made)
+        rows = []
+        for frame, own in groupby(ready, key=lambda w: w[0]):
+            own = list(own)
+            rows += [(group[0], frame, person, track) for (_, person, _), track in zip(own, linker.step(frame, [_whole(b) for *_, b in own]), strict=True)]
+        if state.hasTimedOut and not ready and not waiting:
+            state.remove()
+            return
+        state.update((linker.made, [t[0] for t in linker.live], [t[1] for t in linker.live], _flat(t[2] for t in linker.live), [w[0] for w in waiting], [w[1] for w in waiting], [w[2] for w in waiting], _flat(w[3] for w in waiting)))
+        wake = min(w[0] for w in waiting) // 1000 + 1 if waiting else state.getCurrentWatermarkMs() + int(idle / timedelta(milliseconds=1))
+        state.setTimeoutTimestamp(wake)
+        if rows:
+            yield pd.DataFrame(rows, columns=columns)
+
+    kept = boxes.withWatermark("ts", late).select("ts", F.unix_micros("ts").alias("us"), "video", "frame", "person", *_BOX)
+    return kept.groupBy("video").applyInPandasWithState(step, ", ".join([*out, "track int"]), _TRACK_STATE, "append", GroupStateTimeout.EventTimeTimeout)
+
+
+def _fours(flat: list[float]) -> list[tuple[float, ...]]:
+    return [tuple(flat[k : k + 4]) for k in range(0, len(flat), 4)]
+
+
+def _flat(boxes: Iterable[tuple[float, ...] | None]) -> list[float]:
+    return [float(c) for box in boxes for c in box or (math.nan,) * 4]
+
+
+def _whole(box: tuple[float, ...]) -> tuple[float, ...] | None:
+    return None if any(c is None or math.isnan(c) for c in box) else box
+
+
 def stream_collapse_text(events: DataFrame, key: str, text: str, late: str = "1 hour", idle: timedelta = timedelta(days=30)) -> DataFrame:
     """Rows whose text differs from the one before of their key; the last text is the state.
 
