@@ -8,9 +8,9 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.functions import udtf
 
-from .operators import annotations, cohort, motion, pose, segments, sequences, tracking
+from .operators import annotations, cohort, motion, order_statistics, pose, segments, sequences, tracking
 
-_MODULES = (annotations, cohort, motion, pose, segments, sequences, tracking)
+_MODULES = (annotations, cohort, motion, order_statistics, pose, segments, sequences, tracking)
 
 
 def operators() -> dict[str, Callable[..., DataFrame]]:

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalars as Z
+from .order_statistics import placed_counts
 
 
 #: The scored features, part first: those of points, then those of joints.
@@ -90,15 +91,6 @@ def z_bands(z: Column) -> Column:
     return F.when(z <= -1.96, "high").when(z <= -1, "moderate").otherwise("low")
 
 
-def rank_avg(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Ranks with ties at their middle: ranks of distinct values from their counts."""
-    w = Window.partitionBy(*keys).orderBy(value)
-    counts = df.groupBy(*keys, value).agg(F.count("*").alias("ties"))
-    before = F.coalesce(F.sum("ties").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranks = counts.withColumn("rank_avg", before + (F.col("ties") + 1) / 2)
-    return df.join(ranks, [*keys, value])
-
-
 def _exact_p(u: float, n1: int, n2: int) -> float:
     """Exact two-sided p of a rank sum without ties, by counting arrangements in whole numbers.
 
@@ -120,9 +112,10 @@ def _exact_p(u: float, n1: int, n2: int) -> float:
 def mann_whitney(df: DataFrame, keys: list[str], value: str, in_ref: str, small: int = 8) -> DataFrame:
     """Two-sided rank test of the reference against the rest: exact where a group has at most ``small``
     values and none are tied, otherwise normal with tie and continuity corrections."""
-    ranked = rank_avg(df.where(F.col(value).isNotNull()), keys, value)
-    tie = F.sum(F.col("ties") ** 2 - 1).alias("t3")  # summed over rows: t rows of t^2-1 each is t^3-t
-    per = ranked.groupBy(*keys).agg(F.count_if(F.col(in_ref)).alias("n1"), F.count_if(~F.col(in_ref)).alias("n2"), F.sum(F.when(F.col(in_ref), F.col("rank_avg"))).alias("r1"), tie)
+    counts = placed_counts(df, keys, value, {"own": F.count_if(F.col(in_ref)), "others": F.count_if(~F.col(in_ref))})
+    rank = F.col("before") + (F.col("ties") + 1) / 2
+    t = F.col("ties").cast("double")
+    per = counts.groupBy(*keys).agg(F.sum("own").alias("n1"), F.sum("others").alias("n2"), F.sum(F.col("own") * rank).alias("r1"), F.sum(t * (t * t - 1)).alias("t3"))
     n1, n2 = F.col("n1"), F.col("n2")
     n = n1 + n2
     per = per.withColumn("u1", F.col("r1") - n1 * (n1 + 1) / 2)

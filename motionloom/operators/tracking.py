@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.window import Window
 
+from .order_statistics import exact_quantiles
 from .ordered import batched, frames_of, in_order
 
 #: The three body proportions.
@@ -150,8 +151,8 @@ def calibrate_prior(df: DataFrame, least_frames: int = 30, least_videos: int = 5
     """Median over recordings of their medians, and a robust deviation, of each proportion."""
     long = df.unpivot(["video"], RATIOS, "ratio", "value").where("value IS NOT NULL")
     per = long.groupBy("video", "ratio").agg(F.percentile("value", F.lit(0.5)).alias("m"), F.count("*").alias("n")).where(F.col("n") >= least_frames)
-    out = per.groupBy("ratio").agg(F.expr("percentile(m, array(0.05D, 0.25D, 0.5D, 0.75D, 0.95D))").alias("q"), F.count("*").alias("n_videos"))
-    return out.where(F.col("n_videos") >= least_videos).select("ratio", F.col("q")[2].alias("mean"), F.greatest((F.col("q")[3] - F.col("q")[1]) / 1.349, F.lit(1e-3)).alias("sd"), "n_videos", F.col("q")[0].alias("p05"), F.col("q")[4].alias("p95"))
+    q = exact_quantiles(per, ["ratio"], "m", {"p05": 0.05, "p25": 0.25, "mean": 0.5, "p75": 0.75, "p95": 0.95}).where(F.col("n") >= least_videos)
+    return q.select("ratio", "mean", F.greatest((F.col("p75") - F.col("p25")) / 1.349, F.lit(1e-3)).alias("sd"), F.col("n").alias("n_videos"), "p05", "p95")
 
 
 def prior_cost(profiles: DataFrame, prior: DataFrame) -> DataFrame:

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from ..functions import scalars as Z
 from ..operators import cohort as H
+from ..operators.order_statistics import exact_quantiles, rank_avg
 from ..operators.pose import correlation
 from .registry import query, table
 
@@ -200,6 +201,12 @@ def _mean_sd(spark: SparkSession, d: str) -> DataFrame:
     return _r(_surprise(spark, d, ["part", "stat"]).groupBy("risk").agg(F.avg("z").alias("mean_z"), F.stddev_samp("z").alias("sd_z")), "mean_z", "sd_z")
 
 
+@query("agg_exact_quantiles", "SELECT c_mktsegment AS seg, count(*) AS n, round(quantile_cont(c_acctbal, 0.1), 4) AS low, round(median(c_acctbal), 4) AS mid, round(quantile_cont(c_acctbal, 0.97), 4) AS high FROM customer GROUP BY 1")
+def _quantiles(spark: SparkSession, d: str) -> DataFrame:
+    c = table(spark, d, "customer").selectExpr("c_mktsegment AS seg", "c_acctbal AS v")
+    return _r(exact_quantiles(c, ["seg"], "v", {"low": 0.1, "mid": 0.5, "high": 0.97}), "low", "mid", "high")
+
+
 _RANK = "r AS (SELECT c_nationkey, c_mktsegment = 'BUILDING' AS in_ref, round(c_acctbal / 200, 0) + 0.0 AS v FROM customer), k AS (SELECT *, rank() OVER (PARTITION BY c_nationkey ORDER BY v) + (count(*) OVER (PARTITION BY c_nationkey, v) - 1) / 2.0::DOUBLE AS rank_avg, count(*) OVER (PARTITION BY c_nationkey, v) AS t FROM r)"
 
 
@@ -209,7 +216,7 @@ def _ranks(spark: SparkSession, d: str) -> DataFrame:
 
 @query("rank_avg", f"WITH {_RANK} SELECT c_nationkey, v, max(rank_avg) AS rank_avg, count(*) AS n FROM k GROUP BY 1, 2")
 def _rank(spark: SparkSession, d: str) -> DataFrame:
-    return H.rank_avg(_ranks(spark, d), ["c_nationkey"], "v").groupBy("c_nationkey", "v").agg(F.max("rank_avg").alias("rank_avg"), F.count("*").alias("n"))
+    return rank_avg(_ranks(spark, d), ["c_nationkey"], "v").groupBy("c_nationkey", "v").agg(F.max("rank_avg").alias("rank_avg"), F.count("*").alias("n"))
 
 
 @query("mann_whitney_u", f"WITH {_RANK}, u AS (SELECT c_nationkey, count_if(in_ref)::DOUBLE AS n1, count_if(NOT in_ref)::DOUBLE AS n2, sum(CASE WHEN in_ref THEN rank_avg END) AS r1, sum(t * t - 1) AS t3 FROM k GROUP BY 1) SELECT c_nationkey, n1, n2, round(r1 - n1 * (n1 + 1) / 2, 3) AS u1, t3::DOUBLE AS t3 FROM u")

@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.motion import speed
 from ..sources import files as S
 from ..sources import sinks as K
+from ..streaming import resume as R
 from ..streaming import streams as W
+from ..streaming import upserts as U
 from . import fixtures as X
 from .motion_queries import LINKED, linking_boxes
 from .registry import query, table
@@ -208,11 +212,32 @@ def _s_tracks(spark: SparkSession, d: str) -> DataFrame:
     return _to_files(spark, W.stream_track_gap(W.event_stream(spark, path, 4), late=f"{wave + 12} seconds"), "tracks")
 
 
-@query("stream_resume_keys", "SELECT DISTINCT user_id, event_type FROM events")
+@query("stream_first_keys", "SELECT DISTINCT user_id, event_type FROM events")
+def _s_first(spark: SparkSession, d: str) -> DataFrame:
+    out = place(spark, "first")
+    W.run_batches(W.event_stream(spark, _parts(spark, d)), U.first_seen(out, ["user_id", "event_type"]), place(spark, "first-state"))
+    return spark.read.parquet(f"{out}/new").select("user_id", "event_type")
+
+
+# A request passes unless its key has an answer or another request since its last failure.
+_RESUME = """WITH e AS (SELECT user_id, event_id % 5 AS item, event_id, ts, CASE WHEN event_id % 3 > 0 THEN value >= 5 END AS ok FROM events),
+s AS (SELECT *, max(coalesce(ok, false)::INT) OVER w AS done, count(*) OVER w AS rows_before, last_value(ok IS NULL) OVER w AS asked FROM e WINDOW w AS (PARTITION BY user_id, item ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
+SELECT user_id, item::INTEGER AS item, event_id FROM s WHERE ok IS NULL AND (rows_before = 0 OR done = 0 AND NOT asked)"""
+
+
+@query("stream_resume_keys", _RESUME)
 def _s_resume(spark: SparkSession, d: str) -> DataFrame:
-    out = place(spark, "resume")
-    W.run_batches(W.event_stream(spark, _parts(spark, d)), W.resume_new(out, ["user_id", "event_type"], 8), place(spark, "resume-state"))
-    return spark.read.parquet(out).select("user_id", "event_type")
+    """Two thirds of the events are answers; they come in three waves, after each of which the stream is started anew."""
+    path, out, held = place(spark, "requests"), place(spark, "resume"), place(spark, "resume-state")
+    e = table(spark, d, "events").selectExpr("user_id", "int(event_id % 5) AS item", "event_id", "ts", "if(event_id % 3 > 0, value >= 5, null) AS ok")
+    bounds = e.agg(F.expr("percentile_approx(unix_micros(timestamp(ts)), array(0.34, 0.67))")).first()[0] or [0, 0]
+    us = F.unix_micros(F.col("ts").cast("timestamp"))
+    got = None
+    for wave in (us <= bounds[0], (us > bounds[0]) & (us <= bounds[1]), us > bounds[1]):
+        e.where(wave).write.mode("append").parquet(path)
+        events = W.event_stream(spark, path, 1000)
+        got = W.run_to_files(R.stream_resume(events, ["user_id", "item"], "ok", "event_id", patience=timedelta(days=3650), keep=timedelta(days=3650)), out, held)
+    return got.select("user_id", "item", "event_id")
 
 
 @query("stream_collapse_text", "SELECT user_id, event_id, event_type FROM events QUALIFY event_type IS DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id)")
@@ -223,5 +248,5 @@ def _s_collapse(spark: SparkSession, d: str) -> DataFrame:
 @query("stream_latest_wins", "SELECT user_id, event_type, event_id FROM events QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, event_id DESC) = 1")
 def _s_latest(spark: SparkSession, d: str) -> DataFrame:
     out = place(spark, "latest")
-    W.run_batches(W.event_stream(spark, _parts(spark, d)), W.upsert_latest(out, ["user_id", "event_type"], ["ts", "event_id"], 8), place(spark, "latest-state"))
-    return W.latest_of(spark, out).select("user_id", "event_type", "event_id")
+    W.run_batches(W.event_stream(spark, _parts(spark, d)), U.upsert_latest(out, ["user_id", "event_type"], ["ts", "event_id"], 3), place(spark, "latest-state"))
+    return U.latest_of(spark, out).select("user_id", "event_type", "event_id")

@@ -1,37 +1,5 @@
-"""Work tables in the folder that all executors share; they go when the driver ends."""
+"""Work tables of the queries."""
 
-from __future__ import annotations
+from ..work import materialise, place
 
-import atexit
-import uuid
-
-from pyspark.sql import DataFrame, SparkSession
-
-_made: list[tuple[SparkSession, str]] = []
-
-
-def place(spark: SparkSession, name: str) -> str:
-    """A new folder below spark.checkpoint.dir; an error where no shared folder is set."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base:
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    path = f"{base}/motionloom-io/{name}-{uuid.uuid4().hex}"
-    _made.append((spark, path))
-    return path
-
-
-@atexit.register
-def _forget() -> None:
-    for spark, path in _made:
-        try:
-            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
-        except Exception:  # noqa: BLE001 - the session may be gone at exit; each folder is tried
-            continue
-
-
-def materialise(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back: what follows reads it as often as it likes."""
-    path = place(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+__all__ = ["materialise", "place"]

@@ -11,7 +11,8 @@ SAMPLE = """mask_low_score pick_instance interp_linear_fwd interp_gap_limited ro
 angle_delta_shortest feature_table agg_corr_lr circ_confmean circ_corrcc circ_vmpdf fixed_windows runs_below_threshold scene_cut_conf merge_runts
 merge_weak_cuts subdivide_equal join_words_midpoint audio_bins surprise_bracketed rank_avg agg_collapse_windows parse_annotation key_presence
 join_pairwise_agreement agg_cohort_votes latest_record agg_tracked_quality body_ratios select_margin agg_precision_recall_rmse scan_pose_json
-scan_jsonl_tolerant scan_tsv_manifest sink_flat_csv stream_fixed_windows stream_track_gap stream_latest_wins stream_resume_keys
+scan_jsonl_tolerant scan_tsv_manifest sink_flat_csv stream_fixed_windows stream_track_gap stream_sessions stream_latest_wins stream_resume_keys greedy_iou_track greedy_centroid_track
+agg_prior_calibrate mann_whitney agg_exact_quantiles
 feature_whitelist cohort_manifest video_summary weak_match savgol_smooth dominant_freq poly_regression_2 udtf_fixed_windows""".split()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are not here")

@@ -362,24 +362,6 @@ def test_stream_keeps_state_between_batches(spark, tmp_path):
     assert sorted(r.event_id for r in run().collect()) == [1, 4, 5, 6]  # user 1 had been forgotten
 
 
-def test_streamed_tables_touch_their_parts_only(spark, tmp_path):
-    from motionloom.streaming import streams as W
-
-    kinds = "event_id long, ts timestamp, user_id long, event_type string"
-    at = datetime.datetime(2024, 1, 1)
-    batches = [[(k + 100 * n, at + datetime.timedelta(hours=n), (k * 7 + n) % 23, "ab"[k % 2]) for k in range(12)] for n in range(4)]
-    latest, seen = str(tmp_path / "latest"), str(tmp_path / "seen")
-    upsert, resume = W.upsert_latest(latest, ["user_id"], ["ts", "event_id"], 6), W.resume_new(seen, ["user_id"], 6)
-    for n in (0, 1, 2, 2, 3):  # one batch comes twice
-        batch = spark.createDataFrame(batches[n], kinds)
-        upsert(batch, n)
-        resume(batch, n)
-    rows = [r for b in batches for r in b]
-    want = {u: max((r for r in rows if r[2] == u), key=lambda r: (r[1], r[0]))[0] for u in {r[2] for r in rows}}
-    assert {r.user_id: r.event_id for r in W.latest_of(spark, latest).collect()} == want
-    assert sorted(r.user_id for r in spark.read.parquet(seen).collect()) == sorted(want)
-
-
 def test_lines_keep_their_order_over_blocks(spark, tmp_path):
     from motionloom.sources import files as S
 
