@@ -8,8 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Fixed value: the 0.95 quantile of chi-square with one degree of freedom.
-CHI2_95 = 3.841458820694124
+from .scalars import chi2_quantile
 
 
 def _base(deg: bool) -> Column:
@@ -74,9 +73,9 @@ def std(a: Column, deg: bool = False, varroot: bool = False) -> Column:
     return F.degrees(s) if deg else s
 
 
-def confmean(a: Column, w: Column | None = None, d: float = 0.0, c2: float = CHI2_95) -> Column:
-    """Half width of the mean's confidence interval; null where none exists."""
-    r = resvec(a, w, d)
+def confmean(a: Column, w: Column | None = None, d: float = 0.0, ci: float = 0.95) -> Column:
+    """Half width of the mean's confidence interval of level ``ci``; null where none exists."""
+    r, c2 = resvec(a, w, d), chi2_quantile(F.lit(float(ci)))
     n = F.sum(F.when(a.isNotNull(), F.lit(1.0) if w is None else w))
     big = n * r
     low = F.sqrt((2 * n * (2 * big**2 - n * c2)) / (4 * n - c2))
@@ -85,6 +84,12 @@ def confmean(a: Column, w: Column | None = None, d: float = 0.0, c2: float = CHI
     return F.acos(t / big)
 
 
+def mean_bounds(a: Column, w: Column | None = None, ci: float = 0.95) -> Column:
+    """The mean with the upper and lower bound of its confidence interval; the bounds are null where none exists."""
+    at, half = mean(a, w), confmean(a, w, ci=ci)
+    return F.struct(at.alias("mean"), (at + half).alias("upper"), (at - half).alias("lower"))
+
+
 def corrcc(a: Column, b: Column) -> Column:
     """Circular correlation; a product counts where both its angles are present."""
     n = F.count(F.lit(1))

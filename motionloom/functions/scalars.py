@@ -44,6 +44,31 @@ def p_two_sided(z: Column) -> Column:
     return erfc(F.abs(z) / F.sqrt(F.lit(2.0)))
 
 
+def normal_quantile(p: Column) -> Column:
+    """The deviate below which a standard normal value lies with probability p; null outside (0, 1).
+
+    A rational start (to three places), then Newton steps with their second-order term on the tail of erfc.
+    """
+    tail = F.least(p, 1 - p)
+    t = F.sqrt(-2 * F.ln(tail))
+    # The coefficients of the usual rational start.
+    z = t - (2.515517 + 0.802853 * t + 0.010328 * t * t) / (1 + 1.432788 * t + 0.189269 * t * t + 0.001308 * t * t * t)
+
+    def closer(z: Column) -> Column:
+        z = F.greatest(z, F.lit(0.0))
+        off = (erfc(z / F.sqrt(F.lit(2.0))) / 2 - tail) * F.sqrt(2 * F.pi()) * F.exp(z * z / 2)
+        return z + off / (1 - z * off / 2)
+
+    # One step after the other, each on the value before it.
+    z = F.aggregate(F.sequence(F.lit(1), F.lit(3)), z, lambda at, _: closer(at))
+    return F.when((p > 0) & (p < 1), F.when(p == 0.5, 0.0).otherwise(F.signum(p - 0.5) * z))
+
+
+def chi2_quantile(p: Column) -> Column:
+    """The value below which chi-square with one degree of freedom lies with probability p."""
+    return F.pow(normal_quantile((1 + p) / 2), F.lit(2.0))
+
+
 def gauss_loglik(x: Column, mu: Column, var: Column) -> Column:
     """Log density of a normal distribution (higher is more typical)."""
     return -(0.5 * F.ln(2 * F.pi() * var) + F.pow(x - mu, 2) / (2 * var))

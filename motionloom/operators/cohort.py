@@ -151,18 +151,45 @@ def group_tests(scored: DataFrame, group: str, scores: dict[str, str], reference
     return keyed.join(tests.withColumnRenamed("against", "k"), ["k", "score"]).select(F.nullif("k", F.lit("")).alias("against"), "score", "n", "mean_z", "p")
 
 
-def svd_variance(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Share of variance of each singular value of the z-scored columns.
+def _standardised(df: DataFrame, columns: list[str]) -> tuple[DataFrame, np.ndarray, np.ndarray]:
+    """The columns as z-scores (missing ones 0) beside all others, their cross products and their means.
 
-    Only the columns' cross products leave the executors: a matrix of fixed size whatever the rows.
+    Only these leave the executors: a matrix of fixed size whatever the rows.
     """
     stats = df.agg(*[f(c).alias(f"{n}_{c}") for c in columns for n, f in (("m", F.avg), ("s", F.stddev_samp))]).first()
-    z = df.select(*[((F.col(c) - stats[f"m_{c}"]) / (stats[f"s_{c}"] or 1.0)).alias(c) for c in columns])
-    got = z.agg(*[F.sum(F.col(a) * F.col(b)).alias(f"{i}_{j}") for i, a in enumerate(columns) for j, b in enumerate(columns) if i <= j]).first()
-    g = np.array([[got[f"{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(len(columns))] for i in range(len(columns))])
-    s2 = np.clip(np.linalg.eigvalsh(g)[::-1], 0, None)
+    z = df.withColumns({c: F.coalesce((F.col(c) - stats[f"m_{c}"]) / (stats[f"s_{c}"] or 1.0), F.lit(0.0)) for c in columns})
+    pairs = [F.sum(F.col(a) * F.col(b)).alias(f"{i}_{j}") for i, a in enumerate(columns) for j, b in enumerate(columns) if i <= j]
+    got = z.agg(*pairs, *[F.avg(c).alias(f"mean_{i}") for i, c in enumerate(columns)]).first()
+    k = len(columns)
+    return z, np.array([[got[f"{min(i, j)}_{max(i, j)}"] or 0.0 for j in range(k)] for i in range(k)]), np.array([got[f"mean_{i}"] or 0.0 for i in range(k)])
+
+
+def svd_variance(df: DataFrame, columns: list[str]) -> DataFrame:
+    """Share of variance of each singular value of the z-scored columns, to two places."""
+    _, products, _ = _standardised(df, columns)
+    s2 = np.clip(np.linalg.eigvalsh(products)[::-1], 0, None)
     total = s2.sum() or 1.0
-    return df.sparkSession.createDataFrame([(k + 1, float(round(100 * x / total, 2))) for k, x in enumerate(s2)], "component int, variance double")
+    return df.sparkSession.createDataFrame([(k + 1, float(np.round(x / total, 2))) for k, x in enumerate(s2)], "component int, share double")
+
+
+def svd_left(df: DataFrame, columns: list[str], n: int = 3) -> DataFrame:
+    """The rows with sv1, sv2, ...: how far each lies from the mean of the first ``n`` left singular vectors.
+
+    Rows are projected on the eigenvectors of the columns' cross products where they are; the distance does
+    not depend on the vectors' signs.  A vector of no variance is null.
+    """
+    z, products, means = _standardised(df, columns)
+    values, vectors = np.linalg.eigh(products)
+    out = {}
+    for k in range(n):
+        value, vector = values[-1 - k], vectors[:, -1 - k]
+        if value <= 1e-12 * max(values[-1], 1e-300):
+            out[f"sv{k + 1}"] = F.lit(None).cast("double")
+            continue
+        weights = vector / math.sqrt(value)
+        along = sum((F.col(c) * float(w) for c, w in zip(columns, weights, strict=True)), F.lit(0.0))
+        out[f"sv{k + 1}"] = F.abs(along - float(means @ weights))
+    return z.withColumns(out).drop(*columns)
 
 
 def poly2(df: DataFrame, keys: list[str], x: str, y: str) -> DataFrame:

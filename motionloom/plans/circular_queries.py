@@ -52,16 +52,35 @@ def _csr(spark: SparkSession, d: str) -> DataFrame:
     return got.select("g", *[F.round(f"z.{k}", 6).alias(k) for k in "csr"])
 
 
-_C2 = "3.841458820694124::DOUBLE"
+#: Quantiles of chi-square with one degree of freedom.
+_CHI2 = {0.9: 2.705543454095404, 0.95: 3.841458820694124, 0.99: 6.634896601021213}
 
 
-@query(
-    "circ_confmean",
-    f"""WITH {_A}, n AS (SELECT q, count(x)::DOUBLE AS n, sqrt(sum(cos(x))**2 + sum(sin(x))**2) / count(x) AS r FROM (SELECT x / 6 AS x, g AS q FROM a) GROUP BY q)
-    SELECT q AS g, round(acos(CASE WHEN r < 0.9 AND r > sqrt({_C2}/2/n) THEN sqrt(2*n*(2*(n*r)**2 - n*{_C2})/(4*n-{_C2})) WHEN r >= 0.9 THEN sqrt(n**2 - (n**2 - (n*r)**2)*exp({_C2}/n)) END / (n*r)), 6) AS v FROM n""",
-)
+def _half(ci: float) -> str:
+    """Subject, mean and half width of its confidence interval in SQL, over angles a sixth as wide."""
+    c2 = f"{_CHI2[ci]!r}::DOUBLE"
+    return f"""WITH {_A}, n AS (SELECT q, atan2(sum(sin(x)), sum(cos(x))) AS m, count(x)::DOUBLE AS n, sqrt(sum(cos(x))**2 + sum(sin(x))**2) / count(x) AS r FROM (SELECT x / 6 AS x, g AS q FROM a) GROUP BY q),
+    h AS (SELECT q AS g, m, acos(CASE WHEN r < 0.9 AND r > sqrt({c2}/2/n) THEN sqrt(2*n*(2*(n*r)**2 - n*{c2})/(4*n-{c2})) WHEN r >= 0.9 THEN sqrt(n**2 - (n**2 - (n*r)**2)*exp({c2}/n)) END / (n*r)) AS h FROM n)"""
+
+
+def _narrow(spark: SparkSession, d: str) -> DataFrame:
+    return _a(spark, d).withColumn("x", F.col("x") / 6)
+
+
+@query("circ_confmean", f"{_half(0.95)} SELECT g, round(h, 6) AS v FROM h")
 def _conf(spark: SparkSession, d: str) -> DataFrame:
-    return _a(spark, d).withColumn("x", F.col("x") / 6).groupBy("g").agg(F.round(C.confmean(F.col("x")), 6).alias("v"))
+    return _narrow(spark, d).groupBy("g").agg(F.round(C.confmean(F.col("x")), 6).alias("v"))
+
+
+@query("circ_confmean_90", f"{_half(0.9)} SELECT g, round(h, 6) AS v FROM h")
+def _conf_90(spark: SparkSession, d: str) -> DataFrame:
+    return _narrow(spark, d).groupBy("g").agg(F.round(C.confmean(F.col("x"), ci=0.9), 6).alias("v"))
+
+
+@query("circ_mean_bounds_99", f"{_half(0.99)} SELECT g, round(m, 6) AS mean, round(m + h, 6) AS upper, round(m - h, 6) AS lower FROM h")
+def _bounds(spark: SparkSession, d: str) -> DataFrame:
+    b = _narrow(spark, d).groupBy("g").agg(C.mean_bounds(F.col("x"), ci=0.99).alias("b"))
+    return b.select("g", *[F.round(f"b.{c}", 6).alias(c) for c in ("mean", "upper", "lower")])
 
 
 @query("circ_vmpar", f"WITH {_A} SELECT g, round(atan2(sum(sin(x)), sum(cos(x))), 5) AS mean, round(2*{_R1} + ({_R1})**3 + 5*({_R1})**5/6, 5) AS kappa FROM a GROUP BY g")

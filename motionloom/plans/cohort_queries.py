@@ -246,9 +246,29 @@ def _poly2(spark: SparkSession, d: str) -> DataFrame:
     return _r(_r(_r(p, "c0", places=5), "c1", places=6), "c2", places=7)
 
 
-@query("svd_cohort")
+_SVD = ["medianx_LAnkle", "medianx_RAnkle", "IQRx_LWrist", "mean_angle_RKnee"]
+_CELLS = lambda e: f"list_transform(range(1, 5), lambda i: list_transform(range(1, 5), lambda j: {e}))"
+_TRACE = lambda m: f"list_sum(list_transform(range(1, 5), lambda k: {m}))"
+# Power iteration by squaring: a matrix multiplied by itself 30 times is the projection on its first vector; taken off, the next follows.
+_EIGEN = f"""WITH RECURSIVE {WIDE}, zs AS (SELECT subject, risk, [{", ".join(f"coalesce(({c} - avg({c}) OVER ()) / stddev_samp({c}) OVER (), 0)" for c in _SVD)}] AS z FROM wide),
+g AS (SELECT {_CELLS("0.0::DOUBLE").replace("0.0::DOUBLE", "cells[(i - 1) * 4 + j]")} AS g FROM (SELECT [{", ".join(f"sum(z[{i}] * z[{j}])" for i in range(1, 5) for j in range(1, 5))}] AS cells FROM zs)),
+it AS (SELECT 1 AS comp, 0 AS step, g, {_CELLS("g[i][j] / " + _TRACE("g[k][k]"))} AS p FROM g
+  UNION ALL SELECT CASE WHEN step = 30 THEN comp + 1 ELSE comp END, CASE WHEN step = 30 THEN 0 ELSE step + 1 END, g, {_CELLS("q[i][j] / nullif(" + _TRACE("q[k][k]") + ", 0)")}
+  FROM (SELECT comp, step, CASE WHEN step = 30 THEN r ELSE g END AS g, CASE WHEN step = 30 THEN r ELSE {_CELLS(_TRACE("p[i][k] * p[k][j]"))} END AS q
+  FROM (SELECT *, {_CELLS("g[i][j] - lambda_ * p[i][j]")} AS r FROM (SELECT *, list_sum(list_transform(range(1, 5), lambda i: list_sum(list_transform(range(1, 5), lambda j: g[i][j] * p[i][j])))) AS lambda_ FROM it WHERE comp < 5)))),
+top AS (SELECT comp, lambda_, list_transform(p[best], lambda x: x / sqrt(p[best][best])) AS v FROM (SELECT *, list_position(list_transform(range(1, 5), lambda k: p[k][k]), list_max(list_transform(range(1, 5), lambda k: p[k][k]))) AS best,
+  list_sum(list_transform(range(1, 5), lambda i: list_sum(list_transform(range(1, 5), lambda j: g[i][j] * p[i][j])))) AS lambda_ FROM it WHERE step = 30 AND comp < 5))"""
+
+
+@query("svd_cohort", f"{_EIGEN} SELECT comp AS component, round(lambda_ / sum(lambda_) OVER (), 2) AS share FROM top")
 def _svd(spark: SparkSession, d: str) -> DataFrame:
-    return H.svd_variance(wide(spark, d), ["medianx_LAnkle", "medianx_RAnkle", "IQRx_LWrist", "mean_angle_RKnee"])
+    return H.svd_variance(wide(spark, d), _SVD)
+
+
+@query("svd_left_by_risk", f"{_EIGEN}, u AS (SELECT subject, risk, comp, list_sum(list_transform(range(1, 5), lambda k: z[k] * v[k])) / sqrt(lambda_) AS u FROM zs, top WHERE comp < 4), c AS (SELECT risk, comp, abs(u - avg(u) OVER (PARTITION BY comp)) AS a FROM u) SELECT risk, " + ", ".join(f"round(avg(CASE WHEN comp = {k} THEN a END), 6) AS sv{k}" for k in (1, 2, 3)) + " FROM c GROUP BY 1")
+def _svd_left(spark: SparkSession, d: str) -> DataFrame:
+    left = H.svd_left(wide(spark, d), _SVD)
+    return left.groupBy("risk").agg(*[F.round(F.avg(f"sv{k}"), 6).alias(f"sv{k}") for k in (1, 2, 3)])
 
 
 @query("axis_range", f"WITH {WIDE} SELECT round(min(age) - 0.1 * CASE WHEN max(age) = min(age) THEN 1 ELSE max(age) - min(age) END, 4) AS lo, round(max(age) + 0.1 * CASE WHEN max(age) = min(age) THEN 1 ELSE max(age) - min(age) END, 4) AS hi FROM wide")

@@ -194,7 +194,7 @@ def test_factorisation_and_regression(spark):
     m = rng.normal(size=(50, 4)) @ rng.normal(size=(4, 4))
     df = spark.createDataFrame([tuple(map(float, r)) for r in m], "a double, b double, c double, d double")
     s = np.linalg.svd((m - m.mean(0)) / m.std(0, ddof=1), compute_uv=False) ** 2
-    assert [r.variance for r in H.svd_variance(df, list("abcd")).orderBy("component").collect()] == pytest.approx(np.round(100 * s / s.sum(), 2).tolist(), abs=0.011)
+    assert [r.share for r in H.svd_variance(df, list("abcd")).orderBy("component").collect()] == pytest.approx(np.round(s / s.sum(), 2).tolist(), abs=0.0101)
     fit = H.poly2(df.withColumn("k", F.lit(1)), ["k"], "a", "b").first()
     np.testing.assert_allclose([fit.c2, fit.c1, fit.c0], np.polyfit(m[:, 0], m[:, 1], 2))
 
