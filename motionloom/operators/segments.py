@@ -124,6 +124,26 @@ def sample_bins(samples: Column, start: Column, n: Column, step: Column, rate: i
     return F.transform(F.sequence(F.lit(0), n - 1), one)
 
 
+def bins_of_chunks(chunks: DataFrame, bins: DataFrame, keys: list[str], block: int = 16_000) -> DataFrame:
+    """Samples of bins out of a recording that is kept as chunks: the bins with ``own``, padded with zeros.
+
+    ``chunks``: keys, ``offset`` (number of the first sample) and ``samples``; ``bins``: keys, ``i``, ``first`` and
+    ``width`` in samples.  Chunks of any length meet bins by blocks of ``block`` samples, and each pair in the
+    first block they share, so no recording is ever one value; a bin's parts are joined in order.  Bins past the end
+    are all zeros.
+    """
+    span = lambda first, n: F.sequence(F.floor(first / block), F.floor(F.greatest(first + n - 1, first) / block))
+    c = chunks.where(F.size("samples") > 0).withColumns({"__loom_end": F.col("offset") + F.size("samples"), "__loom_block": F.explode(span(F.col("offset"), F.size("samples")))})
+    b = bins.withColumn("__loom_block", F.explode(span(F.col("first"), F.col("width"))))
+    start, end = F.greatest("first", "offset"), F.least(F.col("first") + F.col("width"), F.col("__loom_end"))
+    met = b.join(c, [*keys, "__loom_block"]).where((start < end) & (F.floor(start / block) == F.col("__loom_block")))
+    parts = met.select(*keys, "i", start.alias("at"), F.slice("samples", (start - F.col("offset") + 1).cast("int"), (end - start).cast("int")).alias("part"))
+    found = parts.groupBy(*keys, "i").agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("at", "part"))), lambda p: p["part"])).alias("__loom_own"))
+    out = bins.join(found, [*keys, "i"], "left")
+    own = F.coalesce("__loom_own", F.array().cast("array<double>"))
+    return out.withColumn("own", F.concat(own, F.array_repeat(F.lit(0.0), (F.col("width") - F.size(own)).cast("int")))).drop("__loom_own")
+
+
 def sample_window(samples: Column, start: Column, end: Column, rate: int) -> Column:
     a = F.greatest(F.rint(start * rate), F.lit(0)).cast("int")
     return F.slice(samples, a + 1, F.greatest(F.rint(end * rate).cast("int") - a, F.lit(0)))

@@ -176,9 +176,9 @@ def _failure(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "events").select("event_id", Z.failure_class(F.expr(_SAME), F.expr("event_id % 5 = 3"), F.expr("event_id % 2 = 0"), 100).alias("c"))
 
 
-@query("text_strip_lower", f"SELECT doc_id, lower(left({_strip('text')}, 5)) AS l FROM documents")
+@query("text_strip_lower", f"SELECT doc_id, lower({_strip('text')}) AS l FROM documents")
 def _lower(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.lower(F.substring(Z.strip(F.col("text")), 1, 5)).alias("l"))
+    return table(spark, d, "documents").select("doc_id", F.lower(Z.strip(F.col("text"))).alias("l"))
 
 
 @query("text_truncate", f"SELECT doc_id, left({_strip('text')}, 90) AS t FROM documents")

@@ -113,16 +113,31 @@ def _scenes(spark: SparkSession, d: str) -> DataFrame:
     return got.groupBy("video_id").agg(F.count("*").alias("n"), F.round(F.sum("start"), 3).alias("total"))
 
 
-@query("scan_legacy_peaks", f"WITH {X.CTE_FRAMES} SELECT video, count(*) AS n FROM frames GROUP BY 1")
+@query("scan_scenes_missing", "SELECT DISTINCT (page_id % 5)::VARCHAR AS video_id FROM pages WHERE page_id % 5 IN (1, 3)")
+def _scenes_missing(spark: SparkSession, d: str) -> DataFrame:
+    """Two of five folders hold another file instead of their scenes."""
+    path = place(spark, "scenes")
+    p = table(spark, d, "pages").selectExpr("string(page_id % 5) AS v", "string(page_id) AS split")
+    p.where("v NOT IN ('1', '3')").write.partitionBy("v").csv(path)
+    p.where("v IN ('1', '3')").write.mode("append").partitionBy("v").json(path)
+    return S.scenes_missing(spark, path, "*.csv").select(F.regexp_extract("video_id", "^v=(.+)$", 1).alias("video_id")).where("video_id != ''")
+
+
+@query("scan_legacy_peaks", f"WITH {X.CTE_FRAMES} SELECT video, frame, round(e[1], 4) AS x, round(e[2], 4) AS y, 0.5::DOUBLE AS c, 1 AS id FROM frames")
 def _peaks(spark: SparkSession, d: str) -> DataFrame:
     path = place(spark, "peaks")
     X.frames(spark, d).selectExpr("video", "frame", "array(array(struct(e[0] AS x, e[1] AS y, 0.5D AS c, 1 AS id))) AS peaks").write.parquet(path)
-    return S.scan_legacy_peaks(spark, path).groupBy("video").agg(F.count("*").alias("n"))
+    peaks = S.scan_legacy_peaks(spark, path).select("video", "frame", F.explode(F.flatten("peaks")).alias("p")).select("video", "frame", "p.*")
+    return peaks.withColumns({"x": F.round("x", 4), "y": F.round("y", 4)})
 
 
-@query("status_registry", "SELECT 'b' AS name, '20' AS size, 'y' AS source")
+@query("status_registry", "SELECT n_name AS name, n_nationkey::VARCHAR AS size, r_name AS source FROM nation JOIN region ON n_regionkey = r_regionkey WHERE n_nationkey % 4 > 0")
 def _status(spark: SparkSession, d: str) -> DataFrame:
-    return S.status_registry(spark, "a | 10 | x\nb | 20 | y").where("name = 'b'")
+    """A registry of nations; every fourth line is no entry."""
+    path = place(spark, "registry")
+    n = table(spark, d, "nation").join(table(spark, d, "region"), F.expr("n_regionkey = r_regionkey"))
+    n.selectExpr("if(n_nationkey % 4 > 0, concat(n_name, ' | ', n_nationkey, '|', r_name, ' '), concat('# ', n_name))").write.text(path)
+    return S.status_registry(spark, path)
 
 
 @query("sink_features", f"WITH {X.CTE_FRAMES} SELECT video, count(*) AS n, round(sum(e[1]), 4) AS s FROM frames GROUP BY 1")

@@ -202,6 +202,25 @@ def _frames_bins(spark: SparkSession, d: str) -> DataFrame:
     return b.select("vec_id", "i", F.round("z.stamp", 4).alias("stamp"), F.round(F.get("z.own", 0), 5).alias("first"), F.size("z.own").alias("n"))
 
 
+def _chunk_bins(spark: SparkSession, d: str) -> DataFrame:
+    """The bins of ``audio_bins`` out of recordings kept as chunks of 7 samples, blocks of 16."""
+    e = _emb(spark, d)
+    chunks = e.select("vec_id", F.explode(F.sequence(F.lit(0), F.size("s") - 1, F.lit(7))).alias("offset"), "s").select("vec_id", "offset", F.slice("s", F.col("offset") + 1, 7).alias("samples"))
+    bins = e.select("vec_id", F.explode(F.sequence(F.lit(0), F.lit(4))).alias("i")).withColumns({"first": F.rint((0.5 + F.col("i") * 1.1) * 10).cast("int"), "width": F.lit(11)})
+    return G.bins_of_chunks(chunks, bins, ["vec_id"], 16)
+
+
+@query("audio_bins_chunked", f"{_BIN} SELECT vec_id, i, 11 AS width, round(list_sum(own), 5) AS total FROM c")
+def _bins_chunked(spark: SparkSession, d: str) -> DataFrame:
+    return _chunk_bins(spark, d).select("vec_id", "i", F.size("own").alias("width"), F.round(F.aggregate("own", F.lit(0.0), lambda a, x: a + x), 5).alias("total"))
+
+
+@query("join_frames_bins_chunked", f"{_BIN} SELECT vec_id, i, round(0.5 + (i + 0.5) * 1.1, 4) AS stamp, round(own[1], 5) AS first, round(own[11], 5) AS last FROM c")
+def _frames_chunked(spark: SparkSession, d: str) -> DataFrame:
+    b = _chunk_bins(spark, d)
+    return b.select("vec_id", "i", F.round(0.5 + (F.col("i") + 0.5) * 1.1, 4).alias("stamp"), F.round(F.get("own", 0), 5).alias("first"), F.round(F.get("own", 10), 5).alias("last"))
+
+
 @query("agg_rms", f"{_BIN}, r AS (SELECT vec_id, i, sqrt(list_sum(list_transform(own, lambda v: v * v)) / 11) AS rms FROM c) SELECT vec_id, round(avg(rms), 6) AS rms_mean, round(stddev_pop(rms), 6) AS rms_std FROM r GROUP BY 1")
 def _rms(spark: SparkSession, d: str) -> DataFrame:
     b = _emb(spark, d).withColumn("b", G.sample_bins(F.col("s"), F.lit(0.5), F.lit(5), F.lit(1.1), 10)).select("vec_id", F.explode("b").alias("own"))

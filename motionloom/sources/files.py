@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import scalars as Z
+from ..work import Folder
 
 INSTANCE = "struct<keypoints:array<array<double>>,keypoint_scores:array<double>,bbox:array<array<double>>,bbox_score:double>"
 FRAME = f"struct<frame_id:int,instances:array<{INSTANCE}>>"
@@ -110,7 +111,14 @@ def scan_legacy_peaks(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.parquet(path)
 
 
-def status_registry(spark: SparkSession, text: str) -> DataFrame:
-    """A delimited table of names (name|size|source) given as text."""
-    rows = [tuple(x.strip() for x in line.split("|")) for line in text.strip().splitlines()]
-    return spark.createDataFrame(rows, "name string, size string, source string")
+def scenes_missing(spark: SparkSession, path: str, glob: str = "scenes.csv") -> DataFrame:
+    """video_id of every folder below ``path`` that no scene file was found in."""
+    folders = spark.createDataFrame([(n,) for n in Folder(spark, path).folders()], "video_id string")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path).select(F.regexp_extract("path", r"/([^/]+)/[^/]+$", 1).alias("video_id"))
+    return folders.join(files, "video_id", "left_anti")
+
+
+def status_registry(spark: SparkSession, path: str) -> DataFrame:
+    """name, size and source of the lines ``name | size | source`` of text files; other lines are no entries."""
+    cells = F.transform(F.split("value", r"\|"), Z.strip)
+    return spark.read.text(path).select(cells.alias("c")).where(F.size("c") == 3).select(*[F.col("c")[k].alias(n) for k, n in enumerate(("name", "size", "source"))])

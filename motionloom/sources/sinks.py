@@ -2,26 +2,57 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
+from ..work import Folder
+
+
+class RowsLost(RuntimeError):
+    """A sink holds another number of rows than were written to it."""
+
+
+def counted(df: DataFrame, write: Callable[[DataFrame], None], read: Callable[[], DataFrame], where: str) -> int:
+    """Write rows, counting them on their way (no further pass), and compare with what is read back; their number."""
+    sent = Observation()
+    write(df.observe(sent, F.count(F.lit(1)).alias("n")))
+    n, there = sent.get["n"], read().count()
+    if n != there:
+        raise RowsLost(f"{where}: {n} rows were written, {there} are there")
+    return n
+
+
+def _to_csv(df: DataFrame, path: str) -> int:
+    back = lambda: df.sparkSession.read.csv(path, header=True, multiLine=True, escape='"', schema=", ".join(f"`{c}` string" for c in df.columns))
+    return counted(df, lambda rows: rows.write.mode("overwrite").csv(path, header=True, escape='"'), back, path)
+
 
 def sink_features(df: DataFrame, path: str, key: str = "video") -> None:
-    """The whole table as Parquet, one folder per recording, and as CSV."""
-    df.write.mode("overwrite").partitionBy(key).parquet(f"{path}/parquet")
-    df.write.mode("overwrite").csv(f"{path}/csv", header=True)
+    """The whole table as Parquet, one folder per recording, and as CSV; row counts are checked."""
+    back = lambda: df.sparkSession.read.schema(df.schema).parquet(f"{path}/parquet")
+    counted(df, lambda rows: rows.write.mode("overwrite").partitionBy(key).parquet(f"{path}/parquet"), back, f"{path}/parquet")
+    _to_csv(df, f"{path}/csv")
 
 
 def sink_jsonl_append(df: DataFrame, path: str) -> None:
-    df.write.mode("append").json(path)
+    """Rows as further lines of a folder of JSON files; only the new files are counted again."""
+    spark, folder = df.sparkSession, Folder(df.sparkSession, path)
+    before = set(folder.names())
+
+    def new_lines() -> DataFrame:
+        added = [f"{path}/{n}" for n in folder.names() if n not in before and n.startswith("part-")]
+        return spark.read.text(added) if added else spark.createDataFrame([], "value string")
+
+    counted(df, lambda rows: rows.write.mode("append").json(path), new_lines, path)
 
 
 def sink_flat_csv(tables: list[DataFrame], path: str, first: str = "video_id") -> None:
-    """Rows of all tables under the union of their columns: ``first``, then the others sorted."""
+    """Rows of all tables under the union of their columns: ``first``, then the others sorted; row counts are checked."""
     df = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables)
-    df.select(first, *sorted(c for c in df.columns if c != first)).write.mode("overwrite").csv(path, header=True)
+    _to_csv(df.select(first, *sorted(c for c in df.columns if c != first)), path)
 
 
 def wide_timeseries(df: DataFrame) -> DataFrame:
@@ -31,7 +62,7 @@ def wide_timeseries(df: DataFrame) -> DataFrame:
 
 
 def sink_wide_timeseries(df: DataFrame, path: str) -> None:
-    wide_timeseries(df).repartition("video").sortWithinPartitions("video", "frame").write.mode("overwrite").csv(path, header=True)
+    _to_csv(wide_timeseries(df).repartition("video").sortWithinPartitions("video", "frame"), path)
 
 
 def manifest(windows: DataFrame, files: DataFrame, key: str) -> DataFrame:
@@ -41,4 +72,4 @@ def manifest(windows: DataFrame, files: DataFrame, key: str) -> DataFrame:
 
 
 def sink_manifest(windows: DataFrame, files: DataFrame, key: str, path: str) -> None:
-    manifest(windows, files, key).write.mode("overwrite").csv(path, header=True)
+    _to_csv(manifest(windows, files, key), path)

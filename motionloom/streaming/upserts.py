@@ -15,42 +15,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_BATCH = "__loom_batch"
-
-
-class Folder:
-    """Small files and folders below a path of any Hadoop file system."""
-
-    def __init__(self, spark: SparkSession, path: str):
-        self.jvm, self.path = spark._jvm, path
-        self.fs = self._at("").getFileSystem(spark._jsc.hadoopConfiguration())
-
-    def _at(self, name: str):  # noqa: ANN202 - a Hadoop path
-        return self.jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}" if name else self.path)
+from ..work import Folder
 
-    def names(self, folder: str = "") -> list[str]:
-        return sorted(s.getPath().getName() for s in self.fs.listStatus(self._at(folder))) if self.fs.exists(self._at(folder)) else []
-
-    def read(self, name: str) -> str:
-        stream = self.fs.open(self._at(name))
-        try:
-            return bytes(stream.readAllBytes()).decode()
-        finally:
-            stream.close()
-
-    def write(self, name: str, text: str) -> None:
-        """Written aside and renamed, so that it is there as a whole or not at all."""
-        aside = self._at(f"{name}.tmp")
-        stream = self.fs.create(aside, True)
-        try:
-            stream.write(bytearray(text.encode()))
-        finally:
-            stream.close()
-        self.fs.delete(self._at(name), False)
-        self.fs.rename(aside, self._at(name))
-
-    def remove(self, name: str) -> None:
-        self.fs.delete(self._at(name), True)
+_BATCH = "__loom_batch"
 
 
 def _manifests(folder: Folder) -> list[str]:
