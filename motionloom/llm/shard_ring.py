@@ -1,6 +1,7 @@
 """Sharding on a consistent-hash ring with virtual nodes and bounded loads, in SQL only.
 
-The ring has 2**RING_BITS positions.  Each shard owns ``virtual_nodes`` of them; a row belongs
+The ring has 2**RING_BITS positions, or as many more as give each virtual node 32 of them.  Each shard owns
+``virtual_nodes``; one whose position is taken moves on to the next free one, so none is lost.  A row belongs
 to the first virtual node at or clockwise after the position of its hashed id.  Without ``slack`` a
 shard takes ``rows div shards`` rows, and the first ``rows mod shards`` shards one more, so counts are
 at most one apart (law ``rows``); with it each takes up to (1 + slack) times its even part (law
@@ -29,18 +30,25 @@ from .common import materialise, text_of
 
 RING_BITS = 14
 SALTS = 256
-_LAST = f"{(1 << RING_BITS) - 1}"
+
+
+def ring_bits(shards: int, virtual_nodes: int) -> int:
+    """The ring's size as a power of two: it depends on the virtual nodes alone."""
+    return max(RING_BITS, (32 * shards * virtual_nodes - 1).bit_length())
 
 
 def ring_positions(spark: SparkSession, shards: int, virtual_nodes: int) -> DataFrame:
-    """pos, arc, owner of every ring position; its size depends on RING_BITS alone."""
+    """pos, arc, owner of every ring position."""
+    bits, n = ring_bits(shards, virtual_nodes), shards * virtual_nodes
     nodes = spark.sql(f"""
-        SELECT pos, min(shard) AS shard FROM (
-          SELECT cast(shiftrightunsigned(xxhash64(shard, node, 'node'), {64 - RING_BITS}) AS int) AS pos, shard
-          FROM (SELECT cast(id % {shards} AS int) AS shard, cast(id div {shards} AS int) AS node FROM range({shards * virtual_nodes})))
-        GROUP BY pos""")
-    arcs = nodes.select("pos", "shard", (F.row_number().over(Window.orderBy("pos")) - 1).alias("arc"))
-    every = spark.range(1 << RING_BITS).select(F.col("id").cast("int").alias("pos")).join(arcs, "pos", "left")
+        SELECT shard, hash, cast(shiftrightunsigned(hash, {64 - bits}) AS int) AS pos
+        FROM (SELECT shard, xxhash64(shard, node, 'node') AS hash FROM (SELECT cast(id % {shards} AS int) AS shard, cast(id div {shards} AS int) AS node FROM range({n})))""")
+    order = Window.orderBy("pos", "hash", "shard")
+    placed = nodes.withColumn("arc", F.row_number().over(order) - 1)
+    # The next free position is the largest lead over the own place so far; the last nodes stay inside the ring.
+    lead = F.max(F.col("pos") - F.col("arc")).over(Window.orderBy("arc").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    arcs = placed.select(F.least(lead + F.col("arc"), F.lit((1 << bits) - n) + F.col("arc")).alias("pos"), "shard", "arc")
+    every = spark.range(1 << bits).select(F.col("id").cast("int").alias("pos")).join(arcs, "pos", "left")
     onward = Window.orderBy(F.desc("pos")).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # one pass, unlike a frame to the end
     whole = Window.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     at = lambda c: F.coalesce(F.last(c, True).over(onward), F.first(c, True).over(whole))
@@ -76,14 +84,14 @@ def placement(arcs: DataFrame, shards: int, slack: float = 0.0) -> DataFrame:
     return one.selectExpr("inline(pieces)").where("hi > lo").withColumn("slot", F.coalesce(F.sum(F.col("hi") - F.col("lo")).over(before), F.lit(0)))
 
 
-def _cells(rows: DataFrame, hot_rows: int) -> DataFrame:
+def _cells(rows: DataFrame, hot_rows: int, bits: int) -> DataFrame:
     """``rows`` with the salt of their cell: 0, or one of SALTS where a position holds very many rows.
 
-    At most 2**RING_BITS / 64 positions can hold 64 times the mean, so there are few cells beyond the positions.
+    At most one position in 64 can hold 64 times the mean, so there are few cells beyond the positions.
     """
     per_pos = rows.groupBy("pos").agg(F.count("*").alias("n"))
     every = per_pos.agg(F.sum("n").alias("total"))
-    many = F.greatest(F.lit(hot_rows), F.expr(f"64 * total / {1 << RING_BITS}"))
+    many = F.greatest(F.lit(hot_rows), F.expr(f"64 * total / {1 << bits}"))
     hot = per_pos.join(F.broadcast(every), F.col("n") > many).select("pos", F.lit(True).alias("hot"))
     return rows.join(F.broadcast(hot), "pos", "left").withColumn("salt", F.when(F.col("hot"), F.expr(f"cast(pmod(row, {SALTS}) AS int)")).otherwise(0))
 
@@ -91,7 +99,8 @@ def _cells(rows: DataFrame, hot_rows: int) -> DataFrame:
 def shard_rows(docs: DataFrame, shards: int = 8, virtual_nodes: int = 64, slack: float = 0.0, hot_rows: int = 4096, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard (null under these laws) of every row."""
     spark = docs.sparkSession
-    # The ring positions are few and fixed in number, so they and the ranges are broadcast.
+    bits = ring_bits(shards, virtual_nodes)
+    # The ring positions depend on the virtual nodes alone, so they and the ranges are broadcast.
     ring = F.broadcast(ring_positions(spark, shards, virtual_nodes))
     key = F.xxhash64(F.col(f"`{id_col}`").cast("long"))
     rows = docs.select(
@@ -99,16 +108,16 @@ def shard_rows(docs: DataFrame, shards: int = 8, virtual_nodes: int = 64, slack:
         (F.octet_length(text_of(text_col)).cast("long") + 1).alias("size"),
         F.crc32(F.encode(text_of(text_col), "UTF-8")).alias("text_crc32"),
         key.alias("key"),
-        F.shiftrightunsigned(key, 64 - RING_BITS).cast("int").alias("pos"),
+        F.shiftrightunsigned(key, 64 - bits).cast("int").alias("pos"),
         F.monotonically_increasing_id().alias("row"),
     )
     # Written, so that a row keeps its number whenever a task is run again.
-    rows = _cells(materialise(rows, "shard-rows"), hot_rows)
+    rows = _cells(materialise(rows, "shard-rows"), hot_rows, bits)
     per_cell = rows.groupBy("pos", "salt").agg(F.count("*").alias("n"))
     in_ring = per_cell.join(ring, "pos", "right").select("pos", F.coalesce("salt", F.lit(0)).alias("salt"), "arc", "owner", F.coalesce("n", F.lit(0)).alias("n"))
     before = Window.partitionBy("arc").orderBy("turn", "pos", "salt").rowsBetween(Window.unboundedPreceding, -1)
     # Positions after the last virtual node wrap round to arc 0 and come first in it.
-    turned = in_ring.withColumn("turn", F.when((F.col("arc") == 0) & (F.col("pos") > F.lit(1 << (RING_BITS - 1))), 0).otherwise(1))
+    turned = in_ring.withColumn("turn", F.when((F.col("arc") == 0) & (F.col("pos") > F.lit(1 << (bits - 1))), 0).otherwise(1))
     starts = turned.select("pos", "salt", "arc", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
     ranges = placement(in_ring.groupBy("arc", "owner").agg(F.sum("n").alias("n")), shards, slack)
     ranked = rows.withColumn("rank", F.row_number().over(Window.partitionBy("pos", "salt").orderBy("key", "doc_id", "text_crc32", "size")) - 1)

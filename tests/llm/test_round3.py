@@ -273,3 +273,18 @@ def test_queries_match_sql(spark, name):
     columns = sorted(got.columns)
     assert columns == sorted(want.columns)
     assert sorted(map(repr, (tuple(r) for r in got.select(*columns).collect()))) == sorted(map(repr, want.select(*columns).fetchall()))
+
+
+@pytest.mark.parametrize("shards", [8, 300])
+def test_no_virtual_node_is_lost(spark, shards):
+    from motionloom.llm import shard_ring
+
+    ring = shard_ring.ring_positions(spark, shards, 64)
+    bits = shard_ring.ring_bits(shards, 64)
+    arcs = ring.groupBy("arc").agg(F.count("*").alias("n"), F.min("owner").alias("owner"), F.max("owner").alias("other")).collect()
+    assert len(arcs) == 64 * shards and sum(r.n for r in arcs) == 1 << bits and all(r.owner == r.other for r in arcs)
+    assert set(collections.Counter(r.owner for r in arcs).values()) == {64}
+    part = collections.Counter()
+    for r in arcs:
+        part[r.owner] += r.n
+    assert max(part.values()) < 2 * (1 << bits) / shards
