@@ -12,6 +12,7 @@ from ..operators.pose import mask_low_score, pick_instance
 from ..operators.sequences import gradient
 from . import fixtures as X
 from .registry import query, table
+from .shared import materialise
 
 _MASKED = X.CTE_POSE + ", m AS (SELECT video, frame, kp, fps, score, CASE WHEN score >= 0.3 THEN x END AS x, CASE WHEN score >= 0.3 THEN y END AS y FROM pose)"
 
@@ -242,6 +243,12 @@ def _prior(spark: SparkSession, d: str) -> DataFrame:
     return K.calibrate_prior(_ratios(spark, d), least_frames=3)
 
 
+def _costs(spark: SparkSession, d: str) -> DataFrame:
+    """Profiles with their costs; the proportions are written once and read for profiles, frames and prior."""
+    rt = materialise(_ratios(spark, d), "ratios")
+    return K.prior_cost(_profiles_of(rt), K.calibrate_prior(rt, least_frames=3))
+
+
 @query("agg_prior_calibrate", f"WITH {_PRIOR} SELECT ratio, round(mean, 4) AS mean, round(sd, 4) AS sd, n_videos, round(p05, 4) AS p05, round(p95, 4) AS p95 FROM prior")
 def _calibrate(spark: SparkSession, d: str) -> DataFrame:
     return _r(_prior(spark, d), "mean", "sd", "p05", "p95")
@@ -251,26 +258,26 @@ def _calibrate(spark: SparkSession, d: str) -> DataFrame:
 _PROFILE = f"{_PRIOR}, pf AS (SELECT video, person AS track, median(r_head) AS r_head, median(r_arm) AS r_arm, median(r_leg) AS r_leg, count(DISTINCT frame) AS n FROM rt GROUP BY 1, 2), nf AS (SELECT video, count(DISTINCT frame) AS n_frames FROM rt GROUP BY 1), pr AS (SELECT *, n / greatest(1, n_frames)::DOUBLE AS presence FROM pf JOIN nf USING (video)), tl AS (UNPIVOT (SELECT video, track, r_head, r_arm, r_leg FROM pr) ON r_head, r_arm, r_leg INTO NAME ratio VALUE value), cs AS (SELECT video, track, avg(((value - mean) / sd) ** 2) AS cost, count(value) AS n_terms FROM tl JOIN prior USING (ratio) GROUP BY 1, 2)"
 
 
-def _profiles(spark: SparkSession, d: str) -> DataFrame:
-    rt = _ratios(spark, d).withColumnRenamed("person", "track").withColumn("score", F.lit(1.0))
+def _profiles_of(ratios: DataFrame) -> DataFrame:
+    rt = ratios.withColumnRenamed("person", "track").withColumn("score", F.lit(1.0))
     return K.track_profiles(rt, rt.groupBy("video").agg(F.countDistinct("frame").alias("n_frames")))
 
 
 @query("agg_track_profile", f"WITH {_PROFILE} SELECT video, track, round(r_head, 4) AS r_head, round(r_leg, 4) AS r_leg, n, round(presence, 4) AS presence FROM pr")
 def _profile(spark: SparkSession, d: str) -> DataFrame:
-    return _r(_profiles(spark, d), "r_head", "r_leg", "presence").select("video", "track", "r_head", "r_leg", "n", "presence")
+    return _r(_profiles_of(_ratios(spark, d)), "r_head", "r_leg", "presence").select("video", "track", "r_head", "r_leg", "n", "presence")
 
 
 @query("mean_sq_z_cost", f"WITH {_PROFILE} SELECT video, track, round(cost, 3) AS cost, n_terms FROM cs")
 def _cost(spark: SparkSession, d: str) -> DataFrame:
-    return _r(K.prior_cost(_profiles(spark, d), _prior(spark, d)), "cost", places=3).select("video", "track", "cost", "n_terms")
+    return _r(_costs(spark, d), "cost", places=3).select("video", "track", "cost", "n_terms")
 
 
 _CHOICE = f"WITH {_PROFILE}, sel AS (SELECT video, track, cost, lead(cost) OVER w AS nxt, row_number() OVER w AS rn FROM cs JOIN pr USING (video, track) WHERE presence >= 0.2 AND n_terms >= 2 WINDOW w AS (PARTITION BY video ORDER BY cost, track)), ch AS (SELECT video, track, cost, (nxt - cost) / greatest(cost, 1e-6) AS margin FROM sel WHERE rn = 1)"
 
 
 def _choice(spark: SparkSession, d: str) -> DataFrame:
-    return K.select_track(K.prior_cost(_profiles(spark, d), _prior(spark, d)), 0.2, 2, 1.0)
+    return K.select_track(_costs(spark, d), 0.2, 2, 1.0)
 
 
 @query("select_margin", f"{_CHOICE} SELECT video, track, round(cost, 3) AS cost, round(margin, 2) AS margin, CASE WHEN cost > 1 THEN 'dropped' WHEN margin IS NULL THEN 'only' ELSE 'kept' END AS decision FROM ch")

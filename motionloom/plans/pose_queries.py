@@ -409,8 +409,8 @@ def _features(spark: SparkSession, d: str) -> DataFrame:
 
 @query("join_features_outer", f"WITH {_WIDE} SELECT video, round(IQRx_LWrist, 3) + 0.0 AS IQRx_LWrist, round(mean_angle_LKnee, 3) + 0.0 AS mean_angle_LKnee, round(lrCorr_x_Ear, 3) + 0.0 AS lrCorr_x_Ear, round(lrCorr_angle_Hip, 3) + 0.0 AS lrCorr_angle_Hip FROM (SELECT video, IQRx_LWrist FROM wxy WHERE video % 4 > 0) FULL JOIN (SELECT video, mean_angle_LKnee FROM wangle WHERE video % 3 > 0) USING (video) FULL JOIN wcx USING (video) FULL JOIN wca USING (video)")
 def _features_outer(spark: SparkSession, d: str) -> DataFrame:
-    """Feature tables of unequal recordings side by side; what a table lacks is null."""
-    t = feature_table(spark, d)
+    """Feature tables of unequal recordings side by side; what a table lacks is null.  The features are written once and read four times."""
+    t = materialise(feature_table(spark, d).select("video", "IQRx_LWrist", "mean_angle_LKnee", "lrCorr_x_Ear", "lrCorr_angle_Hip"), "features")
     tables = [t.where("video % 4 > 0").select("video", "IQRx_LWrist"), t.where("video % 3 > 0").select("video", "mean_angle_LKnee"), t.select("video", "lrCorr_x_Ear"), t.select("video", "lrCorr_angle_Hip")]
     return P.join_features(tables, "video").select("video", *r("IQRx_LWrist", "mean_angle_LKnee", "lrCorr_x_Ear", "lrCorr_angle_Hip", places=3))
 
