@@ -115,7 +115,7 @@ def mann_whitney(df: DataFrame, keys: list[str], value: str, in_ref: str, small:
     counts = placed_counts(df, keys, value, {"own": F.count_if(F.col(in_ref)), "others": F.count_if(~F.col(in_ref))})
     rank = F.col("before") + (F.col("ties") + 1) / 2
     t = F.col("ties").cast("double")
-    per = counts.groupBy(*keys).agg(F.sum("own").alias("n1"), F.sum("others").alias("n2"), F.sum(F.col("own") * rank).alias("r1"), F.sum(t * (t * t - 1)).alias("t3"))
+    per = counts.groupBy(*keys).agg(F.sum("own").alias("n1"), F.sum("others").alias("n2"), F.sum(F.when(F.col("own") > 0, F.col("own") * rank)).alias("r1"), F.sum(t * (t * t - 1)).alias("t3"))
     n1, n2 = F.col("n1"), F.col("n2")
     n = n1 + n2
     per = per.withColumn("u1", F.col("r1") - n1 * (n1 + 1) / 2)
