@@ -897,6 +897,6 @@ def test_registered(spark):
     from motionloom.llm import queries
 
     names = set(queries.queries())
-    assert {int(re.match(r"op(\d+)_", n)[1]) for n in names} == set(range(1, 11))
+    assert {int(re.match(r"op(\d+)_", n)[1]) for n in names} == set(range(1, 14))
     assert set(queries.oracle_sql()) <= names
     json.dumps(queries.oracle_sql())
