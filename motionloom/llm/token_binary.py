@@ -5,15 +5,18 @@ documents are laid out in ascending id order.  The layout is cut into segments o
 ``segment_tokens`` ids; each segment is one file record with its own grammar.  In each round every
 adjacent pair of the segment that occurs often enough to pay for its rule, and more often than the
 pairs it overlaps with, is replaced by a new nonterminal (never across a document's end).  Rounds go
-on until no pair pays any more.  Symbols take two bytes: when the 65,536 symbols are used up, another
-rule would double the record, so none pays.  The record keeps the two sides and the expansion length
-of each rule, so any document is decoded from its own symbols alone.
+on until no pair pays any more.  Symbols take two bytes where the vocabulary leaves room for
+``ROOM`` rules or more: when the 65,536 symbols are used up, another rule would double the record, so
+none pays.  Symbols of larger vocabularies take four bytes, which no segment uses up.  The record keeps
+the two sides and the expansion length of each rule, so any document is decoded from its own symbols
+alone.
 
 Records are kept in Parquet tables, so any Hadoop file system holds them.  Memory is bounded by
 a segment (or one document, if that is longer) and by the chunk dictionary.
 
 Null and empty texts hold the end id only.  Null ids come first and are read back as null.  Equal
-ids keep an order by their text.  Only the id and the text are read, so further columns cannot
+(and null) ids keep an order by their text, and are dealt to tasks by how their texts begin, so that an
+id of many rows is many tasks' work.  Only the id and the text are read, so further columns cannot
 clash.  An empty table gives no records.
 """
 
@@ -35,6 +38,8 @@ from .common import id_text, materialise, sliced
 
 MAGIC = b"RPG2"
 _HEAD = struct.Struct("<4sIIIII")  # magic, documents, rules, symbols, base, bytes of a symbol
+#: Rules that a vocabulary must leave room for if its symbols take two bytes.
+ROOM = 1 << 13
 #: ``first`` is the number of ids before the record in its shard.
 RECORD = "shard int, part int, first long, n_docs int, n_tokens long, payload binary"
 
@@ -305,18 +310,25 @@ def texts_of(column: pa.StringArray) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(data, np.uint8, int(offsets[-1] - offsets[0]), int(offsets[0])), offsets - offsets[0]
 
 
-def pair_rules(symbols: np.ndarray, last: np.ndarray, base: int, least: int = 5, most: int = 1 << 16) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def symbol_width(base: int) -> int:
+    """Bytes of a symbol of a vocabulary's records."""
+    return 2 if base + ROOM <= 1 << 16 else 4
+
+
+def pair_rules(symbols: np.ndarray, last: np.ndarray, base: int, width: int = 2) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair: symbols and document ends -> fewer symbols, their document ends, rule sides.
 
-    A rule takes as many bytes as four symbols (two sides and a length), so a pair pays from
-    ``least`` = 5 occurrences on.  ``most`` is the number of symbols that two bytes can name.
+    A rule takes two sides and a length of four bytes: as much as four symbols of two bytes, so that
+    a pair pays from five occurrences on, or three of four bytes, so that it pays from four on.
     """
+    least, most = (5, 1 << 16) if width == 2 else (4, 1 << 31)
+    whole, half = (np.uint32, np.uint32(16)) if width == 2 else (np.uint64, np.uint64(32))
     sides: list[np.ndarray] = []
     made = 0
     live = np.flatnonzero(~last[:-1])  # places whose pair may pay; a rare pair only does so with a new symbol in it
     while len(live) and base + made < most:
-        wide = symbols.astype(np.uint32)
-        key = ((wide[:-1] << np.uint32(16)) | wide[1:])[live]
+        wide = symbols.astype(whole)
+        key = ((wide[:-1] << half) | wide[1:])[live]
         seen, counts = _counted(key)
         seen, counts = seen[counts >= least], counts[counts >= least].astype(np.int32)
         if not len(seen):
@@ -348,7 +360,7 @@ def pair_rules(symbols: np.ndarray, last: np.ndarray, base: int, least: int = 5,
         rule = number[at]
         taken &= rule >= 0
         places = live[taken]
-        sides.append(np.stack([seen[chosen] >> np.uint32(16), seen[chosen] & np.uint32(0xFFFF)], 1).astype(np.int64))
+        sides.append(np.stack([seen[chosen] >> half, seen[chosen] & ((whole(1) << half) - whole(1))], 1).astype(np.int64))
         symbols[places] = rule[taken]
         last[places] = last[places + 1]
         gone = np.zeros(len(symbols) + 1, bool)
@@ -369,7 +381,8 @@ def pair_rules(symbols: np.ndarray, last: np.ndarray, base: int, least: int = 5,
 def _placed(seen: np.ndarray, key: np.ndarray) -> np.ndarray:
     """The place of each key in ``seen``; -1 if it isn't there.  A table by hash, and a search for those that share a slot."""
     slot = np.full(1 << 18, -1, np.int32)
-    spread = lambda k: (k * np.uint32(0x9E3779B1)) >> np.uint32(14)
+    factor, drop = (np.uint32(0x9E3779B1), np.uint32(14)) if seen.dtype == np.uint32 else (_BASE, np.uint64(46))
+    spread = lambda k: (k * factor) >> drop
     own = spread(seen)
     slot[own] = np.arange(len(seen), dtype=np.int32)
     at = slot[spread(key)]
@@ -428,8 +441,8 @@ def pack(doc_ids: np.ndarray, named: np.ndarray, ids: np.ndarray, counts: np.nda
     """One file record of whole documents (each with its end id); ``named`` is false for null ids."""
     last = np.zeros(len(ids), bool)
     last[np.cumsum(counts) - 1] = True
-    symbols, last, left, right = pair_rules(ids.copy(), last, base)
-    width = 2 if base <= 1 << 16 else 4
+    width = symbol_width(base)
+    symbols, last, left, right = pair_rules(ids.copy(), last, base, width)
     lens = [1] * base
     for x, y in zip(left.tolist(), right.tolist(), strict=True):  # sides are always older than the rule
         lens.append(lens[x] + lens[y])
@@ -532,7 +545,8 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 2, segment_
             yield flush()
 
     schema = pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("first", pa.int64()), ("n_docs", pa.int32()), ("n_tokens", pa.int64()), ("payload", pa.binary())])
-    laid = id_text(docs).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    # The beginning of a text orders as the text does, and keeps what the range sampler gathers small.
+    laid = id_text(docs).repartitionByRange("doc_id", F.substring("text", 1, 256)).sortWithinPartitions("doc_id", "text")
     return materialise(laid.mapInArrow(run, RECORD), "token-records", compression="zstd")
 
 
