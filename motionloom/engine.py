@@ -1,4 +1,4 @@
-"""Operators by name, and the window generator as a table function for SQL."""
+"""Operators by name; the window generator and the users' aggregates as table functions for SQL."""
 
 from __future__ import annotations
 
@@ -8,9 +8,9 @@ from collections.abc import Callable, Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.functions import udtf
 
-from .operators import annotations, cohort, motion, order_statistics, pose, segments, sequences, tracking
+from .operators import annotations, cohort, motion, order_statistics, pose, segments, sequences, tracking, user_aggregates
 
-_MODULES = (annotations, cohort, motion, order_statistics, pose, segments, sequences, tracking)
+_MODULES = (annotations, cohort, motion, order_statistics, pose, segments, sequences, tracking, user_aggregates)
 
 
 def operators() -> dict[str, Callable[..., DataFrame]]:
@@ -52,3 +52,4 @@ class FixedWindows:
 def register(spark: SparkSession) -> None:
     """Make the table functions known to SQL."""
     spark.udtf.register("fixed_windows", FixedWindows)
+    user_aggregates.register_aggregates(spark)

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..engine import op, register
 from ..functions import scalars as Z
 from ..operators import cohort as H
 from ..operators.order_statistics import exact_quantiles, rank_avg
@@ -358,3 +359,17 @@ def _union(spark: SparkSession, d: str) -> DataFrame:
 def _valid(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").where("value > 5").selectExpr("user_id", "value", "double(hour(ts)) AS h")
     return e.groupBy("user_id").agg(F.round(F.when(F.count("*") > 12, correlation("value", "h")), 5).alias("c"))
+
+
+@query("user_aggregate", "SELECT l_suppkey, l_returnflag, round(stddev_pop(l_extendedprice::DOUBLE), 4) AS sd FROM lineitem GROUP BY 1, 2")
+def _own_aggregate(spark: SparkSession, d: str) -> DataFrame:
+    got = op("user_aggregate")(table(spark, d, "lineitem"), ["l_suppkey", "l_returnflag"], "population_sd", ["l_extendedprice"], "sd")
+    return got.withColumn("sd", F.round("sd", 4))
+
+
+@query("user_aggregate_sql", "SELECT l_returnflag, l_linestatus, round(sum(l_extendedprice::DOUBLE * l_quantity::DOUBLE) / sum(l_quantity::DOUBLE), 4) AS mean FROM lineitem GROUP BY 1, 2")
+def _own_aggregate_sql(spark: SparkSession, d: str) -> DataFrame:
+    register(spark)
+    rows = "SELECT l_returnflag, l_linestatus, l_extendedprice, l_quantity FROM {lines}"
+    states = f"SELECT * FROM weighted_mean_states(TABLE({rows}))"
+    return spark.sql(f"SELECT l_returnflag, l_linestatus, round(value, 4) AS mean FROM weighted_mean_merged(TABLE({states}))", lines=table(spark, d, "lineitem"))

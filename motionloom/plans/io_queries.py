@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,8 +37,8 @@ def _scan(spark: SparkSession, d: str, wrapped: bool) -> DataFrame:
     return _points(spark, path)
 
 
-def _points(spark: SparkSession, path: str) -> DataFrame:
-    rows = S.scan_pose_json(spark, path, video=r"/v=(\d+)/[^/]+$", glob="*.txt")
+def _points(spark: SparkSession, path: str, scan: Callable[..., DataFrame] = S.scan_pose_json) -> DataFrame:
+    rows = scan(spark, path, video=r"/v=(\d+)/[^/]+$", glob="*.txt")
     return S.instance_points(rows).groupBy(F.col("video").cast("int").alias("video"), "kp").agg(F.count("*").alias("n"), F.round(F.sum("x"), 3).alias("sx"), F.max("frame_id").alias("last"))
 
 
@@ -54,6 +55,14 @@ def _pose_wrapped(spark: SparkSession, d: str) -> DataFrame:
     return _scan(spark, d, True)
 
 
+@query("scan_pose_frames", _SCAN)
+def _pose_frames(spark: SparkSession, d: str) -> DataFrame:
+    """Every recording as one wrapped list, read in pieces."""
+    path = place(spark, "pose")
+    _pose_json(spark, d, True).write.partitionBy("v").text(path)
+    return _points(spark, path, S.scan_pose_frames)
+
+
 @query("scan_pose_segments", f"WITH {X.CTE_FRAMES}, n AS (SELECT video, count(*) AS n FROM frames GROUP BY 1) SELECT video, n AS n_rows, n AS n_ids, n - 1 AS last FROM n")
 def _pose_segments(spark: SparkSession, d: str) -> DataFrame:
     """Every recording as two files whose ids both start at 0."""

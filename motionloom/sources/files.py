@@ -15,7 +15,7 @@ FRAME = f"struct<frame_id:int,instances:array<{INSTANCE}>>"
 
 def _named(spark: SparkSession, path: str, glob: str) -> DataFrame:
     """Whole files as text with their path: for files that are one JSON value each, at most 2 GB, one task a file."""
-    return spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path).select("value", F.col("_metadata.file_path").alias("file"))
+    return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
 
 
 def _lines(spark: SparkSession, path: str, glob: str) -> DataFrame:
@@ -48,6 +48,25 @@ def scan_pose_json(spark: SparkSession, path: str, video: str = r"/([^/]+)/pred/
     return rows.select("video", "file", F.when(F.col("single"), place).otherwise(F.col("f.frame_id")).alias("frame_id"), "f.instances")
 
 
+def scan_pose_frames(spark: SparkSession, path: str, video: str = r"/([^/]+)/pred/[^/]+$", glob: str = "*.json") -> DataFrame:
+    """video, file, frame_id, instances of files that are one list of frames, bare or wrapped, of any size.
+
+    Files are cut where a frame's id begins, as others are at line ends: Spark splits a file by bytes into
+    as many tasks as it likes, and a task holds one frame at a time.  The id must be a frame's first key, as
+    pose tools write it, and stand nowhere else; a file written otherwise is an error, and so is a cut frame.
+    """
+    raw = spark.read.option("lineSep", '"frame_id"').option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path)
+    pieces = raw.select("value", F.col("_metadata.file_path").alias("file"))
+    kind = FRAME.replace("struct<", "struct<broken:string,", 1)
+    frame = F.from_json(F.concat(F.lit('{"frame_id"'), "value"), kind, {"columnNameOfCorruptRecord": "broken"})
+    begins = F.col("value").rlike(r"^\s*:")
+    wrong = lambda why: F.raise_error(F.concat(F.lit(f"{why} in "), "file"))
+    read = F.when(begins, frame).when(F.col("value").contains('"instances"'), wrong("frames that do not begin with their id").cast(kind))
+    rows = pieces.where(begins | F.col("value").contains('"instances"')).select(F.regexp_extract("file", video, 1).alias("video"), "file", read.alias("f"))
+    whole = F.when(F.col("f.broken").isNotNull(), wrong("a frame that ends early").cast("int")).otherwise(F.col("f.frame_id"))
+    return rows.select("video", "file", whole.alias("frame_id"), "f.instances")
+
+
 def scan_pose_segments(spark: SparkSession, path: str, **where: str) -> DataFrame:
     """Segment files of each recording one after the other; ids that restart continue from the last."""
     rows = scan_pose_json(spark, path, **where)
