@@ -264,7 +264,22 @@ def _s_resume(spark: SparkSession, d: str) -> DataFrame:
     return got.select("user_id", "item", "event_id")
 
 
-@query("stream_collapse_text", "SELECT user_id, event_id, event_type FROM events QUALIFY event_type IS DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id)")
+_COLLAPSED = "SELECT user_id, event_id, event_type FROM events QUALIFY event_type IS DISTINCT FROM lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id)"
+
+
+@query("stream_collapse_late", _COLLAPSED)
+def _s_collapse_late(spark: SparkSession, d: str) -> DataFrame:
+    """Events come in three waves, each with those of every third place in time; the watermark waits for all of them."""
+    path = place(spark, "late")
+    events = table(spark, d, "events")
+    for wave in range(3):
+        events.where(F.pmod(F.col("event_id"), F.lit(3)) == wave).write.mode("append").parquet(path)
+    span = events.agg(F.expr("max(unix_seconds(timestamp(ts))) - min(unix_seconds(timestamp(ts)))")).first()[0] or 0
+    W.heartbeat(events, path, f"{span + 3600} seconds")
+    return _to_files(spark, W.stream_collapse_in_order(W.event_stream(spark, path, 8), "user_id", "event_type", late=f"{span + 60} seconds"), "collapsed-late")
+
+
+@query("stream_collapse_text", _COLLAPSED)
 def _s_collapse(spark: SparkSession, d: str) -> DataFrame:
     return _to_files(spark, W.stream_collapse_text(W.event_stream(spark, _parts(spark, d), 10), "user_id", "event_type"), "collapsed")
 

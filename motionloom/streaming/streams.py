@@ -130,6 +130,47 @@ def stream_collapse_text(events: DataFrame, key: str, text: str, late: str = "1
     return events.withWatermark("ts", late).groupBy(key).applyInPandasWithState(step, out, f"last {kinds[text]}", "append", GroupStateTimeout.EventTimeTimeout)
 
 
+def stream_collapse_in_order(events: DataFrame, key: str, text: str, order: str = "event_id", late: str = "1 hour", idle: timedelta = timedelta(days=30)) -> DataFrame:
+    """Rows whose text differs from the one before of their key by (ts, ``order``), however they come.
+
+    A row is decided once the watermark has passed it, as rows between it and the one before may still
+    come: over any batches the result is that over all rows together.  Equal texts are compared as SQL's
+    IS DISTINCT FROM does.  The state of a key is its last text and the rows of the last ``late`` hours; a timer
+    wakes the key for them.  A key without events for ``idle`` is forgotten.  Rows with neither key nor
+    ``order`` are heartbeats.
+    """
+    kinds = dict(events.dtypes)
+    columns = [key, order, text]
+
+    def step(group: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        name = None if pd.isna(group[0]) else group[0]
+        seen, last, at, ids, texts = state.get if state.exists else (False, None, [], [], [])
+        waiting = list(zip(at, ids, texts, strict=True))
+        for pdf in [] if state.hasTimedOut else batches:
+            plain = [[None if pd.isna(x) else x for x in pdf[c].tolist()] for c in ("us", order, text)]
+            waiting += [row for row in zip(*plain, strict=True) if name is not None or row[1] is not None]
+        now = state.getCurrentWatermarkMs() * 1000
+        ready = sorted((w for w in waiting if w[0] <= now), key=lambda w: (w[0], w[1] is not None, w[1]))
+        waiting = [w for w in waiting if w[0] > now]
+        rows = []
+        for _, number, said in ready:
+            if not seen or said != last:
+                rows.append((name, number, said))
+            seen, last = True, said
+        if state.hasTimedOut and not ready and not waiting:
+            state.remove()
+            return
+        if seen or waiting:
+            state.update((seen, last, *([w[k] for w in waiting] for k in range(3))))
+            state.setTimeoutTimestamp(min(w[0] for w in waiting) // 1000 + 1 if waiting else state.getCurrentWatermarkMs() + int(idle / timedelta(milliseconds=1)))
+        if rows:
+            yield pd.DataFrame({c: pd.Series([r[k] for r in rows], dtype=object) for k, c in enumerate(columns)})
+
+    kept = events.withWatermark("ts", late).select("ts", F.unix_micros("ts").alias("us"), *columns)
+    held = f"seen boolean, last {kinds[text]}, at array<long>, ids array<{kinds[order]}>, texts array<{kinds[text]}>"
+    return kept.groupBy(key).applyInPandasWithState(step, ", ".join(f"{c} {kinds[c]}" for c in columns), held, "append", GroupStateTimeout.EventTimeTimeout)
+
+
 def run_batches(df: DataFrame, write: Callable[[DataFrame, int], None], checkpoint: str) -> None:
     """Run a stream over all that is there now through a foreachBatch function."""
     df.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

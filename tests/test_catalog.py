@@ -12,7 +12,7 @@ angle_delta_shortest feature_table agg_corr_lr circ_confmean circ_corrcc circ_vm
 merge_weak_cuts subdivide_equal join_words_midpoint audio_bins surprise_bracketed rank_avg agg_collapse_windows parse_annotation key_presence
 join_pairwise_agreement agg_cohort_votes latest_record agg_tracked_quality body_ratios select_margin agg_precision_recall_rmse scan_pose_json
 scan_jsonl_tolerant scan_tsv_manifest sink_flat_csv stream_fixed_windows stream_track_gap stream_sessions stream_latest_wins stream_resume_keys greedy_iou_track greedy_centroid_track
-agg_prior_calibrate mann_whitney_u agg_exact_quantiles scan_pose_json_wrapped scan_pose_segments scan_pose_frames user_aggregate user_aggregate_sql
+agg_prior_calibrate mann_whitney_u agg_exact_quantiles scan_pose_json_wrapped scan_pose_segments scan_pose_frames stream_collapse_text stream_collapse_late user_aggregate user_aggregate_sql
 feature_whitelist cohort_manifest video_summary weak_match savgol_smooth dominant_freq poly_regression_2 udtf_fixed_windows""".split()
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="driver tables are not here")

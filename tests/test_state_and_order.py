@@ -178,3 +178,33 @@ def test_requests_come_again_until_they_are_answered(spark, tmp_path):
         stream = spark.readStream.schema(kinds).parquet(path)
         got = W.run_to_files(R.stream_resume(stream, ["k"], "ok", "n"), str(tmp_path / "out"), str(tmp_path / "state"))
     assert sorted((r.n, r.k or "") for r in got.collect()) == [(0, "a"), (1, "b"), (2, ""), (5, "a"), (7, "c"), (11, "c")]
+
+
+def test_late_texts_collapse_in_their_order(spark, tmp_path):
+    """Each row alone in a batch, in a shuffled order, and the stream started anew twice: as over all rows together."""
+    import datetime
+    import random
+
+    from motionloom.streaming import streams as W
+
+    rng, at = random.Random(8), datetime.datetime(2024, 1, 1)
+    rows = [(k, at + datetime.timedelta(seconds=k // 2), rng.choice([1, 2, None]), rng.choice(["a", "b", None])) for k in range(60)]
+    rows.sort(key=lambda r: (r[1], rng.random()))
+    kinds = "event_id long, ts timestamp, user_id long, event_type string"
+    want, last = [], {}
+    for r in sorted(rows, key=lambda r: (r[1], r[0])):
+        if r[2] not in last or last[r[2]] != r[3]:
+            want.append((r[2], r[0], r[3]))
+        last[r[2]] = r[3]
+    path = str(tmp_path / "in")
+    waves = [[r for i, r in enumerate(rows) if i % 3 == w] for w in range(3)]
+    got = None
+    for wave in (*waves, None):
+        if wave:
+            spark.createDataFrame(wave, kinds).coalesce(1).write.mode("append").parquet(path)
+        else:
+            W.heartbeat(spark.read.parquet(path), path)
+        stream = W.stream_collapse_in_order(W.event_stream(spark, path, 10), "user_id", "event_type", late="2 minutes")
+        got = W.run_to_files(stream, str(tmp_path / "out"), str(tmp_path / "state"))
+    key = lambda r: (r[1], r[0] or 0)
+    assert sorted([(r.user_id, r.event_id, r.event_type) for r in got.collect()], key=key) == sorted(want, key=key)
