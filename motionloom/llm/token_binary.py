@@ -546,7 +546,7 @@ def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 2, segment_
 
     schema = pa.schema([("shard", pa.int32()), ("part", pa.int32()), ("first", pa.int64()), ("n_docs", pa.int32()), ("n_tokens", pa.int64()), ("payload", pa.binary())])
     # The beginning of a text orders as the text does, and keeps what the range sampler gathers small.
-    laid = id_text(docs).repartitionByRange("doc_id", F.substring("text", 1, 256)).sortWithinPartitions("doc_id", "text")
+    laid = id_text(docs).repartitionByRange("doc_id", F.substring("text", 1, 32)).sortWithinPartitions("doc_id", "text")
     return materialise(laid.mapInArrow(run, RECORD), "token-records", compression="zstd")
 
 
