@@ -73,13 +73,18 @@ class AtomEncoder:
     of; new pieces go to the library, many at once.  A chunk between spaces that holds anything less
     simple is one piece, and a text with other white space, special strings or a piece whose hash
     belongs to other bytes is handed to the library whole.
+
+    The array doubles when it is half full.  What is kept from batch to batch is bounded by ``MOST``.
     """
 
-    def __init__(self, path: str, table_bits: int = 23):
+    #: Entries, bytes of pieces and ids of pieces: a dictionary with more of one is emptied.
+    MOST = 3 << 19, 1 << 25, 1 << 24
+
+    def __init__(self, path: str, table_bits: int = 20):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
         from tokenizers import Tokenizer, pre_tokenizers
 
-        self.library, self.bits = Tokenizer.from_file(path), table_bits
+        self.library, self.first_bits = Tokenizer.from_file(path), table_bits
         # New pieces are pre-tokens already: the same model, cut at line ends only and without its own
         # cache, gives their ids at less cost.
         self.liner = Tokenizer.from_file(path)
@@ -93,6 +98,7 @@ class AtomEncoder:
         self.forget()
 
     def forget(self) -> None:
+        self.bits, self.filled = self.first_bits, 0
         self.keys = np.zeros(1 << self.bits, np.uint64)
         self.values = np.zeros(1 << self.bits, np.int32)
         self.starts, self.lens, self.held = np.zeros(1024, np.int64), np.zeros(1024, np.int32), 0
@@ -117,6 +123,12 @@ class AtomEncoder:
         return out
 
     def _insert(self, keys: np.ndarray, values: np.ndarray) -> None:
+        self.filled += len(keys)
+        if self.filled > 1 << (self.bits - 1):
+            own = np.flatnonzero(self.keys)
+            keys, values = np.concatenate((self.keys[own], keys)), np.concatenate((self.values[own], values))
+            self.bits = self.filled.bit_length() + 1
+            self.keys, self.values = np.zeros(1 << self.bits, np.uint64), np.zeros(1 << self.bits, np.int32)
         place = (keys >> np.uint64(64 - self.bits)).astype(np.int64)
         while len(keys):
             free = np.flatnonzero(self.keys[place] == 0)
@@ -212,8 +224,6 @@ class AtomEncoder:
 
     def encode(self, buffer: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """UTF-8 texts, one after the other -> all ids, and the number of ids of each text."""
-        if self.held > 6 << (self.bits - 4):
-            self.forget()
         sizes = np.diff(offsets)
         if not len(buffer):
             return np.zeros(0, np.int32), np.zeros(len(sizes), np.int64)
@@ -298,6 +308,10 @@ class AtomEncoder:
         out = self.flat[ragged(self.starts[found], lens)]
         counts = np.diff(np.concatenate(([0], np.cumsum(lens)))[first])
         self.held, self.used = held, used  # the ids of whole texts are not kept
+        if any(x > most for x, most in zip((self.filled, self.raw_used, len(self.flat)), self.MOST, strict=True)):
+            self.forget()
+        if len(self.powers) > 1 << 22:
+            self.powers = self.backs = np.ones(1, np.uint64)
         return out, counts
 
 
@@ -320,25 +334,32 @@ def pair_rules(symbols: np.ndarray, last: np.ndarray, base: int, width: int = 2)
 
     A rule takes two sides and a length of four bytes: as much as four symbols of two bytes, so that
     a pair pays from five occurrences on, or three of four bytes, so that it pays from four on.
+
+    The first rounds close the gaps of merged symbols.  Once few places are live, symbols stay where
+    they are and are linked to their neighbours, so that a round costs its live places.
     """
     least, most = (5, 1 << 16) if width == 2 else (4, 1 << 31)
     whole, half = (np.uint32, np.uint32(16)) if width == 2 else (np.uint64, np.uint64(32))
     sides: list[np.ndarray] = []
-    made = 0
+    made, linked = 0, False
     live = np.flatnonzero(~last[:-1])  # places whose pair may pay; a rare pair only does so with a new symbol in it
     while len(live) and base + made < most:
-        wide = symbols.astype(whole)
-        key = ((wide[:-1] << half) | wide[1:])[live]
+        if linked:
+            second = following.take(live)
+            key = (symbols.take(live).astype(whole) << half) | symbols.take(second).astype(whole)
+        else:
+            second, wide = live + 1, symbols.astype(whole)
+            key = ((wide[:-1] << half) | wide[1:]).take(live)
         seen, counts = _counted(key)
         seen, counts = seen[counts >= least], counts[counts >= least].astype(np.int32)
         if not len(seen):
             break
         at = _placed(seen, key)
-        known = at >= 0
-        live, at = live[known], at[known]
+        known = np.flatnonzero(at >= 0)
+        live, second, at = live.take(known), second.take(known), at.take(known)
         # A place is taken if its pair is more frequent than those it overlaps with; on a tie the first is.
-        weight = counts[at]
-        beside = np.diff(live) == 1
+        weight = counts.take(at)
+        beside = second[:-1] == live[1:]
         before, after = np.zeros(len(live), np.int32), np.zeros(len(live), np.int32)
         np.multiply(weight[:-1], beside, out=before[1:])
         np.multiply(weight[1:], beside, out=after[:-1])
@@ -347,68 +368,83 @@ def pair_rules(symbols: np.ndarray, last: np.ndarray, base: int, width: int = 2)
         level = (weight == before) & highest
         if level.any():
             taken |= _every_second(level, taken)
-        uses = np.bincount(at[taken], minlength=len(seen))
+        own = np.flatnonzero(taken)
+        uses = np.bincount(at.take(own), minlength=len(seen))
         chosen = np.flatnonzero(uses >= least)
         if not len(chosen):  # overlaps leave no pair enough places: pair by pair, the most frequent first
-            taken, uses = _one_by_one(live, at, counts, least)
-            chosen = np.flatnonzero(uses)
+            taken, uses = _one_by_one(live, second, at, counts, least)
+            own, chosen = np.flatnonzero(taken), np.flatnonzero(uses)
             if not len(chosen):
                 break
         chosen = chosen[np.argsort(-uses[chosen], kind="stable")[: most - base - made]]
         number = np.full(len(seen), -1, np.int32)
         number[chosen] = np.arange(base + made, base + made + len(chosen), dtype=np.int32)
-        rule = number[at]
-        taken &= rule >= 0
-        places = live[taken]
+        rule = number.take(at.take(own))
+        ruled = np.flatnonzero(rule >= 0)
+        own, rule = own.take(ruled), rule.take(ruled)
+        places, merged = live.take(own), second.take(own)
         sides.append(np.stack([seen[chosen] >> half, seen[chosen] & ((whole(1) << half) - whole(1))], 1).astype(np.int64))
-        symbols[places] = rule[taken]
-        last[places] = last[places + 1]
-        gone = np.zeros(len(symbols) + 1, bool)
-        gone[places + 1] = True
+        symbols[places] = rule
+        last[places] = last.take(merged)
+        made += len(chosen)
         again = np.zeros(len(symbols), bool)
         again[live] = True
+        if linked:
+            there[merged] = False
+            following[places] = after = following.take(merged)
+            former[after] = places
+            again[np.maximum(former.take(places), 0)] = True  # the pair of a new symbol with the one before it
+            again[merged] = False
+            again &= ~last
+            live = np.flatnonzero(again)
+            continue
+        gone = np.zeros(len(symbols) + 1, bool)
+        gone[merged] = True
         # The pair of a new symbol with the one before it, past one that has just gone.
-        again[np.maximum(places - 1 - gone[places - 1], 0)] = True
+        again[np.maximum(places - 1 - gone.take(places - 1), 0)] = True
         keep = np.flatnonzero(~gone[:-1])
-        symbols, last, again = symbols[keep], last[keep], again[keep]
+        symbols, last, again = symbols.take(keep), last.take(keep), again.take(keep)
         again &= ~last
         live = np.flatnonzero(again[:-1])
-        made += len(chosen)
+        if len(live) < len(symbols) // 2:
+            linked, following, former, there = True, np.arange(1, len(symbols) + 1), np.arange(-1, len(symbols)), np.ones(len(symbols), bool)
+    if linked:
+        symbols, last = symbols[there], last[there]
     rules = np.concatenate(sides) if sides else np.zeros((0, 2), np.int64)
     return symbols, last, rules[:, 0], rules[:, 1]
 
 
 def _placed(seen: np.ndarray, key: np.ndarray) -> np.ndarray:
     """The place of each key in ``seen``; -1 if it isn't there.  A table by hash, and a search for those that share a slot."""
-    slot = np.full(1 << 18, -1, np.int32)
+    slot = np.full(1 << 18, -1, np.int64)
     factor, drop = (np.uint32(0x9E3779B1), np.uint32(14)) if seen.dtype == np.uint32 else (_BASE, np.uint64(46))
-    spread = lambda k: (k * factor) >> drop
+    spread = lambda k: ((k * factor) >> drop).astype(np.int64)
     own = spread(seen)
-    slot[own] = np.arange(len(seen), dtype=np.int32)
-    at = slot[spread(key)]
-    other = (at >= 0) & (seen[at] != key)
+    slot[own] = np.arange(len(seen))
+    at = slot.take(spread(key))
+    other = np.flatnonzero((at >= 0) & (seen.take(at, mode="wrap") != key))
     second = np.flatnonzero(slot[own] != np.arange(len(seen)))
     if len(second):
-        rest = np.flatnonzero(other)
-        near = second[np.minimum(np.searchsorted(seen[second], key[rest]), len(second) - 1)]
-        at[rest] = np.where(seen[near] == key[rest], near, -1)
+        rest = key.take(other)
+        near = second[np.minimum(np.searchsorted(seen[second], rest), len(second) - 1)]
+        at[other] = np.where(seen[near] == rest, near, -1)
     else:
         at[other] = -1
     return at
 
 
-def _one_by_one(live: np.ndarray, at: np.ndarray, counts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+def _one_by_one(live: np.ndarray, second: np.ndarray, at: np.ndarray, counts: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
     """Places taken pair by pair, by falling counts, where no pair before has taken a symbol; uses of each pair."""
     order = np.argsort(at, kind="stable")
     bounds = np.searchsorted(at[order], np.arange(len(counts) + 1))
-    taken, uses, gone = np.zeros(len(live), bool), np.zeros(len(counts), np.int64), np.zeros(int(live[-1]) + 2 if len(live) else 0, bool)
+    taken, uses, gone = np.zeros(len(live), bool), np.zeros(len(counts), np.int64), np.zeros(int(second[-1]) + 1 if len(live) else 0, bool)
     for k in np.argsort(-counts, kind="stable").tolist():
         own = order[bounds[k] : bounds[k + 1]]
-        own = own[~gone[live[own]] & ~gone[live[own] + 1]]
-        own = own[_alternate(live[own])]
+        own = own[~gone[live[own]] & ~gone[second[own]]]
+        own = own[_alternate(live[own], second[own])]
         if len(own) >= least:
             taken[own], uses[k] = True, len(own)
-            gone[live[own]] = gone[live[own] + 1] = True
+            gone[live[own]] = gone[second[own]] = True
     return taken, uses
 
 
@@ -419,10 +455,10 @@ def _counted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return key[first], np.diff(first, append=len(key))
 
 
-def _alternate(places: np.ndarray) -> np.ndarray:
-    """Every second one of places that follow each other without a gap."""
+def _alternate(places: np.ndarray, second: np.ndarray) -> np.ndarray:
+    """Every second one of places that follow each other without a gap; ``second``: the places after them."""
     turn = np.arange(len(places))
-    fresh = np.concatenate(([True], places[1:] != places[:-1] + 1)) if len(places) else np.zeros(0, bool)
+    fresh = np.concatenate(([True], places[1:] != second[:-1])) if len(places) else np.zeros(0, bool)
     return (turn - np.maximum.accumulate(np.where(fresh, turn, 0))) % 2 == 0 if len(places) else fresh
 
 
@@ -512,13 +548,22 @@ class Record:
 _encoders: dict[str, AtomEncoder] = {}
 
 
+def encoder_of(path: str) -> AtomEncoder:
+    """The worker's own encoder, which knows the pieces of its earlier tasks.
+
+    Workers take a module's function from the module; a table named in a nested function would come to
+    each task as an empty copy.
+    """
+    if path not in _encoders:
+        _encoders[path] = AtomEncoder(path)
+    return _encoders[path]
+
+
 def write_tokens(docs: DataFrame, tokenizer_path: str, end_id: int = 2, segment_tokens: int = 256_000) -> DataFrame:
     """Encode and pack all documents; returns the written table of records (see RECORD)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if tokenizer_path not in _encoders:
-            _encoders[tokenizer_path] = AtomEncoder(tokenizer_path)
-        own, shard, part = _encoders[tokenizer_path], TaskContext.get().partitionId(), 0
+        own, shard, part = encoder_of(tokenizer_path), TaskContext.get().partitionId(), 0
         base = own.library.get_vocab_size(with_added_tokens=True)
         held: list[tuple[np.ndarray, ...]] = []
         size = before = 0
