@@ -40,12 +40,14 @@ def scan_pose_json(spark: SparkSession, path: str, video: str = r"/([^/]+)/pred/
     Frames of per-frame files are numbered 0.. by the number in the file's name.
     """
     files = _named(spark, path, glob).withColumn("video", F.regexp_extract("file", video, 1))
-    wrapped = F.get_json_object("value", "$.instance_info")
-    is_frame = F.get_json_object("value", "$.instances").isNotNull()
-    text = F.when(wrapped.isNotNull(), wrapped).when(is_frame, F.concat(F.lit("["), F.col("value"), F.lit("]"))).otherwise(F.col("value"))
-    rows = files.select("video", "file", is_frame.alias("single"), F.posexplode(F.from_json(text, f"array<{FRAME}>")).alias("pos", "f"))
-    place = F.row_number().over(Window.partitionBy("video", "single").orderBy(frame_number(F.col("file")), "pos")) - 1
-    return rows.select("video", "file", F.when(F.col("single"), place).otherwise(F.col("f.frame_id")).alias("frame_id"), "f.instances")
+    in_object = lambda key: F.when(~F.ltrim("value", F.lit(" \t\r\n")).startswith("["), F.get_json_object("value", key))
+    # The layout is a column of the file, below the explode: beside it, it would be looked for in the whole text again for every frame.
+    laid = files.select("video", "file", "value", in_object("$.instance_info").alias("wrapped"), in_object("$.instances").isNotNull().alias("single"))
+    text = F.when(F.col("wrapped").isNotNull(), F.col("wrapped")).when(F.col("single"), F.concat(F.lit("["), F.col("value"), F.lit("]"))).otherwise(F.col("value"))
+    rows = laid.select("video", "file", "single", F.posexplode(F.from_json(text, f"array<{FRAME}>")).alias("pos", "f"))
+    place = F.row_number().over(Window.partitionBy("video").orderBy(frame_number(F.col("file")), "pos")) - 1
+    listed = rows.where(~F.col("single")).select("video", "file", F.col("f.frame_id").alias("frame_id"), "f.instances")
+    return listed.unionByName(rows.where("single").select("video", "file", place.alias("frame_id"), "f.instances"))
 
 
 def scan_pose_frames(spark: SparkSession, path: str, video: str = r"/([^/]+)/pred/[^/]+$", glob: str = "*.json") -> DataFrame:
