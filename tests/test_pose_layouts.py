@@ -20,7 +20,7 @@ def ids(df, video):
     return sorted((r["frame_id"], r["instances"][0]["keypoints"][0][0]) for r in df.where(f"video = '{video}'").collect())
 
 
-@pytest.mark.parametrize("layout", ["list"])
+@pytest.mark.parametrize("layout", ["list", "wrapped"])
 def test_layout_is_looked_for_below_the_frames(spark, tmp_path, layout):
     frames = [frame(k) for k in range(5)]
     put(tmp_path, "a/pred/x.json", frames if layout == "list" else {"meta_info": {}, "instance_info": frames})
