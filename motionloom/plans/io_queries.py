@@ -7,6 +7,7 @@ from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators.motion import speed
 from ..sources import files as S
@@ -24,11 +25,13 @@ _PTS = "array_join(transform(sequence(0, 16), k -> concat('[', e[2 * k], ',', e[
 
 
 def _pose_json(spark: SparkSession, d: str, wrapped: bool) -> DataFrame:
+    """Lines of one list a recording, a frame each, in order: written as they come, no recording is held as a whole."""
     inst = f"concat('{{\"frame_id\":', frame, ',\"instances\":[{{\"keypoints\":[', {_PTS}, '],\"keypoint_scores\":[', array_join(slice(e, 35, 17), ','), '],\"bbox\":[[0,0,1,1]],\"bbox_score\":0.9}}]}}')"
-    per = X.frames(spark, d).select("video", "frame", F.expr(inst).alias("j"))
-    listed = per.groupBy("video").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("frame", "j"))), lambda x: x["j"]), ",").alias("js"))
-    text = F.concat(F.lit('{"meta_info":{},"instance_info":['), "js", F.lit("]}")) if wrapped else F.concat(F.lit("["), "js", F.lit("]"))
-    return listed.select(F.col("video").cast("string").alias("v"), text.alias("value"))
+    last = F.lead("frame").over(Window.partitionBy("video").orderBy("frame")).isNull()
+    per = X.frames(spark, d).select(F.col("video").cast("string").alias("v"), "frame", F.expr(inst).alias("j"), last.alias("last"))
+    start, end = ('{"meta_info":{},"instance_info":[', "]}") if wrapped else ("[", "]")
+    text = F.concat(F.when(F.col("frame") == 0, start).otherwise(","), "j", F.when(F.col("last"), end).otherwise(""))
+    return per.repartition("v").sortWithinPartitions("v", "frame").select("v", text.alias("value"))
 
 
 def _scan(spark: SparkSession, d: str, wrapped: bool) -> DataFrame:

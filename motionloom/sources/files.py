@@ -11,11 +11,15 @@ from ..work import Folder
 
 INSTANCE = "struct<keypoints:array<array<double>>,keypoint_scores:array<double>,bbox:array<array<double>>,bbox_score:double>"
 FRAME = f"struct<frame_id:int,instances:array<{INSTANCE}>>"
+_LIST = f"array<{FRAME}>"
+#: Bytes from which a pose file is read in pieces.
+CUT = 8 << 20
 
 
-def _named(spark: SparkSession, path: str, glob: str) -> DataFrame:
-    """Whole files as text with their path: for files that are one JSON value each, at most 2 GB, one task a file."""
-    return spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path, wholetext=True).select("value", F.col("_metadata.file_path").alias("file"))
+def _texts(spark: SparkSession, path: str, glob: str, **how: bool | str) -> DataFrame:
+    """Text of all files with their path and size; a condition on these leaves out files before they are read."""
+    raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path, **how)
+    return raw.select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_size").alias("size"))
 
 
 def _lines(spark: SparkSession, path: str, glob: str) -> DataFrame:
@@ -34,20 +38,52 @@ def frame_number(file: Column, last_run: bool = False) -> Column:
     return digits.try_cast("long")
 
 
+def _layout(text: Column) -> tuple[Column, Column]:
+    """Of a whole text: whether it is one frame, and its list of frames as text."""
+    in_object = lambda key: F.when(~F.ltrim(text, F.lit(" \t\r\n")).startswith("["), F.get_json_object(text, key))
+    single = in_object("$.instances").isNotNull()
+    return single, F.coalesce(in_object("$.instance_info"), F.when(single, F.concat(F.lit("["), text, F.lit("]"))).otherwise(text))
+
+
+def _cut(pieces: DataFrame) -> tuple[DataFrame, list[str]]:
+    """Frames of files that were cut at the ids, and the files to which that does not do justice.
+
+    A piece of a list is a frame and the brace that opens the next; the last one closes the list.  The text before the
+    first id and the last piece are a file of one frame: if that reads as a list, and each other piece is one
+    frame, the frames are those of the whole file.  Ids elsewhere, or not a frame's first key, break this.
+    """
+    opens = r",\s*\{\s*$"
+    begins, more = F.col("value").rlike(r"^\s*:"), F.col("value").rlike(opens)
+    body = F.concat(F.lit('[{"frame_id"'), F.regexp_replace("value", opens, ""), F.when(more, "]").otherwise(""))
+    rows = pieces.select("file", "size", "value", begins.alias("begins"), (begins & ~more).alias("last"), F.when(begins, F.from_json(body, _LIST)).alias("f"))
+    ends = rows.select(
+        "file", "begins", "last", (~F.col("begins") | F.coalesce(F.size("f") == 1, F.lit(False))).alias("one"),
+        F.when(~F.col("begins"), F.col("value")).alias("head"), F.when(F.col("last"), F.col("value")).alias("tail"), F.when(F.col("last"), F.col("f")).alias("f"),
+    )
+    files = ends.groupBy("file").agg(F.min("one").alias("one"), F.count_if(~F.col("begins")).alias("heads"), F.count_if("last").alias("tails"), F.max("head").alias("head"), F.max("tail").alias("tail"), F.max_by("f", F.col("last").cast("int")).alias("f"))
+    single, listed = _layout(F.concat("head", F.lit('"frame_id"'), "tail"))
+    fits = F.col("one") & (F.col("heads") == 1) & (F.col("tails") == 1) & ~single & (F.from_json(listed, _LIST) == F.col("f"))
+    odd = [r["file"] for r in files.where(~F.coalesce(fits, F.lit(False))).select("file").collect()]
+    return rows.where("begins").select("file", F.col("f")[0].alias("f")), odd
+
+
 def scan_pose_json(spark: SparkSession, path: str, video: str = r"/([^/]+)/pred/[^/]+$", glob: str = "*.json") -> DataFrame:
     """video, file, frame_id, instances from a whole-file list, a wrapped dict or one file per frame.
 
-    Frames of per-frame files are numbered 0.. by the number in the file's name.
+    Frames of per-frame files are numbered 0.. by the number in the file's name.  Lists of more than ``CUT`` bytes are cut
+    at the frames' ids and are many tasks' work, whatever their size; where that does not give what the whole text
+    gives, and for other files, a file is one text of at most 2 GB.  Large files are looked at when this is called.
     """
-    files = _named(spark, path, glob).withColumn("video", F.regexp_extract("file", video, 1))
-    in_object = lambda key: F.when(~F.ltrim("value", F.lit(" \t\r\n")).startswith("["), F.get_json_object("value", key))
+    name = F.regexp_extract("file", video, 1).alias("video")
+    cut, odd = _cut(_texts(spark, path, glob, lineSep='"frame_id"').where(F.col("size") > CUT))
+    listed = cut.where(~F.col("file").isin(odd)).select(name, "file", "f.*")
+    whole = _texts(spark, path, glob, wholetext=True).where((F.col("size") <= CUT) | F.col("file").isin(odd))
     # The layout is a column of the file, below the explode: beside it, it would be looked for in the whole text again for every frame.
-    laid = files.select("video", "file", "value", in_object("$.instance_info").alias("wrapped"), in_object("$.instances").isNotNull().alias("single"))
-    text = F.when(F.col("wrapped").isNotNull(), F.col("wrapped")).when(F.col("single"), F.concat(F.lit("["), F.col("value"), F.lit("]"))).otherwise(F.col("value"))
-    rows = laid.select("video", "file", "single", F.posexplode(F.from_json(text, f"array<{FRAME}>")).alias("pos", "f"))
+    single, listing = _layout(F.col("value"))
+    rows = whole.select(name, "file", single.alias("single"), listing.alias("text")).select("video", "file", "single", F.posexplode(F.from_json("text", _LIST)).alias("pos", "f"))
     place = F.row_number().over(Window.partitionBy("video").orderBy(frame_number(F.col("file")), "pos")) - 1
-    listed = rows.where(~F.col("single")).select("video", "file", F.col("f.frame_id").alias("frame_id"), "f.instances")
-    return listed.unionByName(rows.where("single").select("video", "file", place.alias("frame_id"), "f.instances"))
+    numbered = rows.where("single").select("video", "file", place.alias("frame_id"), "f.instances")
+    return listed.unionByName(rows.where(~F.col("single")).select("video", "file", "f.*")).unionByName(numbered)
 
 
 def scan_pose_frames(spark: SparkSession, path: str, video: str = r"/([^/]+)/pred/[^/]+$", glob: str = "*.json") -> DataFrame:
@@ -57,8 +93,7 @@ def scan_pose_frames(spark: SparkSession, path: str, video: str = r"/([^/]+)/pre
     as many tasks as it likes, and a task holds one frame at a time.  The id must be a frame's first key, as
     pose tools write it, and stand nowhere else; a file written otherwise is an error, and so is a cut frame.
     """
-    raw = spark.read.option("lineSep", '"frame_id"').option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(path)
-    pieces = raw.select("value", F.col("_metadata.file_path").alias("file"))
+    pieces = _texts(spark, path, glob, lineSep='"frame_id"')
     kind = FRAME.replace("struct<", "struct<broken:string,", 1)
     frame = F.from_json(F.concat(F.lit('{"frame_id"'), "value"), kind, {"columnNameOfCorruptRecord": "broken"})
     begins = F.col("value").rlike(r"^\s*:")
